@@ -82,3 +82,58 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(os.path.join(top, "lexweave"), os.path.join(stage, "in", "lexweave"), ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(os.path.join(stage, "lexweave-package"), "zip", os.path.join(stage, "in")))
     _shipped.add(sc.applicationId)
+
+
+def meet_in_parts(ws: Workspace, rows: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
+    """rows, dealt so that any two rows with equal keys meet in a group of at most about 2 * cap rows.
+
+    A key with up to `cap` rows is one group. A larger one is cut by a hash of `by` into parts of about `cap` rows; each two
+    parts, and each part alone, make a group. Adds part, other (the group, with the keys) and inside (the row belongs
+    to `part`; else to `other`). In a group with part = other all rows are inside.
+    """
+    large = rows.groupBy(*keys).count().filter(F.col("count") > cap)
+    large = ws.save(large.select(*keys, F.ceil(F.col("count") / cap).cast("int").alias("parts")), "large-groups")
+    if large.isEmpty():
+        return rows.withColumns({"part": F.lit(0), "other": F.lit(0), "inside": F.lit(True)})
+    # At most rows / cap keys are large, each with one row here.
+    parts = F.coalesce("parts", F.lit(1))
+    placed = rows.join(large, keys, "left").withColumn("mine", F.pmod(F.xxhash64(by), parts).cast("int"))
+    places = F.concat(
+        F.transform(F.sequence(F.col("mine"), parts - 1), lambda p: F.struct(p.alias("part"), F.col("mine").alias("other"), (p == F.col("mine")).alias("inside"))),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("mine")), lambda o: o < F.col("mine")), lambda o: F.struct(F.col("mine").alias("part"), o.alias("other"), F.lit(True).alias("inside"))),
+    )
+    return placed.withColumn("place", F.explode(places)).select(*rows.columns, "place.part", "place.other", "place.inside")
+
+
+def sorted_groups(batches, n_keys: int):
+    """Groups of at least two rows, as lists of numpy columns, from Arrow batches sorted by their first n_keys columns."""
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        start = _starts(columns[:n_keys])
+        yield from _groups(columns, start[:-1])
+        held = [c[start[-2] if len(start) > 1 else 0 :] for c in columns]  # the last group may go on in the next batch
+    if held is not None:
+        yield from _groups(held, _starts(held[:n_keys]))
+
+
+def _starts(keys):
+    import numpy as np
+
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    if n:
+        new[0] = True
+    return [*np.flatnonzero(new).tolist(), n]
+
+
+def _groups(columns, start):
+    for a, b in zip(start, start[1:], strict=False):
+        if b - a > 1:
+            yield [c[a:b] for c in columns]

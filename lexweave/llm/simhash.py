@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Workspace, ship
+from .shared import Workspace, meet_in_parts, ship, sorted_groups
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -132,49 +132,18 @@ def link_stars(ws: Workspace, distinct: DataFrame, radius: int, keys: int = 2, t
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     assert len(masks) == comb(blocks, keys)
     shards = distinct.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "key"))
-    # Only shards of over tree_rows members: at most that share of all rows, and few in practice.
-    large = shards.groupBy("t", "key").count().filter(F.col("count") > tree_rows)
-    large = ws.save(large.select("t", "key", F.ceil(F.col("count") / tree_rows).cast("int").alias("parts")), "large-shards")
-    placed = shards
-    if not large.isEmpty():
-        placed = shards.join(large, ["t", "key"], "left")
-    else:
-        placed = shards.withColumn("parts", F.lit(None).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce(F.col("parts"), F.lit(1)))
-    placed = placed.withColumn("mine", mine).select("fp", "rep", "t", "key", "mine", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("tree"), F.coalesce(F.col("parts"), F.lit(1)).alias("parts"))
-    # Each pair of parts meets once: a member searches the trees of its own part and of those after it.
-    placed = placed.filter("mine <= tree")
-    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    groups = placed.select("t", "key", "tree", "mine", "parts", "fp", "rep").withColumn("asker", F.when(F.col("parts") > 1, F.col("mine")).otherwise(0))
-    own = groups.filter("parts > 1 and mine = tree")
-    askers = own.select("t", "key", "tree", "mine", "fp", "rep", F.explode(F.sequence(F.lit(0), F.col("tree"))).alias("asker")).filter("asker <> tree")
-    rows = groups.select("t", "key", "tree", "asker", (F.col("mine") == F.col("tree")).alias("inside"), "fp", "rep")
-    rows = rows.unionByName(askers.select("t", "key", "tree", F.col("asker").cast("long").alias("asker"), F.lit(True).alias("inside"), "fp", "rep")) if not large.isEmpty() else rows
-    rows = rows.repartition(n, "t", "key", "tree", "asker").sortWithinPartitions("t", "key", "tree", "asker")
+    rows = meet_in_parts(ws, shards, ["t", "key"], "fp", tree_rows).select("t", "key", "part", "other", "inside", "fp", "rep")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "t", "key", "part", "other").sortWithinPartitions("t", "key", "part", "other")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def take(columns: list[np.ndarray], last: bool) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-            t, key, tree, asker, inside, fp, rep = columns
-            if not len(t):
-                return [], columns
-            new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (tree[1:] != tree[:-1]) | (asker[1:] != asker[:-1])]
-            start = np.r_[np.flatnonzero(new), len(t)]
-            ends = len(start) - 1 if last else len(start) - 2  # the last group may go on in the next batch
-            out: list[tuple[int, int]] = []
-            for g in np.flatnonzero(np.diff(start[: ends + 1]) > 1).tolist():
-                a, b = start[g], start[g + 1]
-                out += _stars(fp[a:b].view(np.uint64).tolist(), rep[a:b].tolist(), inside[a:b].tolist(), radius)
-            return out, [c[start[ends] :] for c in columns]
-
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
-            out, held = take(columns, False)
-            yield _edges(out)
-        if held:
-            yield _edges(take(held, True)[0])
+        out: list[tuple[int, int]] = []
+        for _, _, _, _, inside, fp, rep in sorted_groups(batches, 4):
+            out += _stars(fp.view(np.uint64).tolist(), rep.tolist(), inside.tolist(), radius)
+            if len(out) > 10000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
 
     ship(distinct.sparkSession)
     return rows.mapInArrow(work, "a long, b long")
