@@ -31,28 +31,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+FIND_WORDS = regex.compile(WORD).findall
+
+
+def lowered(text: str | None) -> str:
+    """A-Z lower-cased, other letters as they are."""
+    text = text or ""
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the unsigned 64-bit hashes have each bit, from the highest; of (n, words) for all words in a row."""
+    rows = hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1)
+    out = np.zeros(8 * rows.shape[1], np.int64)
+    for i in range(0, len(rows), 255):  # so that counts fit a byte, which sums fastest
+        out += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1), axis=0, dtype=np.uint8)
+    return out
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit b is 1 if it is set in over half of the unsigned 64-bit hashes; of none: 0."""
-    n = len(hashes)
-    if not n:
+    if not len(hashes):
         return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * bit_counts(hashes) > len(hashes)).tobytes(), "big")
 
 
-def text_fingerprint(text: str | None, shingle: int, seed: int, words=regex.compile(WORD).findall) -> int:
+def text_fingerprint(text: str | None, shingle: int, seed: int) -> int:
     """Of the XXH64 of each run of `shingle` words (fewer words: all of them; none: 0), A-Z lower-cased."""
-    text = text or ""
-    found = words(text.lower() if text.isascii() else text.translate(LOWER))
+    found = FIND_WORDS(lowered(text))
     if not found:
         return 0
-    if len(found) <= shingle:
-        grams = [" ".join(found)]
-    else:
-        grams = map(" ".join, zip(*[found[i:] for i in range(shingle)], strict=False))
+    grams = [" ".join(found)] if len(found) <= shingle else map(" ".join, zip(*[found[i:] for i in range(shingle)], strict=False))
     digest = xxhash.xxh64_intdigest
     return fingerprint(np.fromiter((digest(g, seed) for g in grams), np.uint64))
 
