@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, as a changelog in the checkpoint folder; no space set aside for the many small stores of a wide exchange.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows that hits are looked up by are broadcast up to this size; beyond it they are found by a grouping of all texts.
 BROADCAST_BYTES, BYTES_A_HIT = 8 << 20, 120
 
@@ -44,13 +49,15 @@ def run_stream(ws: Workspace, rows: DataFrame, max_bytes_per_trigger: int = 64 <
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{updates}/at={number}")
 
-    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         stream = keep_state(source).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ws.path("stream")).trigger(availableNow=True).start()
         stream.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, keep struct<id: bigint, locator: bigint>, n bigint, batch int, at int"
     state = spark.read.schema(schema).option("basePath", updates).parquet(f"{updates}/at=*") if stream.lastProgress and _wrote(spark, updates) else spark.createDataFrame([], schema)
     if _batches(spark, updates) > 1:
