@@ -36,12 +36,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(x: np.ndarray, tables: int, rotations: int, probes: int, seed: int) -> np.ndarray:
-    """Bucket numbers, int64 of shape (rows, tables, probes ** rotations), for unit rows."""
+    """Bucket numbers of shape (rows, tables, probes ** rotations), for unit rows."""
     n, d = x.shape
     wide = 1 << max(1, (d - 1).bit_length())
     if wide != d:
         x = np.hstack((x, np.zeros((n, wide - d))))
-    out = np.empty((n, tables, probes**rotations), np.int64)
+    out = np.empty((n, tables, probes**rotations), np.int32 if (2 * wide) ** rotations < 1 << 31 else np.int64)
     for t in range(tables):
         axes = []
         for r in range(rotations):
@@ -60,7 +60,8 @@ def signatures(x: np.ndarray, tables: int, rotations: int, probes: int, seed: in
 
 
 def _prepare(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """id, label, key (digest of the vector; null if it links with nothing), vec (its doubles)."""
+    """id, label, key (digest of the vector; null if it links with nothing), vec (its components as they came)."""
+    floats = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,15 +70,16 @@ def _prepare(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
             for label, v in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 x = None if label is None or not v.is_valid or v.values.null_count else np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) + 0.0
                 good = x is not None and len(x) and np.isfinite(x).all() and x.any()
-                vecs.append(x.tobytes() if good else None)
+                vecs.append(x.astype(floats).tobytes() if good else None)
                 keys.append(hashlib.sha256(vecs[-1]).digest() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["id", "label", "key", "vec"])
 
     return slim.mapInArrow(work, "id long, label string, key binary, vec binary")
 
 
-def _unit(vecs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+def _unit(vecs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Doubles, scaled row by row; their lengths; rows of length 1. width: bytes of a component."""
+    x = np.frombuffer(b"".join(vecs), f"f{width}").reshape(len(vecs), -1).astype(np.float64)
     scale = np.abs(x).max(axis=1)[:, None]  # so that squares of tiny or huge numbers stay finite
     y = x / scale
     norm = np.sqrt((y * y).sum(axis=1))
@@ -100,7 +102,7 @@ def embedding_groups(
     rows = ws.save(_prepare(vectors, id_col, vector_col, label_col), "rows")
     reps = rows.filter("key is not null").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec"))
     reps = ws.save(reps.withColumn("rid", F.monotonically_increasing_id()), "distinct")
-    per_table = probes**rotations
+    per_table, width = probes**rotations, 4 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else 8
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +112,7 @@ def embedding_groups(
                 for i in range(0, part.num_rows, 4096):
                     some = part.slice(i, 4096)
                     n = some.num_rows
-                    sig = signatures(_unit(some.column(3).to_pylist())[2], tables, rotations, probes, seed)
+                    sig = signatures(_unit(some.column(3).to_pylist(), width)[2], tables, rotations, probes, seed)
                     own = pa.array([s.tobytes() for s in sig], pa.binary())
                     for t in range(tables):
                         for p in range(per_table):
@@ -126,7 +128,7 @@ def embedding_groups(
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, bucket, part, other, inside, rid, m, vec, sig in sorted_groups(batches, 4):
             _, table, code = np.frombuffer(bucket[0], np.int64)
-            y, norm, _ = _unit(vec.tolist())
+            y, norm, _ = _unit(vec.tolist(), width)
             mine = np.flatnonzero(inside.astype(bool))
             rest = mine if part[0] == other[0] else np.flatnonzero(~inside.astype(bool))
             cosine = (y[mine] @ y[rest].T) / (norm[mine][:, None] * norm[rest][None, :])
@@ -136,14 +138,15 @@ def embedding_groups(
                 a, b = a[a < b], b[a < b]
             if not len(a):
                 continue
-            s = np.frombuffer(b"".join(sig.tolist()), np.int64).reshape(len(rid), tables, per_table)
+            packed = b"".join(sig.tolist())
+            s = np.frombuffer(packed, f"i{len(packed) // (len(rid) * tables * per_table)}").reshape(len(rid), tables, per_table)
             first = np.ones(len(a), bool)
             for t in range(table + 1):
                 same = s[a, t][:, :, None] == s[b, t][:, None, :]
                 if t < table:
                     first &= ~same.any(axis=(1, 2))
                 else:
-                    first &= np.where(same, s[a, t][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2)) == code
+                    first &= np.where(same, s[a, t][:, :, None], np.iinfo(s.dtype).max).min(axis=(1, 2)) == code
             a, b = a[first], b[first]
             if not len(a):
                 continue
