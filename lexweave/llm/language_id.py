@@ -49,7 +49,7 @@ def grams(texts: list[str | None], orders: int, bits: int) -> tuple[list[tuple[n
     return found, np.bincount(owner[letter], minlength=len(low)) > 0
 
 
-def parts(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def parts(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters together, at least one text each."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -70,10 +70,14 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once an application."""
+    """Send this package to the executors' Python workers, once an application, and bound the batches they get."""
     import os
     import shutil
 
+    # Rows of texts reach Python in batches of at most this size, however long the texts are.
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, "8m")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
