@@ -56,7 +56,7 @@ def wide_fingerprint(hashes: np.ndarray, bands: int) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 64, tree_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 64, tree_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, component_id: for ids whose text is near that of another id, the smallest id of their group.
 
     Texts are near when the Jaccard similarity of their sets of shingles reaches `similarity` (exactly), or they have no word.

@@ -99,14 +99,14 @@ def meet_in_parts(ws: Workspace, rows: DataFrame, keys: list[str], by: str, cap:
     large = ws.save(large.select(*keys, F.ceil(F.col("count") / cap).cast("int").alias("parts")), "large-groups")
     if large.isEmpty():
         return rows.withColumns({"part": F.lit(0), "other": F.lit(0), "inside": F.lit(True)})
-    # At most rows / cap keys are large, each with one row here.
-    parts = F.coalesce("parts", F.lit(1))
-    placed = rows.join(large, keys, "left").withColumn("mine", F.pmod(F.xxhash64(by), parts).cast("int"))
+    # At most rows / cap keys are large, each with one row here. Only their rows are dealt to several groups.
+    rest = rows.join(large, keys, "left_anti").withColumns({"part": F.lit(0), "other": F.lit(0), "inside": F.lit(True)})
+    placed = rows.join(large, keys).withColumn("mine", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
     places = F.concat(
-        F.transform(F.sequence(F.col("mine"), parts - 1), lambda p: F.struct(p.alias("part"), F.col("mine").alias("other"), (p == F.col("mine")).alias("inside"))),
+        F.transform(F.sequence(F.col("mine"), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("mine").alias("other"), (p == F.col("mine")).alias("inside"))),
         F.transform(F.filter(F.sequence(F.lit(0), F.col("mine")), lambda o: o < F.col("mine")), lambda o: F.struct(F.col("mine").alias("part"), o.alias("other"), F.lit(True).alias("inside"))),
     )
-    return placed.withColumn("place", F.explode(places)).select(*rows.columns, "place.part", "place.other", "place.inside")
+    return placed.withColumn("place", F.explode(places)).select(*rows.columns, "place.part", "place.other", "place.inside").unionByName(rest)
 
 
 def sorted_groups(batches, n_keys: int):
