@@ -1,6 +1,382 @@
-"""Registered queries over the reference-shaped operators, with the SQL that gives the same rows."""
+"""Registered queries over the engine's operators, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexweave.functions import text as X
+from lexweave.operators import artifacts, chunking, evaluation, rendering, tasks, translate
+from lexweave.operators import glossary as G
+from lexweave.streaming import ordered
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+#: A small glossary over the invented languages of the test data.
+TERMS = [(0, "tion", "行动 (tion)"), (1, "heit", "自由"), (2, "ment", "时刻 (ment)"), (3, "eau", "水"), (4, "the and", "与"), (5, "ción", "译文"), (6, "Thering", "环 (x)"), (7, "zzz", "无")]
+TERMS_SQL = "(VALUES " + ", ".join(f"({p}, '{t}', '{r}')" for p, t, r in TERMS) + ") g(pos, term, rendering)"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TERMS, "pos int, term string, rendering string")
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and their stub translation."""
+    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("original"), F.concat(F.lit("译文："), "text").alias("translation"))
+
+
+# --- glossary and quality -------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT lang, term, count(*) AS docs FROM documents, {TERMS_SQL}
+WHERE contains(lower(text), lower(term)) GROUP BY lang, term""")
+def glossary_match(spark, sf):
+    found = G.matches(table(spark, sf, "documents").select("lang", "text"), terms(spark))
+    return found.groupBy("lang", "term").agg(F.count("*").alias("docs"))
+
+
+ADHERENCE = f"""SELECT *, contains(t, rendering) OR (trim(split_part(rendering, ' (', 1)) <> '' AND contains(t, trim(split_part(rendering, ' (', 1)))) AS kept FROM (
+SELECT doc_id, lang, '译文：' || text AS t, pos, term, rendering, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, pos) AS nth
+FROM documents, {TERMS_SQL} WHERE contains(lower(text), lower(term))) WHERE nth <= 3"""
+
+
+@query(f"SELECT doc_id, nth, term, kept FROM ({ADHERENCE})")
+def glossary_adherence(spark, sf):
+    return G.adherence(pairs(spark, sf), terms(spark), "doc_id", 3).select("doc_id", F.col("nth").cast("long").alias("nth"), "term", "kept")
+
+
+SPAN = "[A-Za-z]+(?:[ \\t\\n\\r\\f\\v]+[A-Za-z]+){11,}"
+
+
+@query(f"SELECT doc_id, substr(regexp_extract(text, '{SPAN}'), 1, 80) AS span FROM documents WHERE regexp_matches(text, '{SPAN}')")
+def untranslated_spans(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.substring(X.untranslated_span(F.col("text")), 1, 80).alias("span")).filter("span <> ''")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS issues
+FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0""")
+def markdown_parity(spark, sf):
+    """Documents under a heading with an image, against copies that have lost the one or the other."""
+    body = F.concat(F.lit("# T\n\n![x](a.png)\n\n"), "text")
+    cut = F.when(F.col("doc_id") % 3 == 0, F.replace(body, F.lit("# T\n"), F.lit("T\n"))).otherwise(body)
+    cut = F.when(F.col("doc_id") % 2 == 0, F.replace(cut, F.lit("![x](a.png)"), F.lit(""))).otherwise(cut)
+    return table(spark, sf, "documents").select("doc_id", F.size(X.markdown_issues(body, cut)).alias("issues")).filter("issues > 0")
+
+
+@query()
+def repetition_flags(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.repetition_issue(F.col("text")).isNotNull().alias("repeats")).filter("repeats")
+
+
+@query(f"""WITH a AS ({ADHERENCE}), m AS (SELECT doc_id, count(*) AS n FROM a WHERE NOT kept GROUP BY doc_id),
+q AS (SELECT lang, CASE WHEN regexp_matches(text, '{SPAN}') THEN 1 ELSE 0 END AS u, coalesce(n, 0) AS n FROM documents LEFT JOIN m USING (doc_id))
+SELECT lang, count(*) AS docs, CAST(sum(u) AS BIGINT) AS untranslated, CAST(sum(n) AS BIGINT) AS terminology FROM q GROUP BY lang""")
+def qa_report_by_lang(spark, sf):
+    """Minimum slice: scan, theta join, ranked checks, validators and counts of issues by language."""
+    docs = pairs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    reports = G.quality_reports(docs, terms(spark), "doc_id", max_checks=3)
+    of = lambda kind: F.sum(F.size(F.filter("issues", lambda i: i["kind"] == kind))).cast("long").alias(kind)
+    return reports.groupBy("lang").agg(F.count("*").alias("docs"), of("untranslated"), of("terminology"))
+
+
+# --- chunking -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, 'chunk-0000-' || substr(sha1('0||' || t), 1, 12) AS chunk_id, 'Document Root' AS section_title, length(t) AS chars
+FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM documents WHERE length(text) <= 3600) WHERE t <> ''""")
+def single_block_chunks(spark, sf):
+    docs = table(spark, sf, "documents").filter(F.char_length("text") <= 3600)
+    return chunking.chunks_of(docs).select("doc_id", "chunk_id", "section_title", F.char_length("text").cast("long").alias("chars"))
+
+
+@query()
+def oversized_chunks(spark, sf):
+    docs = table(spark, sf, "documents").filter(F.char_length("text") > 3600)
+    return chunking.chunks_of(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.char_length("text")).alias("longest"))
+
+
+def books(spark, sf) -> DataFrame:
+    """A book a source: a heading, then by language a heading and paragraphs."""
+    docs = table(spark, sf, "documents").groupBy("source", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"]), "\n\n").alias("body"))
+    part = F.concat(F.lit("## "), "lang", F.lit("\n\n"), "body")
+    return docs.select("source", "lang", part.alias("part")).groupBy("source").agg(F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "part"))), lambda p: p["part"]), "\n\n")).alias("text"))
+
+
+@query()
+def book_chunks(spark, sf):
+    chunks = chunking.chunks_of(books(spark, sf), id_col="source")
+    return chunks.groupBy("source", "section_title").agg(F.count("*").alias("chunks"), F.max(F.char_length("text")).alias("longest"))
+
+
+@query("""SELECT conv_id, turn, concat_ws(chr(10) || chr(10), '当前章节: ' || role,
+  CASE WHEN lag(role) OVER w <> role THEN '上一块章节: ' || lag(role) OVER w END,
+  CASE WHEN lag(text) OVER w <> '' THEN '上一块末尾:' || chr(10) || right(lag(text) OVER w, 40) END) AS context
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def chunk_context(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), "text", F.array("role").alias("section_path"), F.col("role").alias("section_title"))
+    return chunking.with_context(turns, 40, "conv_id").select("conv_id", F.col("idx").alias("turn"), F.col("context_text").alias("context"))
+
+
+@query("""SELECT doc_id, nth, sum(CASE WHEN line LIKE '%.%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nth) % 2 = 1 AS open
+FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS nth FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
+def fence_parity(spark, sf):
+    """Running parity of marked lines, as of code fences."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    w = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.select("doc_id", F.col("nth").cast("long").alias("nth"), (F.sum(F.col("line").contains(".").cast("int")).over(w) % 2 == 1).alias("open"))
+
+
+# --- cache and cleaning ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH r AS (SELECT doc_id, string_agg(term || ':' || rendering, chr(10) ORDER BY term, rendering) AS lines FROM documents, {TERMS_SQL}
+WHERE contains(lower(text), lower(term)) GROUP BY doc_id)
+SELECT doc_id, sha1('v4|p|stub|' || doc_id || '|' || substr(sha1(lang || '|||'), 1, 12) || '|' || coalesce(lines, '')) AS cache_key FROM documents LEFT JOIN r USING (doc_id)""")
+def cache_key(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = G.matches(docs.select("doc_id", "text"), terms(spark)).groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("term", "rendering")).alias("found"))
+    none = F.array().cast("array<string>")
+    profile = X.profile_fingerprint(F.col("lang"), none, none, none)
+    return docs.join(found, F.col("doc_id") == F.col("d"), "left").select("doc_id", X.cache_key("v4", "p", "stub", F.col("doc_id").cast("string"), profile, F.col("found")).alias("cache_key"))
+
+
+@query("SELECT doc_id % 3 = 0 AS cached, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def cache_hit_split(spark, sf):
+    chunks = table(spark, sf, "documents").withColumn("cache_key", F.sha1(F.col("doc_id").cast("string").cast("binary"))).select("doc_id", "cache_key", "text")
+    cache = chunks.filter("doc_id % 3 = 0").select("cache_key", F.col("text").alias("cached_translation"))
+    hits, misses = rendering.cache_split(chunks, cache)
+    both = hits.select("cached", F.col("cached_translation").alias("t")).unionByName(misses.select(F.lit(False).alias("cached"), F.col("text").alias("t")))
+    return both.groupBy("cached").agg(F.count("*").alias("chunks"), F.sum(F.char_length("t")).cast("long").alias("chars"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 2 DESC) AS n,
+count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS same FROM orders) WHERE n = 1 AND same = 1""")
+def cache_upsert(spark, sf):
+    """The latest row of a key wins (orders of a customer as a cache's writes)."""
+    orders = table(spark, sf, "orders").withColumn("same", F.count("*").over(Window.partitionBy("o_custkey", "o_orderdate")))
+    merged = tasks.merge_latest(orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1"), "o_custkey", "o_orderdate")
+    return merged.filter("same = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT doc_id, 'Text of ' || doc_id || ' in ' || lang AS cleaned FROM documents")
+def clean_boilerplate(spark, sf):
+    said = F.concat(F.lit("Here is the translation: "), F.lit("Text of "), F.col("doc_id").cast("string"), F.lit("（注：无关说明） in "), "lang", F.lit(" (注：x)【修正后的译文】：\n```"))
+    return table(spark, sf, "documents").select("doc_id", X.clean_output(said).alias("cleaned"))
+
+
+@query()
+def collapse_loops(spark, sf):
+    looped = F.concat(F.repeat(F.lit("循环"), 12), F.repeat(F.lit("the same phrase "), 20), F.lit("结束。。。。。。"))
+    return table(spark, sf, "documents").select("doc_id", X.clean_output(looped).alias("cleaned"))
+
+
+@query()
+def repair_loop(spark, sf):
+    """Documents through the stub model, with one round of repair."""
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.lit("Document Root").alias("section_title"), F.lit("").alias("context_text"))
+    done = translate.translate_chunks(chunks, terms(spark).withColumn("pos", F.col("pos").cast("int")))
+    return done.groupBy("success", "repaired", "passed").agg(F.count("*").alias("chunks"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CAST(least(5, greatest(1, quality * 9)) AS DOUBLE) AS accuracy, CAST(least(5, greatest(1, toxic * 4)) AS DOUBLE) AS fluency, 3.0::DOUBLE AS terminology, 'r' || doc_id AS rationale FROM labels""")
+def judge_scores(spark, sf):
+    raw = F.concat(F.lit("```json {\"accuracy\": "), (F.col("quality") * 9).cast("string"), F.lit(", \"fluency\": \""), (F.col("toxic") * 4).cast("string"), F.lit("\", \"rationale\": \"r"), F.col("doc_id").cast("string"), F.lit("\"} ```"))
+    return table(spark, sf, "labels").select("doc_id", raw.alias("raw")).select("doc_id", *[X.score(F.col("raw"), n).alias(n) for n in ("accuracy", "fluency", "terminology")], X.rationale(F.col("raw")).alias("rationale"))
+
+
+@query("""SELECT source AS variant, count(*) AS n, round(avg(quality * 4 + 1), 3) AS mean_accuracy, round(avg(5 - toxic), 3) AS mean_fluency, round(avg(3.0), 3)::DOUBLE AS mean_terminology,
+round(avg(round((quality * 4 + 1 + 5 - toxic + 3.0::DOUBLE) / 3, 3)), 3) AS mean_overall, round(avg(n_chars / 8.0::DOUBLE), 3) AS mean_latency_s, CAST(sum(n_chars) AS BIGINT) AS tokens
+FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def variant_aggregate(spark, sf):
+    runs = table(spark, sf, "documents").select(F.col("source").alias("variant"), F.col("doc_id").alias("sample_id"), F.col("n_chars").alias("total_tokens"), (F.col("n_chars") / 8.0).alias("latency_s"))
+    verdicts = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("quality") * 4.0 + 1).alias("accuracy"), (5.0 - F.col("toxic")).alias("fluency"), F.lit(3.0).alias("terminology"))
+    return evaluation.variant_aggregate(runs, verdicts)
+
+
+@query("""SELECT c AS comparison, v AS variant, count(*) AS samples FROM labels, (VALUES ('engine', 'graph'), ('engine', 'native'), ('roles', 'on'), ('roles', 'off'), ('glossary', 'on'), ('glossary', 'off')) m(c, v) GROUP BY c, v""")
+def variant_matrix(spark, sf):
+    matrix = spark.createDataFrame([("engine", "graph"), ("engine", "native"), ("roles", "on"), ("roles", "off"), ("glossary", "on"), ("glossary", "off")], "comparison string, variant string")
+    return table(spark, sf, "labels").select("doc_id").crossJoin(matrix).groupBy("comparison", "variant").agg(F.count("*").alias("samples"))
+
+
+def segments(spark, sf) -> DataFrame:
+    """A user's turn and the assistant's answer to it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("r2"), F.lead("text").over(w).alias("t2"))
+    return c.filter("role = 'user' AND r2 = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seg"), F.col("text").alias("source"), F.concat(F.lit("译文："), "t2").alias("translation"))
+
+
+STOP = ", ".join(f"'{s}'" for s in evaluation.STOPWORDS)
+GRAMS_SQL = f"""seg AS (SELECT conv_id * 1000 + turn AS seg, text FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2 FROM conversations) WHERE role = 'user' AND r2 = 'assistant'),
+sent AS (SELECT seg, unnest(regexp_split_to_array(text, '[.!?;:\\n]+')) AS s FROM seg),
+tok AS (SELECT seg, list_transform(regexp_extract_all(s, '[A-Za-z][A-Za-z''\\-]*'), lambda x: lower(x)) AS w FROM sent),
+ng AS (SELECT seg, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: w[i:i + n - 1])) AS g FROM tok, (VALUES (2), (3), (4)) v(n)),
+df AS (SELECT array_to_string(g, ' ') AS phrase, count(DISTINCT seg) AS occurrences, string_agg(DISTINCT seg, ',' ORDER BY seg) AS k FROM ng WHERE g[1] NOT IN ({STOP}) AND g[-1] NOT IN ({STOP}) GROUP BY 1)"""
+
+
+@query(f"WITH {GRAMS_SQL} SELECT phrase, occurrences FROM df")
+def ngram_df(spark, sf):
+    return evaluation.phrase_segments(segments(spark, sf)).groupBy("phrase").agg(F.count("*").alias("occurrences"))
+
+
+@query(f"""WITH {GRAMS_SQL}, c AS (SELECT * FROM df WHERE occurrences >= 2 AND NOT EXISTS (SELECT 1 FROM {TERMS_SQL} WHERE contains(lower(term), phrase) OR contains(phrase, lower(term))))
+SELECT phrase, occurrences FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.k = c.k AND length(d.phrase) > length(c.phrase) AND contains(d.phrase, c.phrase))""")
+def repeated_phrases(spark, sf):
+    return evaluation.repeated_phrases(segments(spark, sf), terms(spark)).select("phrase", F.size("segs").cast("long").alias("occurrences"))
+
+
+@query()
+def consistency_summary(spark, sf):
+    return evaluation.consistency_summary(evaluation.phrase_consistency(segments(spark, sf).withColumn("translation", F.substring("translation", 1, 400)), terms(spark)))
+
+
+@query("SELECT * FROM (VALUES (0, 'Gradient Descent', '梯度下降'), (3, 'Backpropagation', '反向传播')) v(pos, term, translation)")
+def candidate_parse(spark, sf):
+    raw = 'x {"terms":[{"term":"Gradient Descent","translation":"梯度下降"},{"term":"gradient descent","translation":"x"},{"term":"Old","translation":"旧"},{"term":"Backpropagation","translation":"反向传播"},{"term":"","translation":"空"}]} y'
+    parsed = spark.range(1).select(F.from_json(X.json_object(F.lit(raw)), "terms array<struct<term:string,translation:string>>").alias("j"))
+    rows = parsed.select(F.posexplode("j.terms").alias("pos", "t")).select("pos", "t.term", "t.translation")
+    return G.first_by_case(rows, spark.range(1).select(F.lit("OLD").alias("term")))
+
+
+@query("SELECT * FROM (VALUES ('eau', '河'), ('heit', '自由'), ('new', '新')) v(term, rendering)")
+def glossary_merge(spark, sf):
+    add = spark.createDataFrame([("eau", "河"), ("new", "新")], "term string, rendering string")
+    remove = terms(spark).filter("term NOT IN ('eau', 'heit')").select("term")
+    return G.upsert_terms(terms(spark), add, remove)
+
+
+# --- tasks ----------------------------------------------------------------------------------------------------------
+
+STATUS = "CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'processing' ELSE 'completed' END"
+
+
+def order_tasks(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.expr(STATUS).alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
+
+
+NOW = F.to_timestamp(F.lit("1998-01-01 00:00:00"))
+
+
+@query(f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 5) THEN 'processing' ELSE {STATUS} END AS status FROM orders""")
+def task_claim(spark, sf):
+    return tasks.claim(order_tasks(spark, sf), NOW, 5).select("task_id", "status")
+
+
+@query(f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 900 SECOND THEN 'pending' ELSE {STATUS} END AS status FROM orders""")
+def task_requeue(spark, sf):
+    return tasks.requeue_stale(order_tasks(spark, sf), NOW).select("task_id", "status")
+
+
+@query(f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus IN ('P', 'O') THEN 'cancelled' ELSE {STATUS} END AS status, o_orderkey % 7 = 0 AND o_orderstatus IN ('P', 'O') AS changed FROM orders""")
+def task_cancel(spark, sf):
+    t = order_tasks(spark, sf)
+    return tasks.cancel(t, t.filter("task_id % 7 = 0"), NOW).select("task_id", "status", "changed")
+
+
+@query(f"SELECT o_orderkey AS task_id, {STATUS} AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def task_page(spark, sf):
+    return tasks.page(order_tasks(spark, sf), 40, 20).select("task_id", "status")
+
+
+@query("""SELECT task_id, CASE WHEN bad = 0 THEN 'completed' WHEN ok = 0 THEN 'failed' ELSE 'partial_success' END AS status, ok, bad,
+CASE WHEN bad > 0 THEN array_to_string(list_transform(f[1:10], lambda x: CAST(x AS VARCHAR)), ', ') || CASE WHEN len(f) > 10 THEN ' ...' ELSE '' END ELSE '' END AS failed_chunks
+FROM (SELECT l_orderkey AS task_id, count(*) FILTER (WHERE l_returnflag <> 'R') AS ok, count(*) FILTER (WHERE l_returnflag = 'R') AS bad,
+list(l_linenumber ORDER BY l_linenumber) FILTER (WHERE l_returnflag = 'R') AS f FROM lineitem GROUP BY l_orderkey)""")
+def task_status_rollup(spark, sf):
+    out = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("chunk_index"), (F.col("l_returnflag") != "R").alias("success"))
+    return tasks.final_status(out)
+
+
+@query("""SELECT event_id, n AS current, round(n * 100.0 / 1000, 2) AS percentage FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
+def progress_running(spark, sf):
+    events = table(spark, sf, "events").select(F.col("user_id").alias("task_id"), "event_id", "ts", F.lit(1000).alias("total"))
+    return tasks.progress(events).select("event_id", "current", F.col("percentage").cast("double").alias("percentage"))
+
+
+@query("SELECT event_type, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS prompt_tokens, CAST(sum(user_id + event_id % 100) AS BIGINT) AS total_tokens FROM events GROUP BY event_type")
+def token_usage(spark, sf):
+    calls = table(spark, sf, "events").select("event_type", F.col("user_id").alias("prompt_tokens"), F.pmod("event_id", F.lit(100)).alias("completion_tokens"), F.lit(None).cast("long").alias("total"))
+    return calls.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum(F.coalesce("total", F.col("prompt_tokens") + F.col("completion_tokens"))).alias("total_tokens"))
+
+
+# --- rendering ------------------------------------------------------------------------------------------------------
+
+TURN = "CASE WHEN turn % 5 = 4 THEN '> [翻译失败: chunk ' || turn || ']' || chr(10) || chr(10) || '```' || chr(10) || substr(text, 1, 500) || '...' || chr(10) || '```' ELSE {} END"
+
+
+def conversation_results(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"), F.col("text").alias("original"), F.concat(F.lit("译文："), "text").alias("translation"), (F.col("turn") % 5 != 4).alias("success"))
+
+
+def _render_sql(title: str, good: str) -> str:
+    return f"""SELECT conv_id AS doc, sha256('# ' || conv_id || ' - 中文翻译{title}' || chr(10) || chr(10) || '> 由 AI 自动翻译' || chr(10) || chr(10)
+|| string_agg(chr(10) || chr(10) || {TURN.format(good)} || chr(10) || chr(10), '' ORDER BY turn)) AS markdown FROM conversations GROUP BY conv_id"""
+
+
+@query(_render_sql("", "'译文：' || text"))
+def render_mono(spark, sf):
+    return rendering.render(conversation_results(spark, sf), False).select("doc", F.sha2("markdown", 256).alias("markdown"))
+
+
+@query(_render_sql("（双语对照）", "'> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || '译文：' || text || chr(10) || chr(10) || '---'"))
+def render_bilingual(spark, sf):
+    return rendering.render(conversation_results(spark, sf), True).select("doc", F.sha2("markdown", 256).alias("markdown"))
+
+
+@query()
+def bilingual_parse(spark, sf):
+    """Rendered, then read back: the pairs of every document."""
+    results = conversation_results(spark, sf).filter("success")
+    return rendering.bilingual_pairs(rendering.render(results, True)).groupBy("doc").agg(F.count("*").alias("pairs"))
+
+
+@query("""SELECT conv_id, turn, '<p><strong>' || role || '</strong> <code>x</code> &lt;b&gt; <a href="u">t</a></p>' AS html FROM conversations""")
+def markdown_to_html(spark, sf):
+    text = F.concat(F.lit("**"), "role", F.lit("** `x` <b> [t](u)"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.markdown_to_html(text).alias("html"))
+
+
+@query("""SELECT doc, idx, content FROM (SELECT user_id AS doc, CAST(event_id % 20 AS INT) AS idx, min(event_type) AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 20) AS n
+FROM events GROUP BY user_id, event_id % 20) WHERE n = idx + 1""")
+def ordered_flush(spark, sf):
+    events = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc"), F.pmod("event_id", F.lit(20)).cast("int").alias("idx")).agg(F.min("event_type").alias("content"))
+    return ordered.emitted_prefix(events)
+
+
+@query("SELECT page_id, '![a](images/' || page_id || '.png) [x] [] ' || chr(10) || chr(10) || 'z' AS fixed FROM pages")
+def path_and_bracket_fix(spark, sf):
+    raw = F.concat(F.lit("![a](/tmp/x/images/"), F.col("page_id").cast("string"), F.lit(".png) \\[x\\] [ ] \n\n\n\n"), F.lit("z   "))
+    fixed = X.unescape_brackets(X.fix_image_paths(raw))
+    return table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace(X.normalize_whitespace(fixed), "\\[\\]\\n", "[] \n")).alias("fixed"))
+
+
+@query()
+def artifact_clean(spark, sf):
+    residue = F.concat(F.lit("::: {#p.mbp_pagebreak}\n:::\n[Part]{.calibre2}\n\n[a [b]{.italic} c]{.calibre6} \n\n![PIC](x/images/00005.jpg)\n{.calibre_2}\n\n1\\) First "), F.col("page_id").cast("string"))
+    return table(spark, sf, "pages").select("page_id", artifacts.clean_artifacts(residue).alias("cleaned"))
+
+
+@query()
+def limiter_simulation(spark, sf):
+    calls = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return ordered.limiter_waits(calls, 2, 3600.0).groupBy("key").agg(F.count("*").alias("calls"), F.round(F.sum("wait"), 3).alias("waited"))
