@@ -274,23 +274,24 @@ def order_tasks(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.expr(STATUS).alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
 
 
-NOW = F.to_timestamp(F.lit("1998-01-01 00:00:00"))
+def now():
+    return F.to_timestamp(F.lit("1998-01-01 00:00:00"))
 
 
 @query(f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 5) THEN 'processing' ELSE {STATUS} END AS status FROM orders""")
 def task_claim(spark, sf):
-    return tasks.claim(order_tasks(spark, sf), NOW, 5).select("task_id", "status")
+    return tasks.claim(order_tasks(spark, sf), now(), 5).select("task_id", "status")
 
 
 @query(f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 900 SECOND THEN 'pending' ELSE {STATUS} END AS status FROM orders""")
 def task_requeue(spark, sf):
-    return tasks.requeue_stale(order_tasks(spark, sf), NOW).select("task_id", "status")
+    return tasks.requeue_stale(order_tasks(spark, sf), now()).select("task_id", "status")
 
 
 @query(f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus IN ('P', 'O') THEN 'cancelled' ELSE {STATUS} END AS status, o_orderkey % 7 = 0 AND o_orderstatus IN ('P', 'O') AS changed FROM orders""")
 def task_cancel(spark, sf):
     t = order_tasks(spark, sf)
-    return tasks.cancel(t, t.filter("task_id % 7 = 0"), NOW).select("task_id", "status", "changed")
+    return tasks.cancel(t, t.filter("task_id % 7 = 0"), now()).select("task_id", "status", "changed")
 
 
 @query(f"SELECT o_orderkey AS task_id, {STATUS} AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
