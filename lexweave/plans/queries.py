@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.operators import artifacts, chunking, evaluation, rendering, tasks, translate
+from lexweave.operators import artifacts, chunking, evaluation, markdown, rendering, tasks, translate
 from lexweave.operators import glossary as G
 from lexweave.streaming import ordered
 
@@ -381,3 +381,39 @@ def artifact_clean(spark, sf):
 def limiter_simulation(spark, sf):
     calls = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return ordered.limiter_waits(calls, 2, 3600.0).groupBy("key").agg(F.count("*").alias("calls"), F.round(F.sum("wait"), 3).alias("waited"))
+
+
+@query()
+def format_markdown(spark, sf):
+    raw = F.concat(F.lit("## Chapter {#c .x}\n\n::: quote\nQuoted "), F.col("page_id").cast("string"), F.lit("\n:::\n\n```python\nx  = 1\n```\n\n::: toc\n[S](#s)\n:::\n\n![PIC](a/images/p1.png){w=1}\n"))
+    return table(spark, sf, "pages").select("page_id", markdown.format_markdown(raw).alias("formatted"))
+
+
+@query(_render_sql("", "'译文：' || text").replace("SELECT conv_id AS doc, sha256(", "SELECT doc, sha256(rtrim(replace(replace(m, chr(10) || chr(10) || chr(10) || chr(10), chr(10) || chr(10)), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), chr(10))) AS markdown FROM (SELECT conv_id AS doc, ").replace("ORDER BY turn)) AS markdown FROM conversations GROUP BY conv_id", "ORDER BY turn) AS m FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id)"))
+def bilingual_to_mono(spark, sf):
+    """The bilingual rendering, stripped, is the monolingual one with blank runs collapsed."""
+    results = conversation_results(spark, sf).filter("success")
+    return markdown.to_monolingual(rendering.render(results, True)).select("doc", F.sha2("markdown", 256).alias("markdown"))
+
+
+@query("SELECT conv_id AS doc, count(*) AS rows FROM conversations WHERE turn % 5 <> 4 AND regexp_matches(text, '[A-Za-z]{4}') GROUP BY conv_id")
+def html_export(spark, sf):
+    results = conversation_results(spark, sf).filter("success")
+    pages = markdown.html_table(rendering.bilingual_pairs(rendering.render(results, True)), "T")
+    return pages.select("doc", F.regexp_count("html", F.lit("<tr>")).cast("long").alias("rows"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '![a](assets/1/f' || doc_id % 4 || '.png)' ELSE '![a](x/none.png)' END AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id % 4 || '.png' ELSE '' END AS assets FROM documents")
+def asset_sync(spark, sf):
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("![a](x/f"), (F.col("doc_id") % 4).cast("string"), F.lit(".png)"))).otherwise(F.lit("![a](x/none.png)"))
+    files = spark.range(4).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".png")).alias("name"), F.lit(0).alias("priority"), F.lit("/p").alias("path"))
+    out = markdown.synced_assets(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("markdown")), files, "assets/1")
+    return out.select(F.col("doc").alias("doc_id"), "markdown", F.array_join("assets", ",").alias("assets"))
+
+
+@query("SELECT doc_id, lang AS summary, CASE WHEN doc_id % 2 = 0 THEN 'a,b,c,d' ELSE '' END AS style_notes, 'f' AS fallback FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, '', '', 'f' FROM documents WHERE doc_id % 3 = 0")
+def profile_parse(spark, sf):
+    notes = F.when(F.col("doc_id") % 2 == 0, '["a ", "", "b", "c", "d", "e"]').otherwise("[]")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.lit("no object")).otherwise(F.concat(F.lit('x {"summary": " '), "lang", F.lit(' ", "style_notes": '), notes, F.lit("} y")))
+    p = table(spark, sf, "documents").select("doc_id", markdown.parse_profile(raw).alias("p"))
+    return p.select("doc_id", "p.summary", F.array_join("p.style_notes", ",").alias("style_notes"), F.lit("f").alias("fallback"))

@@ -168,3 +168,39 @@ def test_task_error_text(spark):
     got = {r.task_id: r for r in tasks.final_status(spark.createDataFrame(rows, "task_id long, chunk_index int, success boolean")).collect()}
     assert got[1].status == "partial_success" and got[1].failed_chunks == "0, 1, 2, 3, 4, 5, 6, 7, 8, 9 ..."
     assert (got[2].status, got[3].status) == ("completed", "failed")
+
+
+def test_format_markdown(spark):
+    from lexweave.operators import markdown
+
+    text = "# Chapter One {#c1 .t}\n\n::: quote\nQuoted line\n:::\n\n```python\nx  =  1\n```\n\n::: toc\n[Section](#section)\n:::\n\n![PIC](a/images/page1.png){width=3}"
+    assert markdown.format_text(text) == "# Chapter One\n\n> Quoted line\n\n```python\nx  =  1\n```\n\n## 目录\n\n- [Section](#section)\n\n![page1](images/page1.png)\n"
+    assert markdown.format_text("`[a]{.italic}` [b]{.italic}\n\n\n\n```\nopen") == "`[a]{.italic}` *b*\n\n```\nopen\n"
+
+
+def test_profile_of_garbage_is_empty(spark):
+    from lexweave.operators import markdown
+
+    got = one(spark, "[1, 2]", markdown.parse_profile)
+    assert got.summary == "" and got.style_notes == [] and got.section_overview == []
+
+
+def test_scans(spark, tmp_path):
+    from lexweave.sources import scans
+
+    (tmp_path / "a.md").write_text("# A\n\nx", encoding="utf-8")
+    row = scans.markdown_files(spark, str(tmp_path / "a.md")).first()
+    assert (row.source_type, row.text) == ("markdown", "# A\n\nx")
+    (tmp_path / "my_terms.json").write_text('{"b": "2", "a": "1"}', encoding="utf-8")
+    (tmp_path / "bad.json").write_text("{", encoding="utf-8")
+    listed = scans.glossary_listing(spark, str(tmp_path)).collect()
+    assert [(r.glossary_id, r.name, r.term_count) for r in listed] == [("my_terms", "My Terms", 2)]
+    terms = scans.glossary_terms(spark.createDataFrame([("g", '{"b": "2", "a": "1"}'), ("h", "{")], "glossary_id string, json string")).collect()
+    assert [(r.pos, r.term) for r in terms] == [(0, "b"), (1, "a")]
+    sent = spark.createDataFrame([("t", None), (None, "aGk="), ("t", "aGk="), (None, None)], "text string, content_base64 string")
+    assert [(r.accepted, r.body) for r in scans.submissions(sent).collect()] == [(True, "t"), (True, "hi"), (False, None), (False, None)]
+    (tmp_path / "set").mkdir()
+    (tmp_path / "set" / "m.json").write_text('{"samples": [{"id": "1", "kind": "k", "source_file": "a.md"}]}', encoding="utf-8")
+    assert scans.manifest(spark, str(tmp_path / "set" / "m.json")).first().source_file == "a.md"
+    with pytest.raises(Exception, match="unsupported"):
+        spark.createDataFrame([("x.doc",)], "p string").select(scans.source_type(F.col("p"))).collect()
