@@ -37,6 +37,6 @@ def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> D
 
 
 def _mark(pairs: DataFrame) -> tuple[int, int, int]:
-    """Changes when the set of pairs does: its size and two sums of hashes (as longs that may wrap)."""
+    """Changes when the set of pairs does: its size, and a xor and a sum of hashes (of 40 bits and either sign, so it stays small)."""
     x = F.xxhash64("u", "v")
     return tuple(pairs.agg(F.count("*"), F.coalesce(F.bit_xor(x), F.lit(0)), F.coalesce(F.sum(F.shiftright(x, 24)), F.lit(0))).first())

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import Workspace, ship
 
@@ -247,8 +248,9 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
         source = source.withColumn("__other", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
     else:
         # One row an id that mentions an exception; as many rows as the exceptions' mentions at most.
-        by_doc = ws.save(seen.join(other, ["kind", "canon"]).groupBy("id").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("__other")), "exceptions-by-document")
-        source = source.withColumn("__id", F.col(id_col).cast("string")).join(by_doc, F.col("__id").eqNullSafe(F.col("id")) if "id" not in kept else F.col("__id").eqNullSafe(by_doc["id"]), "left").select(*[source[c] for c in kept], "__other")
+        by_doc = seen.join(other, ["kind", "canon"]).groupBy(F.col("id").alias("__doc")).agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("__other"))
+        by_doc = ws.save(by_doc, "exceptions-by-document")
+        source = source.join(by_doc, F.col(id_col).cast("string").eqNullSafe(F.col("__doc")), "left").drop("__doc")
     at = kept.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +264,6 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*kept, "pii_kinds"])
 
-    from pyspark.sql import types as T
-
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.select(*kept).schema.fields]
     return source.mapInArrow(work, T.StructType([*fields, T.StructField("pii_kinds", T.ArrayType(T.StringType()))]))
 

@@ -387,6 +387,15 @@ def test_surrogate_clashes_are_resolved(spark):
     assert pii.replace_pii(docs, KEY).select("text").distinct().count() == len(rows)
 
 
+def test_documents_with_clashing_entities_get_other_surrogates(spark):
+    letters = "abcdefghij"
+    names = ["N" + "".join(letters[int(d)] for d in f"{i:04d}") for i in range(4000)]
+    docs = spark.createDataFrame([(i % 1000, f"Mr. {n} came", "x") for i, n in enumerate(names)], "doc_id long, text string, id string")
+    first = {pii.replace_text(f"Mr. {n} came", KEY)[0] for n in names}
+    got = pii.replace_pii(docs, KEY).toPandas()
+    assert len(first) < len(names) and got.text.nunique() == len(names) and got.columns.tolist() == ["doc_id", "text", "id", "pii_kinds"]
+
+
 def test_pii_edges(spark, edges):
     got = pii.replace_pii(edges, KEY)
     assert got.columns == [*edges.columns, "pii_kinds"] and sorted(map(str, (r.text for r in got.collect()))) == sorted(str(t) for _, t, _ in EDGES)
