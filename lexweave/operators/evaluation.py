@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ STOPWORDS = [
     "this", "that", "these", "those", "from", "into", "than", "then", "so",
 ]
 
+#: Phrases of more characters are compared in pairs within their set of segments instead of by their parts.
+WHOLE = 80
+
 
 def overall() -> Column:
     return F.round((F.col("accuracy") + F.col("fluency") + F.col("terminology")) / 3, 3)
@@ -44,53 +49,81 @@ def phrase_segments(segments: DataFrame, least: int = 2, most: int = 4) -> DataF
 
 
 def repeated_phrases(segments: DataFrame, terms: DataFrame, occurrences: int = 2) -> DataFrame:
-    """phrase, segs: phrases in at least `occurrences` segments, not covered by a term, nor by a longer phrase of the same segments."""
-    counted = phrase_segments(segments).groupBy("phrase").agg(F.array_sort(F.collect_set("seg")).alias("segs")).filter(F.size("segs") >= occurrences)
+    """phrase, occurrences: phrases in at least `occurrences` segments, not covered by a term, nor by a longer phrase of the same segments.
+
+    A set of segments is told by its size, an xor and a sum of hashes of its members, so no phrase gathers a list of them.
+    """
+    marks = [F.count("*").alias("occurrences"), F.bit_xor(F.xxhash64("seg")).alias("x"), F.sum(F.xxhash64(F.lit(1), "seg").cast("decimal(20,0)")).alias("y")]
+    counted = phrase_segments(segments).groupBy("phrase").agg(*marks).filter(F.col("occurrences") >= occurrences)
     t = terms.select(F.lower("term").alias("t")).filter("t <> ''")
-    open_ = counted.join(t, F.contains("t", F.col("phrase")) | F.contains("phrase", F.col("t")), "left_anti")
-    keyed = open_.withColumn("k", F.array_join(F.transform("segs", lambda s: s.cast("string")), ","))
-    longer = keyed.select(F.col("k").alias("k2"), F.col("phrase").alias("p2"))
-    # Equal segment sets are an equi-join key, so nested phrases need no nested loop.
-    return keyed.join(longer, (F.col("k") == F.col("k2")) & (F.char_length("p2") > F.char_length("phrase")) & F.contains("p2", F.col("phrase")), "left_anti").select("phrase", "segs")
+    free = counted.join(t, F.contains("t", F.col("phrase")) | F.contains("phrase", F.col("t")), "left_anti")
+    keys = ["occurrences", "x", "y"]
+    # A longer phrase names what it contains, so that nested phrases are found by equality and no set of segments pairs all its phrases.
+    short = F.char_length("phrase") <= WHOLE
+    size = F.char_length("phrase")
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, size), lambda j: F.substring(F.col("phrase"), i, j - i + 1))))
+    inner = free.filter(short).select(*keys, F.explode(F.filter(cuts, lambda c: F.contains(c, F.lit(" ")) & c.rlike("^[a-z]"))).alias("part"), "phrase").filter("part <> phrase").select(*keys, F.col("part").alias("phrase")).distinct()
+    longer = free.filter(~short).select(*keys, F.col("phrase").alias("q"))
+    left = free.join(inner, [*keys, "phrase"], "left_anti").alias("l")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+    left = left.join(longer.alias("r"), [*same, F.char_length("r.q") > F.char_length("l.phrase"), F.contains("r.q", F.col("l.phrase"))], "left_anti")
+    return left.select("phrase", "occurrences")
 
 
 def common_substring(a: str, b: str) -> str:
-    """The longest common substring; of several the one that ends first in a."""
-    best, end, row = 0, 0, [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                new[j] = row[j - 1] + 1
-                if new[j] > best:
-                    best, end = new[j], i
-        row = new
-    return a[end - best : end]
-
-
-def signature(translations: list[str], least: int = 2) -> str:
-    """What all translations share, folded in order; empty unless it is long enough and has a Chinese character."""
-    if not translations:
-        return ""
-    shared = translations[0]
-    for other in translations[1:]:
-        shared = common_substring(shared, other)
-        if len(shared) < least:
-            return ""
+    """The longest common substring; of several the one that ends first in a. Lengths are doubled, then halved in on."""
+
+    def first(n: int) -> int:
+        if n > min(len(a), len(b)):
+            return -1
+        seen = {hash(b[j : j + n]) for j in range(len(b) - n + 1)}
+        return next((i for i in range(len(a) - n + 1) if hash(a[i : i + n]) in seen and a[i : i + n] in b), -1)
+
+    fits, at, fails = 0, 0, 1
+    while (i := first(fails)) >= 0:
+        fits, at, fails = fails, i, fails * 2
+    while fails - fits > 1:
+        n = (fits + fails) // 2
+        if (i := first(n)) >= 0:
+            fits, at = n, i
+        else:
+            fails = n
+    return a[at : at + fits]
+
+
+def settled(shared: str, least: int = 2) -> str:
+    """A signature is long enough and has a Chinese character; else empty."""
     shared = shared.strip()
     return shared if len(shared) >= least and any("一" <= c <= "鿿" for c in shared) else ""
 
 
 def phrase_consistency(segments: DataFrame, terms: DataFrame, occurrences: int = 2, least: int = 2) -> DataFrame:
-    """segments(seg, source, translation) -> phrase, occurrences, signature, consistent."""
-    @F.pandas_udf("string")
-    def sign(translations: pd.Series) -> pd.Series:
-        return translations.map(lambda ts: signature([t["translation"] or "" for t in ts], least))
-
-    phrases = repeated_phrases(segments, terms, occurrences)
-    spread = phrases.select("phrase", F.explode("segs").alias("seg")).join(segments.select("seg", "translation"), "seg")
-    gathered = spread.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("seg", "translation"))).alias("ts"))
-    return gathered.select("phrase", F.size("ts").cast("long").alias("occurrences"), sign("ts").alias("signature")).withColumn("consistent", F.col("signature") != "")
+    """segments(seg, source, translation) -> phrase, occurrences, signature, consistent.
+
+    The signature is what all translations of a phrase share, folded in the order of segments. The fold has an order, so a phrase is one
+    stream of sorted batches; only the string shared so far is held.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrase, shared, n = None, "", 0
+        for frame in frames:
+            done = []
+            for p, text in zip(frame["phrase"], frame["translation"], strict=True):
+                if p != phrase:
+                    if n:
+                        done.append((phrase, n, settled(shared, least)))
+                    phrase, shared, n = p, text or "", 1
+                else:
+                    n += 1
+                    shared = common_substring(shared, text or "") if len(shared) >= least else ""
+            yield pd.DataFrame(done, columns=["phrase", "occurrences", "signature"])
+        if n:
+            yield pd.DataFrame([(phrase, n, settled(shared, least))], columns=["phrase", "occurrences", "signature"])
+
+    phrases = repeated_phrases(segments, terms, occurrences).select("phrase")
+    spread = phrase_segments(segments).join(phrases, "phrase").join(segments.select("seg", "translation"), "seg")
+    ordered = spread.select("phrase", "seg", "translation").repartition("phrase").sortWithinPartitions("phrase", "seg")
+    return ordered.mapInPandas(fold, "phrase string, occurrences long, signature string").withColumn("consistent", F.col("signature") != "")
 
 
 def consistency_summary(phrases: DataFrame, threshold: float = 0.9) -> DataFrame:

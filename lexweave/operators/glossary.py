@@ -1,7 +1,7 @@
 """Terminology: which terms a text has, whether their renderings were used, and glossary edits.
 
-A glossary(pos, term, rendering) is small by nature; it is broadcast by Spark's own size check, never by a hint. Terms match as
-substrings, whatever their case.
+Terms match as substrings, whatever their case. A glossary(pos, term, rendering) of up to SMALL bytes meets texts in one pass without an
+exchange of texts; a larger one meets all places in the texts by equality of what they begin with.
 """
 
 from __future__ import annotations
@@ -11,11 +11,26 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 
+#: Bytes of terms and renderings up to which a glossary is broadcast.
+SMALL = 4 << 20
 
-def matches(texts: DataFrame, glossary: DataFrame, text_col: str = "text", context_col: str | None = None) -> DataFrame:
-    """texts x the terms they contain (in the text or its context), with pos, term, rendering."""
+
+def matches(texts: DataFrame, glossary: DataFrame, text_col: str = "text", context_col: str | None = None, small: int = SMALL) -> DataFrame:
+    """texts x the terms they contain (in the text or its context), with pos, term, rendering. Empty terms are in every text."""
     hay = F.lower(F.concat_ws("\n", F.nullif(F.col(text_col), F.lit("")), *([F.nullif(F.col(context_col), F.lit(""))] if context_col else [])))
-    return texts.withColumn("__hay", hay).filter("__hay <> ''").join(glossary, F.contains("__hay", F.lower("term"))).drop("__hay")
+    rows = texts.withColumn("__hay", hay).filter("__hay <> ''")
+    inside = F.contains("__hay", F.lower("term"))
+    size, longest = glossary.agg(F.sum(F.octet_length("term") + F.octet_length("rendering")), F.max(F.char_length(F.lower("term")))).first()
+    if (size or 0) <= small:
+        return rows.join(F.broadcast(glossary), F.contains("__hay", F.lower("term"))).drop("__hay")
+    # A term is at a place where the text goes on with it: places, not texts, meet the glossary; what they find comes back by digest.
+    keyed = rows.withColumn("__key", F.sha2("__hay", 256))
+    places = F.transform(F.sequence(F.lit(1), F.char_length("__hay")), lambda i: F.substring(F.col("__hay"), i, F.lit(longest)))
+    heads = keyed.select("__key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), places))).alias("__at"))
+    pieces = heads.select("__key", "__at", F.explode(F.array_distinct(F.array(*[F.substring("__at", 1, n) for n in range(4)]))).alias("__piece"))
+    begun = glossary.withColumn("__piece", F.substring(F.lower("term"), 1, 3))
+    found = pieces.join(begun, "__piece").filter(F.startswith("__at", F.lower("term"))).select("__key", *glossary.columns).distinct()
+    return keyed.join(found, "__key").drop("__hay", "__key")
 
 
 def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: int = 12) -> DataFrame:

@@ -242,12 +242,12 @@ def ngram_df(spark, sf):
 @query(f"""WITH {GRAMS_SQL}, c AS (SELECT * FROM df WHERE occurrences >= 2 AND NOT EXISTS (SELECT 1 FROM {TERMS_SQL} WHERE contains(lower(term), phrase) OR contains(phrase, lower(term))))
 SELECT phrase, occurrences FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.k = c.k AND length(d.phrase) > length(c.phrase) AND contains(d.phrase, c.phrase))""")
 def repeated_phrases(spark, sf):
-    return evaluation.repeated_phrases(segments(spark, sf), terms(spark)).select("phrase", F.size("segs").cast("long").alias("occurrences"))
+    return evaluation.repeated_phrases(segments(spark, sf), terms(spark))
 
 
 @query()
 def consistency_summary(spark, sf):
-    return evaluation.consistency_summary(evaluation.phrase_consistency(segments(spark, sf).withColumn("translation", F.substring("translation", 1, 400)), terms(spark)))
+    return evaluation.consistency_summary(evaluation.phrase_consistency(segments(spark, sf), terms(spark)))
 
 
 @query("SELECT * FROM (VALUES (0, 'Gradient Descent', '梯度下降'), (3, 'Backpropagation', '反向传播')) v(pos, term, translation)")

@@ -101,6 +101,22 @@ def test_nested_phrases(spark):
     assert {r.phrase for r in evaluation.repeated_phrases(more, spark.createDataFrame([], "term string")).collect()} == {"deep red sea", "red sea"}
 
 
+def test_large_glossary_matches_as_a_small_one(spark):
+    texts = spark.createDataFrame([(1, "The Reward model"), (2, "aaaa"), (3, None), (4, ""), (5, "reward"), (6, "The Reward model")], "id int, text string")
+    glossary = spark.createDataFrame([(0, "reward Model", "r"), (1, "aa", "a"), (2, "", "e"), (3, "ward", "w"), (4, "d", "d")], "pos int, term string, rendering string")
+    small, large = (sorted(tuple(r) for r in G.matches(texts, glossary, small=n).select("id", "pos").collect()) for n in (1 << 20, 0))
+    assert small == large and (2, 1) in small and (1, 0) in small and len(small) == 13
+
+
+def test_common_substring_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ab中", k=rng.randrange(12))) for _ in range(2))
+        found = [(-(j - i), j) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b]
+        size, end = min(found, default=(0, 0))
+        assert evaluation.common_substring(a, b) == a[end + size : end]
+
+
 def test_common_substring_ties_end_first():
     assert evaluation.common_substring("abxcd", "cdyab") == "ab"
 
