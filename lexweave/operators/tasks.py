@@ -54,3 +54,24 @@ def progress(events: DataFrame) -> DataFrame:
     speed = F.when(F.col("elapsed") > 0, F.col("current") * 60 / F.col("elapsed")).otherwise(0.0)
     left = F.when(speed > 0, F.ceil((F.col("total") - F.col("current")) / speed))
     return out.withColumns({"percentage": F.round(F.col("current") * 100.0 / F.col("total"), 2), "speed": F.round(speed, 4), "eta_minutes": left})
+
+
+def without_cancelled(events: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Events of tasks that weren't cancelled; those of unknown tasks stay."""
+    return events.join(tasks.filter("status = 'cancelled'").select("task_id").distinct(), "task_id", "left_anti")
+
+
+def with_glossary(tasks: DataFrame, glossaries: DataFrame) -> DataFrame:
+    """tasks(glossary_id) with their glossary's entries; an empty map where it is missing or none is named."""
+    return tasks.join(glossaries.select("glossary_id", "entries"), "glossary_id", "left").withColumn("entries", F.coalesce("entries", F.create_map().cast("map<string,string>")))
+
+
+def remove(tasks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Tasks without those of ids; a task that is processing stays."""
+    gone = ids.select("task_id").distinct().withColumn("__gone", F.lit(True))
+    return tasks.join(gone, "task_id", "left").filter(~F.coalesce("__gone", F.lit(False)) | (F.col("status") == "processing")).drop("__gone")
+
+
+def counts(tasks: DataFrame) -> DataFrame:
+    """Totals of a task list: all, finished (wholly or in part), processing."""
+    return tasks.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("completed", "partial_success")).alias("finished"), F.count_if(F.col("status") == "processing").alias("processing"))

@@ -7,7 +7,7 @@ fails the task. Cached chunks are split off by a join before, so the model is no
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -69,12 +69,12 @@ def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2,
     return rows.mapInPandas(work, schema)
 
 
-def translate_chunks(chunks: DataFrame, glossary: DataFrame, model: TextModel | None = None, attempts: int = 1, retries: int = 2, pause: float = 0.0) -> DataFrame:
+def translate_chunks(chunks: DataFrame, glossary: DataFrame, model: TextModel | None = None, attempts: int = 1, retries: int = 2, pause: float = 0.0, prompt: Callable[[Column, Column, Column], Column] = prompt_text) -> DataFrame:
     """chunks(chunk_id, text, section_title, context_text) -> chunk_id, original, translation, success, retry_count, issues, passed, repaired."""
     model = model or StubModel()
     terms = G.matches(chunks.select("chunk_id", "text", "context_text"), glossary, "text", "context_text")
     terms = terms.groupBy(F.col("chunk_id").alias("t_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "rendering"))).alias("terms"))
-    rows = chunks.join(terms, F.col("chunk_id") == F.col("t_id"), "left").withColumn("prompt", prompt_text(F.col("section_title"), F.col("context_text"), F.coalesce("terms", F.array().cast("array<struct<pos:int,term:string,rendering:string>>"))))
+    rows = chunks.join(terms, F.col("chunk_id") == F.col("t_id"), "left").withColumn("prompt", prompt(F.col("section_title"), F.col("context_text"), F.coalesce("terms", F.array().cast("array<struct<pos:int,term:string,rendering:string>>"))))
     told = call_model(rows.select("chunk_id", "text", "prompt"), model, "translate", retries, pause)
     told = told.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("answer")))
     done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "prompt", F.lit(False).alias("repaired"))

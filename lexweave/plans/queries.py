@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.operators import artifacts, chunking, evaluation, markdown, rendering, tasks, translate
+from lexweave.operators import artifacts, chunking, evaluation, markdown, prompts, rendering, reporting, tasks, translate
 from lexweave.operators import glossary as G
+from lexweave.plans import document
+from lexweave.sources import scans, sinks
 from lexweave.streaming import ordered
 
 QUERIES: dict = {}
@@ -417,3 +419,119 @@ def profile_parse(spark, sf):
     raw = F.when(F.col("doc_id") % 3 == 0, F.lit("no object")).otherwise(F.concat(F.lit('x {"summary": " '), "lang", F.lit(' ", "style_notes": '), notes, F.lit("} y")))
     p = table(spark, sf, "documents").select("doc_id", markdown.parse_profile(raw).alias("p"))
     return p.select("doc_id", "p.summary", F.array_join("p.style_notes", ",").alias("style_notes"), F.lit("f").alias("fallback"))
+
+
+# --- prompts, runs and reports --------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN lang IS NULL OR doc_id % 3 = 0 THEN '无额外文档级分析。' ELSE '文档摘要: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '风格约束:' || chr(10) || '- a' || chr(10) || '- b' ELSE '' END END AS profile FROM documents""")
+def profile_prompt(spark, sf):
+    given = F.col("lang").isNotNull() & (F.col("doc_id") % 3 != 0)
+    none = F.array().cast("array<string>")
+    notes = F.when(given & (F.col("doc_id") % 2 == 0), F.array(F.lit("a"), F.lit("b"))).otherwise(none)
+    profile = F.struct(F.when(given, F.col("lang")).otherwise("").alias("summary"), notes.alias("style_notes"), none.alias("terminology_hints"), none.alias("section_overview"))
+    return table(spark, sf, "documents").select("doc_id", prompts.profile_text(profile).alias("profile"))
+
+
+@query("""SELECT conv_id, turn, sha256('S ' || coalesce(text, '') || ' T 译文：' || role || ' G ' || CASE WHEN turn % 2 = 0 THEN '（无术语表）' ELSE '- a: b' || chr(10) || '- c: d' END || ' {x}') AS prompt FROM conversations""")
+def judge_prompts(spark, sf):
+    pair = lambda a, b: F.struct(F.lit(a).alias("term"), F.lit(b).alias("rendering"))
+    known = F.when(F.col("turn") % 2 == 0, F.array().cast("array<struct<term:string,rendering:string>>")).otherwise(F.array(pair("a", "b"), pair("c", "d")))
+    asked = prompts.judge_prompt("S {source} T {translation} G {glossary} {x}", F.coalesce("text", F.lit("")), F.concat(F.lit("译文："), "role"), known)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(asked, 256).alias("prompt"))
+
+
+@query("""SELECT conv_id, string_agg(title, '|' ORDER BY idx) AS sections FROM (SELECT conv_id, title, idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS n FROM (
+SELECT conv_id, CASE WHEN turn % 4 = 0 THEN 'Document Root' ELSE role || ' > ' || turn % 3 END AS title, min(turn) AS idx FROM conversations GROUP BY 1, 2)) WHERE n <= 3 GROUP BY conv_id""")
+def section_overview(spark, sf):
+    path = F.when(F.col("turn") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("role"), (F.col("turn") % 3).cast("string")))
+    chunks = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), path.alias("section_path"), X.section_title(path).alias("section_title"))
+    return prompts.section_lists(chunks, "conv_id", 3).select("conv_id", F.array_join("sections", "|").alias("sections"))
+
+
+@query("""SELECT l_orderkey AS task_id, count(*) AS chunks, count(*) FILTER (WHERE l_returnflag <> 'R') AS completed, count(*) FILTER (WHERE l_returnflag = 'R') AS failed,
+count(*) FILTER (WHERE l_linestatus = 'F') AS repaired, count(*) FILTER (WHERE l_linenumber = 1) AS cached, round(count(*) * 60 / CAST(sum(l_linenumber) AS DOUBLE), 1) AS per_minute FROM lineitem GROUP BY l_orderkey""")
+def run_summary(spark, sf):
+    results = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_returnflag") != "R").alias("success"), (F.col("l_linestatus") == "F").alias("repaired"), (F.col("l_linenumber") == 1).alias("cached"), F.col("l_linenumber").cast("double").alias("duration"))
+    return reporting.run_summary(results, "task_id")
+
+
+@query("""SELECT event_type AS variant, user_id AS sample_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS latency_s, CAST(sum(CASE WHEN event_id % 2 = 0 THEN event_id ELSE user_id END) AS BIGINT) AS total_tokens, count(*) AS calls FROM events GROUP BY event_type, user_id""")
+def variant_measures(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    calls = table(spark, sf, "events").select(F.col("event_type").alias("variant"), F.col("user_id").alias("sample_id"), ts.alias("began"), ts.alias("ended"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("total"), F.col("user_id").alias("prompt_tokens"), F.lit(None).cast("long").alias("completion_tokens"))
+    return reporting.measures(calls)
+
+
+@query("""SELECT CAST(sum(t) AS BIGINT) AS total_tokens, CAST(sum(c) AS BIGINT) AS calls FROM (SELECT n_chars AS t, 1 AS c FROM documents UNION ALL SELECT 3, 2 FROM labels)""")
+def evaluation_cost(spark, sf):
+    return reporting.cost(table(spark, sf, "documents").select(F.col("n_chars").alias("total_tokens"), F.lit(1).alias("calls")), table(spark, sf, "labels").select(F.lit(3).alias("total_tokens"), F.lit(2).alias("calls")))
+
+
+@query("""SELECT '| ' || source || ' | ' || count(*) || ' | x | x | x | x | ' || CAST(sum(n_chars) AS BIGINT) || ' | x |' AS line FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def score_lines(spark, sf):
+    """Lines of a score table; SQL has another rounding of halves, so cells with two places are compared as x."""
+    line = reporting.variant_line(F.col("variant"))
+    return variant_aggregate(spark, sf).select(F.regexp_replace(line, "\\d+\\.\\d\\d(?= )", "x").alias("line"))
+
+
+@query(f"""WITH {GRAMS_SQL}, o AS (SELECT phrase, occurrences, occurrences % 2 = 0 AS same FROM df)
+SELECT CAST(row_number() OVER (ORDER BY occurrences DESC, phrase) - 1 AS INT) AS nth, '| ' || phrase || ' | ' || occurrences || ' | ' || CASE WHEN same THEN '✅' ELSE '❌' END || ' | ' || '—' || ' |' AS line
+FROM o QUALIFY nth < 30""")
+def consistency_report(spark, sf):
+    phrases = ngram_df(spark, sf).withColumns({"consistent": F.col("occurrences") % 2 == 0, "signature": F.lit("")})
+    return reporting.consistency_lines(phrases)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'f' || event_id || '.md' WHEN 1 THEN 'translation.md' WHEN 2 THEN 'a.b.md' ELSE '.env.md' END AS name FROM events""")
+def download_names(spark, sf):
+    e = F.col("event_id")
+    given = F.when(e % 4 == 0, F.concat(F.lit("x/f"), e.cast("string"), F.lit(".epub"))).when(e % 4 == 1, "  .pdf").when(e % 4 == 2, "a.b.pdf").otherwise(".env")
+    return table(spark, sf, "events").select("event_id", sinks.download_name(given, ".md").alias("name"))
+
+
+@query(f"""SELECT lang AS glossary_id, '{{' || chr(10) || string_agg('  ' || CAST(to_json(term) AS VARCHAR) || ': ' || CAST(to_json(rendering) AS VARCHAR), ',' || chr(10) ORDER BY pos) || chr(10) || '}}' AS json
+FROM (SELECT DISTINCT lang, pos, term, rendering FROM documents, {TERMS_SQL} WHERE lang IS NOT NULL AND contains(lower(text), lower(term))) GROUP BY lang""")
+def glossary_export(spark, sf):
+    found = G.matches(table(spark, sf, "documents").filter("lang IS NOT NULL").select(F.col("lang").alias("glossary_id"), "text"), terms(spark)).drop("text").distinct()
+    return sinks.glossary_json(found)
+
+
+@query(f"SELECT p AS pos, t AS term, r AS rendering FROM (VALUES {', '.join(f'({p}, {chr(39)}{t}{chr(39)}, {chr(39)}{r}{chr(39)})' for p, t, r in TERMS)}) v(p, t, r)")
+def glossary_read_back(spark, sf):
+    """A glossary written as JSON and read again is the same."""
+    return scans.glossary_terms(sinks.glossary_json(terms(spark).withColumn("glossary_id", F.lit("g")))).drop("glossary_id")
+
+
+@query(f"""SELECT e.event_id FROM events e WHERE e.user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus IN ('P', 'O'))""")
+def cancelled_suppressed(spark, sf):
+    t = order_tasks(spark, sf)
+    gone = tasks.cancel(t, t.filter("task_id % 7 = 0"), now())
+    return tasks.without_cancelled(table(spark, sf, "events").select(F.col("user_id").alias("task_id"), "event_id"), gone).select("event_id")
+
+
+@query(f"""SELECT count(*) AS total, count(*) FILTER (WHERE s IN ('completed', 'partial_success')) AS finished, count(*) FILTER (WHERE s = 'processing') AS processing FROM (SELECT {STATUS} AS s, o_orderkey AS k FROM orders) WHERE NOT (k % 5 = 0 AND s <> 'processing')""")
+def task_removal(spark, sf):
+    t = order_tasks(spark, sf)
+    return tasks.counts(tasks.remove(t, t.filter("task_id % 5 = 0")))
+
+
+@query("""SELECT o_orderkey AS task_id, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS terms FROM orders""")
+def task_glossary(spark, sf):
+    entries = F.from_json("json", "map<string,string>")
+    known = spark.createDataFrame([("g0", '{"a": "b", "c": "d"}'), ("g1", '{"a": "b"}'), ("g2", "bad")], "glossary_id string, json string").select("glossary_id", entries.alias("entries"))
+    t = order_tasks(spark, sf).withColumn("glossary_id", F.concat(F.lit("g"), F.pmod("task_id", F.lit(3)).cast("string")))
+    return tasks.with_glossary(t, known).select("task_id", F.size("entries").alias("terms"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '\\*')) AS emphasis, len(regexp_extract_all(html, '<!--')) AS comments, len(regexp_extract_all(html, '!\\[[^\\]]*\\]\\([^)]+\\)')) AS images FROM pages""")
+def format_counts(spark, sf):
+    c = table(spark, sf, "pages").select("page_id", reporting.format_counts(F.col("html")).alias("c"))
+    return c.select("page_id", "c.emphasis", "c.comments", "c.images")
+
+
+@query()
+def translated_documents(spark, sf):
+    """Every document planned, translated by the stub, checked, repaired and rendered."""
+    out = document.translated_documents(table(spark, sf, "documents").select("doc_id", "text"), terms(spark), bilingual=True)
+    return out.select("doc", F.char_length("markdown").alias("chars"), F.sha2("markdown", 256).alias("sha256"))

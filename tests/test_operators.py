@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.operators import artifacts, chunking, evaluation, rendering, tasks, translate
+from lexweave.operators import artifacts, chunking, evaluation, prompts, rendering, reporting, tasks, translate
 from lexweave.operators import glossary as G
+from lexweave.plans import document
+from lexweave.sources import sinks
 from lexweave.streaming import ordered
 
 
@@ -220,3 +222,64 @@ def test_scans(spark, tmp_path):
     assert scans.manifest(spark, str(tmp_path / "set" / "m.json")).first().source_file == "a.md"
     with pytest.raises(Exception, match="unsupported"):
         spark.createDataFrame([("x.doc",)], "p string").select(scans.source_type(F.col("p"))).collect()
+
+
+class Analyst:
+    def translate(self, prompt, text):
+        if "fail" in text:
+            raise ValueError("down")
+        return 'so: {"summary": " s ", "style_notes": ["a"], "terms": [{"term": "New", "translation": "新", "note": ""}, {"term": "OLD", "translation": "旧"}]}'
+
+    repair = translate
+
+
+class Echo:
+    """Answers with the prompt it got."""
+
+    def translate(self, prompt, text):
+        return prompt
+
+    def repair(self, prompt, text):
+        return prompt
+
+
+def test_whole_documents(spark):
+    """Equal documents keep apart, an empty one has no chunks, a failed analyst gives an empty profile, cached chunks don't meet the model."""
+    docs = spark.createDataFrame([(1, "# A\n\nsame old"), (2, "# A\n\nsame old"), (3, None), (4, "fail")], "doc_id int, text string")
+    known = spark.createDataFrame([(0, "old", "旧")], "pos int, term string, rendering string")
+    empty = spark.createDataFrame([], "cache_key string, cached_translation string")
+    got = {r.doc: r for r in document.translated_chunks(docs, known, Echo(), Analyst(), empty, repairs=0).collect()}
+    assert set(got) == {1, 2, 4} and all(r.success and not r.cached for r in got.values())
+    assert got[1].translation == got[2].translation and "文档摘要: s" in got[1].translation and "- old: 旧" in got[1].translation
+    assert prompts.NO_PROFILE in got[4].translation and prompts.NO_GLOSSARY in got[4].translation
+    pages = {r.doc: r.markdown for r in document.translated_documents(docs, known, True).collect()}
+    assert "> # A" in pages[1] and pages[1].replace("# 1 ", "") == pages[2].replace("# 2 ", "")
+
+
+def test_suggested_terms(spark):
+    known = spark.createDataFrame([(0, "old", "旧")], "pos int, term string, rendering string")
+    said = lambda t: [r.term for r in prompts.suggested_terms(spark.createDataFrame([(t,)], "text string"), known, Analyst()).collect()]
+    assert said("x") == ["New"] and said("fail") == []
+
+
+def test_evaluation_report(spark):
+    runs = reporting.variant_runs(spark.createDataFrame([(1, "src", "译文")], "sample_id int, source string, translation string")).withColumn("terms", F.array().cast("array<struct<term:string,rendering:string>>"))
+    verdicts = document.judged(runs.filter("ordinal = 0"), Echo(), '{"accuracy": 5, "fluency": "4.5", "rationale": "{source}"}')
+    v = verdicts.first()
+    assert (v.accuracy, v.fluency, v.terminology, v.rationale) == (5.0, 4.5, 3.0, "src")
+    measured = runs.select(F.col("variant"), "sample_id", F.lit(7).alias("total_tokens"), F.lit(0.25).alias("latency_s"))
+    scores = evaluation.variant_aggregate(measured, verdicts).withColumns({"ordinal": F.lit(0), "comparison": F.lit("engine")})
+    phrases = spark.createDataFrame([("b c", 3, "", False), ("a b", 3, "译", True)], "phrase string, occurrences long, signature string, consistent boolean")
+    text = document.report(scores, evaluation.consistency_summary(phrases), phrases, spark.createDataFrame([(7, 1)], "total_tokens long, calls long"))
+    assert "| graph | 1 | 5.00 | 4.50 | 3.00 | 4.17 | 7 | 0.25 |" in text and "rate 50.00%: build-rag" in text and text.index("| a b | 3 | ✅ | 译 |") < text.index("| b c | 3 | ❌ | — |")
+
+
+def test_template_and_names(spark):
+    assert one(spark, "head\n---\n body\n---\nx\n", prompts.template_body) == "body\n---\nx" and one(spark, "all", prompts.template_body) == "all"
+    assert [one(spark, t, sinks.download_name) for t in ("a/b.c.pdf", ".env", " .md", "")] == ["b.c", ".env", "translation", "translation"]
+    assert one(spark, 'a"\n译', sinks.json_string) == '"a\\"\\n译"'
+
+
+def test_texts_written_and_read(spark, tmp_path):
+    sinks.write_texts(spark.createDataFrame([(1, "a\nb"), (2, "c")], "doc int, markdown string"), str(tmp_path / "out"))
+    assert {r.doc: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()} == {1: "a\nb\n", 2: "c\n"}
