@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.functions import text as X
+from lexweave.tables import written
 
 from . import glossary as G
 
@@ -70,19 +71,22 @@ def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2,
 
 
 def translate_chunks(chunks: DataFrame, glossary: DataFrame, model: TextModel | None = None, attempts: int = 1, retries: int = 2, pause: float = 0.0, prompt: Callable[[Column, Column, Column], Column] = prompt_text) -> DataFrame:
-    """chunks(chunk_id, text, section_title, context_text) -> chunk_id, original, translation, success, retry_count, issues, passed, repaired."""
+    """chunks(chunk_id, text, section_title, context_text) -> chunk_id, original, translation, success, retry_count, issues, passed, repaired.
+
+    Answers are written as they come, so that no plan over them asks the model again; the call runs when this is called.
+    """
     model = model or StubModel()
     terms = G.matches(chunks.select("chunk_id", "text", "context_text"), glossary, "text", "context_text")
     terms = terms.groupBy(F.col("chunk_id").alias("t_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "rendering"))).alias("terms"))
     rows = chunks.join(terms, F.col("chunk_id") == F.col("t_id"), "left").withColumn("prompt", prompt(F.col("section_title"), F.col("context_text"), F.coalesce("terms", F.array().cast("array<struct<pos:int,term:string,rendering:string>>"))))
-    told = call_model(rows.select("chunk_id", "text", "prompt"), model, "translate", retries, pause)
+    told = written(call_model(rows.select("chunk_id", "text", "prompt"), model, "translate", retries, pause), "answers")
     told = told.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("answer")))
     done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "prompt", F.lit(False).alias("repaired"))
-    done = G.quality_reports(done, glossary, "chunk_id")
+    done = written(G.quality_reports(done, glossary, "chunk_id"), "reports") if attempts else G.quality_reports(done, glossary, "chunk_id")
     for _ in range(attempts):
         # Only rows that need it reach the model: a filter, then the call, then a union.
         need = F.col("success") & X.should_repair(F.col("issues"))
-        fixed = call_model(done.filter(need).withColumn("text", F.col("translation")).select("chunk_id", "original", "translation", "success", "retry_count", "repaired", "issues", "prompt", "text").withColumnsRenamed({"success": "was", "retry_count": "tries", "issues": "old_issues"}), model, "repair", retries, pause)
+        fixed = written(call_model(done.filter(need).withColumn("text", F.col("translation")).select("chunk_id", "original", "translation", "success", "retry_count", "repaired", "issues", "prompt", "text").withColumnsRenamed({"success": "was", "retry_count": "tries", "issues": "old_issues"}), model, "repair", retries, pause), "repairs")
         fixed = fixed.withColumn("old", F.col("translation")).withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("translation")))
         fixed = G.quality_reports(fixed, glossary, "chunk_id")
         better = F.col("success") & X.is_better(F.col("issues"), F.col("old_issues"))

@@ -1,4 +1,4 @@
-"""Whole runs: documents to rendered translations, and samples to judged variants. Plans only; nothing runs until the caller writes."""
+"""Whole runs: documents to rendered translations, and samples to judged variants. Models are called when a plan is made, and their answers written."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as X
 from lexweave.operators import chunking, evaluation, prompts, rendering, reporting, translate
 from lexweave.operators import glossary as G
+from lexweave.tables import written
 
 
 
@@ -18,7 +19,7 @@ def translated_chunks(docs: DataFrame, terms: DataFrame, model: translate.TextMo
     """
     chunks = chunking.chunks_of(docs, sizes)
     if analyst:
-        chunks = chunks.join(prompts.profiles(docs, chunks, analyst, words), "doc_id")
+        chunks = chunks.join(written(prompts.profiles(docs, chunks, analyst, words), "profiles"), "doc_id")
     else:
         chunks = chunks.withColumn("profile", F.struct(F.lit("").alias("summary"), *[F.array().cast("array<string>").alias(n) for n in ("style_notes", "terminology_hints", "section_overview")]))
     chunks = chunks.withColumns({"id": F.col("chunk_id"), "chunk_id": F.struct("doc_id", "idx")})
@@ -47,7 +48,7 @@ def translated_documents(docs: DataFrame, terms: DataFrame, bilingual: bool = Fa
 def judged(runs: DataFrame, judge: translate.TextModel, template: str) -> DataFrame:
     """runs(sample_id, source, translation, terms) -> sample_id, accuracy, fluency, terminology, rationale; an answer without JSON scores nothing."""
     asked = runs.select("sample_id", F.col("source").alias("text"), prompts.judge_prompt(template, F.col("source"), F.col("translation"), F.col("terms")).alias("prompt"))
-    told = translate.call_model(asked, judge, "translate", 0).filter(F.col("success") & X.json_object(F.col("answer")).isNotNull())
+    told = written(translate.call_model(asked, judge, "translate", 0), "verdicts").filter(F.col("success") & X.json_object(F.col("answer")).isNotNull())
     return told.select("sample_id", *[X.score(F.col("answer"), n).alias(n) for n in ("accuracy", "fluency", "terminology")], X.rationale(F.col("answer")).alias("rationale"))
 
 

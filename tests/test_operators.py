@@ -283,3 +283,26 @@ def test_template_and_names(spark):
 def test_texts_written_and_read(spark, tmp_path):
     sinks.write_texts(spark.createDataFrame([(1, "a\nb"), (2, "c")], "doc int, markdown string"), str(tmp_path / "out"))
     assert {r.doc: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()} == {1: "a\nb\n", 2: "c\n"}
+
+
+def test_model_is_asked_once(spark, tmp_path):
+    """Every chunk's answer is written, so reading the result twice doesn't call again; only what needs repair is asked again."""
+
+    class Counting:
+        def __init__(self, folder):
+            self.folder = folder
+
+        def translate(self, prompt, text):
+            import pathlib
+            import uuid
+
+            pathlib.Path(self.folder, f"{text}-{uuid.uuid4().hex}").touch()
+            return "译文"
+
+        repair = translate
+
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y old")], "chunk_id string, text string").selectExpr("*", "'S' AS section_title", "'' AS context_text")
+    known = spark.createDataFrame([(0, "old", "旧")], "pos int, term string, rendering string")
+    done = translate.translate_chunks(chunks, known, Counting(str(tmp_path)))
+    assert done.count() == 2 and {r.chunk_id: r.passed for r in done.collect()} == {"a": True, "b": False}
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["x", "y old", "译文"]
