@@ -8,6 +8,7 @@ until none clashes. Only these exceptions are sent along with the documents that
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -29,10 +30,17 @@ CARD = re.compile(r"(?<![\w.\-+])\d(?:[ \-]?\d){12,18}(?![\w\-])")
 SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|api[_\- ]?key|access[_\- ]?key|passw(?:or)?d|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-/+.]{8,}={0,2})")
-HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]{0,127}?[0-9])(?=[0-9a-fA-F]{0,127}?[a-fA-F])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])")
+HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])")
 #: Titles that come before a name, with the gender that they tell (fixed values).
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Lady": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n", "Professor": "n", "Doctor": "n", "Г-н": "m", "Господин": "m", "Г-жа": "f", "Госпожа": "f"}
-NAME = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.?[ \t]+([^\W\d_]+(?:[\-'’][^\W\d_]+)*(?:[ \t]+[^\W\d_]+(?:[\-'’][^\W\d_]+)*){{0,2}})")
+GENDER = {t.casefold(): g for t, g in TITLES.items()}
+_titles = "|".join(map(re.escape, sorted(TITLES, key=len, reverse=True)))
+#: Titles in any case, more than one in "Frau Dr. X" ("Don" after a title is a name), then up to three words.
+NAME = re.compile(rf"(?<!\w)((?i:{_titles})\.?[ \t]+(?:(?!(?i:Don)\b)(?i:{_titles})\.?[ \t]+)*)([^\W\d_]+(?:[\-'’][^\W\d_]+)*(?:[ \t]+[^\W\d_]+(?:[\-'’][^\W\d_]+)*){{0,2}})")
+POSSESSIVE = re.compile(r"['’][sS]$")
+#: A word, and words joined by hyphens or apostrophes.
+WORD = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")
+JOINED = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)(?:[\-'’][^\W\d_]++(?!\w))*+")
 SYLLABLES = {
     "LATIN": ["ba", "be", "bo", "ca", "ce", "da", "de", "do", "fa", "fe", "ga", "ha", "he", "ja", "jo", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "pa", "pe", "po", "ra", "re", "ri", "ro", "sa", "se", "si", "so", "ta", "te", "ti", "to", "va", "ve", "vi", "vo", "wa", "za"],
     "CYRILLIC": ["ба", "бо", "ва", "ве", "га", "го", "да", "де", "до", "жа", "за", "зо", "ка", "ки", "ко", "ла", "ле", "ли", "ма", "ми", "мо", "на", "не", "ни", "но", "па", "по", "ра", "ре", "ри", "ро", "са", "се", "со", "та", "ти", "то", "фа", "ша", "шо"],
@@ -153,6 +161,61 @@ def laid_out(kind: str, text: str, new: str) -> str:
 DIGIT = re.compile(r"\d")
 
 
+def titled(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each word of a name after a title: all but the last are given names, with the title's gender."""
+    found, at = [], 0
+    while m := NAME.search(text, at):
+        gender = next((g for t in m[1].split() if (g := GENDER[t.rstrip(".").casefold()]) != "n"), "n")
+        words = list(re.finditer(r"\S+", m[2]))
+        words = words[: next((i for i, w in enumerate(words) if w[0][0].islower()), len(words))]
+        # The next title may be among the words that aren't taken.
+        at = m.start(2) + words[-1].end() if words else m.end(1)
+        for i, w in enumerate(words):
+            end = m.start(2) + w.end() - (len(s[0]) if (s := POSSESSIVE.search(w[0])) else 0)
+            found.append((m.start(2) + w.start(), end, "name-" if i == len(words) - 1 else f"name-{gender}"))
+    return found
+
+
+def names(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of names after titles and of every whole-word mention, in any case, of their parts in the text.
+
+    A part that is a given name anywhere in the text is one everywhere in it. Where titles tell its gender, a mention
+    without one has that of the titled mention before it, or else of the first after it. An initial counts beside another part only.
+    """
+    shown = titled(text)
+    if not shown:
+        return []
+    parts = {text[a:b].casefold() for a, b, _ in shown}
+    given: dict[str, list[tuple[int, str]]] = {}
+    for a, b, kind in shown:
+        if kind != "name-":
+            given.setdefault(text[a:b].casefold(), []).extend([(a, kind)] if kind != "name-n" else [])
+
+    def kind_at(part: str, at: int) -> str:
+        if part not in given:
+            return "name-"
+        told = given[part]
+        return told[max(bisect.bisect_right(told, at, key=lambda x: x[0]) - 1, 0)][1] if told else "name-n"
+
+    found = {(a, b): kind if kind in ("name-m", "name-f") else kind_at(text[a:b].casefold(), a) for a, b, kind in shown}
+    starts = {a for a, _ in found}
+    longest = max(len(WORD.findall(p)) for p in parts)
+    again: list[tuple[int, int]] = []
+    for m in JOINED.finditer(text):
+        words = [w.span() for w in WORD.finditer(text, m.start(), m.end())]
+        i = 0
+        while i < len(words):
+            j = next((j for j in range(min(i + longest, len(words)), i, -1) if text[words[i][0] : words[j - 1][1]].casefold() in parts), i)
+            if j > i:
+                again.append((words[i][0], words[j - 1][1]))
+            i = max(j, i + 1)
+    for n, (a, b) in enumerate(again):
+        beside = (n and not text[again[n - 1][1] : a].strip(" \t.")) or (n + 1 < len(again) and not text[b : again[n + 1][0]].strip(" \t."))
+        if a not in starts and (b - a > 1 or beside or text[a].upper() == text[a].lower()):
+            found[a, b] = kind_at(text[a:b].casefold(), a)
+    return [(a, b, kind) for (a, b), kind in found.items()]
+
+
 def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order, not overlapping; where two overlap the earlier, then the longer one holds."""
     found: list[tuple[int, int, str]] = []
@@ -169,15 +232,9 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         add("phone", PHONE)
         add("card", CARD)
         add("ssn", SSN)
-        add("secret", HEX)
+        found.extend((m.start(), m.end(), "secret") for m in HEX.finditer(text) if not (m[0].isdecimal() or m[0].isalpha()))
         add("iban", IBAN)
-    for m in NAME.finditer(text):
-        words = list(re.finditer(r"\S+", m[2]))
-        upper = [w for w in words if w[0][0].isupper() or not (w[0][0].isupper() or w[0][0].islower())]
-        words = words[: next((i for i, w in enumerate(words) if w not in upper), len(words))]
-        for i, w in enumerate(words):
-            kind = "name-" if i == len(words) - 1 else f"name-{TITLES[m[1]]}"
-            found.append((m.start(2) + w.start(), m.start(2) + w.end(), kind))
+    found.extend(names(text))
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= end:
@@ -186,12 +243,13 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def replace_text(text: str, key: bytes, attempt: Callable[[str, str], int] = lambda kind, canon: 0) -> tuple[str, list[str]]:
-    """The text with surrogates, and the kinds that were replaced."""
+def replace_text(text: str, key: bytes, attempt: Callable[[str, str], int] = lambda kind, canon: 0, known: Callable[[str, str], str] = lambda kind, canon: kind) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds that were replaced. known: the kind that the corpus tells for a text's own."""
     parts, at, kinds = [], 0, []
     for a, b, kind in mentions(text):
         old = text[a:b]
         canon = canonical(kind, old)
+        kind = known(kind, canon)
         parts += [text[at:a], laid_out(kind, old, surrogate(kind, canon, key, attempt(kind, canon)))]
         at = b
         kinds.append(kind.split("-")[0])
@@ -240,15 +298,21 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["id", "kind", "canon"])
 
     seen = ws.save(slim.mapInArrow(detect, "id string, kind string, canon string"), "mentions")
-    entities = ws.save(seen.select("kind", "canon").distinct(), "entities")
-    other = ws.save(clashes(ws, entities, key), "exceptions")
+    # A given name without a gender in its text has the one that most texts tell; texts are counted before the exchange.
+    told = seen.filter("kind in ('name-m', 'name-f')").groupBy("canon").agg(F.when(F.count_if(F.col("kind") == "name-f") > F.count_if(F.col("kind") == "name-m"), "name-f").otherwise("name-m").alias("told"))
+    known = seen.select("kind", "canon").distinct().join(told.withColumn("kind", F.lit("name-n")), ["kind", "canon"], "left")
+    known = ws.save(known.select("kind", "canon", F.coalesce("told", "kind").alias("known")), "entities")
+    entities = known.select(F.col("known").alias("kind"), "canon").distinct()
+    drawn = clashes(ws, entities, key).select(F.col("kind").alias("known"), "canon", "attempt")
+    other = known.join(drawn, ["known", "canon"], "left").filter("attempt is not null or known <> kind")
+    other = ws.save(other.select("kind", "canon", "known", F.coalesce("attempt", F.lit(0)).alias("attempt")), "exceptions")
     kept = [c for c in docs.columns if c != "pii_kinds"]
     source = docs.select(*kept)
     if other.isEmpty():
-        source = source.withColumn("__other", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        source = source.withColumn("__other", F.lit(None).cast("array<struct<kind:string,canon:string,known:string,attempt:int>>"))
     else:
         # One row an id that mentions an exception; as many rows as the exceptions' mentions at most.
-        by_doc = seen.join(other, ["kind", "canon"]).groupBy(F.col("id").alias("__doc")).agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("__other"))
+        by_doc = seen.join(other, ["kind", "canon"]).groupBy(F.col("id").alias("__doc")).agg(F.collect_set(F.struct("kind", "canon", "known", "attempt")).alias("__other"))
         by_doc = ws.save(by_doc, "exceptions-by-document")
         source = source.join(by_doc, F.col(id_col).cast("string").eqNullSafe(F.col("__doc")), "left").drop("__doc")
     at = kept.index(text_col)
@@ -257,8 +321,9 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts, kinds = [], []
             for text, other in zip(batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
-                attempts = {(o["kind"], o["canon"]): o["attempt"] for o in other or ()}
-                new, found = (None, []) if text is None else replace_text(text, key, lambda k, c, attempts=attempts: attempts.get((k, c), 0))
+                attempts = {(o["known"], o["canon"]): o["attempt"] for o in other or ()}
+                kinds_of = {(o["kind"], o["canon"]): o["known"] for o in other or ()}
+                new, found = (None, []) if text is None else replace_text(text, key, lambda k, c, attempts=attempts: attempts.get((k, c), 0), lambda k, c, kinds_of=kinds_of: kinds_of.get((k, c), k))
                 texts.append(new)
                 kinds.append(found)
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]

@@ -376,6 +376,22 @@ def test_names_match_gender_script_and_corefer():
     assert all(pii.script(w) == "CYRILLIC" for w in words[-2:])
 
 
+def test_every_mention_of_a_titled_name_gets_its_surrogate(spark):
+    new, _ = pii.replace_text("Smith knew it. Mr. John Smith called. John said ... SMITH left in Smith's car, not Smithson's; john-smith. MR. SMITH and dr. Lee.", KEY)
+    assert not set(new.replace("-", " ").replace("'", " ").replace(".", "").casefold().split()) & {"john", "smith", "lee"} and "not Smithson's" in new
+    given, family = new.split()[4:6]
+    assert new.startswith(family.strip(".") + " knew") and f"{given} said ... {family.upper()} left in {family}'s car" in new and f"{given}-{family}".lower() in new and f"MR. {family.upper()}" in new
+    words = pii.replace_text("Dr Jane Smith met Ms Jane Smith.", KEY)[0].split()
+    assert words[1] == words[5] and words[1].endswith("a")
+    assert pii.replace_text("Frau Dr. Anna Weber", KEY)[0].split()[2][-1] == "a"
+    secret = "a1" * 100
+    assert secret not in pii.replace_text(f"x {secret}", KEY)[0] and pii.mentions("ab" * 100000) == []
+    # Between texts: the gender that one of them tells holds in the other.
+    docs = spark.createDataFrame([(1, "Dr Jane Smith"), (2, "Ms Jane Smith"), (3, "Jane Smith")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(docs, KEY).collect()}
+    assert got[1].split()[1:] == got[2].split()[1:] != ["Jane", "Smith"] and got[3] == "Jane Smith"
+
+
 def test_surrogate_clashes_are_resolved(spark):
     ws = Workspace(spark, "test")
     rows = [("ssn", f"{i:03d}") for i in range(100, 400)]
