@@ -1,9 +1,9 @@
 """URL filtering: allow and block rules, then a path-template tree learnt from labels; in DataFrame operations only.
 
 Per host, a path's segments form a tree. Segments that vary by their shape (numbers, hex, long codes) are wildcards of
-that shape at once; a node with more than `max_children` different children has them merged into one wildcard. Leaves of a
-node whose labelled rates of good pages don't differ significantly from all its leaves' together are merged into one
-template. A template is rejected where its purity, the share of good among its labelled pages, smoothed towards that of
+that shape at once. At every level children of a node whose labelled rates of good pages don't differ significantly from
+those of all its children together are merged into one wildcard; one that differs stays apart however many siblings it has,
+and so do the branches above it. Inner children without labels are merged only where a node has more than `max_children`. A template is rejected where its purity, the share of good among its labelled pages, smoothed towards that of
 its host and this towards that of all pages, is below `min_purity`.
 
 Statistics are combined before they are exchanged, and after the shapes a tree has few nodes; only the join
@@ -54,38 +54,62 @@ def shape(path: Column, depth: int) -> Column:
     return F.array_join(F.concat(F.slice(parts, 1, depth), tail), "/")
 
 
+def with_family(children: DataFrame, z: float) -> DataFrame:
+    """children(host, above, good, bad, ...) with `children`, their number in the node, and `differs` by the z of their rate against all of the node."""
+    family = children.groupBy(F.col("host").alias("f_host"), F.col("above").alias("f_above")).agg(F.count(F.lit(1)).alias("children"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    n, m = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
+    p = F.col("all_good") / F.nullif(m, F.lit(0))
+    differs = F.abs(F.col("good") / F.nullif(n, F.lit(0)) - p) > z * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)))
+    joined = children.join(family, (F.col("host") == F.col("f_host")) & (F.col("above") == F.col("f_above")))
+    return joined.withColumn("differs", F.coalesce(differs, F.lit(False))).drop("f_host", "f_above", "all_good", "all_bad")
+
+
+def branches_apart(counts: DataFrame, z: float) -> DataFrame:
+    """counts(host, shape, good, bad) -> host, above, last: the inner nodes that differ from their siblings, or have such a node or leaf below."""
+    parts = F.split("shape", "/")
+    levels = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts)))
+    nodes = counts.select("host", "good", "bad", parts.alias("parts"), F.explode(levels).alias("level"))
+    nodes = nodes.select("host", "good", "bad", "level", (F.col("level") < F.size("parts")).alias("inner"), F.slice("parts", F.lit(1), F.col("level")).alias("way"))
+    nodes = nodes.groupBy("host", "inner", "way").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    # Leaves have their own families: the mark before the path keeps them from inner siblings.
+    nodes = nodes.withColumn("above", F.concat(F.when(F.col("inner"), F.lit("i")).otherwise(F.lit("l")), F.array_join(F.slice("way", F.lit(1), F.size("way") - 1), "/")))
+    inner = F.size("way") - F.when(F.col("inner"), F.lit(0)).otherwise(F.lit(1))
+    found = with_family(nodes, z).filter("differs").withColumn("deep", inner).filter("deep > 1").select("host", "way", F.explode(F.sequence(F.lit(2), F.col("deep"))).alias("level"))
+    return found.select("host", F.array_join(F.slice("way", F.lit(1), F.col("level") - 1), "/").alias("above"), F.element_at("way", F.col("level")).alias("last")).distinct()
+
+
 def learn_templates(ws: Workspace, counts: DataFrame, max_children: int, z: float, prior_weight: float) -> DataFrame:
     """counts(host, shape, pages, good, bad), one row a shape -> host, shape, template, purity."""
     rate = counts.agg((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 2)).first()[0]
     rate = 0.5 if rate is None else rate
     split = F.split("shape", "/")
     nodes = counts.withColumn("parent", F.array_join(F.slice(split, F.lit(1), F.greatest(F.size(split) - 1, F.lit(0))), "/")).withColumn("leaf", F.element_at(split, -1))
-    # Inner nodes, from the root: too many children become one wildcard. A tree has one row a shape here.
+    # Inner nodes, from the root: children that don't differ become one wildcard. A tree has one row a shape here.
     depth = nodes.agg(F.max(F.size(split))).first()[0] or 0
     nodes = nodes.withColumn("way", F.slice(split, F.lit(1), F.greatest(F.size(split) - 1, F.lit(0))))
+    apart = ws.save(branches_apart(counts, z), "apart") if depth > 2 else None
     for level in range(2, depth):
         above, at = F.array_join(F.slice("way", 1, level - 1), "/"), F.try_element_at("way", F.lit(level))
-        children = nodes.filter(at.isNotNull()).groupBy("host", above.alias("above")).agg(F.count_distinct(at).alias("children")).filter(F.col("children") > max_children)
-        wide = ws.save(children.select(F.col("host").alias("w_host"), F.col("above").alias("w_above")), f"wide-{level}")
-        if wide.isEmpty():
+        children = nodes.filter(at.isNotNull()).groupBy("host", above.alias("above"), at.alias("name")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        judged = with_family(ws.save(children, f"children-{level}"), z)
+        similar = judged.filter(~F.col("differs") & (F.col("children") > 1) & ((F.col("good") + F.col("bad") > 0) | (F.col("children") > max_children)))
+        similar = similar.join(apart.withColumnRenamed("last", "name"), ["host", "above", "name"], "left_anti")
+        similar = ws.save(similar.select(F.col("host").alias("w_host"), F.col("above").alias("w_above"), F.col("name").alias("w_name")), f"similar-{level}")
+        if similar.isEmpty():
             continue
         nodes = ws.save(
-            nodes.join(wide, (F.col("host") == F.col("w_host")) & (above == F.col("w_above")), "left")
-            .withColumn("way", F.when(F.col("w_host").isNotNull() & at.isNotNull(), F.concat(F.slice("way", F.lit(1), F.lit(level - 1)), F.array(F.lit("*")), F.slice("way", F.lit(level + 1), F.greatest(F.size("way") - level, F.lit(0))))).otherwise(F.col("way")))
-            .drop("w_host", "w_above"),
+            nodes.join(similar, (F.col("host") == F.col("w_host")) & (above == F.col("w_above")) & (at == F.col("w_name")), "left")
+            .withColumn("way", F.when(F.col("w_host").isNotNull(), F.concat(F.slice("way", F.lit(1), F.lit(level - 1)), F.array(F.lit("*")), F.slice("way", F.lit(level + 1), F.greatest(F.size("way") - level, F.lit(0))))).otherwise(F.col("way")))
+            .drop("w_host", "w_above", "w_name"),
             f"nodes-{level}",
         )
     nodes = nodes.withColumn("parent", F.array_join("way", "/"))
     # Leaves: sums first, then each leaf against its siblings by the z of their rates.
     leaves = nodes.groupBy("host", "parent", "leaf").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    family = leaves.groupBy(F.col("host").alias("f_host"), F.col("parent").alias("f_parent")).agg(F.count(F.lit(1)).alias("children"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
     hosts = counts.groupBy(F.col("host").alias("h_host")).agg(((F.sum("good") + prior_weight * rate) / (F.sum("good") + F.sum("bad") + prior_weight)).alias("host_rate"))
-    leaves, family, hosts = ws.save(leaves, "leaves"), ws.save(family, "families"), ws.save(hosts, "hosts")
-    n, m = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
-    p = F.col("all_good") / F.nullif(m, F.lit(0))
-    differs = F.abs(F.col("good") / F.nullif(n, F.lit(0)) - p) > z * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)))
-    alone = F.coalesce(differs, F.lit(False)) & (F.col("children") <= max_children)
-    named = leaves.join(family, (F.col("host") == F.col("f_host")) & (F.col("parent") == F.col("f_parent"))).withColumn("merged", F.when(alone, F.col("leaf")).otherwise(F.lit("*")))
+    leaves, hosts = ws.save(leaves, "leaves"), ws.save(hosts, "hosts")
+    judged = with_family(leaves.withColumnRenamed("parent", "above"), z).withColumnRenamed("above", "parent")
+    named = judged.withColumn("merged", F.when(F.col("differs"), F.col("leaf")).otherwise(F.lit("*")))
     named = ws.save(named.select("host", "parent", "leaf", "merged", "good", "bad"), "merged")
     templates = named.groupBy("host", "parent", "merged").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).join(hosts, F.col("host") == F.col("h_host"))
     purity = (F.col("good") + prior_weight * F.col("host_rate")) / (F.col("good") + F.col("bad") + prior_weight)

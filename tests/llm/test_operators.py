@@ -264,6 +264,23 @@ def test_impure_templates_are_rejected(spark):
     assert {v for t, v in got if "good" in t} == {"allow"} and {v for t, v in got if "spam" in t} == {"block"}
 
 
+@pytest.mark.parametrize("sections", [40, 60])
+def test_a_bad_section_stays_apart_among_any_number(spark, sections):
+    """Of inner branches, of branches below them, and of leaves."""
+    n = F.col("id") % sections
+    bad = n == 7
+    name = F.concat(F.lit("s"), F.translate(n.cast("string"), "0123456789", "abcdefghij"))
+    urls = [("http://one.org/", name, F.lit("/x")), ("http://two.org/top/", name, F.lit("/mid/x")), ("http://leaf.org/", name, F.lit(""))]
+    pages = None
+    for k, (head, mid, tail) in enumerate(urls):
+        part = spark.range(sections * 60).select((F.col("id") + k * 100000).alias("page_id"), F.concat(F.lit(head), mid, tail).alias("url"), (~bad).alias("is_good"))
+        pages = part if pages is None else pages.unionByName(part)
+    labels = pages.filter("page_id div 60 % 3 < 2").select(F.col("page_id").alias("url_id"), "is_good")
+    got = url_filter.filter_urls(pages.drop("is_good"), labels, []).join(pages.select("page_id", "is_good"), "page_id")
+    assert got.filter("(verdict = 'allow') <> is_good").count() == 0
+    assert got.select("host", "template").distinct().count() == 6
+
+
 # op8
 
 
