@@ -367,6 +367,13 @@ def test_language_edges(spark, docs, edges):
     assert language_id.predict(edges.limit(0), model).count() == 0
 
 
+def test_near_pairs_of_short_texts_are_all_found(spark):
+    words = [[f"w{i}x{k}" for k in range(9)] for i in range(400)]
+    rows = [(2 * i + k, " ".join(w[: 9 - k])) for i, w in enumerate(words) for k in range(2)]
+    got = {r.doc_id: r.component_id for r in near_text.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 # op10
 
 KEY = b"test"
