@@ -106,9 +106,9 @@ def encoder(data: bytes, pattern: str):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         file = json.loads(data)
-        special = {t["content"] for t in file.get("added_tokens", ())}
+        special = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in special}
-        _encoders[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[key]
 
 
@@ -135,7 +135,7 @@ def tokenised_pieces(docs: DataFrame, size: int, end_id: int, file: bytes | None
                 part = batch.slice(i, 2048)
                 rows: list[tuple[int | None, int, int, int, int]] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([enc.encode_to_numpy(text, disallowed_special=()), tail]).astype("<u4") if text else tail
+                    ids = np.concatenate([enc.encode_to_numpy(text, allowed_special="all"), tail]).astype("<u4") if text else tail
                     at = 0
                     for n in cut(len(ids), size):
                         rows.append((doc, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids)))

@@ -120,6 +120,18 @@ def test_chat_round_trip(spark):
 # op3
 
 
+def test_added_tokens_in_texts_have_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>\n\ny", "a <|endoftext |> b"]
+    got = {r.doc_id: r for r in packing.tokenised_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2048, 1).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i].doc_tokens == len(ids) and got[i].ids_crc32 == zlib.crc32(ids.tobytes())
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
