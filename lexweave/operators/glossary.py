@@ -33,7 +33,7 @@ def matches(texts: DataFrame, glossary: DataFrame, text_col: str = "text", conte
     return keyed.join(found, "__key").drop("__hay", "__key")
 
 
-def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: int = 12) -> DataFrame:
+def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: int = 25) -> DataFrame:
     """pairs(id, original, translation) -> a row for each checked term, with `kept`: its rendering was used.
 
     The longest terms of the original are checked, at most max_checks; a rendering counts whole or up to its first " (".
@@ -45,7 +45,7 @@ def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: in
     return found.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= max_checks).select(id_col, "nth", "pos", "term", "rendering", kept.alias("kept"))
 
 
-def quality_reports(pairs: DataFrame, glossary: DataFrame, id_col: str, words: int = 12, max_checks: int = 12) -> DataFrame:
+def quality_reports(pairs: DataFrame, glossary: DataFrame, id_col: str, words: int = 12, max_checks: int = 25) -> DataFrame:
     """pairs with issues array<struct>, issue_count and passed: untranslated runs, terminology, Markdown parity, repetition."""
     missed = adherence(pairs, glossary, id_col, max_checks).filter("not kept")
     terms = missed.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("nth", F.lit("terminology").alias("kind"), F.lit("medium").alias("severity"), F.concat(F.col("term"), F.lit(" -> "), F.col("rendering")).alias("message")))).alias("__terms"))

@@ -70,7 +70,7 @@ def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2,
     return rows.mapInPandas(work, schema)
 
 
-def translate_chunks(chunks: DataFrame, glossary: DataFrame, model: TextModel | None = None, attempts: int = 1, retries: int = 2, pause: float = 0.0, prompt: Callable[[Column, Column, Column], Column] = prompt_text) -> DataFrame:
+def translate_chunks(chunks: DataFrame, glossary: DataFrame, model: TextModel | None = None, attempts: int = 1, retries: int = 2, pause: float = 0.0, prompt: Callable[[Column, Column, Column], Column] = prompt_text, max_checks: int = 25) -> DataFrame:
     """chunks(chunk_id, text, section_title, context_text) -> chunk_id, original, translation, success, retry_count, issues, passed, repaired.
 
     Answers are written as they come, so that no plan over them asks the model again; the call runs when this is called.
@@ -82,13 +82,13 @@ def translate_chunks(chunks: DataFrame, glossary: DataFrame, model: TextModel |
     told = written(call_model(rows.select("chunk_id", "text", "prompt"), model, "translate", retries, pause), "answers")
     told = told.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("answer")))
     done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "prompt", F.lit(False).alias("repaired"))
-    done = written(G.quality_reports(done, glossary, "chunk_id"), "reports") if attempts else G.quality_reports(done, glossary, "chunk_id")
+    done = written(G.quality_reports(done, glossary, "chunk_id", max_checks=max_checks), "reports") if attempts else G.quality_reports(done, glossary, "chunk_id", max_checks=max_checks)
     for _ in range(attempts):
         # Only rows that need it reach the model: a filter, then the call, then a union.
         need = F.col("success") & X.should_repair(F.col("issues"))
         fixed = written(call_model(done.filter(need).withColumn("text", F.col("translation")).select("chunk_id", "original", "translation", "success", "retry_count", "repaired", "issues", "prompt", "text").withColumnsRenamed({"success": "was", "retry_count": "tries", "issues": "old_issues"}), model, "repair", retries, pause), "repairs")
         fixed = fixed.withColumn("old", F.col("translation")).withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("translation")))
-        fixed = G.quality_reports(fixed, glossary, "chunk_id")
+        fixed = G.quality_reports(fixed, glossary, "chunk_id", max_checks=max_checks)
         better = F.col("success") & X.is_better(F.col("issues"), F.col("old_issues"))
         chosen = F.when(better, F.col("issues")).otherwise(F.col("old_issues"))
         fixed = fixed.select("chunk_id", "original", F.when(better, F.col("translation")).otherwise(F.col("old")).alias("translation"), F.col("was").alias("success"), F.col("tries").alias("retry_count"), "prompt", (F.col("repaired") | better).alias("repaired"), chosen.alias("issues"))

@@ -12,7 +12,7 @@ from lexweave.tables import written
 
 
 
-def translated_chunks(docs: DataFrame, terms: DataFrame, model: translate.TextModel | None = None, analyst: translate.TextModel | None = None, cache: DataFrame | None = None, sizes: chunking.ChunkSizes | None = None, words: prompts.Wording = prompts.Wording(), repairs: int = 1, name: str = "stub") -> DataFrame:  # noqa: B008
+def translated_chunks(docs: DataFrame, terms: DataFrame, model: translate.TextModel | None = None, analyst: translate.TextModel | None = None, cache: DataFrame | None = None, sizes: chunking.ChunkSizes | None = None, words: prompts.Wording = prompts.Wording(), repairs: int = 1, name: str = "stub", max_checks: int = 25) -> DataFrame:  # noqa: B008
     """docs(doc_id, text) -> doc, idx, original, translation, success, repaired, cached, cache_key of every chunk.
 
     A chunk's identity is (document, index), as equal documents have equal chunk ids. cache(cache_key, cached_translation) is met before the model.
@@ -34,7 +34,7 @@ def translated_chunks(docs: DataFrame, terms: DataFrame, model: translate.TextMo
         hits, misses = rendering.cache_split(keyed, cache)
         hits = hits.select("chunk_id", F.col("text").alias("original"), F.col("cached_translation").alias("translation"), "success", F.lit(False).alias("repaired"), "cached")
     ask = lambda section, context, found: prompts.translation_prompt(words, F.col("profile"), found, section, context)
-    told = translate.translate_chunks(misses, terms, model, repairs, prompt=ask)
+    told = translate.translate_chunks(misses, terms, model, repairs, prompt=ask, max_checks=max_checks)
     out = told.select("chunk_id", "original", "translation", "success", "repaired", F.lit(False).alias("cached"))
     out = out if hits is None else out.unionByName(hits)
     return out.select(F.col("chunk_id.doc_id").alias("doc"), F.col("chunk_id.idx").alias("idx"), "original", "translation", "success", "repaired", "cached")

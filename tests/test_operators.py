@@ -306,3 +306,14 @@ def test_model_is_asked_once(spark, tmp_path):
     done = translate.translate_chunks(chunks, known, Counting(str(tmp_path)))
     assert done.count() == 2 and {r.chunk_id: r.passed for r in done.collect()} == {"a": True, "b": False}
     assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["x", "y old", "译文"]
+
+
+def test_glossary_checks_stop_at_the_cap(spark):
+    known = spark.createDataFrame([(i, f"term{i:02d}", f"译{i}号") for i in range(30)], "pos int, term string, rendering string")
+    text = " ".join(f"term{i:02d}" for i in range(30))
+    pairs = spark.createDataFrame([("a", text, "译文")], "id string, original string, translation string")
+    assert G.adherence(pairs, known, "id").count() == 25 and G.adherence(pairs, known, "id", 40).count() == 30
+    chunks = spark.createDataFrame([("a", text, "S", "")], "chunk_id string, text string, section_title string, context_text string")
+    for n, options in ((25, {}), (30, {"max_checks": 40})):
+        issues = translate.translate_chunks(chunks, known, attempts=0, **options).first().issues
+        assert sum(i.kind == "terminology" for i in issues) == n
