@@ -30,9 +30,9 @@ def page(tasks: DataFrame, skip: int = 0, limit: int = 20) -> DataFrame:
 
 
 def merge_latest(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
-    """Upsert: of the rows of a key the latest, new ones before old ones."""
+    """Upsert: of the rows of a key the latest, new ones before old ones, then the one with the largest other columns, by name."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(stamp), F.desc("__new"))
+    w = Window.partitionBy(key).orderBy(F.desc(stamp), F.desc("__new"), *[F.desc(c) for c in sorted(old.columns) if c not in (key, stamp)])
     return both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__new")
 
 

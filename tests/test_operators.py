@@ -317,3 +317,10 @@ def test_glossary_checks_stop_at_the_cap(spark):
     for n, options in ((25, {}), (30, {"max_checks": 40})):
         issues = translate.translate_chunks(chunks, known, attempts=0, **options).first().issues
         assert sum(i.kind == "terminology" for i in issues) == n
+
+
+def test_merge_latest_has_one_result_on_ties(spark):
+    schema = "k int, at int, v string"
+    old = spark.createDataFrame([(1, 5, "a"), (1, 5, "z"), (2, 5, "z"), (3, 6, "o")], schema)
+    new = spark.createDataFrame([(2, 5, "a"), (2, 5, "b"), (2, 5, "b"), (3, 5, "n")], schema)
+    assert {tuple(r) for r in tasks.merge_latest(old, new, "k", "at").collect()} == {(1, 5, "z"), (2, 5, "b"), (3, 6, "o")}
