@@ -3,7 +3,11 @@
 A mention's canonical form (a phone's digits, a lower-cased address, a name's part) and a secret key decide its surrogate,
 so an entity gets the same surrogate everywhere, without shared state. Whether two entities got the same surrogate, or one
 that is itself an entity of the corpus, is checked over all distinct entities: the losers take their next surrogate
-until none clashes. Only these exceptions are sent along with the documents that mention them.
+until none clashes. Only these exceptions are sent along with the documents that mention them. Tables hold entities sealed
+by the key, never in clear.
+
+Numbers with check digits (cards by Luhn, IBANs by mod 97) are detected only where these are right, and their surrogates' are
+right too. Names are told by a title or by a cue (a signature, "my name is", an address header, an e-mail address beside them).
 """
 
 from __future__ import annotations
@@ -11,7 +15,9 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -25,11 +31,15 @@ from .shared import Workspace, ship
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]++@[\w\-]+(?:\.[\w\-]+)+")
 IP = re.compile(rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)")
-PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\w)")
-CARD = re.compile(r"(?<![\w.\-+])\d(?:[ \-]?\d){12,18}(?![\w\-])")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")
+PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\w)|(?<![\w+(.\-])(?:\(0\d{2,4}\)|0\d{2,4})[ \-]\d{3,4}[ \-]?\d{3,4}(?![\w\-])")
+CARD = re.compile(r"(?<![\w.\-+])(?:\d{13,19}|\d{4}([ \-])(?:\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{6}\1\d{4,5}))(?![\w\-])")
 SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|api[_\- ]?key|access[_\- ]?key|passw(?:or)?d|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-/+.]{8,}={0,2})")
+BIRTH = re.compile(r"(?i)\b(?:born(?: on)?|date of birth|birth ?da(?:te|y)|d\.?o\.?b\.?)(?: is| was)?\s?[:\s]\s?(\d{4}-\d{2}-\d{2}|\d{1,2}([./\-])\d{1,2}\2\d{4}|\d{1,2} [a-z]{3,9} \d{4}|[a-z]{3,9} \d{1,2}, \d{4})(?!\w)")
+STREET = re.compile(r"(?<![\w.,\-])(\d{1,5}[a-z]?(?: [A-Z][a-z'’\-]{1,30}){1,3}) (?:Street|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd|Court|Square|Terrace|Crescent)\b|(?<!\w)([A-ZÄÖÜ][a-zäöüß]{2,30}(?:straße|strasse|gasse|allee) \d{1,4}[a-z]?)(?!\w)")
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])")
 #: Titles that come before a name, with the gender that they tell (fixed values).
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Lady": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n", "Professor": "n", "Doctor": "n", "Г-н": "m", "Господин": "m", "Г-жа": "f", "Госпожа": "f"}
@@ -37,6 +47,13 @@ GENDER = {t.casefold(): g for t, g in TITLES.items()}
 _titles = "|".join(map(re.escape, sorted(TITLES, key=len, reverse=True)))
 #: Titles in any case, more than one in "Frau Dr. X" ("Don" after a title is a name), then up to three words.
 NAME = re.compile(rf"(?<!\w)((?i:{_titles})\.?[ \t]+(?:(?!(?i:Don)\b)(?i:{_titles})\.?[ \t]+)*)([^\W\d_]+(?:[\-'’][^\W\d_]+)*(?:[ \t]+[^\W\d_]+(?:[\-'’][^\W\d_]+)*){{0,2}})")
+#: Two or three capitalised words, and what says that they name a person: a cue before them or an e-mail address after them.
+_full = r"([^\W\d_a-z][^\W\d_]++(?:[\-'’][^\W\d_]++)*+(?:[ \t]++[^\W\d_a-z][^\W\d_]*+(?:[\-'’][^\W\d_]++)*+){1,2})"
+CUED = re.compile(
+    rf"(?:\b(?i:my name is|his name is|her name is|name is|the undersigned|signed(?: by)?|yours sincerely|sincerely|(?:best |kind |warm )?regards|attn\.?|(?:full |patient |customer |employee |contact )?name|patient|author|interviewed|befriended|married|met)"
+    rf"(?:[ \t]*+[:,][ \t]*+\n?[ \t]*+|[ \t]++)|(?m:^)(?:From|To|Cc|Bcc):[ \t]*+\"?){_full}"
+)
+ADDRESSED = re.compile(rf"(?:^|(?<=[\n:;,>\"]))[ \t]*+\"?{_full}\"?[ \t]*+[<(]\Z")
 POSSESSIVE = re.compile(r"['’][sS]$")
 #: A word, and words joined by hyphens or apostrophes.
 WORD = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")
@@ -95,6 +112,28 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97(iban: str) -> int:
+    """1 for an IBAN with right check digits."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def date_parts(text: str) -> tuple[tuple[int, int, int], tuple[int, ...]] | None:
+    """((year, month, day), where each stands among the date's words); None if it is no date. 3/4/1980 has the month first, 3.4.1980 the day."""
+    words = re.findall(r"\w+", text)
+    if len(words) != 3:
+        return None
+    named = next((i for i, w in enumerate(words) if w.isalpha()), None)
+    if named is not None:
+        month = next((n for n, m in enumerate(MONTHS, 1) if words[named].lower() in (m, m[:3])), 0)
+        order = (2, named, 1 - named)
+    else:
+        month = None
+        order = (0, 1, 2) if len(words[0]) == 4 else (2, 1, 0) if "/" not in text or int(words[0]) > 12 else (2, 0, 1)
+    year, day = int(words[order[0]]), int(words[order[2]])
+    month = int(words[order[1]]) if month is None else month
+    return ((year, month, day), order) if 1800 <= year <= 2200 and 1 <= month <= 12 and 1 <= day <= 31 else None
+
+
 def canonical(kind: str, text: str) -> str:
     if kind in ("phone", "card", "ssn"):
         digits = "".join(c for c in text if c.isdecimal())
@@ -104,6 +143,12 @@ def canonical(kind: str, text: str) -> str:
         return text.lower()
     if kind == "iban":
         return text.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).exploded
+    if kind == "birth":
+        return "{:04d}-{:02d}-{:02d}".format(*date_parts(text)[0])
+    if kind == "address":
+        return " ".join(text.split()).casefold()
     return text.casefold() if kind.startswith("name") else text
 
 
@@ -134,7 +179,13 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         keep = 2 if len(canon) > 10 else 0  # a country code
         return canon[:keep] + alike(canon[keep:], stream)
     if kind == "iban":
-        return canon[:2] + alike(canon[2:], stream)
+        bban = alike(canon[4:], stream)
+        return f"{canon[:2]}{98 - mod97(canon[:2] + '00' + bban):02d}{bban}"
+    if kind == "ipv6":
+        # The first group, which tells the address's kind, and groups of zeros stay, so that a shortened address can be shortened alike.
+        return ":".join(g if not i or not int(g, 16) else f"{1 + _pick(stream, (1 << (4 * (4 - (len(g) - len(g.lstrip('0')))))) - 1):04x}" for i, g in enumerate(canon.split(":")))
+    if kind == "birth":
+        return f"{int(canon[:4]) - 3 + _pick(stream, 7):04d}-{1 + _pick(stream, 12):02d}-{1 + _pick(stream, 28):02d}"
     if kind.startswith("name"):
         of = script(canon)
         if of not in SYLLABLES:
@@ -153,6 +204,24 @@ def laid_out(kind: str, text: str, new: str) -> str:
         return "".join(next(fill, "") if (c.isalnum() if kind == "iban" else c.isdecimal()) else c for c in text)
     if kind == "email":
         return new.upper() if text.isupper() else new
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(new).compressed if "::" in text else ":".join(g.lstrip("0").rjust(len(o), "0") or "0" for g, o in zip(new.split(":"), text.split(":"), strict=True))
+    if kind == "birth":
+        (_, _, _), order = date_parts(text)
+        fresh = [x.lstrip("0") for x in new.split("-")]
+        words = iter(sorted(zip(order, fresh, strict=True)))
+
+        def put(m: re.Match) -> str:
+            at, value = next(words)
+            if not m[0].isalpha():
+                return value.rjust(2, "0") if len(m[0]) == 2 else value
+            name = MONTHS[int(value) - 1]
+            name = name if len(m[0]) > 3 else name[:3]
+            return name.upper() if m[0].isupper() else name.title() if m[0][0].isupper() else name
+
+        return re.sub(r"\w+", put, text)
+    if kind == "address":
+        return " ".join(w.upper() if o.isupper() and len(o) > 1 else w.title() if o[:1].isupper() else w for w, o in zip(new.split(), text.split(), strict=True))
     if kind.startswith("name"):
         return new.upper() if text.isupper() and len(text) > 1 else new.title() if text[:1].isupper() else new
     return new
@@ -176,13 +245,35 @@ def titled(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def cued(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each word of a name without a title that a cue tells: all but the last are given names."""
+    found, starts = [], {a for a, _, _ in taken}
+    spans = [m.span(1) for m in CUED.finditer(text)]
+    for m in EMAIL.finditer(text) if "@" in text else ():
+        # The name in front of a bracketed address, within its line.
+        if m.start() and text[m.start() - 1] in "<(":
+            line = max(m.start() - 120, text.rfind("\n", 0, m.start()) + 1)
+            if n := ADDRESSED.search(text[line : m.start()]):
+                spans.append((line + n.start(1), line + n.end(1)))
+    for start, end in dict.fromkeys(spans):
+        words = [(start + w.start(), start + w.end()) for w in re.finditer(r"\S+", text[start:end])]
+        if any(text[a:b].casefold() in GENDER for a, b in words):
+            continue
+        for i, (a, b) in enumerate(words):
+            b -= len(s[0]) if (s := POSSESSIVE.search(text[a:b])) else 0
+            if a not in starts:
+                found.append((a, b, "name-" if i == len(words) - 1 else "name-n"))
+    return found
+
+
 def names(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of names after titles and of every whole-word mention, in any case, of their parts in the text.
+    """(start, end, kind) of names after titles or cues and of every whole-word mention, in any case, of their parts in the text.
 
     A part that is a given name anywhere in the text is one everywhere in it. Where titles tell its gender, a mention
     without one has that of the titled mention before it, or else of the first after it. An initial counts beside another part only.
     """
     shown = titled(text)
+    shown += cued(text, shown)
     if not shown:
         return []
     parts = {text[a:b].casefold() for a, b, _ in shown}
@@ -216,6 +307,25 @@ def names(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, kind) for (a, b), kind in found.items()]
 
 
+def _is_ipv6(text: str) -> bool:
+    if len(text) < 7 or not DIGIT.search(text):
+        return False
+    try:
+        return ipaddress.IPv6Address(text) is not None
+    except ValueError:
+        return False
+
+
+def _iban_end(m: re.Match) -> int:
+    """Where the longest run of the match's groups with right check digits ends; 0 if there is none."""
+    text = m[0]
+    while len(text.replace(" ", "")) >= 15:
+        if mod97(text.replace(" ", "")) == 1:
+            return m.start() + len(text)
+        text = text.rpartition(" ")[0]
+    return 0
+
+
 def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order, not overlapping; where two overlap the earlier, then the longer one holds."""
     found: list[tuple[int, int, str]] = []
@@ -229,11 +339,15 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         add("secret", SECRET, 1)
     if DIGIT.search(text):
         add("ip", IP)
+        if ":" in text:
+            found.extend((m.start(), m.end(), "ipv6") for m in IPV6.finditer(text) if _is_ipv6(m[0]))
         add("phone", PHONE)
-        add("card", CARD)
+        found.extend((m.start(), m.end(), "card") for m in CARD.finditer(text) if luhn("".join(filter(str.isdecimal, m[0]))))
         add("ssn", SSN)
+        found.extend((m.start(1), m.end(1), "birth") for m in BIRTH.finditer(text) if date_parts(m[1]))
+        found.extend((m.start(m.lastindex), m.end(m.lastindex), "address") for m in STREET.finditer(text))
         found.extend((m.start(), m.end(), "secret") for m in HEX.finditer(text) if not (m[0].isdecimal() or m[0].isalpha()))
-        add("iban", IBAN)
+        found.extend((m.start(), end, "iban") for m in IBAN.finditer(text) if (end := _iban_end(m)))
     found.extend(names(text))
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -256,15 +370,32 @@ def replace_text(text: str, key: bytes, attempt: Callable[[str, str], int] = lam
     return ("".join([*parts, text[at:]]) if kinds else text), kinds
 
 
+def seal(key: bytes, text: str) -> bytes:
+    """An entity as tables hold it: enciphered by the key, equal where entities are equal."""
+    raw = text.encode("utf-8", "surrogatepass")
+    tag = hmac.digest(key, b"seal\x1f" + raw, hashlib.sha256)[:16]
+    mask = hashlib.shake_256(key + b"\x1fmask\x1f" + tag).digest(len(raw))
+    return tag + (int.from_bytes(raw) ^ int.from_bytes(mask)).to_bytes(len(raw))
+
+
+def unseal(key: bytes, sealed: bytes) -> str:
+    tag, body = sealed[:16], sealed[16:]
+    mask = hashlib.shake_256(key + b"\x1fmask\x1f" + tag).digest(len(body))
+    return (int.from_bytes(body) ^ int.from_bytes(mask)).to_bytes(len(body)).decode("utf-8", "surrogatepass")
+
+
 def clashes(ws: Workspace, entities: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
-    """entities(kind, canon), a written table of distinct entities -> kind, canon, attempt of those whose first surrogate won't do."""
+    """entities(kind, canon sealed), a written table of distinct entities -> kind, canon, attempt of those whose first surrogate won't do.
+
+    Raises if some surrogates still clash after `rounds` draws, as where a kind has fewer forms than entities.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(k, c, key, n) for k, c, n in rows], pa.string())], names=["kind", "canon", "attempt", "new"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([seal(key, surrogate(k, unseal(key, c), key, n)) for k, c, n in rows], pa.binary())], names=["kind", "canon", "attempt", "new"])
 
-    schema = "kind string, canon string, attempt int, new string"
+    schema = "kind string, canon binary, attempt int, new binary"
     drawn = ws.save(entities.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "drawn")
     originals = entities.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
     for _ in range(rounds):
@@ -279,12 +410,23 @@ def clashes(ws: Workspace, entities: DataFrame, key: bytes, rounds: int = 40) ->
     raise RuntimeError(f"surrogates still clash after {rounds} rounds")
 
 
+KEY_CONF = "spark.lexweave.pii.key"
+_random_key = secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's spark.lexweave.pii.key; without one a random key of this process, so that surrogates can't be told from the source."""
+    named = spark.conf.get(KEY_CONF, None) or spark.sparkContext.getConf().get(KEY_CONF, None)
+    return named.encode() if named else _random_key
+
+
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with surrogates in text_col, and pii_kinds array<string>: the kind of each replaced mention, in order.
 
-    Kinds: email, ip, phone, card, ssn, iban, secret, name. Null texts stay null, texts without mentions are unchanged. Other
+    Kinds: email, ip, ipv6, phone, card, ssn, iban, birth, address, secret, name. Null texts stay null, texts without mentions are unchanged. Other
     columns stay; one named pii_kinds is replaced. Repeated rows get the same text. An empty table gives no rows. `key` decides
-    all surrogates: keep it secret, and the same wherever surrogates are to agree.
+    all surrogates: keep it secret, and the same wherever surrogates are to agree. Tables hold no entity in clear, and all but
+    that of the exceptions are deleted before this returns. Raises if surrogates still clash after 40 draws.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -294,10 +436,11 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {(i, kind, canonical(kind, text[a:b])) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, kind in mentions(text)}
-            columns = list(zip(*sorted(found, key=repr), strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["id", "kind", "canon"])
+            found = sorted(((i, kind, seal(key, canon)) for i, kind, canon in found), key=repr)
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["id", "kind", "canon"])
 
-    seen = ws.save(slim.mapInArrow(detect, "id string, kind string, canon string"), "mentions")
+    seen = ws.save(slim.mapInArrow(detect, "id string, kind string, canon binary"), "mentions")
     # A given name without a gender in its text has the one that most texts tell; texts are counted before the exchange.
     told = seen.filter("kind in ('name-m', 'name-f')").groupBy("canon").agg(F.when(F.count_if(F.col("kind") == "name-f") > F.count_if(F.col("kind") == "name-m"), "name-f").otherwise("name-m").alias("told"))
     known = seen.select("kind", "canon").distinct().join(told.withColumn("kind", F.lit("name-n")), ["kind", "canon"], "left")
@@ -309,20 +452,22 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     kept = [c for c in docs.columns if c != "pii_kinds"]
     source = docs.select(*kept)
     if other.isEmpty():
-        source = source.withColumn("__other", F.lit(None).cast("array<struct<kind:string,canon:string,known:string,attempt:int>>"))
+        source = source.withColumn("__other", F.lit(None).cast("array<struct<kind:string,canon:binary,known:string,attempt:int>>"))
     else:
         # One row an id that mentions an exception; as many rows as the exceptions' mentions at most.
         by_doc = seen.join(other, ["kind", "canon"]).groupBy(F.col("id").alias("__doc")).agg(F.collect_set(F.struct("kind", "canon", "known", "attempt")).alias("__other"))
         by_doc = ws.save(by_doc, "exceptions-by-document")
         source = source.join(by_doc, F.col(id_col).cast("string").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+        ws.clear(by_doc)
     at = kept.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kinds = [], []
             for text, other in zip(batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
-                attempts = {(o["known"], o["canon"]): o["attempt"] for o in other or ()}
-                kinds_of = {(o["kind"], o["canon"]): o["known"] for o in other or ()}
+                opened = [(o, unseal(key, o["canon"])) for o in other or ()]
+                attempts = {(o["known"], canon): o["attempt"] for o, canon in opened}
+                kinds_of = {(o["kind"], canon): o["known"] for o, canon in opened}
                 new, found = (None, []) if text is None else replace_text(text, key, lambda k, c, attempts=attempts: attempts.get((k, c), 0), lambda k, c, kinds_of=kinds_of: kinds_of.get((k, c), k))
                 texts.append(new)
                 kinds.append(found)
@@ -333,10 +478,6 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     return source.mapInArrow(work, T.StructType([*fields, T.StructField("pii_kinds", T.ArrayType(T.StringType()))]))
 
 
-#: Of the registered query and the pipeline, so that their results can be repeated; production runs pass a secret one.
-DEMO_KEY = b"lexweave surrogates"
-
-
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace_pii(docs, DEMO_KEY).select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("pii_kinds")), ",").alias("kinds"))
+    return replace_pii(docs, session_key(spark)).select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("pii_kinds")), ",").alias("kinds"))

@@ -16,10 +16,12 @@ _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a temporary folder of this driver."""
+    """spark.checkpoint.dir of the session; where it is unset, on one machine only (as in tests), a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lexweave-"))
     return f"file://{_own[0]}"
@@ -32,6 +34,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_root(spark)}/lexweave/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -43,8 +46,15 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lexweave_path = path
+        self._saved.append(out)
         return out
 
+    def clear(self, *keep: DataFrame) -> None:
+        """Delete every table saved so far but those in `keep`."""
+        paths = {df._lexweave_path for df in keep}
+        self.drop(*(df for df in self._saved if df._lexweave_path not in paths))
+        self._saved = list(keep)
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm

@@ -4,7 +4,10 @@ import collections
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -431,8 +434,8 @@ def test_every_mention_of_a_titled_name_gets_its_surrogate(spark):
 def test_surrogate_clashes_are_resolved(spark):
     ws = Workspace(spark, "test")
     rows = [("ssn", f"{i:03d}") for i in range(100, 400)]
-    entities = ws.save(spark.createDataFrame(rows, "kind string, canon string"), "entities")
-    other = {(r.kind, r.canon): r.attempt for r in pii.clashes(ws, entities, KEY).collect()}
+    entities = ws.save(spark.createDataFrame([(k, pii.seal(KEY, c)) for k, c in rows], "kind string, canon binary"), "entities")
+    other = {(r.kind, pii.unseal(KEY, bytes(r.canon))): r.attempt for r in pii.clashes(ws, entities, KEY).collect()}
     drawn = [pii.surrogate(k, c, KEY, other.get((k, c), 0)) for k, c in rows]
     assert other and len(set(drawn)) == len(rows) and not set(drawn) & {c for _, c in rows}
     docs = spark.createDataFrame([(i, f"no {c[:3]}-11-{c}0") for i, (_, c) in enumerate(rows)], "doc_id long, text string")
@@ -453,3 +456,81 @@ def test_pii_edges(spark, edges):
     assert got.columns == [*edges.columns, "pii_kinds"] and sorted(map(str, (r.text for r in got.collect()))) == sorted(str(t) for _, t, _ in EDGES)
     assert pii.replace_pii(edges.limit(0), KEY).count() == 0
     assert pii.mentions("x" * 200000) == [] and pii.mentions("1" * 100000) == []
+
+
+def test_names_by_titles_and_cues_and_numbers_by_check_digits():
+    gone = lambda text: set(re.findall(r"\w+", text)) - set(re.findall(r"\w+", pii.replace_text(text, KEY)[0]))
+    assert gone("Mr Smith met Mrs Jones today.") == {"Smith", "Jones"}
+    assert gone("Mr. Smith and Dr. Brown spoke.") == {"Smith", "Brown"}
+    assert gone("Mr. John Smith met Anna Jones. Smith said hi, then John left. Anna smiled.") == {"John", "Smith", "Anna", "Jones"}
+    assert gone("Kind regards,\nAnna Jones") == {"Anna", "Jones"} and gone("From: Jane Doe <x>") == {"Jane", "Doe"}
+    assert gone("Jane Doe (jane@x.com) wrote") >= {"Jane", "Doe"} and gone("My name is Peter O'Neil.") == {"Peter", "O", "Neil"}
+    assert gone("Met Office data, the New York office, order 123456789012345, GB83 WEST 1234 5698 7654 32") == set()
+    iban = pii.replace_text("GB82 WEST 1234 5698 7654 32 AND", KEY)[0]
+    assert iban.endswith(" AND") and pii.mod97(iban[:-4].replace(" ", "")) == 1 and iban[:2] == "GB" and "WEST" not in iban
+    assert pii.replace_text("4451718024887799 27", KEY)[0].endswith(" 27")
+    assert gone("call 07911 123456 now") == {"07911", "123456"} and gone("std::vector a::b") == set()
+    short = pii.replace_text("2001:db8::7334 and fe80::1", KEY)[0]
+    assert "::" in short and "7334" not in short and short.startswith("2001:") and "fe80::" in short
+    dates = pii.replace_text("born on 12 March 1980, DOB: 03/04/1975, date of birth: 1990-01-31; released 2001-02-03", KEY)[0]
+    assert "1990-01-31" not in dates and re.search(r"born on \d\d [A-Z][a-z]+ 19\d\d, DOB: \d\d/\d\d/19\d\d, date of birth: \d{4}-\d\d-\d\d; released 2001-02-03", dates)
+    assert pii.replace_text("born 1980-03-12", KEY)[0][5:] == pii.surrogate("birth", "1980-03-12", KEY)
+    assert gone("at 221 Baker Street; Hauptstraße 12") == {"221", "Baker", "Hauptstraße", "12"}
+    assert pii.unseal(KEY, pii.seal(KEY, "Ä\ud800")) == "Ä\ud800" and pii.seal(KEY, "a") == pii.seal(KEY, "a") != pii.seal(b"x", "a")
+
+
+def test_detection_is_linear():
+    for text in ("Aa-" * 60000, "Ab Cd " * 30000, "12:" * 60000, "0::" * 60000, "name " * 40000, "12 Aa Bb Cc " * 15000, "GB82 " * 40000, "0123 " * 40000, "1 " * 80000):
+        began = time.time()
+        pii.mentions(text)
+        assert time.time() - began < 5, text[:12]
+
+
+def test_pii_query_against_brute_force(spark, docs):
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    spark.conf.set(pii.KEY_CONF, "of the test")
+    try:
+        got = {r.doc_id: r for r in pii.op10_pii(spark, SF).collect()}
+    finally:
+        spark.conf.unset(pii.KEY_CONF)
+    key = b"of the test"
+    attempts, kinds = brute_surrogates([t for t in rows.values() if t], key)
+    assert sorted(got) == sorted(rows)
+    for i, text in rows.items():
+        want, found = (None, []) if text is None else pii.replace_text(text, key, lambda k, c: attempts.get((k, c), 0), lambda k, c: kinds.get((k, c), k))
+        assert (got[i].text, got[i].n_replaced, got[i].kinds) == (want, len(found), ",".join(sorted(set(found))))
+
+
+def brute_surrogates(texts, key):
+    """(attempts of entities, kinds of names without a gender), in memory."""
+    seen = [{(k, pii.canonical(k, t[a:b])) for a, b, k in pii.mentions(t)} for t in texts]
+    told = {}
+    for entities in seen:
+        for k, c in entities:
+            if k in ("name-m", "name-f"):
+                told.setdefault(c, Counter())[k] += 1
+    kinds = {("name-n", c): "name-f" if n["name-f"] > n["name-m"] else "name-m" for c, n in told.items()}
+    entities = {(kinds.get((k, c), k), c) for found in seen for k, c in found}
+    attempts = dict.fromkeys(entities, 0)
+    while True:
+        taken, bad = {}, []
+        for k, c in sorted(entities, key=lambda e: (attempts[e], pii.seal(key, e[1]))):
+            new = pii.surrogate(k, c, key, attempts[k, c])
+            if (k, new) in entities or (k, new) in taken:
+                bad.append((k, c))
+            taken[k, new] = True
+        if not bad:
+            return attempts, kinds
+        for e in bad:
+            attempts[e] += 1
+
+
+def test_no_entity_lies_in_clear_in_shared_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lexweave.llm.shared.shared_root", lambda _: f"file://{tmp_path}")
+    names = ["Nabcd" + "".join("abcdefghij"[int(d)] for d in f"{i:04d}") for i in range(3000)]
+    pii.replace_pii(spark.createDataFrame([(i, f"Mr. {n} came") for i, n in enumerate(names)], "doc_id long, text string"), KEY).count()
+    left = [p for p in tmp_path.rglob("*.parquet")]
+    assert left and len({p.parent for p in left}) == 1
+    import pyarrow.parquet as pq
+
+    assert b"nabcd" not in b"".join(str(pq.read_table(p).to_pylist()).lower().encode() for p in left)

@@ -22,7 +22,7 @@ def test_run_matches_brute_force(spark):
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
-    want = {i: len(tok.encode(pii.replace_text(t, pii.DEMO_KEY)[0], add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+    want = {i: len(tok.encode(pii.replace_text(t, pii.session_key(spark))[0], add_special_tokens=False).ids) + 1 for i, t in kept.items()}
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert got.groupby("doc_id")["length"].sum().to_dict() == want
     assert (got.offset + got["length"]).max() <= 2048
