@@ -87,8 +87,12 @@ class Model:
         return names, scores
 
 
-def train(labelled: DataFrame, orders: int = 3, bits: int = 14, smoothing: float = 0.5, max_langs: int = 1000) -> Model:
-    """Fit on all rows (lang, text) with neither null. `max_langs` bounds the matrix; more languages raise."""
+def train(labelled: DataFrame, orders: int = 3, bits: int = 14, smoothing: float = 0.5, max_langs: int = 200) -> Model:
+    """Fit on all rows (lang, text) with neither null. `max_langs` bounds the matrix (and what reaches the driver); more languages raise.
+
+    Texts without a letter teach nothing; whole texts of any length are counted; repeated rows count each; other columns are ignored.
+    An empty table gives a model without languages, which says und.
+    """
     spark = labelled.sparkSession
     ship(spark)
 
@@ -135,21 +139,25 @@ def train(labelled: DataFrame, orders: int = 3, bits: int = 14, smoothing: float
     return Model(langs, np.log(sums / sums.sum(axis=0)) if langs else sums, np.log(prior / prior.sum()) if langs else np.zeros(0), orders, bits)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred string and score double; other columns stay, ones of these two names are replaced."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language (string) and its posterior (double) under `names`; other columns stay, ones of these two names are replaced.
+
+    Null texts and those without a letter, of any length, get und and 0. Ties go to the first language by name. Repeated rows get equal
+    answers. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # languages x buckets numbers
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     at = kept.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = sent.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            langs, scores = sent.value.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
 
     slim = docs.select(*kept)
-    return slim.mapInArrow(work, T.StructType([*slim.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return slim.mapInArrow(work, T.StructType([*slim.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,11 +1,13 @@
-"""Near-duplicate texts by SimHash: wide fingerprints, BK-trees per shard, then a check of the shingles themselves.
+"""Near-duplicate texts by SimHash: sketches in BK-trees per shard, then a check of the shingles themselves.
 
-At a Jaccard similarity of 0.8 of five-word shingles a 64-bit SimHash differs in about ten bits, beyond what an index
-of single fingerprints can search. So a text gets `bands` keys of 16 bits of a wider fingerprint: two texts of similarity
-0.8 agree in a given key with a probability of 0.072, in one of 64 with 0.99. Texts that share a key form a shard with a
-BK-tree over their sketches (256 bits); its search follows only edges within the radius. What the trees link are loose
-groups; inside them, and nowhere else, the sets of shingles are compared exactly, in blocks, so a group of
-thousands is split over tasks and no pairs are written.
+At a Jaccard similarity of 0.8 of five-word shingles a 64-bit SimHash differs in about ten bits, beyond what blocks of its
+bits can index: keys of its bits either miss pairs or fill with strangers as the corpus grows. So shards are chosen by
+min-wise keys of the shingles: each of BANDS keys joins ROWS minima under as many orders of the shingles, so two
+texts share a key with probability 1 - (1 - J**6)**22, 0.998 at 0.8, and texts that have nothing in common share none, however
+many there are. Keys of one text alone are dropped before anything is sent. A shard is a BK-tree over sketches of
+256 bits; its search follows only edges within the radius. What the trees link are loose groups; inside them, and nowhere
+else, sets of shingles are compared exactly: first with the group's root, then, as Jaccard distances obey the triangle
+inequality, only those that the root leaves open, in blocks that are split over tasks. No pairs are written.
 
 Sets of few shingles give votes that flip too often for this. Those of up to FEW meet by equality of a shingle in their
 prefixes instead: of two sets of similarity 0.8 the least 0.2 n + 1 shingles of each, in one order, have one in common.
@@ -29,8 +31,12 @@ from .simhash import FIND_WORDS, BKTree, bit_counts, lowered
 
 #: Bits of the sketch and a radius that holds a pair of similarity 0.8 (38.8 bits apart, deviation 5.7) but for 1 in 1000.
 SKETCH, RADIUS = 256, 57
+#: Min-wise keys of a text, and the minima that each joins.
+BANDS, ROWS = 22, 6
 #: Pairs of sets of up to so many shingles are found exactly, whatever their fingerprints; so is any pair with a set of up to 0.8 times as many.
 FEW = 80
+#: Odd multipliers: each puts 64-bit hashes in another order.
+ORDERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -54,111 +60,150 @@ def remixed(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(hashes: np.ndarray, bands: int) -> bytes:
-    words = bands // 4
-    ones = np.zeros(64 * words, np.int64)
+def sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
+    """A SimHash of `bits` bits."""
+    words = bits // 64
+    ones = np.zeros(bits, np.int64)
     for i in range(0, len(hashes), 1 << 12):
         ones += bit_counts(remixed(hashes[i : i + (1 << 12)], words))
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 64, tree_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, component_id: for ids whose text is near that of another id, the smallest id of their group.
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed 64-bit keys of a set that is not empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[i : i + (1 << 12), None] * ORDERS).min(axis=0), out=least)
+    mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        mixed = remixed(mixed ^ row, 1)[:, 0]
+    return mixed.view(np.int64)
+
+
+def shards_of(ws: Workspace, reps: DataFrame) -> DataFrame:
+    """reps(rid, sketch, keys) -> key, rid, sketch: the members of each key that more than one has, written."""
+    keys = reps.select("rid", F.explode("keys").alias("key"))
+    shared = ws.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-keys")
+    live = ws.save(keys.join(shared, "key", "left_semi"), "live-keys")
+    return ws.save(live.join(reps.select("rid", "sketch"), "rid").select("key", "rid", "sketch"), "shards")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tree_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, text_key, component_id, kept: the rows, told by their id and xxhash64 of their text, that are near other ones.
 
     Texts are near when the Jaccard similarity of their sets of shingles reaches `similarity` (exactly), or they have no word.
-    Null ids are left out; an id on several rows stands for all their texts. An empty table gives no rows. Pairs are found
-    with the probability of sharing a key: 0.99 at similarity 0.8, more above it; those of few shingles (FEW) always.
+    component_id is the smallest id of the group, kept is true for one row of it: that id's (of its texts the one of the least key).
+    Rows with a null id are left out; an id on several rows may be in several groups; rows equal in both are one. An empty
+    table gives no rows. Pairs are found with the probability of sharing a key: 0.998 at similarity 0.8, more above it; those of few
+    shingles (FEW) always.
     """
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "near-text")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text")).filter("id is not null")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, wide, few = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_hashes(text, shingle)
+            sets, sketches, few, keys = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                h = shingle_hashes(t, shingle)
+                large = len(h) > similarity * FEW
                 sets.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                wide.append(wide_fingerprint(h, bands))
+                sketches.append(sketch(h) if large else None)
                 few.append(h.tobytes() if 0 < len(h) <= FEW else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(wide, pa.binary()), pa.array(few, pa.binary())], names=["id", "same", "wide", "few"])
-
-    rows = ws.save(slim.mapInArrow(prints, "id long, same binary, wide binary, few binary"), "fingerprints")
-    reps = ws.save(rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("wide").alias("wide"), F.first("few").alias("few")), "distinct")
-
-    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                keys = wide.view(np.uint16).astype(np.int64) + (np.arange(bands, dtype=np.int64) << 16)
-                sketch = [w[: SKETCH // 8].tobytes() for w in wide for _ in range(bands)]
-                rep = np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), pa.array(rep), pa.array(sketch, pa.binary())], names=["key", "rep", "sketch"])
-
-    shards = reps.select("rep", "wide").mapInArrow(to_keys, "key int, rep long, sketch binary")
-    shards = ws.save(shards, "shards")
+                keys.append(band_keys(h) if large else None)
+            columns = [pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(few, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "text_key", "same", "sketch", "few", "keys"])
+
+    rows = ws.save(slim.mapInArrow(prints, "id long, text_key long, same binary, sketch binary, few binary, keys array<long>"), "fingerprints")
+    # Rows of equal sets are one from here on: a small table, which the tasks of a hot set combine before the exchange.
+    reps = rows.groupBy("same").agg(F.min(F.struct("id", "text_key")).alias("at"), *[F.any_value(c).alias(c) for c in ("sketch", "few", "keys")])
+    reps = ws.save(reps.withColumn("rid", F.monotonically_increasing_id()), "distinct")
+    shards = shards_of(ws, reps.filter("keys is not null"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = meet_in_parts(ws, shards, ["key"], "rep", tree_rows).select("key", "part", "other", "inside", "rep", "sketch")
+    dealt = meet_in_parts(ws, shards, ["key"], "rid", tree_rows).select("key", "part", "other", "inside", "rid", "sketch")
     dealt = dealt.repartition(n, "key", "part", "other").sortWithinPartitions("key", "part", "other")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for _, _, _, inside, rep, sketch in sorted_groups(batches, 3):
-            values = [int.from_bytes(s, "little") for s in sketch.tolist()]
-            out += _loose(values, rep.tolist(), inside.tolist())
+        for _, _, _, inside, rid, prints in sorted_groups(batches, 3):
+            values = [int.from_bytes(s, "little") for s in prints.tolist()]
+            out += _loose(values, rid.tolist(), inside.tolist())
             if len(out) > 10000:
                 yield _pairs(out)
                 out = []
         yield _pairs(out)
 
-    loose = connected_components(ws, ws.save(dealt.mapInArrow(search, "a long, b long"), "loose-links"))
-    loose = ws.save(loose, "loose")
-    members = slim.join(loose, slim["id"] == loose["node"]).select("id", F.col("component").alias("loose"), "text")
+    loose = ws.save(connected_components(ws, ws.save(dealt.mapInArrow(search, "a long, b long"), "loose-links")), "loose")
+    placed = reps.select("rid", "at.id", "at.text_key").join(loose, F.col("rid") == F.col("node")).select("rid", F.col("component").alias("loose"), F.col("id").alias("r_id"), F.col("text_key").alias("r_key"))
+    members = slim.join(ws.save(placed, "placed"), (F.col("id") == F.col("r_id")) & (F.col("text_key") == F.col("r_key"))).select("rid", "loose", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t, shingle).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["id", "loose", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["rid", "loose", "shingles"])
 
-    members = ws.save(members.mapInArrow(sets, "id long, loose long, shingles binary"), "members")
-    met = meet_in_parts(ws, members, ["loose"], "id", 128).select("loose", "part", "other", "inside", "id", "shingles")
+    members = ws.save(members.mapInArrow(to_sets, "rid long, loose long, shingles binary"), "members")
+    # One root a group, so this join has one row a key on one side.
+    roots = ws.save(members.filter("rid = loose").groupBy("loose").agg(F.any_value("shingles").alias("root")), "roots")
+
+    def from_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = []
+            for own, root in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(own, np.uint64), np.frombuffer(root, np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                far.append(1 - shared / (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64())], names=["rid", "loose", "far"])
+
+    far = ws.save(members.join(roots, "loose").select("rid", "loose", "shingles", "root").mapInArrow(from_root, "rid long, loose long, far double"), "far")
+    reach = 1 - similarity + 1e-9
+    links = far.filter(f"far <= {reach} and rid <> loose").select(F.col("rid").alias("a"), F.col("loose").alias("b"))
+    # Two members within reach of each other differ by no more than that in their distance to the root.
+    open_from = ws.save(far.filter(f"far > {reach}").groupBy("loose").agg((F.min("far") - reach).alias("open_from")), "open")
+    undecided = far.join(open_from, "loose").filter("far >= open_from").select("rid").distinct()
+    undecided = ws.save(members.join(ws.save(undecided, "undecided"), "rid", "left_semi"), "undecided-sets")
+    met = meet_in_parts(ws, undecided, ["loose"], "rid", 128).select("loose", "part", "other", "inside", "rid", "shingles")
     met = met.repartition(n, "loose", "part", "other").sortWithinPartitions("loose", "part", "other")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part, other, inside, ids, packed in sorted_groups(batches, 3):
             yield _pairs(_exact(ids, [np.frombuffer(p, np.uint64) for p in packed.tolist()], inside.astype(bool), part[0] == other[0], similarity))
 
-    links = ws.save(met.mapInArrow(compare, "a long, b long"), "links")
+    links = ws.save(links.unionByName(met.mapInArrow(compare, "a long, b long")), "links")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 keys, ids, packed = [], [], []
-                for rep, few in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
+                for rid, few in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
                     h = np.frombuffer(few, np.int64)
                     n = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
                     keys += h[: min(n, len(h))].tolist()
-                    ids += [rep] * min(n, len(h))
+                    ids += [rid] * min(n, len(h))
                     packed += [few] * min(n, len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["key", "rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["key", "rid", "shingles"])
 
-    short = ws.save(reps.filter("few is not null").select("rep", "few").mapInArrow(prefixes, "key long, rep long, shingles binary"), "prefixes")
-    at = meet_in_parts(ws, short, ["key"], "rep", 128).select("key", "part", "other", "inside", "rep", "shingles")
+    short = ws.save(reps.filter("few is not null").select("rid", "few").mapInArrow(prefixes, "key long, rid long, shingles binary"), "prefixes")
+    at = meet_in_parts(ws, short, ["key"], "rid", 128).select("key", "part", "other", "inside", "rid", "shingles")
     at = at.repartition(n, "key", "part", "other").sortWithinPartitions("key", "part", "other")
-    near = connected_components(ws, ws.save(links.unionByName(at.mapInArrow(compare, "a long, b long")), "all-links"))
-    near = ws.save(near, "near")
-    # Rows that share all shingles with their representative take its group.
-    same = ws.save(rows.join(reps.select("same", "rep"), "same").select("id", "rep"), "same").filter("id <> rep")
-    return ws.save(connected_components(ws, near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "groups").select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+    near = ws.save(connected_components(ws, ws.save(links.unionByName(at.mapInArrow(compare, "a long, b long")), "all-links")), "near")
+    # Rows of a set take its group; a group of one row isn't one.
+    groups = ws.save(reps.select("same", "rid").join(near, F.col("rid") == F.col("node"), "left").select("same", F.coalesce("component", "rid").alias("c")), "sets")
+    placed = ws.save(rows.select("id", "text_key", "same").join(groups, "same").select("id", "text_key", "c").distinct(), "rows")
+    first = placed.groupBy("c").agg(F.min(F.struct("id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    out = placed.join(ws.save(first, "first"), "c").select(F.col("id").alias(id_col), "text_key", F.col("first.id").alias("component_id"), (F.struct("id", "text_key") == F.col("first")).alias("kept"))
+    out = ws.save(out, "groups")
+    ws.clear(out)
+    return out
 
 
 def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _loose(values: list[int], reps: list[int], inside: list[bool]) -> list[tuple[int, int]]:
+def _loose(values: list[int], rids: list[int], inside: list[bool]) -> list[tuple[int, int]]:
     tree, where = BKTree(), []
     for i, own in enumerate(inside):
         if own:
@@ -176,7 +221,7 @@ def _loose(values: list[int], reps: list[int], inside: list[bool]) -> list[tuple
             a, b = root(i), root(where[j])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    return [(reps[i], reps[r]) for i in range(len(values)) if (r := root(i)) != i]
+    return [(rids[i], rids[r]) for i in range(len(values)) if (r := root(i)) != i]
 
 
 def _exact(ids: np.ndarray, sets: list[np.ndarray], inside: np.ndarray, alone: bool, similarity: float) -> list[tuple[int, int]]:

@@ -84,13 +84,8 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 
 def cut(tokens: int, size: int) -> list[int]:
-    """Lengths of a document's pieces: full sequences, then a half, then what is left, so that packs fill up."""
-    out = [size] * (tokens // size)
-    rest, half = tokens % size, size // 2
-    if rest > half:
-        out.append(half)
-        rest -= half
-    return [*out, rest] if rest else out
+    """Lengths of a document's pieces: full sequences, then what is left; what fits in a sequence stays whole."""
+    return [size] * (tokens // size) + ([tokens % size] if tokens % size else [])
 
 
 _encoders: dict[str, object] = {}

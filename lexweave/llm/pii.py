@@ -420,11 +420,11 @@ def session_key(spark: SparkSession) -> bytes:
     return named.encode() if named else _random_key
 
 
-def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col, and pii_kinds array<string>: the kind of each replaced mention, in order.
+def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", kinds_col: str = "pii_kinds") -> DataFrame:
+    """docs with surrogates in text_col, and kinds_col array<string>: the kind of each replaced mention, in order.
 
     Kinds: email, ip, ipv6, phone, card, ssn, iban, birth, address, secret, name. Null texts stay null, texts without mentions are unchanged. Other
-    columns stay; one named pii_kinds is replaced. Repeated rows get the same text. An empty table gives no rows. `key` decides
+    columns stay; one named as kinds_col is replaced. Repeated rows get the same text. An empty table gives no rows. `key` decides
     all surrogates: keep it secret, and the same wherever surrogates are to agree. Tables hold no entity in clear, and all but
     that of the exceptions are deleted before this returns. Raises if surrogates still clash after 40 draws.
     """
@@ -449,7 +449,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     drawn = clashes(ws, entities, key).select(F.col("kind").alias("known"), "canon", "attempt")
     other = known.join(drawn, ["known", "canon"], "left").filter("attempt is not null or known <> kind")
     other = ws.save(other.select("kind", "canon", "known", F.coalesce("attempt", F.lit(0)).alias("attempt")), "exceptions")
-    kept = [c for c in docs.columns if c != "pii_kinds"]
+    kept = [c for c in docs.columns if c != kinds_col]
     source = docs.select(*kept)
     if other.isEmpty():
         source = source.withColumn("__other", F.lit(None).cast("array<struct<kind:string,canon:binary,known:string,attempt:int>>"))
@@ -472,10 +472,10 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
                 texts.append(new)
                 kinds.append(found)
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*kept, "pii_kinds"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*kept, kinds_col])
 
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.select(*kept).schema.fields]
-    return source.mapInArrow(work, T.StructType([*fields, T.StructField("pii_kinds", T.ArrayType(T.StringType()))]))
+    return source.mapInArrow(work, T.StructType([*fields, T.StructField(kinds_col, T.ArrayType(T.StringType()))]))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

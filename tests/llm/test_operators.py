@@ -140,7 +140,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = packing.op3_packing(spark, SF).toPandas()
     text = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     for doc, pieces in got.groupby("doc_id"):
@@ -171,6 +170,30 @@ def test_pack_histogram_places_everything():
         assert placed == hist
 
 
+def test_pack_histogram_is_shortest_pack_first_piece_by_piece():
+    rng = random.Random(3)
+    for _ in range(40):
+        size = rng.choice([8, 64, 100])
+        hist = {n: rng.choice([1, 2, 7, 40]) for n in rng.sample(range(1, size + 1), rng.randint(1, 8))}
+        packs = []
+        for n in sorted(hist, reverse=True):
+            for _ in range(hist[n]):
+                # The shortest pack with room; a pack of this very length is filled before another is opened.
+                at = min((i for i, p in enumerate(packs) if p + n <= size), key=lambda i: packs[i], default=None)
+                if at is None:
+                    packs.append(n)
+                else:
+                    packs[at] += n
+        got = collections.Counter()
+        for count, pattern in packing.pack_histogram(hist, size):
+            got[sum(n * k for n, k in pattern)] += count
+        assert sum(got.values()) == len(packs) and got == collections.Counter(packs)
+
+
+def test_what_fits_stays_whole():
+    assert packing.cut(2047, 2048) == [2047] and packing.cut(2048, 2048) == [2048] and packing.cut(5000, 2048) == [2048, 2048, 904]
+
+
 def test_pack_edges(spark, edges):
     got = packing.pack_documents(edges).toPandas()
     assert got.drop_duplicates(["doc_id", "start", "doc_tokens"])["length"].sum() == 1 + 1 + 4 + 4 + 4002
@@ -382,6 +405,34 @@ def test_language_edges(spark, docs, edges):
     assert language_id.predict(edges.limit(0), model).count() == 0
 
 
+def test_candidates_a_document_do_not_grow_with_the_corpus(spark):
+    """Unrelated texts share no shard however many there are; near pairs meet in some."""
+    rng = np.random.default_rng(3)
+    a_doc = []
+    for n in (500, 4000):
+        rows = []
+        for i in range(n):
+            h = rng.integers(0, 1 << 63, 200, np.uint64)
+            near = np.concatenate([h[:178], rng.integers(0, 1 << 63, 22, np.uint64)]) if i % 10 == 0 else None
+            rows += [(len(rows), near_text.sketch(h), near_text.band_keys(h).tolist())]
+            if near is not None:
+                rows += [(len(rows), near_text.sketch(near), near_text.band_keys(near).tolist())]
+        frame = spark.createDataFrame(rows, "rid long, sketch binary, keys array<long>")
+        ws = Workspace(spark, "test")
+        shards = near_text.shards_of(ws, ws.save(frame, "reps")).groupBy("key").agg(F.collect_list("rid").alias("rids")).collect()
+        a_doc.append(sum(len(s.rids) * (len(s.rids) - 1) / 2 for s in shards) / len(rows))
+        met = {tuple(sorted(p)) for s in shards for p in itertools.combinations(s.rids, 2)}
+        assert len(met) >= 0.99 * n / 10
+    assert a_doc[1] < 1.5 * a_doc[0] < 3
+
+
+def test_ids_on_several_texts_and_rows(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = [(1, " ".join(base)), (2, " ".join(base[:-1])), (2, "another text of its own " + " ".join(base[::-1])), (2, " ".join(base[:-1])), (None, " ".join(base)), (3, " ".join(base).upper())]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_text.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (2, 1, False), (3, 1, False)]
+
+
 def test_near_pairs_of_short_texts_are_all_found(spark):
     words = [[f"w{i}x{k}" for k in range(9)] for i in range(400)]
     rows = [(2 * i + k, " ".join(w[: 9 - k])) for i, w in enumerate(words) for k in range(2)]
