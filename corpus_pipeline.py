@@ -12,32 +12,46 @@ from lexweave.llm import exact_dedup, language_id, near_text, packing, pii
 from lexweave.llm.shared import Workspace
 
 
+#: A document goes if even its likeliest language has a lower posterior than this.
+CONFIDENCE = 0.5
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and those without a letter. The others stay as they are."""
+    """Documents of no known language go: null texts, those without a letter, and those whose likeliest language is less likely than not.
+
+    The prediction fills a null lang. Without any labelled row there is nothing to judge by: all documents with a letter stay.
+    Empty tables give no rows, repeated rows stay, columns of any name are kept as they are.
+    """
     model = language_id.train(docs.select("lang", "text"))
-    return language_id.predict(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    judged = language_id.predict(docs, model, names=("__lang", "__score"))
+    if not model.langs:
+        return judged.filter(F.col("text").rlike("\\p{L}")).select(*docs.columns)
+    kept = judged.filter((F.col("__lang") != "und") & (F.col("__score") >= CONFIDENCE))
+    return kept.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (null counts as empty) the row with the largest doc_id stays, null ids last; of repeated rows one."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts of a similarity of 0.8 or more (five-word shingles) the smallest doc_id stays."""
-    groups = near_text.near_groups(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts of a similarity of 0.8 or more (five-word shingles) the smallest doc_id stays.
+
+    Rows with a null doc_id stay. Rows are told by doc_id and text, so of an id on several texts only the copies go.
+    """
+    gone = near_text.near_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key")), "left_anti")
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates; n_chars follows the text."""
-    out = pii.replace_pii(docs, pii.session_key(spark))
+    """Texts with surrogates; n_chars follows the text. Null texts stay null; other columns, of any name, stay as they are."""
+    out = pii.replace_pii(docs, pii.session_key(spark), kinds_col="__pii_kinds")
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in sequences of 2048 tokens."""
+    """Where every piece of every document lies in sequences of 2048 tokens. A null text counts as empty; repeated rows are packed one by one."""
     return packing.pack_documents(docs.select("doc_id", "text"))
 
 
