@@ -105,17 +105,17 @@ def breadcrumb(path: Column) -> Column:
 
 
 def chunk_id(index: Column, path: Column, text: Column) -> Column:
-    digest = F.sha1(F.concat_ws("|", index.cast("string"), F.array_join(path, "/"), text))
-    return F.concat(F.lit("chunk-"), F.lpad(index.cast("string"), 4, "0"), F.lit("-"), F.substring(digest, 1, 12))
+    digest = F.sha1(F.concat_ws("|", index.cast("string"), F.array_join(path, " > "), text))
+    return F.format_string("chunk-%04d-%s", index, F.substring(digest, 1, 12))
 
 
 def context_text(path: Column, previous_title: Column, title: Column, previous_text: Column, window: int) -> Column:
-    """Section, previous section if another, and the end of the previous chunk (all of it for a window of 0)."""
+    """Section, previous section (within a section only if another), and the end of the previous chunk (all of it for a window of 0)."""
     tail = F.when(F.lit(window) == 0, previous_text).otherwise(F.right(previous_text, F.lit(window)))
     return F.concat_ws(
         "\n\n",
         F.when(F.size(path) > 0, F.concat(F.lit("当前章节: "), F.array_join(path, " > "))),
-        F.when((previous_title != "") & (previous_title != title), F.concat(F.lit("上一块章节: "), previous_title)),
+        F.when((previous_title != "") & ((F.size(path) == 0) | (previous_title != title)), F.concat(F.lit("上一块章节: "), previous_title)),
         F.when(previous_text != "", F.concat(F.lit("上一块末尾:\n"), tail)),
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
+from lexweave.shipping import ship
 
 HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
 #: Where an oversized block is cut, in order of preference (fixed values).
@@ -137,6 +138,7 @@ def _merge_short(chunks: list[tuple[str, tuple[str, ...]]], sizes: ChunkSizes) -
 
 def chunks_of(docs: DataFrame, sizes: ChunkSizes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a chunk: id, idx, chunk_id, text, section_path, section_title, context_text; documents are planned where they lie."""
+    ship(docs.sparkSession)
     sizes = sizes or ChunkSizes()
 
     @F.pandas_udf(CHUNKS)
@@ -153,3 +155,11 @@ def with_context(chunks: DataFrame, window: int, id_col: str = "doc_id") -> Data
     previous, title = F.coalesce(F.lag("text").over(w), F.lit("")), F.coalesce(F.lag("section_title").over(w), F.lit(""))
     context = X.context_text(path, title, F.col("section_title"), previous, window)
     return chunks.select(id_col, "idx", X.chunk_id(F.col("idx"), path, F.col("text")).alias("chunk_id"), "text", "section_path", "section_title", context.alias("context_text"))
+
+
+def fenced_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a line: id, nth, line, fence (it opens or closes one), inside (a fence is open after it)."""
+    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("nth", "line"))
+    lines = lines.withColumn("fence", F.startswith(X.strip(F.col("line")), F.lit("```")))
+    w = Window.partitionBy(id_col).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("inside", F.count_if("fence").over(w) % 2 == 1)

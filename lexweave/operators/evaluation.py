@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.shipping import ship
+from lexweave.tables import written
+
+from . import glossary as G
+
 #: Phrases that begin or end with one of these are no candidates (fixed values).
 STOPWORDS = [
     "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "but", "with",
@@ -24,7 +29,13 @@ def overall() -> Column:
 
 
 def variant_aggregate(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """runs(variant, sample_id, total_tokens, latency_s) joined with one verdict a sample; means to 3 places."""
+    """runs(variant, sample_id, total_tokens, latency_s) joined with one verdict a sample; means to 3 places.
+
+    Where verdicts have a column nth, the last of a sample's counts; else they have one row a sample.
+    """
+    if "nth" in verdicts.columns:
+        scores = F.struct("accuracy", "fluency", "terminology")
+        verdicts = verdicts.groupBy("sample_id").agg(F.max_by(scores, "nth").alias("v")).select("sample_id", "v.*")
     mean = lambda c: F.coalesce(F.round(F.avg(c), 3), F.lit(0.0))
     return (
         runs.join(verdicts.withColumn("overall", overall()), "sample_id")
@@ -49,14 +60,20 @@ def phrase_segments(segments: DataFrame, least: int = 2, most: int = 4) -> DataF
 
 
 def repeated_phrases(segments: DataFrame, terms: DataFrame, occurrences: int = 2) -> DataFrame:
-    """phrase, occurrences: phrases in at least `occurrences` segments, not covered by a term, nor by a longer phrase of the same segments.
+    """terms(pos, term, rendering) -> phrase, occurrences: phrases in at least `occurrences` segments, not covered by a term, nor by a longer phrase of the same segments.
 
     A set of segments is told by its size, an xor and a sum of hashes of its members, so no phrase gathers a list of them.
     """
     marks = [F.count("*").alias("occurrences"), F.bit_xor(F.xxhash64("seg")).alias("x"), F.sum(F.xxhash64(F.lit(1), "seg").cast("decimal(20,0)")).alias("y")]
     counted = phrase_segments(segments).groupBy("phrase").agg(*marks).filter(F.col("occurrences") >= occurrences)
-    t = terms.select(F.lower("term").alias("t")).filter("t <> ''")
-    free = counted.join(t, F.contains("t", F.col("phrase")) | F.contains("phrase", F.col("t")), "left_anti")
+    terms = terms.filter("term <> ''")
+    # Phrases inside a term meet its parts by equality; terms inside a phrase are matched as in any text.
+    size = F.char_length("t")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, size), lambda j: F.substring(F.col("t"), i, j - i + 1))))
+    inside = terms.select(F.lower("term").alias("t")).select(F.explode(F.filter(parts, lambda c: F.contains(c, F.lit(" ")))).alias("phrase")).distinct()
+    counted = written(counted, "phrases")
+    named = G.matches(counted.select("phrase"), terms, "phrase").select("phrase").distinct()
+    free = counted.join(inside, "phrase", "left_anti").join(named, "phrase", "left_anti")
     keys = ["occurrences", "x", "y"]
     # A longer phrase names what it contains, so that nested phrases are found by equality and no set of segments pairs all its phrases.
     short = F.char_length("phrase") <= WHOLE
@@ -120,6 +137,7 @@ def phrase_consistency(segments: DataFrame, terms: DataFrame, occurrences: int =
         if n:
             yield pd.DataFrame([(phrase, n, settled(shared, least))], columns=["phrase", "occurrences", "signature"])
 
+    ship(segments.sparkSession)
     phrases = repeated_phrases(segments, terms, occurrences).select("phrase")
     spread = phrase_segments(segments).join(phrases, "phrase").join(segments.select("seg", "translation"), "seg")
     ordered = spread.select("phrase", "seg", "translation").repartition("phrase").sortWithinPartitions("phrase", "seg")

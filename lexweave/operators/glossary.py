@@ -16,11 +16,11 @@ SMALL = 4 << 20
 
 
 def matches(texts: DataFrame, glossary: DataFrame, text_col: str = "text", context_col: str | None = None, small: int = SMALL) -> DataFrame:
-    """texts x the terms they contain (in the text or its context), with pos, term, rendering. Empty terms are in every text."""
+    """texts x the terms they contain (in the text or its context), with the columns of the glossary(term, ...). Empty terms are in every text."""
     hay = F.lower(F.concat_ws("\n", F.nullif(F.col(text_col), F.lit("")), *([F.nullif(F.col(context_col), F.lit(""))] if context_col else [])))
     rows = texts.withColumn("__hay", hay).filter("__hay <> ''")
     inside = F.contains("__hay", F.lower("term"))
-    size, longest = glossary.agg(F.sum(F.octet_length("term") + F.octet_length("rendering")), F.max(F.char_length(F.lower("term")))).first()
+    size, longest = glossary.agg(F.sum(sum((F.octet_length(c) for c in ("term", "rendering") if c in glossary.columns), F.lit(0))), F.max(F.char_length(F.lower("term")))).first()
     if (size or 0) <= small:
         return rows.join(F.broadcast(glossary), F.contains("__hay", F.lower("term"))).drop("__hay")
     # A term is at a place where the text goes on with it: places, not texts, meet the glossary; what they find comes back by digest.

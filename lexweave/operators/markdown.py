@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
+from lexweave.shipping import ship
 
 from . import artifacts
 
@@ -56,13 +57,28 @@ def blocks(lines: list[str]) -> Iterator[tuple[str, list[str], str]]:
             yield "paragraph", lines[start:i], ""
 
 
+def _stem(name: str) -> str:
+    return name[: name.rfind(".")] if 0 < name.rfind(".") < len(name) - 1 else name
+
+
+def _figure(m: re.Match) -> str:
+    """An image with attributes gets a short path; an alternative text of PIC is the file's stem, as is a missing one beside attributes."""
+    alt, path, attributes = m[1], m[2], m[3]
+    name = path.rstrip("/").rpartition("/")[2]
+    if alt == "PIC" or (attributes and alt.upper() in ("", "PIC")):
+        alt = _stem(name)
+    if attributes:
+        path = ("images/" if "images/" in path else "") + name
+    return f"![{alt}]({path})"
+
+
 INLINE = [
     (re.compile(r"<!--.*?-->", re.S), ""),
     (re.compile(r"\[\]\{#[^}]*\}"), ""),
     (re.compile(r"\[([^\[\]]*)\]\{\.emphasis[^}]*\}"), r"**\1**"),
     (re.compile(r"\[([^\[\]]*)\]\{\.italic[^}]*\}"), r"*\1*"),
-    (re.compile(r"!\[(?:PIC)?\]\(((?:[^)\s]*/)?([^)/.\s]+)\.[^)/\s]+)\)(?:\{[^}]*\})?"), r"![\2](\1)"),
-    (re.compile(r"(!?\[[^\]]*\]\([^)]*\))\{[^}]*\}"), r"\1"),
+    (re.compile(r"!\[([^\]]*)\]\(([^)]+)\)(\{[^}]*\})?"), _figure),
+    (re.compile(r"(\[[^\]]*\]\([^)]*\))\{[^}]*\}"), r"\1"),
     (re.compile(r"(!\[[^\]]*\]\()[^)]*/images/([^)/]+\))"), r"\1images/\2"),
     (re.compile(r"\{(?:\.[\w\-]+|style=[^}]*)\}"), ""),
     (re.compile(r"\\$", re.M), ""),
@@ -109,6 +125,8 @@ def format_text(text: str) -> str:
 def format_markdown(text: Column, source_type: str = "epub") -> Column:
     """Residue cleaned, then formatted block by block."""
 
+    ship()
+
     @F.pandas_udf("string")
     def shaped(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else format_text(t))

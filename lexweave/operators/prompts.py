@@ -5,11 +5,14 @@ A prompt is a chain of titled sections. Wording is a parameter; the labels of a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.config import Config
 from lexweave.functions import text as X
 
 from . import glossary as G
@@ -37,6 +40,12 @@ class Wording:
     extractor: str = "You list terms that need one rendering in the whole document. Answer with one JSON object: terms, a list of term, translation, note."
 
 
+def fingerprint(words: Wording, settings: Config | None = None) -> str:
+    """Changes with the settings that shape answers and with any role or requirement."""
+    said = json.dumps({"settings": (settings or Config()).fingerprint(), "wording": asdict(words)}, sort_keys=True, ensure_ascii=False)
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
 def numbered(items: tuple[str, ...]) -> str:
     return "\n".join(f"{n}. {item}" for n, item in enumerate(items, 1))
 
@@ -65,6 +74,7 @@ def sections(role: str, parts: dict[str, Column], requirements: tuple[str, ...]
 
 
 def translation_prompt(words: Wording, profile: Column, terms: Column, section: Column, context: Column) -> Column:
+    """section: the breadcrumb of the chunk's section."""
     return sections(words.translator, {"Profile": profile_text(profile), "Glossary": term_lines(terms), "Section": section, "Context": context}, words.translation)
 
 
@@ -91,7 +101,7 @@ def template_body(text: Column) -> Column:
 
 def section_lists(chunks: DataFrame, id_col: str = "doc_id", most: int = 12) -> DataFrame:
     """chunks(id, idx, section_path, section_title) -> id, sections: the first `most` distinct breadcrumbs in document order."""
-    named = chunks.select(id_col, "idx", F.coalesce(F.nullif(F.array_join("section_path", " > "), F.lit("")), F.col("section_title")).alias("title")).filter("title <> ''")
+    named = chunks.select(id_col, "idx", X.breadcrumb(F.col("section_path")).alias("title")).filter("title <> ''")
     first = named.groupBy(id_col, "title").agg(F.min("idx").alias("idx"))
     w = Window.partitionBy(id_col).orderBy("idx", "title")
     top = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)

@@ -1,13 +1,17 @@
 """Chunks through a pluggable model: prompt, call with retries, cleaning, validation, bounded repair.
 
-The model is the only part that isn't declarative. It sees Arrow batches; a call that fails makes a row that says so and never
-fails the task. Cached chunks are split off by a join before, so the model is not called for them.
+The model is the only part that isn't declarative. It sees Arrow batches, several of whose rows are asked at once; a call that
+fails makes a row that says so and never fails the task. Cached chunks are split off by a join before, so the model is not called for
+them. Limits hold for the whole cluster: rows are dealt to no more tasks than calls may be in flight, and each task keeps its share of the rate.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.functions import text as X
+from lexweave.shipping import ship
 from lexweave.tables import written
 
 from . import glossary as G
@@ -43,55 +48,144 @@ def prompt_text(section: Column, context: Column, terms: Column) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("Section: "), section), F.nullif(context, F.lit("")), F.nullif(lines, F.lit("")))
 
 
-def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2, pause: float = 1.0) -> DataFrame:
-    """rows(prompt, text, ...) with answer, success, retry_count; waits pause * 2**k between attempts."""
+@dataclass(frozen=True)
+class Limits:
+    """What all tasks together may do: calls in flight, and calls per minute (None: no rate)."""
+
+    in_flight: int = 10
+    per_minute: float | None = 200
+
+
+class TokenBucket:
+    """At most `rate` calls at once and per `per` seconds on average; threads that ask wait their turn."""
+
+    def __init__(self, rate: float, per: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.per, self.clock, self.sleep = rate, per, clock, sleep
+        self.most = max(rate, 1.0)  # a share below one call still lets one through
+        self.level, self.last, self.turn = self.most, clock(), threading.Lock()
+
+    def acquire(self) -> None:
+        with self.turn:
+            now = self.clock()
+            self.level, self.last = min(self.most, self.level + (now - self.last) * self.rate / self.per), now
+            if self.level < 1:
+                self.sleep((1 - self.level) * self.per / self.rate)
+                # What came in while it slept is spent.
+                self.level, self.last = 0.0, self.clock()
+            else:
+                self.level -= 1
+
+
+def dealt(rows: DataFrame, limits: Limits | None) -> tuple[DataFrame, int, float | None]:
+    """(rows in as many tasks as may call at once, calls in flight a task, calls per minute a task)."""
+    if limits is None:
+        return rows, 1, None
+    tasks = max(1, min(limits.in_flight, rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(tasks, F.xxhash64("prompt", "text")), max(1, limits.in_flight // tasks), limits.per_minute and limits.per_minute / tasks
+
+
+def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2, pause: float = 1.0, limits: Limits | None = None) -> DataFrame:
+    """rows(prompt, text, ...) with answer, success, retry_count, duration (seconds); waits pause * 2**k between attempts.
+
+    limits: see Limits; without, a task asks one row at a time and as fast as the model answers. A method that answers with
+    (text, prompt tokens, completion tokens) fills `tokens`, the sum over all attempts' answers; else it is null.
+    """
+    ship(rows.sparkSession)
     names = [f.name for f in rows.schema.fields]
+    rows, at_once, per_minute = dealt(rows, limits)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = getattr(model, method)
-        for frame in frames:
-            answers, good, tries = [], [], []
-            for prompt, text in zip(frame["prompt"], frame["text"], strict=True):
-                answer, ok, k = "", False, 0
-                for k in range(retries + 1):
-                    try:
-                        answer, ok = ask(prompt, text), True
-                        break
-                    except Exception as e:  # noqa: BLE001 any failure of a model is a row's failure
-                        answer = f"[翻译失败: {e}]"
-                        if k < retries and pause:
-                            time.sleep(pause * 2**k)
-                answers.append(answer)
-                good.append(ok)
-                tries.append(k)
-            yield frame[names].assign(answer=answers, success=good, retry_count=tries)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType()), T.StructField("success", T.BooleanType()), T.StructField("retry_count", T.IntegerType())])
+        bucket = TokenBucket(per_minute) if per_minute else None
+
+        def one(prompt: str, text: str) -> tuple[str, bool, int, float, int | None]:
+            began, answer = time.monotonic(), ""
+            for k in range(retries + 1):
+                try:
+                    if bucket:
+                        bucket.acquire()
+                    said = ask(prompt, text)
+                    answer, tokens = (said, None) if isinstance(said, str) else (said[0], sum(said[1:]))
+                    return answer, True, k, time.monotonic() - began, tokens
+                except Exception as e:  # noqa: BLE001 any failure of a model is a row's failure
+                    answer = f"[翻译失败: {e}]"
+                    if k < retries and pause:
+                        time.sleep(pause * 2**k)
+            return answer, False, retries, time.monotonic() - began, None
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                pairs = zip(frame["prompt"], frame["text"], strict=True)
+                told = list(pool.map(lambda p: one(*p), pairs) if at_once > 1 else (one(*p) for p in pairs))
+                yield frame[names].assign(**{c: pd.Series([t[i] for t in told], index=frame.index, dtype=t) for i, (c, t) in enumerate(ADDED)})
+
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in zip([c for c, _ in ADDED], (T.StringType(), T.BooleanType(), T.IntegerType(), T.DoubleType(), T.LongType()), strict=True))])
     return rows.mapInPandas(work, schema)
 
 
-def translate_chunks(chunks: DataFrame, glossary: DataFrame, model: TextModel | None = None, attempts: int = 1, retries: int = 2, pause: float = 0.0, prompt: Callable[[Column, Column, Column], Column] = prompt_text, max_checks: int = 25) -> DataFrame:
-    """chunks(chunk_id, text, section_title, context_text) -> chunk_id, original, translation, success, retry_count, issues, passed, repaired.
+#: Columns that a call adds, with their types in pandas.
+ADDED = [("answer", "object"), ("success", "bool"), ("retry_count", "int32"), ("duration", "float64"), ("tokens", "Int64")]
+
 
-    Answers are written as they come, so that no plan over them asks the model again; the call runs when this is called.
+def repair_text(original: Column, translation: Column, issues: Column, terms: Column, section: Column) -> Column:
+    """What a checker is told by default: the text, its translation, what is wrong with it, and the terms."""
+    told = F.array_join(F.transform(issues, lambda i: F.concat(F.lit("- "), i["message"])), "\n")
+    lines = F.array_join(F.transform(terms, lambda t: F.concat(F.lit("- "), t["term"], F.lit(": "), t["rendering"])), "\n")
+    return F.concat_ws("\n\n", F.concat(F.lit("Section: "), section), original, translation, told, F.nullif(lines, F.lit("")))
+
+
+TERMS = "array<struct<pos:int,term:string,rendering:string>>"
+
+
+def translate_chunks(
+    chunks: DataFrame,
+    glossary: DataFrame,
+    model: TextModel | None = None,
+    attempts: int = 1,
+    retries: int = 2,
+    pause: float = 0.0,
+    prompt: Callable[[Column, Column, Column], Column] = prompt_text,
+    max_checks: int = 25,
+    repair: Callable[[Column, Column, Column, Column, Column], Column] = repair_text,
+    checker: TextModel | None = None,
+    qa: bool = True,
+    limits: Limits | None = None,
+) -> DataFrame:
+    """chunks(chunk_id, text, section_title, context_text, [section_path]) -> chunk_id, original, translation, success, retry_count, duration, tokens, issues, passed, repaired.
+
+    `prompt` and `repair` may use the chunks' other columns. `checker` repairs (default: the model itself). Without `qa` every
+    translation passes as it is. A chunk whose first report asks for it is repaired up to `attempts` times, until it passes; an
+    answer that isn't worse replaces it, and a call that fails leaves it. Answers are written as they come, so that no plan over
+    them asks the model again; the calls run when this is called.
     """
     model = model or StubModel()
-    terms = G.matches(chunks.select("chunk_id", "text", "context_text"), glossary, "text", "context_text")
-    terms = terms.groupBy(F.col("chunk_id").alias("t_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "rendering"))).alias("terms"))
-    rows = chunks.join(terms, F.col("chunk_id") == F.col("t_id"), "left").withColumn("prompt", prompt(F.col("section_title"), F.col("context_text"), F.coalesce("terms", F.array().cast("array<struct<pos:int,term:string,rendering:string>>"))))
-    told = written(call_model(rows.select("chunk_id", "text", "prompt"), model, "translate", retries, pause), "answers")
+    section = X.breadcrumb(F.col("section_path")) if "section_path" in chunks.columns else F.col("section_title")
+    found = G.matches(chunks.select("chunk_id", "text", "context_text"), glossary, "text", "context_text")
+    found = found.groupBy(F.col("chunk_id").alias("t_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "rendering"))).alias("found"))
+    rows = chunks.join(found, F.col("chunk_id") == F.col("t_id"), "left").withColumns({"terms": F.coalesce(F.col("found").cast(TERMS), F.array().cast(TERMS)), "section": section})
+    rows = rows.withColumn("prompt", prompt(F.col("section"), F.col("context_text"), F.col("terms")))
+    told = written(call_model(rows.select("chunk_id", "text", "prompt", "terms", "section"), model, "translate", retries, pause, limits), "answers")
     told = told.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("answer")))
-    done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "prompt", F.lit(False).alias("repaired"))
-    done = written(G.quality_reports(done, glossary, "chunk_id", max_checks=max_checks), "reports") if attempts else G.quality_reports(done, glossary, "chunk_id", max_checks=max_checks)
+    done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "duration", "tokens", "terms", "section", F.lit(False).alias("repaired"))
+    if not qa:
+        return done.drop("terms", "section").withColumns({"issues": F.array().cast(f"array<{X.ISSUE}>"), "issue_count": F.lit(0), "passed": F.lit(True)})
+    done = G.quality_reports(done, glossary, "chunk_id", max_checks=max_checks).withColumn("wanted", F.col("success") & X.should_repair(F.col("issues")))
+    done = written(done, "reports") if attempts else done
     for _ in range(attempts):
         # Only rows that need it reach the model: a filter, then the call, then a union.
-        need = F.col("success") & X.should_repair(F.col("issues"))
-        fixed = written(call_model(done.filter(need).withColumn("text", F.col("translation")).select("chunk_id", "original", "translation", "success", "retry_count", "repaired", "issues", "prompt", "text").withColumnsRenamed({"success": "was", "retry_count": "tries", "issues": "old_issues"}), model, "repair", retries, pause), "repairs")
-        fixed = fixed.withColumn("old", F.col("translation")).withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("translation")))
+        need = F.col("wanted") & ~F.col("passed")
+        asked = done.filter(need).withColumn("prompt", repair(F.col("original"), F.col("translation"), F.col("issues"), F.col("terms"), F.col("section"))).withColumn("text", F.col("translation"))
+        asked = asked.withColumnsRenamed({c: f"old_{c}" for c in ("success", "retry_count", "duration", "tokens", "issues", "issue_count", "passed", "translation")})
+        fixed = written(call_model(asked, checker or model, "repair", retries, pause, limits), "repairs")
+        fixed = fixed.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("old_translation")))
         fixed = G.quality_reports(fixed, glossary, "chunk_id", max_checks=max_checks)
         better = F.col("success") & X.is_better(F.col("issues"), F.col("old_issues"))
         chosen = F.when(better, F.col("issues")).otherwise(F.col("old_issues"))
-        fixed = fixed.select("chunk_id", "original", F.when(better, F.col("translation")).otherwise(F.col("old")).alias("translation"), F.col("was").alias("success"), F.col("tries").alias("retry_count"), "prompt", (F.col("repaired") | better).alias("repaired"), chosen.alias("issues"))
+        fixed = fixed.select(
+            "chunk_id", "original", F.when(better, F.col("translation")).otherwise(F.col("old_translation")).alias("translation"), F.col("old_success").alias("success"), F.col("old_retry_count").alias("retry_count"),
+            (F.col("old_duration") + F.col("duration")).alias("duration"), F.when(F.col("old_tokens").isNotNull() | F.col("tokens").isNotNull(), F.coalesce("old_tokens", F.lit(0)) + F.coalesce("tokens", F.lit(0))).alias("tokens"),
+            "terms", "section", (F.col("repaired") | better).alias("repaired"), chosen.alias("issues"), "wanted",
+        )
         fixed = fixed.withColumn("issue_count", F.size("issues")).withColumn("passed", F.col("issue_count") == 0)
         done = done.filter(~need).unionByName(fixed)
-    return done.drop("prompt")
+    return done.drop("terms", "section", "wanted")

@@ -5,17 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.config import Config
 from lexweave.functions import text as X
 from lexweave.operators import chunking, evaluation, prompts, rendering, reporting, translate
 from lexweave.operators import glossary as G
 from lexweave.tables import written
 
 
+EMPTY_REPORT = {"passed": False, "issue_count": 1}
 
-def translated_chunks(docs: DataFrame, terms: DataFrame, model: translate.TextModel | None = None, analyst: translate.TextModel | None = None, cache: DataFrame | None = None, sizes: chunking.ChunkSizes | None = None, words: prompts.Wording = prompts.Wording(), repairs: int = 1, name: str = "stub", max_checks: int = 25) -> DataFrame:  # noqa: B008
-    """docs(doc_id, text) -> doc, idx, original, translation, success, repaired, cached, cache_key of every chunk.
 
-    A chunk's identity is (document, index), as equal documents have equal chunk ids. cache(cache_key, cached_translation) is met before the model.
+def translated_chunks(
+    docs: DataFrame,
+    terms: DataFrame,
+    model: translate.TextModel | None = None,
+    analyst: translate.TextModel | None = None,
+    checker: translate.TextModel | None = None,
+    cache: DataFrame | None = None,
+    sizes: chunking.ChunkSizes | None = None,
+    words: prompts.Wording = prompts.Wording(),  # noqa: B008
+    repairs: int = 1,
+    name: str = "stub",
+    max_checks: int = 25,
+    qa: bool = True,
+    limits: translate.Limits | None = None,
+    settings: Config | None = None,
+) -> DataFrame:
+    """docs(doc_id, text) -> doc, idx, chunk, original, translation, success, retry_count, duration, tokens, issue_count, passed, repaired, cached, cache_key of every chunk.
+
+    A chunk's identity is (document, index), as equal documents have equal chunk ids. cache(cache_key, cached_translation) is met before
+    the model; cache_updates() gives what a run adds to it. The key holds all that shapes an answer: settings, wording, model, chunk, profile
+    and the chunk's terms. A failed chunk has one issue and no report.
     """
     chunks = chunking.chunks_of(docs, sizes)
     if analyst:
@@ -30,14 +50,34 @@ def translated_chunks(docs: DataFrame, terms: DataFrame, model: translate.TextMo
         used = F.coalesce("pairs", F.array().cast("array<struct<term:string,rendering:string>>"))
         p = F.col("profile")
         mark = X.profile_fingerprint(p["summary"], p["style_notes"], p["terminology_hints"], p["section_overview"])
-        keyed = chunks.join(found, "chunk_id", "left").withColumn("cache_key", X.cache_key("v4", prompts.numbered(words.translation), name, F.col("id"), mark, used)).drop("pairs")
-        hits, misses = rendering.cache_split(keyed, cache)
-        hits = hits.select("chunk_id", F.col("text").alias("original"), F.col("cached_translation").alias("translation"), "success", F.lit(False).alias("repaired"), "cached")
+        key = X.cache_key("v4", prompts.fingerprint(words, settings), name, F.col("id"), mark, used)
+        hits, misses = rendering.cache_split(written(chunks.join(found, "chunk_id", "left").withColumn("cache_key", key).drop("pairs"), "keyed"), cache)
+        hits = hits.select("chunk_id", F.col("id").alias("chunk"), F.col("text").alias("original"), F.col("cached_translation").alias("translation"), "success", F.lit(0).alias("retry_count"), F.lit(0.0).alias("duration"), F.lit(None).cast("long").alias("tokens"), F.lit(0).alias("issue_count"), F.lit(True).alias("passed"), F.lit(False).alias("repaired"), "cached", "cache_key")
     ask = lambda section, context, found: prompts.translation_prompt(words, F.col("profile"), found, section, context)
-    told = translate.translate_chunks(misses, terms, model, repairs, prompt=ask, max_checks=max_checks)
-    out = told.select("chunk_id", "original", "translation", "success", "repaired", F.lit(False).alias("cached"))
+    mend = lambda original, translation, issues, found, section: prompts.repair_prompt(words, original, translation, issues, found, section)
+    told = translate.translate_chunks(misses, terms, model, repairs, prompt=ask, max_checks=max_checks, repair=mend, checker=checker, qa=qa, limits=limits)
+    told = told.join(misses.select("chunk_id", F.col("id").alias("chunk"), "cache_key"), "chunk_id")
+    lost = ~F.col("success")
+    out = told.select("chunk_id", "chunk", "original", "translation", "success", "retry_count", "duration", "tokens", F.when(lost, F.lit(EMPTY_REPORT["issue_count"])).otherwise(F.col("issue_count")).alias("issue_count"), (F.col("passed") & ~lost).alias("passed"), "repaired", F.lit(False).alias("cached"), "cache_key")
     out = out if hits is None else out.unionByName(hits)
-    return out.select(F.col("chunk_id.doc_id").alias("doc"), F.col("chunk_id.idx").alias("idx"), "original", "translation", "success", "repaired", "cached")
+    return out.select(F.col("chunk_id.doc_id").alias("doc"), F.col("chunk_id.idx").alias("idx"), *[c for c in out.columns if c != "chunk_id"])
+
+
+def cache_updates(results: DataFrame) -> DataFrame:
+    """What translated_chunks() adds to its cache: the successes that weren't in it, one row a key; merge them by tasks.merge_latest."""
+    fresh = results.filter("success and not cached and cache_key is not null")
+    return fresh.groupBy("cache_key").agg(F.min("translation").alias("cached_translation"))
+
+
+def run_result(results: DataFrame) -> DataFrame:
+    """results(doc, idx, translation, success) -> doc, translation (the good chunks in order, a blank line between), failed_chunks, ok, bad."""
+    good = F.array_sort(F.collect_list(F.when(F.col("success"), F.struct("idx", "translation"))))
+    return results.groupBy("doc").agg(
+        F.array_join(F.transform(good, lambda x: x["translation"]), "\n\n").alias("translation"),
+        F.array_sort(F.collect_list(F.when(~F.col("success"), F.col("idx")))).alias("failed_chunks"),
+        F.count_if("success").alias("ok"),
+        F.count_if(~F.col("success")).alias("bad"),
+    )
 
 
 def translated_documents(docs: DataFrame, terms: DataFrame, bilingual: bool = False, **options) -> DataFrame:

@@ -55,12 +55,12 @@ def glossary_match(spark, sf):
 
 ADHERENCE = f"""SELECT *, contains(t, rendering) OR (trim(split_part(rendering, ' (', 1)) <> '' AND contains(t, trim(split_part(rendering, ' (', 1)))) AS kept FROM (
 SELECT doc_id, lang, '译文：' || text AS t, pos, term, rendering, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, pos) AS nth
-FROM documents, {TERMS_SQL} WHERE contains(lower(text), lower(term))) WHERE nth <= 3"""
+FROM documents, {TERMS_SQL} WHERE contains(lower(text), lower(term))) WHERE nth <= 25"""
 
 
 @query(f"SELECT doc_id, nth, term, kept FROM ({ADHERENCE})")
 def glossary_adherence(spark, sf):
-    return G.adherence(pairs(spark, sf), terms(spark), "doc_id", 3).select("doc_id", F.col("nth").cast("long").alias("nth"), "term", "kept")
+    return G.adherence(pairs(spark, sf), terms(spark), "doc_id").select("doc_id", F.col("nth").cast("long").alias("nth"), "term", "kept")
 
 
 SPAN = "[A-Za-z]+(?:[ \\t\\n\\r\\f\\v]+[A-Za-z]+){11,}"
@@ -93,7 +93,7 @@ SELECT lang, count(*) AS docs, CAST(sum(u) AS BIGINT) AS untranslated, CAST(sum(
 def qa_report_by_lang(spark, sf):
     """Minimum slice: scan, theta join, ranked checks, validators and counts of issues by language."""
     docs = pairs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    reports = G.quality_reports(docs, terms(spark), "doc_id", max_checks=3)
+    reports = G.quality_reports(docs, terms(spark), "doc_id")
     of = lambda kind: F.sum(F.size(F.filter("issues", lambda i: i["kind"] == kind))).cast("long").alias(kind)
     return reports.groupBy("lang").agg(F.count("*").alias("docs"), of("untranslated"), of("terminology"))
 
@@ -101,30 +101,61 @@ def qa_report_by_lang(spark, sf):
 # --- chunking -------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, 'chunk-0000-' || substr(sha1('0||' || t), 1, 12) AS chunk_id, 'Document Root' AS section_title, length(t) AS chars
-FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM documents WHERE length(text) <= 3600) WHERE t <> ''""")
-def single_block_chunks(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.char_length("text") <= 3600)
-    return chunking.chunks_of(docs).select("doc_id", "chunk_id", "section_title", F.char_length("text").cast("long").alias("chars"))
-
-
-@query()
-def oversized_chunks(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.char_length("text") > 3600)
-    return chunking.chunks_of(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.char_length("text")).alias("longest"))
+def _chunks_sql(limit: int = 3600, shortest: int = 1296, window: int = 1400) -> str:
+    """Plans of documents without headings, fences and blank lines: each is one block, cut at separators and refilled, then short pieces merged."""
+    strip = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))"
+    out = [f"p0 AS (SELECT doc_id, [0] AS pos, {strip('text')} AS t FROM documents WHERE {strip('text')} <> '')"]
+    for k, cut in enumerate(chunking.CUTS, 1):
+        sep = "'" + cut.replace("\n", "' || chr(10) || '") + "'"
+        longer = strip(f"CASE WHEN held <> '' THEN held || {sep} || part ELSE part END")
+        full = f"held <> '' AND length({longer}) > {limit}"
+        out.append(f"""w{k} AS (SELECT doc_id, pos, unnest(l) AS part, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT doc_id, pos, string_split(t, {sep}) AS l FROM p{k - 1} WHERE length(t) > {limit} AND contains(t, {sep}))),
+f{k} AS (SELECT doc_id, pos, i, n, {strip('part')} AS held, NULL::VARCHAR AS emit FROM w{k} WHERE i = 1
+UNION ALL SELECT w.doc_id, w.pos, w.i, w.n, CASE WHEN {full} THEN part ELSE {longer} END, CASE WHEN {full} THEN {strip('held')} END FROM f{k} f JOIN w{k} w ON w.doc_id = f.doc_id AND w.pos = f.pos AND w.i = f.i + 1),
+p{k} AS (SELECT doc_id, list_append(pos, 0) AS pos, t FROM p{k - 1} WHERE NOT (length(t) > {limit} AND contains(t, {sep}))
+UNION ALL SELECT doc_id, list_append(pos, 2 * i), emit FROM f{k} WHERE emit IS NOT NULL
+UNION ALL SELECT doc_id, list_append(pos, 2 * i + 1), {strip('held')} FROM f{k} WHERE i = n AND {strip('held')} <> '')""")
+    last = len(chunking.CUTS)
+    out.append(f"""cut AS (SELECT doc_id, pos, g, substr(t, 1 + g * {limit}, {limit}) AS t FROM p{last}, LATERAL (SELECT unnest(range(0, greatest(1, CAST(ceil(length(t) / {limit}) AS BIGINT)))) AS g)),
+num AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos, g) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM cut),
+mrg AS (SELECT doc_id, i, n, t AS held, NULL::VARCHAR AS emit FROM num WHERE i = 1
+UNION ALL SELECT m.doc_id, m.i, m.n, CASE WHEN length(held) < {shortest} AND length(held) + 2 + length(t) <= {limit} THEN held || chr(10) || chr(10) || t ELSE t END,
+CASE WHEN length(held) < {shortest} AND length(held) + 2 + length(t) <= {limit} THEN NULL ELSE held END FROM mrg f JOIN num m ON m.doc_id = f.doc_id AND m.i = f.i + 1),
+fin AS (SELECT doc_id, t, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id) AS n, lead(t) OVER w AS after, lag(t) OVER w AS before
+FROM (SELECT doc_id, i * 2 AS o, emit AS t FROM mrg WHERE emit IS NOT NULL UNION ALL SELECT doc_id, i * 2 + 1, held FROM mrg WHERE i = n) WINDOW w AS (PARTITION BY doc_id ORDER BY o)),
+tail AS (SELECT doc_id, k - 1 AS idx, CASE WHEN k = n - 1 AND length(after) < {shortest} AND length(t) + 2 + length(after) <= {limit} THEN t || chr(10) || chr(10) || after ELSE t END AS t
+FROM fin WHERE NOT (k = n AND n > 1 AND length(t) < {shortest} AND length(before) + 2 + length(t) <= {limit}))""")
+    return f"""WITH RECURSIVE {', '.join(out)}
+SELECT doc_id, CAST(idx AS INT) AS idx, printf('chunk-%04d-', idx) || substr(sha1(idx || '||' || t), 1, 12) AS chunk_id, length(t) AS chars,
+sha1(CASE WHEN idx = 0 THEN '' ELSE '上一块章节: Document Root' || chr(10) || chr(10) || '上一块末尾:' || chr(10) || right(lag(t) OVER (PARTITION BY doc_id ORDER BY idx), {window}) END) AS context
+FROM tail"""
+
+
+@query(_chunks_sql())
+def document_chunks(spark, sf):
+    """The plan of every document, with each chunk's identity and context."""
+    return chunking.chunks_of(table(spark, sf, "documents")).select("doc_id", "idx", "chunk_id", F.char_length("text").cast("long").alias("chars"), F.sha1("context_text").alias("context"))
+
+
+@query("""SELECT event_id, printf('chunk-%04d-', event_id + 9000) || substr(sha1((event_id + 9000) || '|' || event_type || ' > ' || user_id || '|' || props), 1, 12) AS chunk_id, event_type || ' > ' || user_id AS breadcrumb FROM events""")
+def chunk_identity(spark, sf):
+    """Identities of chunks in sections of two levels, with indexes below and above 9999."""
+    path = F.array("event_type", F.col("user_id").cast("string"))
+    return table(spark, sf, "events").select("event_id", X.chunk_id(F.col("event_id") + 9000, path, F.col("props")).alias("chunk_id"), X.breadcrumb(path).alias("breadcrumb"))
 
 
 def books(spark, sf) -> DataFrame:
-    """A book a source: a heading, then by language a heading and paragraphs."""
-    docs = table(spark, sf, "documents").groupBy("source", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"]), "\n\n").alias("body"))
+    """A book a source and hundred documents: a heading, then by language a heading and paragraphs."""
+    docs = table(spark, sf, "documents").withColumn("book", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string")))
+    docs = docs.groupBy("book", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"]), "\n\n").alias("body"))
     part = F.concat(F.lit("## "), "lang", F.lit("\n\n"), "body")
-    return docs.select("source", "lang", part.alias("part")).groupBy("source").agg(F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "part"))), lambda p: p["part"]), "\n\n")).alias("text"))
+    return docs.select("book", "lang", part.alias("part")).groupBy("book").agg(F.concat(F.lit("# "), F.col("book"), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "part"))), lambda p: p["part"]), "\n\n")).alias("text"))
 
 
 @query()
 def book_chunks(spark, sf):
-    chunks = chunking.chunks_of(books(spark, sf), id_col="source")
-    return chunks.groupBy("source", "section_title").agg(F.count("*").alias("chunks"), F.max(F.char_length("text")).alias("longest"))
+    chunks = chunking.chunks_of(books(spark, sf), id_col="book")
+    return chunks.groupBy("book", "section_title").agg(F.count("*").alias("chunks"), F.max(F.char_length("text")).alias("longest"), F.bit_xor(F.xxhash64("chunk_id")).alias("ids"))
 
 
 @query("""SELECT conv_id, turn, concat_ws(chr(10) || chr(10), '当前章节: ' || role,
@@ -136,13 +167,12 @@ def chunk_context(spark, sf):
     return chunking.with_context(turns, 40, "conv_id").select("conv_id", F.col("idx").alias("turn"), F.col("context_text").alias("context"))
 
 
-@query("""SELECT doc_id, nth, sum(CASE WHEN line LIKE '%.%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nth) % 2 = 1 AS open
-FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS nth FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
+@query("""SELECT doc_id, nth, fence, count(*) FILTER (WHERE fence) OVER (PARTITION BY doc_id ORDER BY nth) % 2 = 1 AS inside FROM (SELECT doc_id, nth, starts_with(trim(line), '```') AS fence
+FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS nth FROM (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || ' ```x' || chr(10)), chr(10)) AS l FROM documents)))""")
 def fence_parity(spark, sf):
-    """Running parity of marked lines, as of code fences."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    w = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("doc_id", F.col("nth").cast("long").alias("nth"), (F.sum(F.col("line").contains(".").cast("int")).over(w) % 2 == 1).alias("open"))
+    """Which lines lie in a fence, in documents whose sentences are parted by fences."""
+    fenced = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n ```x\n")).alias("text"))
+    return chunking.fenced_lines(fenced).select("doc_id", F.col("nth").cast("long").alias("nth"), "fence", "inside")
 
 
 # --- cache and cleaning ---------------------------------------------------------------------------------------------
@@ -168,13 +198,12 @@ def cache_hit_split(spark, sf):
     return both.groupBy("cached").agg(F.count("*").alias("chunks"), F.sum(F.char_length("t")).cast("long").alias("chars"))
 
 
-@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 2 DESC) AS n,
-count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS same FROM orders) WHERE n = 1 AND same = 1""")
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 2 DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
 def cache_upsert(spark, sf):
-    """The latest row of a key wins (orders of a customer as a cache's writes)."""
-    orders = table(spark, sf, "orders").withColumn("same", F.count("*").over(Window.partitionBy("o_custkey", "o_orderdate")))
+    """The latest row of a key wins (orders of a customer as a cache's writes); ties go to new rows, then to the largest other columns."""
+    orders = table(spark, sf, "orders")
     merged = tasks.merge_latest(orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1"), "o_custkey", "o_orderdate")
-    return merged.filter("same = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+    return merged.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("SELECT doc_id, 'Text of ' || doc_id || ' in ' || lang AS cleaned FROM documents")
@@ -185,8 +214,9 @@ def clean_boilerplate(spark, sf):
 
 @query()
 def collapse_loops(spark, sf):
-    looped = F.concat(F.repeat(F.lit("循环"), 12), F.repeat(F.lit("the same phrase "), 20), F.lit("结束。。。。。。"))
-    return table(spark, sf, "documents").select("doc_id", X.clean_output(looped).alias("cleaned"))
+    """Documents with loops appended, as a model's answer that ran on."""
+    looped = F.concat("text", F.repeat(F.lit("循环"), 12), F.repeat(F.lit("the same phrase "), 20), F.lit("结束。。。。。。"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.clean_output(looped), 256).alias("cleaned"))
 
 
 @query()
@@ -217,8 +247,7 @@ def variant_aggregate(spark, sf):
 
 @query("""SELECT c AS comparison, v AS variant, count(*) AS samples FROM labels, (VALUES ('engine', 'graph'), ('engine', 'native'), ('roles', 'on'), ('roles', 'off'), ('glossary', 'on'), ('glossary', 'off')) m(c, v) GROUP BY c, v""")
 def variant_matrix(spark, sf):
-    matrix = spark.createDataFrame([("engine", "graph"), ("engine", "native"), ("roles", "on"), ("roles", "off"), ("glossary", "on"), ("glossary", "off")], "comparison string, variant string")
-    return table(spark, sf, "labels").select("doc_id").crossJoin(matrix).groupBy("comparison", "variant").agg(F.count("*").alias("samples"))
+    return reporting.variant_runs(table(spark, sf, "labels").select("doc_id")).groupBy("comparison", "variant").agg(F.count("*").alias("samples"))
 
 
 def segments(spark, sf) -> DataFrame:
@@ -319,7 +348,7 @@ def progress_running(spark, sf):
 @query("SELECT event_type, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS prompt_tokens, CAST(sum(user_id + event_id % 100) AS BIGINT) AS total_tokens FROM events GROUP BY event_type")
 def token_usage(spark, sf):
     calls = table(spark, sf, "events").select("event_type", F.col("user_id").alias("prompt_tokens"), F.pmod("event_id", F.lit(100)).alias("completion_tokens"), F.lit(None).cast("long").alias("total"))
-    return calls.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum(F.coalesce("total", F.col("prompt_tokens") + F.col("completion_tokens"))).alias("total_tokens"))
+    return calls.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum(reporting.tokens_of()).alias("total_tokens"))
 
 
 # --- rendering ------------------------------------------------------------------------------------------------------
@@ -346,16 +375,40 @@ def render_bilingual(spark, sf):
     return rendering.render(conversation_results(spark, sf), True).select("doc", F.sha2("markdown", 256).alias("markdown"))
 
 
-@query()
+#: The pairs read back: a failed chunk has no rule after it, so its quoted note is the source of a pair with all up to the next rule.
+PAIRS_SQL = """pairs AS (SELECT conv_id AS doc, turn, CASE WHEN before % 5 = 4 THEN '[翻译失败: chunk ' || before || ']' ELSE text END AS source,
+CASE WHEN before % 5 = 4 THEN '```' || chr(10) || substr(said, 1, 500) || '...' || chr(10) || '```' || chr(10) || chr(10) || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || chr(10) ELSE '' END || '译文：' || text AS translation
+FROM (SELECT *, lag(turn) OVER w AS before, lag(text) OVER w AS said FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE turn % 5 <> 4 AND (before % 5 = 4 OR regexp_matches(text, '[A-Za-z]{4}')))"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT doc, count(*) AS pairs, sha256(string_agg(source || chr(1) || translation, chr(2) ORDER BY turn)) AS sha256 FROM pairs GROUP BY doc")
 def bilingual_parse(spark, sf):
-    """Rendered, then read back: the pairs of every document."""
-    results = conversation_results(spark, sf).filter("success")
-    return rendering.bilingual_pairs(rendering.render(results, True)).groupBy("doc").agg(F.count("*").alias("pairs"))
+    """Rendered, then read back: the pairs of every document, failed chunks' notes among them."""
+    pairs = rendering.bilingual_pairs(rendering.render(conversation_results(spark, sf), True))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat("source", F.lit("\x01"), "translation").alias("p")))), lambda x: x["p"]), "\x02")
+    return pairs.groupBy("doc").agg(F.count("*").alias("pairs"), F.sha2(said, 256).alias("sha256"))
+
 
+def _html_sql(x: str) -> str:
+    """The page's rules for one text, in DuckDB."""
+    x = f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    for n in range(6, 0, -1):
+        x = f"regexp_replace({x}, '(?m)^{'#' * n} (.+)$', '<h{n}>\\1</h{n}>', 'g')"
+    for pattern, new in (("\\*\\*\\*(.+?)\\*\\*\\*", "<strong><em>\\1</em></strong>"), ("\\*\\*(.+?)\\*\\*", "<strong>\\1</strong>"), ("\\*(.+?)\\*", "<em>\\1</em>"), ("!\\[([^\\]]*)\\]\\(([^)]+)\\)", '<img src="\\2" alt="\\1">'), ("\\[([^\\]]+)\\]\\(([^)]+)\\)", '<a href="\\2">\\1</a>'), ("`([^`]+)`", "<code>\\1</code>")):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    blank = "' ' || chr(9) || chr(10)"
+    parts = f"list_filter(list_transform(string_split({x}, chr(10) || chr(10)), lambda p: trim(p, {blank})), lambda p: p <> '')"
+    return f"array_to_string(list_transform({parts}, lambda p: CASE WHEN starts_with(p, '<h') THEN p ELSE '<p>' || replace(p, chr(10), '<br>') || '</p>' END), chr(10))"
 
-@query("""SELECT conv_id, turn, '<p><strong>' || role || '</strong> <code>x</code> &lt;b&gt; <a href="u">t</a></p>' AS html FROM conversations""")
+
+MARKED = "'#' || repeat('#', CAST(turn % 6 AS INT)) || ' ' || role || ' *x*' || chr(10) || chr(10) || '**' || role || '** `x` <b> & [t](u) ![i](p.png) ***z***' || chr(10) || text"
+
+
+@query(f"SELECT conv_id, turn, {_html_sql(MARKED)} AS html FROM conversations")
 def markdown_to_html(spark, sf):
-    text = F.concat(F.lit("**"), "role", F.lit("** `x` <b> [t](u)"))
+    """Every turn under a heading of each level, with marks, links, images and line breaks."""
+    text = F.concat(F.lit("#"), F.repeat(F.lit("#"), F.col("turn") % 6), F.lit(" "), "role", F.lit(" *x*\n\n**"), "role", F.lit("** `x` <b> & [t](u) ![i](p.png) ***z***\n"), "text")
     return table(spark, sf, "conversations").select("conv_id", "turn", X.markdown_to_html(text).alias("html"))
 
 
@@ -373,10 +426,22 @@ def path_and_bracket_fix(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace(X.normalize_whitespace(fixed), "\\[\\]\\n", "[] \n")).alias("fixed"))
 
 
-@query()
+#: Residue as converters leave it, and the page's own HTML after it.
+RESIDUE = "::: {#p.mbp_pagebreak}\n:::\n[Part %d]{.calibre2}\n\n> [text %d]\n> *\n> [ ]\n[a [b]{.italic} c]{.calibre6} \n\n![pic](x/images/a.%d.png)\n{.calibre_2}\n\n1\\) First]{.Calibre3} [[NICK]{.calibre_1}]{.calibre1}[ ]{.calibre_1}LAND\n\n"
+
+
+def pages_with_residue(spark, sf) -> DataFrame:
+    page = F.col("page_id")
+    return table(spark, sf, "pages").select("page_id", F.concat(F.format_string(RESIDUE, page, page, page), "html").alias("raw"))
+
+
+CLEANED = "'## Part ' || page_id || chr(10) || chr(10) || '> text ' || page_id || chr(10) || chr(10) || 'a *b* c' || chr(10) || chr(10) || '![a.' || page_id || '](images/a.' || page_id || '.png)' || chr(10) || chr(10) || '1) First NICK LAND' || chr(10) || chr(10)"
+
+
+@query(f"SELECT page_id, sha256(trim({CLEANED} || html, chr(10) || ' ') || chr(10)) AS cleaned FROM pages")
 def artifact_clean(spark, sf):
-    residue = F.concat(F.lit("::: {#p.mbp_pagebreak}\n:::\n[Part]{.calibre2}\n\n[a [b]{.italic} c]{.calibre6} \n\n![PIC](x/images/00005.jpg)\n{.calibre_2}\n\n1\\) First "), F.col("page_id").cast("string"))
-    return table(spark, sf, "pages").select("page_id", artifacts.clean_artifacts(residue).alias("cleaned"))
+    """Every page below generated residue."""
+    return pages_with_residue(spark, sf).select("page_id", F.sha2(artifacts.clean_artifacts(F.col("raw")), 256).alias("cleaned"))
 
 
 @query()
@@ -387,22 +452,27 @@ def limiter_simulation(spark, sf):
 
 @query()
 def format_markdown(spark, sf):
-    raw = F.concat(F.lit("## Chapter {#c .x}\n\n::: quote\nQuoted "), F.col("page_id").cast("string"), F.lit("\n:::\n\n```python\nx  = 1\n```\n\n::: toc\n[S](#s)\n:::\n\n![PIC](a/images/p1.png){w=1}\n"))
-    return table(spark, sf, "pages").select("page_id", markdown.format_markdown(raw).alias("formatted"))
+    """Blocks of every kind in front of every page's HTML."""
+    blocks = F.concat(F.lit("## Chapter {#c .x}\n\n::: quote\nQuoted "), F.col("page_id").cast("string"), F.lit("\n:::\n\n```python\nx  = 1\n```\n\n::: toc\n[S](#s)\n:::\n\n![PIC](a/images/p.1.png){w=1}\n\n"), "raw")
+    return pages_with_residue(spark, sf).select("page_id", F.sha2(markdown.format_markdown(blocks), 256).alias("formatted"))
 
 
-@query(_render_sql("", "'译文：' || text").replace("SELECT conv_id AS doc, sha256(", "SELECT doc, sha256(rtrim(replace(replace(m, chr(10) || chr(10) || chr(10) || chr(10), chr(10) || chr(10)), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), chr(10))) AS markdown FROM (SELECT conv_id AS doc, ").replace("ORDER BY turn)) AS markdown FROM conversations GROUP BY conv_id", "ORDER BY turn) AS m FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id)"))
+@query("""SELECT conv_id AS doc, sha256(rtrim(regexp_replace('# ' || conv_id || ' - 中文翻译' || chr(10) || chr(10) || '> 由 AI 自动翻译' || string_agg(chr(10) || chr(10) ||
+CASE WHEN turn % 5 = 4 THEN '```' || chr(10) || substr(text, 1, 500) || '...' || chr(10) || '```' ELSE '译文：' || text END, '' ORDER BY turn), '\\n\\n+', chr(10) || chr(10), 'g'), chr(10))) AS markdown FROM conversations GROUP BY conv_id""")
 def bilingual_to_mono(spark, sf):
-    """The bilingual rendering, stripped, is the monolingual one with blank runs collapsed."""
-    results = conversation_results(spark, sf).filter("success")
-    return markdown.to_monolingual(rendering.render(results, True)).select("doc", F.sha2("markdown", 256).alias("markdown"))
+    """The bilingual rendering, stripped: translations, and the source that a failed chunk shows in its fence."""
+    return markdown.to_monolingual(rendering.render(conversation_results(spark, sf), True)).select("doc", F.sha2("markdown", 256).alias("markdown"))
+
+
+PAGE_SQL = """'<!DOCTYPE html>' || chr(10) || '<html lang="zh"><head><meta charset="utf-8"><title>T</title></head><body>' || chr(10) || '<table>' || chr(10) || {} || chr(10) || '</table>' || chr(10) || '</body></html>' || chr(10)"""
+ROWS_SQL = f"string_agg('<tr><td>' || {_html_sql('source')} || '</td><td>' || {_html_sql('translation')} || '</td></tr>', chr(10) ORDER BY turn)"
 
 
-@query("SELECT conv_id AS doc, count(*) AS rows FROM conversations WHERE turn % 5 <> 4 AND regexp_matches(text, '[A-Za-z]{4}') GROUP BY conv_id")
+@query(f"WITH {PAIRS_SQL} SELECT doc, sha256({PAGE_SQL.format(ROWS_SQL)}) AS html FROM pairs GROUP BY doc")
 def html_export(spark, sf):
-    results = conversation_results(spark, sf).filter("success")
-    pages = markdown.html_table(rendering.bilingual_pairs(rendering.render(results, True)), "T")
-    return pages.select("doc", F.regexp_count("html", F.lit("<tr>")).cast("long").alias("rows"))
+    """Whole pages of all documents' pairs."""
+    pages = markdown.html_table(rendering.bilingual_pairs(rendering.render(conversation_results(spark, sf), True)), "T")
+    return pages.select("doc", F.sha2("html", 256).alias("html"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '![a](assets/1/f' || doc_id % 4 || '.png)' ELSE '![a](x/none.png)' END AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id % 4 || '.png' ELSE '' END AS assets FROM documents")
@@ -468,11 +538,19 @@ def evaluation_cost(spark, sf):
     return reporting.cost(table(spark, sf, "documents").select(F.col("n_chars").alias("total_tokens"), F.lit(1).alias("calls")), table(spark, sf, "labels").select(F.lit(3).alias("total_tokens"), F.lit(2).alias("calls")))
 
 
-@query("""SELECT '| ' || source || ' | ' || count(*) || ' | x | x | x | x | ' || CAST(sum(n_chars) AS BIGINT) || ' | x |' AS line FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def _cell(x: str) -> str:
+    """A mean to 3 places, rounded half up to 2."""
+    n = f"(CAST(round(round({x}, 3) * 1000) AS BIGINT) + 5) // 10"
+    return f"printf('%d.%02d', {n} // 100, {n} % 100)"
+
+
+SCORES = ["quality * 4 + 1", "5 - toxic", "3.0::DOUBLE", "round((quality * 4 + 1 + 5 - toxic + 3.0::DOUBLE) / 3, 3)"]
+
+
+@query(f"""SELECT '| ' || source || ' | ' || count(*) || ' | ' || {" || ' | ' || ".join(_cell(f"avg({x})") for x in SCORES)} || ' | ' || CAST(sum(n_chars) AS BIGINT) || ' | ' || {_cell("avg(n_chars / 8.0::DOUBLE)")} || ' |' AS line FROM documents JOIN labels USING (doc_id) GROUP BY source""")
 def score_lines(spark, sf):
-    """Lines of a score table; SQL has another rounding of halves, so cells with two places are compared as x."""
-    line = reporting.variant_line(F.col("variant"))
-    return variant_aggregate(spark, sf).select(F.regexp_replace(line, "\\d+\\.\\d\\d(?= )", "x").alias("line"))
+    """Lines of a score table."""
+    return variant_aggregate(spark, sf).select(reporting.variant_line(F.col("variant")).alias("line"))
 
 
 @query(f"""WITH {GRAMS_SQL}, o AS (SELECT phrase, occurrences, occurrences % 2 = 0 AS same FROM df)
@@ -524,10 +602,16 @@ def task_glossary(spark, sf):
     return tasks.with_glossary(t, known).select("task_id", F.size("entries").alias("terms"))
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '\\*')) AS emphasis, len(regexp_extract_all(html, '<!--')) AS comments, len(regexp_extract_all(html, '!\\[[^\\]]*\\]\\([^)]+\\)')) AS images FROM pages""")
+COUNTED = "'# A' || chr(10) || '::: quote' || chr(10) || 'x[]{#a}' || chr(10) || ':::' || chr(10) || '```' || chr(10) || '```' || chr(10) || '::: {.toc}' || chr(10) || html"
+
+
+@query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all({COUNTED}, '{p}')){d} AS {n}" for n, p, d in [
+    ("headers", "(?m)^#{1,6}[^#\\n]", ""), ("quotes", "(?m)^:::+ *\\{?\\.?(?:quote|blockquote|center|block)\\b", ""), ("contents", "(?m)^:::+ *\\{?\\.?(?:toc|tableofcontents)\\b", ""), ("emphasis", "\\*", ""),
+    ("anchors", "\\[\\]\\{#[^}]+\\}", ""), ("comments", "<!--", ""), ("images", "!\\[[^\\]]*\\]\\([^)]+\\)", ""), ("code_blocks", "(?m)^[ \\t]*```", " // 2"),
+]) + " FROM pages")
 def format_counts(spark, sf):
-    c = table(spark, sf, "pages").select("page_id", reporting.format_counts(F.col("html")).alias("c"))
-    return c.select("page_id", "c.emphasis", "c.comments", "c.images")
+    raw = F.concat(F.lit("# A\n::: quote\nx[]{#a}\n:::\n```\n```\n::: {.toc}\n"), "html")
+    return table(spark, sf, "pages").select("page_id", reporting.format_counts(raw).alias("c")).select("page_id", "c.*")
 
 
 @query()

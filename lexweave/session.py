@@ -6,13 +6,14 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[8]", app: str = "lexweave", shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
-    """UTC, AQE on; everything else is left to the cluster's own defaults."""
+    """UTC, AQE on, texts to Python in batches of 8 MB at most; everything else is left to the cluster's own defaults."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.shipping import ship
+
 OUT = "doc long, idx int, content string"
 STATE = "next_idx int, held array<struct<idx:int,content:string>>"
 
@@ -18,6 +20,8 @@ def emit_in_order(results: DataFrame, start: int = 0) -> DataFrame:
     The state holds what waits for a gap. A repeated or already emitted index is ignored.
     """
 
+    ship(results.sparkSession)
+
     def flush(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         following, held = (state.get if state.exists else (start, []))
         waiting = {int(h["idx"] if isinstance(h, dict) else h[0]): (h["content"] if isinstance(h, dict) else h[1]) for h in held}
@@ -45,6 +49,8 @@ def emitted_prefix(results: DataFrame, start: int = 0) -> DataFrame:
 def limiter_waits(calls: DataFrame, rate: float, per: float) -> DataFrame:
     """calls(key, call_id, at seconds) -> with wait: how long a token bucket of `rate` calls per `per` seconds holds each back."""
 
+    ship(calls.sparkSession)
+
     def simulate(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["at", "call_id"])
         level, last, waits = rate, None, []
