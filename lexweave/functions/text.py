@@ -172,7 +172,7 @@ def markdown_to_html(text: Column) -> Column:
     out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     for level in range(6, 0, -1):
         out = F.regexp_replace(out, f"(?dm)^{'#' * level} (.+)$", f"<h{level}>$1</h{level}>")
-    for pattern, new in (("\\*\\*\\*(.+?)\\*\\*\\*", "<strong><em>$1</em></strong>"), ("\\*\\*(.+?)\\*\\*", "<strong>$1</strong>"), ("\\*(.+?)\\*", "<em>$1</em>"), ("!\\[([^\\]]*)\\]\\(([^)]+)\\)", '<img src="$2" alt="$1">'), ("\\[([^\\]]+)\\]\\(([^)]+)\\)", '<a href="$2">$1</a>'), ("`([^`]+)`", "<code>$1</code>")):
+    for pattern, new in (("\\*\\*\\*(.+?)\\*\\*\\*", "<strong><em>$1</em></strong>"), ("\\*\\*(.+?)\\*\\*", "<strong>$1</strong>"), ("\\*(.+?)\\*", "<em>$1</em>"), ("!\\[\\]\\(((?:[^()]*/)?([^()/]+?)(?:\\.[^.()/]+)?)\\)", '<img src="$1" alt="$2">'), ("!\\[([^\\]]*)\\]\\(([^)]+)\\)", '<img src="$2" alt="$1">'), ("\\[([^\\]]+)\\]\\(([^)]+)\\)", '<a href="$2">$1</a>'), ("`([^`]+)`", "<code>$1</code>")):
         out = F.regexp_replace(out, pattern, new)
     parts = F.filter(F.transform(F.split(out, "\\n\\n"), lambda p: strip(p)), lambda p: p != "")
     return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<h"), p).otherwise(F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>")))), "\n")
@@ -184,10 +184,10 @@ def json_object(text: Column) -> Column:
 
 
 def score(text: Column, name: str) -> Column:
-    """A dimension's score: 1 to 5, 3 where it is missing or no number."""
+    """A dimension's score: 1 to 5, 3 where it is missing or no number; null where the answer has no object."""
     value = F.get_json_object(json_object(text), f"$.{name}").try_cast("double")
     value = F.when(F.isnan(value), None).otherwise(value)
-    return F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(value, F.lit(3.0))))
+    return F.when(json_object(text).isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(value, F.lit(3.0)))))
 
 
 def rationale(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Markdown formatting by blocks, bilingual to monolingual, HTML tables, profiles, assets.
+"""Markdown formatting by blocks, bilingual to monolingual, HTML tables, profiles.
 
 Blocks need a state machine over lines, so `format_markdown` is one Arrow UDF; everything else is column expressions.
 """
@@ -156,18 +156,6 @@ def html_table(pairs: DataFrame, title: str) -> DataFrame:
     return rows.select("doc", F.concat(F.lit(head), "rows", F.lit("\n</table>\n</body></html>\n")).alias("html"))
 
 
-def synced_assets(documents: DataFrame, files: DataFrame, folder: str) -> DataFrame:
-    """documents(doc, markdown) x files(name, priority, path) -> doc, markdown with image paths below folder, assets: sorted names found.
-
-    The file of the least priority, then path, is taken. A document none of whose images is found stays as it is.
-    """
-    links = documents.select("doc", F.explode(X.image_paths(F.col("markdown"))).alias("link")).select("doc", F.regexp_extract("link", "[^/]+$", 0).alias("name")).distinct()
-    best = files.groupBy("name").agg(F.min_by("path", F.struct("priority", "path")).alias("path"))
-    found = links.join(best, "name").groupBy(F.col("doc").alias("d")).agg(F.array_sort(F.collect_set("name")).alias("assets"))
-    moved = F.regexp_replace("markdown", "(!\\[[^\\]]*\\]\\()(?:[^)]*/)?([^)/]+\\))", f"$1{folder}/$2")
-    return documents.join(found, F.col("doc") == F.col("d"), "left").select("doc", F.when(F.col("assets").isNotNull(), moved).otherwise(F.col("markdown")).alias("markdown"), F.coalesce("assets", F.array().cast("array<string>")).alias("assets"))
-
-
 PROFILE = "struct<summary:string,style_notes:array<string>,terminology_hints:array<string>,section_overview:array<string>>"
 
 

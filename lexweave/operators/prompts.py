@@ -129,3 +129,9 @@ def suggested_terms(doc: DataFrame, existing: DataFrame, model: TextModel, words
     asked = doc.select(F.substring("text", 1, excerpt).alias("text")).crossJoin(F.broadcast(known))
     asked = asked.select("text", sections(words.extractor, {"Known": bullets(F.col("known"), NO_TERMS), "Excerpt": F.col("text")}).alias("prompt"))
     return parse_terms(call_model(asked, model, "translate", 0).filter("success"), existing, most)
+
+
+def term_map(candidates: DataFrame) -> DataFrame:
+    """candidates(pos, term, translation) -> entries: one map, in their order."""
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "term", "translation"))), lambda x: F.struct(x["term"], x["translation"]))
+    return candidates.agg(F.map_from_entries(pairs).alias("entries"))

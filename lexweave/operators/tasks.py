@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A task's columns and their defaults (fixed values); the table is kept by status and creation.
+SCHEMA = "task_id string, filename string, status string, glossary_id string, bilingual boolean, progress_current int, progress_total int, progress_percentage double, progress_speed double, progress_elapsed double, result_url string, error string, created_at timestamp, updated_at timestamp"
+DEFAULTS = {"bilingual": False, "progress_current": 0, "progress_total": 0, "progress_percentage": 0.0, "progress_speed": 0.0, "progress_elapsed": 0.0}
+#: What is told of tasks that go back into the queue or are cancelled (fixed values).
+REQUEUED, CANCELLED = "任务因 worker 中断被重新排队", "任务已被取消"
+
+
+def migrated(tasks: DataFrame) -> DataFrame:
+    """Tasks of an older table with all columns of SCHEMA, in its order; where one is missing or null, its default."""
+    fields = T.StructType.fromDDL(SCHEMA).fields
+    known = lambda n: F.coalesce(F.col(n), F.lit(DEFAULTS.get(n))) if n in tasks.columns else F.lit(DEFAULTS.get(n))
+    return tasks.select(*[known(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def insert(tasks: DataFrame, new: DataFrame) -> DataFrame:
+    """tasks with the rows of new whose id it doesn't have; of new rows of one id the first created, then the least file name, is taken."""
+    w = Window.partitionBy("task_id").orderBy(*[c for c in ("created_at", "filename") if c in new.columns], *[c for c in sorted(new.columns) if c not in ("task_id", "created_at", "filename")])
+    fresh = new.join(tasks.select("task_id"), "task_id", "left_anti").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return tasks.unionByName(fresh, allowMissingColumns=True)
+
+
+def by_id(tasks: DataFrame, ids: DataFrame) -> DataFrame:
+    return tasks.join(ids.select("task_id").distinct(), "task_id", "left_semi")
+
+
+def records(tasks: DataFrame) -> DataFrame:
+    """task_id, task: an object as services show it: times in ISO form, progress never null."""
+    iso = lambda c: F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "\\.000000$", "")
+    progress = F.struct(*[F.coalesce(f"progress_{n}", F.lit(0).cast(t)).alias(n) for n, t in (("current", "int"), ("total", "int"), ("percentage", "double"), ("speed", "double"), ("elapsed", "double"))])
+    task = F.struct("task_id", "filename", "status", "glossary_id", F.coalesce("bilingual", F.lit(False)).alias("bilingual"), progress.alias("progress"), "result_url", "error", iso("created_at").alias("created_at"), iso("updated_at").alias("updated_at"))
+    return tasks.select("task_id", task.alias("task"))
+
+
+def _told(tasks: DataFrame, when: Column, message: Column) -> dict[str, Column]:
+    return {"error": F.when(when, message).otherwise(F.col("error"))} if "error" in tasks.columns else {}
 
 
 def claim(tasks: DataFrame, now: Column, n: int = 1) -> DataFrame:
-    """The n oldest pending tasks (by creation, then id) become processing."""
+    """The n oldest pending tasks (by creation, then id) become processing, and lose their error."""
     oldest = tasks.filter("status = 'pending'").orderBy("created_at", "task_id").limit(n).select("task_id", F.lit(True).alias("__claimed"))
     taken = F.coalesce("__claimed", F.lit(False))
-    return tasks.join(oldest, "task_id", "left").withColumns({"status": F.when(taken, "processing").otherwise(F.col("status")), "updated_at": F.when(taken, now).otherwise(F.col("updated_at"))}).drop("__claimed")
+    return tasks.join(oldest, "task_id", "left").withColumns(_told(tasks, taken, F.lit(None)) | {"status": F.when(taken, "processing").otherwise(F.col("status")), "updated_at": F.when(taken, now).otherwise(F.col("updated_at"))}).drop("__claimed")
 
 
 def requeue_stale(tasks: DataFrame, now: Column, seconds: int = 900) -> DataFrame:
-    stale = (F.col("status") == "processing") & (F.col("updated_at") < now - F.make_dt_interval(secs=F.lit(seconds)))
-    return tasks.withColumns({"status": F.when(stale, "pending").otherwise(F.col("status")), "updated_at": F.when(stale, now).otherwise(F.col("updated_at"))})
+    stale = (F.col("status") == "processing") & F.coalesce(F.col("updated_at") < now - F.make_dt_interval(secs=F.lit(seconds)), F.lit(False))
+    return tasks.withColumns(_told(tasks, stale, F.lit(REQUEUED)) | {"status": F.when(stale, "pending").otherwise(F.col("status")), "updated_at": F.when(stale, now).otherwise(F.col("updated_at"))})
 
 
 def cancel(tasks: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Pending and processing tasks among ids are cancelled; `changed` tells which."""
     hit = tasks.join(ids.select("task_id", F.lit(True).alias("__hit")).distinct(), "task_id", "left")
     change = F.coalesce("__hit", F.lit(False)) & F.col("status").isin("pending", "processing")
-    return hit.withColumns({"changed": change, "updated_at": F.when(change, now).otherwise(F.col("updated_at")), "status": F.when(change, "cancelled").otherwise(F.col("status"))}).drop("__hit")
+    return hit.withColumns(_told(tasks, change, F.lit(CANCELLED)) | {"changed": change, "updated_at": F.when(change, now).otherwise(F.col("updated_at")), "status": F.when(change, "cancelled").otherwise(F.col("status"))}).drop("__hit")
 
 
 def page(tasks: DataFrame, skip: int = 0, limit: int = 20) -> DataFrame:
@@ -75,3 +116,96 @@ def remove(tasks: DataFrame, ids: DataFrame) -> DataFrame:
 def counts(tasks: DataFrame) -> DataFrame:
     """Totals of a task list: all, finished (wholly or in part), processing."""
     return tasks.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("completed", "partial_success")).alias("finished"), F.count_if(F.col("status") == "processing").alias("processing"))
+
+
+class TaskTable:
+    """A task list in a shared folder. Each change writes a new version and claims its number by creating a file that must not exist,
+    so of two writers that saw the same version one wins and the other applies its change to what the first one left."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def _at(self, path: str):
+        at = self._hadoop.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def version(self) -> int:
+        """0 for a table that has none yet."""
+        fs, at = self._at(f"{self.path}/versions")
+        return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0) if fs.exists(at) else 0
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.version() if version is None else version
+        if not version:
+            return self.spark.createDataFrame([], SCHEMA)
+        fs, at = self._at(f"{self.path}/versions/{version:012d}")
+        stream = fs.open(at)
+        try:
+            name = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}")
+
+    def update(self, change: Callable[[DataFrame], DataFrame], tries: int = 20) -> int:
+        """The version that `change` of the latest tasks became."""
+        for _ in range(tries):
+            seen = self.version()
+            name = f"data-{uuid.uuid4().hex}"
+            migrated(change(self.read(seen))).coalesce(1).write.parquet(f"{self.path}/{name}")
+            fs, at = self._at(f"{self.path}/versions/{seen + 1:012d}")
+            try:
+                out = fs.create(at, False)
+            except Exception as e:  # noqa: BLE001 another writer was first
+                if "already exists" not in str(e):
+                    raise
+                continue
+            out.write(bytearray(name.encode()))
+            out.close()
+            return seen + 1
+        raise RuntimeError(f"no turn to write in {tries} tries")
+
+    def claim(self, now: Callable[[], Column] = F.current_timestamp, n: int = 1) -> list[T.Row]:
+        """Up to n pending tasks, now processing; the caller alone has them. n bounds what reaches the driver."""
+        seen: list[set[str]] = []
+
+        def change(tasks: DataFrame) -> DataFrame:
+            seen.append({r.task_id for r in tasks.filter("status = 'pending'").orderBy("created_at", "task_id").limit(n).select("task_id").collect()})
+            return claim(tasks, now(), n)
+
+        version = self.update(change)
+        return self.read(version).filter(F.col("task_id").isin(list(seen[-1]))).collect() if seen[-1] else []
+
+    def finish(self, task_id: str, status: str, now: Callable[[], Column] = F.current_timestamp, error: str | None = None, result_url: str | None = None) -> int:
+        """The task gets its final status, unless it was cancelled meanwhile."""
+        mine = (F.col("task_id") == task_id) & (F.col("status") != "cancelled")
+        set_to = lambda c, v: F.when(mine, v).otherwise(F.col(c))
+        return self.update(lambda t: t.withColumns({"error": set_to("error", F.lit(error)), "result_url": set_to("result_url", F.lit(result_url)), "updated_at": set_to("updated_at", now()), "status": set_to("status", F.lit(status))}))
+
+
+def work(table: TaskTable, handle: Callable[[T.Row], str], capacity: int = 1, until_idle: bool = True, pause: float = 2.0, requeue_every: int = 30, rounds: int | None = None) -> int:
+    """Claim and handle tasks; returns how many. handle(task) answers with the result's address; a failure is the task's.
+
+    Without `until_idle` it waits `pause` seconds when nothing is pending, and puts stale tasks back after every `requeue_every` idle
+    rounds, until `rounds` have passed (None: for ever).
+    """
+    done = idle = 0
+    while rounds is None or rounds > 0:
+        rounds = rounds and rounds - 1
+        tasks = table.claim(n=capacity)
+        for task in tasks:
+            try:
+                table.finish(task.task_id, "completed", result_url=handle(task))
+            except Exception as e:  # noqa: BLE001 a task's failure is its own
+                table.finish(task.task_id, "failed", error=str(e))
+            done += 1
+        if tasks:
+            idle = 0
+            continue
+        if until_idle:
+            break
+        idle += 1
+        if idle % requeue_every == 0:
+            table.update(lambda t: requeue_stale(t, F.current_timestamp()))
+        time.sleep(pause)
+    return done

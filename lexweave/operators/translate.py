@@ -84,18 +84,34 @@ def dealt(rows: DataFrame, limits: Limits | None) -> tuple[DataFrame, int, float
     return rows.repartition(tasks, F.xxhash64("prompt", "text")), max(1, limits.in_flight // tasks), limits.per_minute and limits.per_minute / tasks
 
 
+def said_text(answer: object) -> tuple[str, int | None]:
+    """(text, tokens) of what a model gave: a string, an object or mapping with `content`, a list of parts, or a tuple of text and token counts.
+
+    Tokens are the total that it tells (usage_metadata or usage: total_tokens), else input and output ones, else unknown.
+    """
+    if isinstance(answer, tuple):
+        return str(answer[0]), sum(answer[1:])
+    get = lambda o, name: o.get(name) if isinstance(o, dict) else getattr(o, name, None)
+    content = answer if isinstance(answer, str | list) or get(answer, "content") is None else get(answer, "content")
+    text = "".join(p if isinstance(p, str) else str(get(p, "text") or "") for p in content) if isinstance(content, list) else str(content)
+    usage = None if isinstance(answer, str | list) else get(answer, "usage_metadata") or get(answer, "usage")
+    if not usage:
+        return text, None
+    parts = [get(usage, a) or get(usage, b) or 0 for a, b in (("input_tokens", "prompt_tokens"), ("output_tokens", "completion_tokens"))]
+    return text, int(get(usage, "total_tokens") or sum(parts))
+
+
 def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2, pause: float = 1.0, limits: Limits | None = None) -> DataFrame:
     """rows(prompt, text, ...) with answer, success, retry_count, duration (seconds); waits pause * 2**k between attempts.
 
-    limits: see Limits; without, a task asks one row at a time and as fast as the model answers. A method that answers with
-    (text, prompt tokens, completion tokens) fills `tokens`, the sum over all attempts' answers; else it is null.
+    limits: see Limits; without, a task asks one row at a time and as fast as the model answers. tokens: as the answer tells (said_text), else null.
     """
     ship(rows.sparkSession)
     names = [f.name for f in rows.schema.fields]
     rows, at_once, per_minute = dealt(rows, limits)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = getattr(model, method)
+        ask = getattr(model, method, None)
         bucket = TokenBucket(per_minute) if per_minute else None
 
         def one(prompt: str, text: str) -> tuple[str, bool, int, float, int | None]:
@@ -104,8 +120,7 @@ def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2,
                 try:
                     if bucket:
                         bucket.acquire()
-                    said = ask(prompt, text)
-                    answer, tokens = (said, None) if isinstance(said, str) else (said[0], sum(said[1:]))
+                    answer, tokens = said_text(ask(prompt, text))
                     return answer, True, k, time.monotonic() - began, tokens
                 except Exception as e:  # noqa: BLE001 any failure of a model is a row's failure
                     answer = f"[翻译失败: {e}]"

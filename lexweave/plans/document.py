@@ -92,6 +92,43 @@ def judged(runs: DataFrame, judge: translate.TextModel, template: str) -> DataFr
     return told.select("sample_id", *[X.score(F.col("answer"), n).alias(n) for n in ("accuracy", "fluency", "terminology")], X.rationale(F.col("answer")).alias("rationale"))
 
 
+def variants_run(samples: DataFrame, terms: DataFrame, model: translate.TextModel, analyst: translate.TextModel | None = None, checker: translate.TextModel | None = None, **options) -> DataFrame:
+    """samples(sample_id, text) -> comparison, variant, sample_id, source, translation, total_tokens, latency_s, calls: six runs of every sample.
+
+    A variant changes what its name says: without roles there is neither analyst nor repair, without the glossary no term. Both engines
+    are the same plan here, and differ by their name alone.
+    """
+    docs, out = samples.select(F.col("sample_id").alias("doc_id"), "text"), None
+    for ordinal, (comparison, variant) in enumerate(reporting.COMPARISONS):
+        roles, known = (comparison, variant) != ("roles", "off"), terms.limit(0) if (comparison, variant) == ("glossary", "off") else terms
+        told = translated_chunks(docs, known, model, analyst if roles else None, checker, qa=roles, name=f"{comparison}-{variant}", **options)
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "translation"))), lambda x: x["translation"]), "\n\n")
+        source = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "original"))), lambda x: x["original"]), "\n\n")
+        calls = F.sum(1 + F.col("retry_count") + F.col("repaired").cast("int"))
+        run = told.groupBy(F.col("doc").alias("sample_id")).agg(source.alias("source"), whole.alias("translation"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.round(F.sum("duration"), 3).alias("latency_s"), calls.alias("calls"))
+        run = run.select(F.lit(ordinal).alias("ordinal"), F.lit(comparison).alias("comparison"), F.lit(variant).alias("variant"), "*")
+        out = run if out is None else out.unionByName(run)
+    return out
+
+
+def comparison_groups(aggregates: DataFrame) -> DataFrame:
+    """aggregates(comparison, ordinal, variant, ...) -> comparison, variants: a list in their order."""
+    columns = [c for c in aggregates.columns if c not in ("comparison", "ordinal")]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*columns).alias("v")))), lambda x: x["v"])
+    return aggregates.groupBy("comparison").agg(F.min("ordinal").alias("ordinal"), listed.alias("variants"))
+
+
+def report_json(aggregates: DataFrame, summary: DataFrame, phrases: DataFrame, spent: DataFrame, meta: dict[str, str] | None = None) -> DataFrame:
+    """One row, json: meta, comparisons, consistency with its phrases (by count, then phrase) and cost, as an object."""
+    groups = comparison_groups(aggregates).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "comparison", "variants"))), lambda g: F.struct(g["comparison"].alias("name"), g["variants"].alias("variants"))).alias("comparisons"))
+    told = phrases.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("o"), "phrase", "occurrences", "consistent", "signature"))), lambda p: F.struct(*[p[c].alias(c) for c in ("phrase", "occurrences", "consistent", "signature")])).alias("phrases"))
+    # Each side is one row.
+    both = summary.crossJoin(told).select(F.struct("rate", F.col("total").alias("total_phrases"), F.col("consistent").alias("consistent_phrases"), "decision", "phrases").alias("consistency"))
+    paid = spent.select(F.struct("total_tokens", F.col("calls").alias("total_calls")).alias("cost"))
+    about = F.create_map(*[F.lit(x) for pair in sorted((meta or {}).items()) for x in pair]) if meta else F.create_map().cast("map<string,string>")
+    return groups.crossJoin(both).crossJoin(paid).select(F.to_json(F.struct(about.alias("meta"), "comparisons", "consistency", "cost")).alias("json"))
+
+
 def report(aggregates: DataFrame, summary: DataFrame, phrases: DataFrame, spent: DataFrame) -> str:
     """The text of an evaluation's report; six score lines, one summary and thirty phrases reach the driver."""
     rows = aggregates.select("ordinal", "comparison", reporting.variant_line(F.col("variant")).alias("line")).orderBy("ordinal").collect()

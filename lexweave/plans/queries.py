@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.operators import artifacts, chunking, evaluation, markdown, prompts, rendering, reporting, tasks, translate
+from lexweave.operators import artifacts, assets, chunking, evaluation, markdown, prompts, rendering, reporting, tasks, translate
 from lexweave.operators import glossary as G
 from lexweave.plans import document
 from lexweave.sources import scans, sinks
@@ -475,14 +475,151 @@ def html_export(spark, sf):
     return pages.select("doc", F.sha2("html", 256).alias("html"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '![a](assets/1/f' || doc_id % 4 || '.png)' ELSE '![a](x/none.png)' END AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id % 4 || '.png' ELSE '' END AS assets FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '![a](assets/' || doc_id || '/f' || doc_id % 4 || '.png)' ELSE '![a](x/none.png)' END AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id % 4 || '.png' ELSE '' END AS assets FROM documents")
 def asset_sync(spark, sf):
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("![a](x/f"), (F.col("doc_id") % 4).cast("string"), F.lit(".png)"))).otherwise(F.lit("![a](x/none.png)"))
-    files = spark.range(4).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".png")).alias("name"), F.lit(0).alias("priority"), F.lit("/p").alias("path"))
-    out = markdown.synced_assets(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("markdown")), files, "assets/1")
+    files = spark.range(4).select(F.concat(F.lit("p/f"), F.col("id").cast("string"), F.lit(".png")).alias("path"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("markdown"), F.array(F.lit("q"), F.lit("p")).alias("roots"))
+    out = assets.synced(docs, assets.resolved_images(docs, files), "assets")
     return out.select(F.col("doc").alias("doc_id"), "markdown", F.array_join("assets", ",").alias("assets"))
 
 
+def image_documents(spark, sf) -> DataFrame:
+    """Each document names one image, and one that no one has."""
+    doc = F.col("doc_id")
+    return table(spark, sf, "documents").select(doc.alias("doc"), F.concat(F.lit("![](x/f"), doc.cast("string"), F.lit(".png) ![b](none.png)")).alias("markdown"), assets.asset_roots("res", "tmp", doc).alias("roots"))
+
+
+def image_files(spark, sf) -> DataFrame:
+    d = F.col("doc_id").cast("string")
+    at = lambda n, *parts: F.when(F.col("doc_id") % n == 0, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("f"), d, F.lit(".png")))
+    own = F.array(at(3, "res/assets/", d, "/"), at(5, "tmp/", d, "/images/x/"), at(7, "tmp/", d, "/deep/er/"), at(11, "elsewhere/"))
+    return table(spark, sf, "documents").select(F.explode(F.filter(own, lambda p: p.isNotNull())).alias("path"))
+
+
+FOUND = "CASE WHEN doc_id % 3 = 0 THEN 'res/assets/' || doc_id || '/f' WHEN doc_id % 5 = 0 THEN 'tmp/' || doc_id || '/images/x/f' WHEN doc_id % 7 = 0 THEN 'tmp/' || doc_id || '/deep/er/f' END || doc_id || '.png'"
+
+
+@query(f"SELECT * FROM (SELECT doc_id, 'x/f' || doc_id || '.png' AS link, {FOUND} AS path FROM documents) WHERE path IS NOT NULL")
+def image_resolution(spark, sf):
+    """Links by their path, by their name, and by a search below the folders."""
+    return assets.resolved_images(image_documents(spark, sf), image_files(spark, sf)).withColumnRenamed("doc", "doc_id")
+
+
+@query(f"""SELECT doc_id, sha256('<p><img src="' || CASE WHEN {FOUND} IS NULL THEN 'x/f' || doc_id || '.png' ELSE 'data:image/png;base64,' || base64(encode(substr(text, 1, 40))) END || '" alt="f' || doc_id || '"> <img src="none.png" alt="b"></p>') AS html FROM documents""")
+def html_inline(spark, sf):
+    """Pages whose found images are part of them; a text's beginning stands for the image's bytes."""
+    docs = image_documents(spark, sf)
+    found = assets.resolved_images(docs, image_files(spark, sf))
+    bytes_of = found.join(table(spark, sf, "documents"), F.col("doc") == F.col("doc_id")).select("path", F.encode(F.substring("text", 1, 40), "UTF-8").alias("content"))
+    pages = docs.select("doc", X.markdown_to_html(F.col("markdown")).alias("html"))
+    return assets.inlined(pages, found, bytes_of).select(F.col("doc").alias("doc_id"), F.sha2("html", 256).alias("html"))
+
+
+@query(f"SELECT m.doc, m.markdown AS mono, d.markdown AS dual FROM ({ORACLE['bilingual_to_mono']}) m JOIN ({ORACLE['render_bilingual']}) d USING (doc)")
+def variant_backfill(spark, sf):
+    """Results that lack a variant, or whose mono one is a bilingual text, get both."""
+    whole = rendering.render(conversation_results(spark, sf), True)
+    old = whole.select("doc", (F.col("doc") % 2 == 0).alias("bilingual"), F.when(F.col("doc") % 4 == 0, F.col("markdown")).alias("mono"), F.when(F.col("doc") % 4 != 0, F.col("markdown")).alias("dual"))
+    return rendering.backfilled(old).select("doc", F.sha2("mono", 256).alias("mono"), F.sha2("dual", 256).alias("dual"))
+
+
+@query("""SELECT conv_id AS doc, sha256(coalesce(string_agg('译文：' || text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE turn % 5 <> 4), '')) AS translation,
+coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (WHERE turn % 5 = 4), '') AS failed, count(*) FILTER (WHERE turn % 5 <> 4) AS ok, count(*) FILTER (WHERE turn % 5 = 4) AS bad FROM conversations GROUP BY conv_id""")
+def run_result(spark, sf):
+    r = document.run_result(conversation_results(spark, sf))
+    return r.select("doc", F.sha2("translation", 256).alias("translation"), F.array_join(F.col("failed_chunks").cast("array<string>"), ",").alias("failed"), "ok", "bad")
+
+
+WORDS = prompts.Wording()
+REPAIR_SQL = f"""'{WORDS.repairer}' || chr(10) || chr(10) || '[Section]' || chr(10) || role || chr(10) || chr(10) || '[Original]' || chr(10) || text || chr(10) || chr(10) || '[Translation]' || chr(10) || '译文' || chr(10) || chr(10) || '[Issues]' || chr(10) ||
+CASE WHEN turn % 2 = 0 THEN '- [high] untranslated a b' || chr(10) || '- [medium] terminology x -> y' ELSE '- [low] repetition r' END || chr(10) || chr(10) || '[Glossary]' || chr(10) || CASE WHEN turn % 3 = 0 THEN '- x: y' ELSE '（无术语表）' END || chr(10) || chr(10) || '{prompts.numbered(WORDS.repair).replace(chr(10), "' || chr(10) || '")}'"""
+
+
+@query(f"SELECT conv_id, turn, sha256({REPAIR_SQL}) AS prompt FROM conversations")
+def repair_prompts(spark, sf):
+    """What a checker is asked: every issue and term is in it."""
+    kind = lambda k, w, m: F.struct(F.lit(k).alias("kind"), F.lit(w).alias("severity"), F.lit(m).alias("message"))
+    issues = F.when(F.col("turn") % 2 == 0, F.array(kind("untranslated", "high", "a b"), kind("terminology", "medium", "x -> y"))).otherwise(F.array(kind("repetition", "low", "r")))
+    known = F.when(F.col("turn") % 3 == 0, F.array(F.struct(F.lit("x").alias("term"), F.lit("y").alias("rendering")))).otherwise(F.array().cast("array<struct<term:string,rendering:string>>"))
+    asked = prompts.repair_prompt(WORDS, F.col("text"), F.lit("译文"), issues, known, X.breadcrumb(F.array("role")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(asked, 256).alias("prompt"))
+
+
+# --- the task table and conversions ---------------------------------------------------------------------------------
+
+
+def whole_tasks(spark, sf) -> DataFrame:
+    """Orders as tasks with all columns, each with an error."""
+    t = order_tasks(spark, sf).withColumns({"task_id": F.col("task_id").cast("string"), "filename": F.concat(F.lit("o"), F.col("task_id").cast("string"), F.lit(".epub")), "bilingual": F.col("task_id") % 2 == 0, "error": F.lit("old")})
+    return tasks.migrated(t)
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS task_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new.md' ELSE 'o' || o_orderkey || '.epub' END AS filename, CASE WHEN o_orderkey % 3 = 0 THEN 'pending' ELSE {STATUS} END AS status, 0 AS progress_current FROM orders""")
+def task_insert(spark, sf):
+    """New tasks are taken where their id is new; columns that they lack have their defaults."""
+    old = whole_tasks(spark, sf)
+    new = old.select("task_id", F.lit("new.md").alias("filename"), F.lit("pending").alias("status"))
+    return tasks.migrated(tasks.insert(old.filter("cast(task_id as long) % 3 <> 0"), new)).select("task_id", "filename", "status", "progress_current")
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS task_id, {STATUS} AS status FROM orders WHERE o_orderkey IN (SELECT user_id FROM events)")
+def task_lookup(spark, sf):
+    ids = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("task_id"))
+    return tasks.by_id(whole_tasks(spark, sf), ids).select("task_id", "status")
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k, {STATUS} AS s, o_orderdate AS d FROM orders), c AS (SELECT *, k % 7 = 0 AND s IN ('pending', 'processing') AS gone, row_number() OVER (PARTITION BY s = 'pending' AND NOT (k % 7 = 0) ORDER BY d, CAST(k AS VARCHAR)) AS n FROM t)
+SELECT CAST(k AS VARCHAR) AS task_id, CASE WHEN gone THEN 'cancelled' WHEN s = 'pending' AND n <= 5 THEN 'processing' WHEN s = 'processing' AND d < TIMESTAMP '1998-01-01' - INTERVAL 900 SECOND THEN 'pending' ELSE s END AS status,
+CASE WHEN gone THEN '{tasks.CANCELLED}' WHEN s = 'pending' AND n <= 5 THEN NULL WHEN s = 'processing' AND d < TIMESTAMP '1998-01-01' - INTERVAL 900 SECOND THEN '{tasks.REQUEUED}' ELSE 'old' END AS error FROM c""")
+def task_messages(spark, sf):
+    """Cancelled, claimed and stale tasks tell why, in this order of changes; those claimed lose their error."""
+    t = whole_tasks(spark, sf)
+    t = tasks.cancel(t, t.filter("cast(task_id as long) % 7 = 0"), now()).drop("changed")
+    t = tasks.claim(t, F.lit("1998-01-01 00:00:00").cast("timestamp"), 5)
+    return tasks.requeue_stale(t, now()).select("task_id", "status", "error")
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS task_id, {STATUS} AS status, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at, 0.0::DOUBLE AS percentage, o_orderkey % 2 = 0 AS bilingual FROM orders""")
+def task_records(spark, sf):
+    return tasks.records(whole_tasks(spark, sf)).select("task_id", "task.status", "task.created_at", "task.progress.percentage", "task.bilingual")
+
+
+@query(f"""SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 5 = 4 THEN 'format' WHEN {STATUS} <> 'completed' THEN 'unfinished' WHEN o_orderkey % 2 = 1 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 1) THEN 'monolingual' END AS refusal,
+'o' || o_orderkey || CASE WHEN o_orderkey % 5 = 1 THEN '.bilingual.html' WHEN o_orderkey % 5 = 2 THEN '.assets.zip' WHEN o_orderkey % 3 = 0 THEN '.bilingual.md' ELSE '.cn.md' END AS name FROM orders""")
+def download_guards(spark, sf):
+    k = F.col("task_id").cast("long")
+    form = F.when(k % 5 == 4, "doc").when(k % 5 == 1, "html").when(k % 5 == 2, "zip").otherwise("md")
+    variant = F.when(k % 3 == 0, "bilingual").otherwise("mono")
+    t = whole_tasks(spark, sf)
+    return t.select(k.alias("task_id"), sinks.download_refusal(F.col("status"), F.col("bilingual"), form, variant).alias("refusal"), sinks.result_name(F.col("filename"), form, variant).alias("name"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 10 = 0 THEN NULL ELSE sha256(html) END AS markdown, CASE WHEN page_id % 10 = 0 THEN 'broken' END AS error FROM pages WHERE page_id % 3 > 0""")
+def converted_pages(spark, sf):
+    """Pages as files of three types through a converter that fails on every tenth; Markdown files aren't converted."""
+    page = F.col("page_id")
+    files = table(spark, sf, "pages").select(F.concat(F.lit("in/"), page.cast("string"), F.when(page % 3 == 0, ".md").when(page % 3 == 1, ".epub").otherwise(".PDF")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+
+    def convert(path: str, content: bytes) -> str:
+        if path.split("/")[1].split(".")[0].endswith("0"):
+            raise ValueError("broken")
+        return content.decode()
+
+    out = scans.converted(files, convert)
+    return out.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("page_id"), F.sha2("markdown", 256).alias("markdown"), "error")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'tmp/' || page_id || '/p' || page_id || '.md' ELSE 'tmp/' || page_id || '/a/b.md' END AS reuse FROM pages WHERE page_id % 3 = 1 AND (page_id % 2 = 0 OR page_id % 5 = 0)""")
+def reusable_conversions(spark, sf):
+    """What earlier conversions of EPUBs left: a file of the source's name, or the first other one; empty files don't count."""
+    page, own = F.col("page_id"), F.col("page_id").cast("string")
+    sources = table(spark, sf, "pages").select(page.alias("doc"), F.concat(F.lit("in/p"), own, F.when(page % 3 == 1, ".EPUB").otherwise(".pdf")).alias("path"), F.concat(F.lit("tmp/"), own).alias("folder"))
+    left = F.array(F.struct(F.concat(F.lit("tmp/"), own, F.lit("/p"), own, F.lit(".md")).alias("path"), F.when(page % 2 == 0, 5).otherwise(0).alias("length")), F.struct(F.concat(F.lit("tmp/"), own, F.lit("/a/b.md")).alias("path"), F.when(page % 5 == 0, 7).otherwise(0).alias("length")), F.struct(F.concat(F.lit("tmp/"), own, F.lit("/z.md")).alias("path"), F.when(page % 5 == 0, 7).otherwise(0).alias("length")))
+    files = table(spark, sf, "pages").select(F.inline(left))
+    return scans.reusable(sources, files).withColumnRenamed("doc", "page_id")
+
+
 @query("SELECT doc_id, lang AS summary, CASE WHEN doc_id % 2 = 0 THEN 'a,b,c,d' ELSE '' END AS style_notes, 'f' AS fallback FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, '', '', 'f' FROM documents WHERE doc_id % 3 = 0")
 def profile_parse(spark, sf):
     notes = F.when(F.col("doc_id") % 2 == 0, '["a ", "", "b", "c", "d", "e"]').otherwise("[]")

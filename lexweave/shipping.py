@@ -19,10 +19,12 @@ def ship(spark: SparkSession | None = None) -> None:
     bound at Spark's default, it is set to BATCH for the session's life.
     """
     spark = spark or SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext.applicationId in _shipped:
+    if spark is None:
         return
     if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, BATCH)
+    if spark.sparkContext.applicationId in _shipped:
+        return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     stage = tempfile.mkdtemp(prefix="lexweave-ship-")
     shutil.copytree(os.path.join(top, "lexweave"), os.path.join(stage, "in", "lexweave"), ignore=shutil.ignore_patterns("__pycache__"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,41 @@ def glossary_json(glossary: DataFrame) -> DataFrame:
     return glossary.groupBy("glossary_id").agg(F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}")).alias("json"))
 
 
-def write_texts(documents: DataFrame, path: str, text_col: str = "markdown", id_col: str = "doc") -> None:
-    """A folder a document below path, written by the tasks that hold them; rerun tasks replace what lost ones left."""
-    documents.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("doc").text(path)
+def download_refusal(status: Column, bilingual: Column, form: Column, variant: Column) -> Column:
+    """Why a result can't be downloaded, null where it can; a status of null is a result without a task, which is only bound by form and variant."""
+    return (
+        F.when(~form.isin("md", "html", "zip"), "format")
+        .when(~variant.isin("mono", "bilingual"), "variant")
+        .when(status.isNotNull() & ~status.isin("completed", "partial_success"), "unfinished")
+        .when(status.isNotNull() & ~F.coalesce(bilingual, F.lit(False)) & ((variant == "bilingual") | (form == "html")), "monolingual")
+    )
+
+
+def result_name(filename: Column, form: Column, variant: Column) -> Column:
+    """What a downloaded result is called."""
+    end = F.when(form == "html", ".bilingual.html").when(form == "zip", ".assets.zip").when(variant == "bilingual", ".bilingual.md").otherwise(".cn.md")
+    return F.concat(download_name(filename), end)
+
+
+def edited_glossaries(stored: DataFrame, written: DataFrame, removed: DataFrame) -> DataFrame:
+    """stored(glossary_id, json) after overwrites by written(glossary_id, json) and deletions of removed(glossary_id)."""
+    kept = stored.join(written.select("glossary_id").distinct(), "glossary_id", "left_anti").select("glossary_id", "json")
+    return kept.unionByName(written.select("glossary_id", "json")).join(removed.select("glossary_id").distinct(), "glossary_id", "left_anti")
+
+
+def write_texts(documents: DataFrame, path: str, text_col: str = "markdown", id_col: str = "doc", groups: int = 256) -> None:
+    """documents as JSON lines of (doc, text) in `groups` folders by a hash of their id, so that single documents are found by theirs.
+
+    Tasks write what they hold, in as many folders as they meet; no folder a document. What lies at path is replaced.
+    """
+    group = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(groups)).cast("int")
+    documents.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text"), group.alias("part")).repartition("part").write.mode("overwrite").partitionBy("part").json(path)
+
+
+def read_text(spark: SparkSession, path: str, doc: str, groups: int = 256) -> DataFrame:
+    """One document of write_texts(), from its folder alone."""
+    rows = spark.read.schema("doc string, text string, part int").json(path)
+    return rows.filter((F.col("part") == F.pmod(F.xxhash64(F.lit(doc)), F.lit(groups))) & (F.col("doc") == doc)).drop("part")
 
 
 def write_pages(documents: DataFrame, path: str) -> None:
