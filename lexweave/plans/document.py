@@ -143,6 +143,7 @@ def report(aggregates: DataFrame, summary: DataFrame, phrases: DataFrame, spent:
 
 
 def consistency_of(results: DataFrame, terms: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """results(idx, original, translation) of one document -> (phrases, summary)."""
+    """results(idx, original, translation, [success]) of one document -> (phrases, summary). Failed chunks have no translation to compare."""
+    results = results.filter("success") if "success" in results.columns else results
     phrases = evaluation.phrase_consistency(results.select(F.col("idx").cast("long").alias("seg"), F.col("original").alias("source"), "translation"), terms)
     return phrases, evaluation.consistency_summary(phrases, threshold)

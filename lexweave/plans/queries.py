@@ -11,6 +11,7 @@ from lexweave.operators import glossary as G
 from lexweave.plans import document
 from lexweave.sources import scans, sinks
 from lexweave.streaming import ordered
+from lexweave.tables import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -756,3 +757,85 @@ def translated_documents(spark, sf):
     """Every document planned, translated by the stub, checked, repaired and rendered."""
     out = document.translated_documents(table(spark, sf, "documents").select("doc_id", "text"), terms(spark), bilingual=True)
     return out.select("doc", F.char_length("markdown").alias("chars"), F.sha2("markdown", 256).alias("sha256"))
+
+
+# --- rules of issues, prompts, calls and their cache ----------------------------------------------------------------
+
+KINDS = {"untranslated": ("high", 2), "terminology": ("medium", 3), "markdown": ("high", 5), "repetition": ("low", 7)}
+WEIGHT = " + ".join(f"CASE WHEN {{0}} % {n} = 0 THEN {dict(high=3, medium=2, low=1)[w]} ELSE 0 END" for w, n in KINDS.values())
+
+
+@query(f"""SELECT doc_id, {WEIGHT.format('doc_id')} AS severity, doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 AS repairs, {WEIGHT.format('doc_id')} <= {WEIGHT.format('(doc_id + 1)')} AS better FROM documents""")
+def issue_severity(spark, sf):
+    """Weights of issues, which of them ask for a repair, and whether a report is no worse than another."""
+    found = lambda n: F.filter(F.array(*[X.issue(n % m == 0, kind, weight, F.lit("m")) for kind, (weight, m) in KINDS.items()]), lambda i: i.isNotNull())
+    own, other = found(F.col("doc_id")), found(F.col("doc_id") + 1)
+    return table(spark, sf, "documents").select("doc_id", X.severity_score(own).alias("severity"), X.should_repair(own).alias("repairs"), X.is_better(own, other).alias("better"))
+
+
+@query(f"""SELECT conv_id, turn, sha256('{WORDS.translator}' || chr(10) || chr(10) || '[Profile]' || chr(10) || '文档摘要: ' || role || chr(10) || chr(10) || '[Glossary]' || chr(10) || '- x: y' || chr(10) || chr(10) || '[Section]' || chr(10) || 'A > ' || role || chr(10) || chr(10) || '[Context]' || chr(10) || text || chr(10) || chr(10) || '{prompts.numbered(WORDS.translation).replace(chr(10), "' || chr(10) || '")}') AS prompt FROM conversations""")
+def translation_prompts(spark, sf):
+    none = F.array().cast("array<string>")
+    profile = F.struct(F.col("role").alias("summary"), none.alias("style_notes"), none.alias("terminology_hints"), none.alias("section_overview"))
+    known = F.array(F.struct(F.lit("x").alias("term"), F.lit("y").alias("rendering")))
+    asked = prompts.translation_prompt(WORDS, profile, known, X.breadcrumb(F.array(F.lit("A"), "role")), F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(asked, 256).alias("prompt"))
+
+
+@query("""SELECT page_id, sha256(CASE WHEN page_id % 2 = 0 THEN html ELSE 'a' || chr(10) || html END) AS body FROM pages""")
+def template_bodies(spark, sf):
+    """A template's text is what follows its first line of three dashes."""
+    raw = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("name: x\n---\n\n"), "html", F.lit("\n"))).otherwise(F.concat(F.lit(" a\n"), "html", F.lit(" \n\n")))
+    return table(spark, sf, "pages").select("page_id", F.sha2(prompts.template_body(raw), 256).alias("body"))
+
+
+@query("""SELECT doc_id, doc_id % 4 IN (1, 2) AS accepted, CASE WHEN doc_id % 4 IN (1, 2) THEN sha256(text) END AS body FROM documents""")
+def submission_bodies(spark, sf):
+    """Exactly one of a text and its base64 is taken."""
+    kind = F.col("doc_id") % 4
+    given = table(spark, sf, "documents").select("doc_id", F.when(kind % 2 == 1, F.col("text")).alias("text"), F.when(kind >= 2, F.base64(F.encode("text", "UTF-8"))).alias("content_base64"))
+    return scans.submissions(given).select("doc_id", "accepted", F.sha2("body", 256).alias("body"))
+
+
+@query("""SELECT conv_id, turn, sha256(array_to_string(list_transform(list_filter(string_split(text || chr(10) || '![a](p' || turn || '.png)' || chr(10) || chr(10) || '![b](q.png)', chr(10)), lambda x: NOT (turn % 2 = 0 AND x = '![a](p' || turn || '.png)')), lambda x: CASE WHEN trim(x) = '' THEN x ELSE '> ' || x END), chr(10)) || chr(10) || chr(10) ||
+CASE WHEN turn % 2 = 0 THEN '译 ![z](p' || turn || '.png)' ELSE '译' END || chr(10) || chr(10) || '---') AS part FROM conversations""")
+def streamed_parts(spark, sf):
+    """Chunks as they are streamed: an image that the translation has is left out of the quoted source."""
+    image = F.concat(F.lit("p"), F.col("turn").cast("string"), F.lit(".png"))
+    source = F.concat("text", F.lit("\n![a]("), image, F.lit(")\n\n![b](q.png)"))
+    told = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("译 ![z]("), image, F.lit(")"))).otherwise(F.lit("译"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(rendering.stream_format(source, told), 256).alias("part"))
+
+
+class FlakyModel:
+    """Fails on prompts of kind 2, and once on those of kind 1; tells its tokens."""
+
+    def __init__(self) -> None:
+        self.asked: dict[tuple[str, str], int] = {}
+
+    def translate(self, prompt: str, text: str) -> tuple[str, int, int]:
+        n = self.asked[prompt, text] = self.asked.get((prompt, text), 0) + 1
+        if prompt == "2" or (prompt == "1" and n == 1):
+            raise ValueError("down")
+        return text.upper(), 1, 2
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '[翻译失败: down]' ELSE upper(event_type) || event_id END AS answer, event_id % 3 <> 2 AS success, CAST(event_id % 3 AS INT) AS retry_count, CASE WHEN event_id % 3 <> 2 THEN 3 ELSE 0 END::BIGINT AS tokens FROM events""")
+def model_calls(spark, sf):
+    """Answers, failures, retries and tokens of a model that fails now and then, asked by several tasks at once."""
+    rows = table(spark, sf, "events").select("event_id", (F.col("event_id") % 3).cast("string").alias("prompt"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
+    told = translate.call_model(rows, FlakyModel(), "translate", 2, 0.0, translate.Limits(10, None))
+    return told.select("event_id", "answer", "success", "retry_count", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+TURN_TERMS = f"EXISTS (SELECT 1 FROM {TERMS_SQL} WHERE contains(lower(text), lower(term)))"
+
+
+@query(f"""SELECT conv_id * 1000 + turn AS doc, sha256(CASE WHEN regexp_matches(text, '{SPAN}') OR {TURN_TERMS} THEN '修复后的译文' ELSE '译文：' || text END) AS translation, true AS cached FROM conversations""")
+def cache_replay(spark, sf):
+    """Every turn through the stub, its answers into an empty cache, then again: the second run takes all from the cache."""
+    docs = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    none = spark.createDataFrame([], "cache_key string, cached_translation string")
+    first = document.cache_updates(document.translated_chunks(docs, terms(spark), cache=none))
+    again = document.translated_chunks(docs, terms(spark), cache=written(first, "cache"))
+    return again.select("doc", F.sha2("translation", 256).alias("translation"), "cached")

@@ -17,6 +17,11 @@ def upload_path(task_id: Column, filename: Column, folder: str) -> Column:
     return F.concat(F.lit(folder + "/"), task_id, F.lit("_"), F.regexp_extract(filename, "[^/]*\\z", 0))
 
 
+def glossary_id(name: Column) -> Column:
+    """What a glossary of a name is stored as; another of the same id replaces it."""
+    return F.replace(F.lower(name), F.lit(" "), F.lit("_"))
+
+
 def json_string(value: Column) -> Column:
     """A value quoted as JSON; characters outside ASCII stay."""
     quoted = F.to_json(F.array(value))

@@ -211,6 +211,18 @@ def test_last_verdict_counts(spark):
     assert (r.n, r.mean_accuracy, r.mean_overall) == (1, 4.0, 4.0)
 
 
+def test_many_terms_by_an_automaton(spark):
+    from lexweave.operators import glossary as G
+
+    listed = [(i, f"T{i}x" if i % 7 else "", f"r{i}") for i in range(120)] + [(200, "ÉTÉ", "e"), (201, "t5x", "twice"), (202, None, "none")]
+    known = spark.createDataFrame(listed, "pos int, term string, rendering string")
+    texts = spark.createDataFrame([(1, "a t5X b été t13x"), (2, ""), (3, None), (4, "nothing")], "id long, text string")
+    want = sorted((i, p) for i, t in ((1, "a t5x b été t13x"), (4, "nothing")) for p, term, _ in listed if term is not None and term.lower() in t)
+    for small in (1 << 20, 0):
+        assert sorted((r.id, r.pos) for r in G.matches(texts, known, small=small).collect()) == want
+    assert G.matches(texts, known).columns == ["id", "text", "pos", "term", "rendering"]
+
+
 # tasks
 
 
