@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by ranked merges over the bytes of distinct words, decoding by joining pieces.
 
-A text is cut by the vocabulary's pattern; each distinct word is folded once and its ids are kept in a cache of
-bounded size in the Python worker. Short words are folded together, one merge a round, as numpy arrays; long ones
+A text is cut by the vocabulary's pattern; each distinct word is folded once and its ids are kept in a cache in the Python
+worker, bounded in entries and bytes. Short words are folded together, one merge a round, as numpy arrays; long ones
 by a heap, so that a word of a megabyte takes n log n steps. The ranks go to the workers as a broadcast of the
 vocabulary file (a fixed size, whatever the data).
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .shared import ship
 
 BIG = np.int64(1) << 40
-#: Words longer than this many bytes are folded by the heap; words kept in a worker's cache; texts folded together.
-LONG, CACHE, TOGETHER = 48, 1 << 18, 256
+#: Words longer than this many bytes are folded by the heap; words kept in a worker's cache, and their bytes; texts folded together.
+LONG, CACHE, CACHE_BYTES, TOGETHER = 48, 1 << 18, 64 << 20, 256
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -49,6 +49,7 @@ class Bpe:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def fold_long(self, word: bytes) -> list[int]:
         ids = self.bytes_to_id[np.frombuffer(word, np.uint8)].tolist()
@@ -101,6 +102,7 @@ class Bpe:
     def learn(self, missing: list[str]) -> None:
         """Put words into the cache."""
         short, short_bytes = [], []
+        self.held += sum(map(len, missing))
         for word in missing:
             raw = word.encode()
             if (whole := self.ranks.get(raw)) is not None:
@@ -117,8 +119,9 @@ class Bpe:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         out = []
         for i in range(0, len(texts), TOGETHER):
-            if len(self.cache) > CACHE:
+            if len(self.cache) > CACHE or self.held > CACHE_BYTES:
                 self.cache.clear()
+                self.held = 0
             cut = [self.find(t) for t in texts[i : i + TOGETHER]]
             self.learn(list(set().union(*cut) - self.cache.keys()))
             get = self.cache.__getitem__
@@ -185,7 +188,11 @@ def _small_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: bytes | None = None, pattern: str | None = None) -> DataFrame:
-    """id_col and ids array<int> for every row; a null text counts as empty and has no ids."""
+    """id_col and ids array<int> for every row.
+
+    A null or empty text has no ids; whole texts and words of any length are encoded; repeated rows give equal rows; other columns
+    are ignored, so none can clash. An empty table gives no rows.
+    """
     spark = df.sparkSession
     ship(spark)
     data, pat = spark.sparkContext.broadcast(vocab or vocabulary()), pattern or default_pattern()
@@ -198,7 +205,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab: bytes | None = None) -> DataFrame:
-    """id_col and decoded binary; null ids give empty bytes."""
+    """id_col and decoded binary for every row; null and empty lists give empty bytes. An id that the vocabulary lacks raises.
+
+    Repeated rows give equal rows; other columns are ignored. An empty table gives no rows.
+    """
     spark = df.sparkSession
     ship(spark)
     data, pat = spark.sparkContext.broadcast(vocab or vocabulary()), default_pattern()

@@ -13,7 +13,8 @@ def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> D
 
     Each round hangs every node's larger neighbours on its smallest one, then the smaller ones. Minima are combined before
     they are exchanged; the joins have one row a node on one side, written before, so Spark splits hot nodes.
-    Every round ends in a table in the shared folder.
+    Every round ends in a table in the shared folder. Edges with a null end and loops are dropped, repeated ones count once; an empty
+    table gives no rows. Raises if the sets still change after `rounds` rounds (their number grows with the logarithm of the nodes).
     """
     pairs = ws.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(pairs)

@@ -117,7 +117,11 @@ def tokenizer_file(path: str | None = None) -> bytes:
 
 
 def tokenised_pieces(docs: DataFrame, size: int, end_id: int, file: bytes | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, text -> a row for each piece (PIECES). A document is its ids and end_id; a null text has no ids."""
+    """doc_id, text -> a row for each piece (PIECES). A document is its ids and end_id.
+
+    A null or empty text has no ids but end_id; texts of any length are encoded whole; repeated rows give pieces each; null ids stay
+    null; other columns are ignored. An empty table gives no rows.
+    """
     import public_tokenizers
 
     ship(docs.sparkSession)
@@ -178,7 +182,10 @@ def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", salt_r
 
 
 def pack_documents(docs: DataFrame, size: int = 2048, end_id: int = 1, file: bytes | None = None) -> DataFrame:
-    """Tokenise, cut and pack documents (doc_id, text); one row a piece."""
+    """Tokenise, cut and pack documents (doc_id, text); one row a piece: PIECES, sequence_id and offset.
+
+    Nulls, long texts, repeated rows and other columns as in tokenised_pieces(); ties of rank as in pack(). An empty table gives no rows.
+    """
     ws = Workspace(docs.sparkSession, "packing")
     return pack(ws.save(tokenised_pieces(docs, size, end_id, file), "pieces"), size)
 

@@ -134,7 +134,10 @@ def _stars(fps: list[int], reps: list[int], tree_part: list[bool], radius: int)
 
 
 def link_stars(ws: Workspace, distinct: DataFrame, radius: int, keys: int = 2, tree_rows: int = 1024) -> DataFrame:
-    """distinct(fp, rep), a written table of different fingerprints -> a, b: edges with the components of all pairs within the radius."""
+    """distinct(fp, rep), a written table of different fingerprints -> a, b: edges with the components of all pairs within the radius.
+
+    rep must not be null. Equal fingerprints on several rows are compared like others. Other columns are ignored; an empty table gives no rows.
+    """
     blocks = keys + radius
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen) for chosen in combinations(range(blocks), keys)]
