@@ -19,7 +19,7 @@ import ipaddress
 import re
 import secrets
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,6 +54,12 @@ CUED = re.compile(
     rf"(?:[ \t]*+[:,][ \t]*+\n?[ \t]*+|[ \t]++)|(?m:^)(?:From|To|Cc|Bcc):[ \t]*+\"?){_full}"
 )
 ADDRESSED = re.compile(rf"(?:^|(?<=[\n:;,>\"]))[ \t]*+\"?{_full}\"?[ \t]*+[<(]\Z")
+#: Whole words of which one must be in a text, or parts of words, before its longer patterns are tried.
+TITLE_WORDS, TITLE_PARTS = {t for t in GENDER if "-" not in t}, [t for t in GENDER if "-" in t]
+CUE_WORDS, CUE_PARTS = {"name", "undersigned", "signed", "sincerely", "regards", "attn", "patient", "author", "interviewed", "befriended", "married", "met"}, ["from:", "to:", "cc:"]
+BIRTH_WORDS, STREET_WORDS = {"born", "birth", "birthday", "birthdate", "dob", "d"}, {"street", "avenue", "ave", "road", "rd", "lane", "drive", "boulevard", "blvd", "court", "square", "terrace", "crescent"}
+STREET_PARTS = ["straße", "strasse", "gasse", "allee"]
+TOKENS = re.compile(r"\w+")
 POSSESSIVE = re.compile(r"['’][sS]$")
 #: A word, and words joined by hyphens or apostrophes.
 WORD = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")
@@ -245,10 +251,10 @@ def titled(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def cued(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def cued(text: str, taken: list[tuple[int, int, str]], cues: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each word of a name without a title that a cue tells: all but the last are given names."""
     found, starts = [], {a for a, _, _ in taken}
-    spans = [m.span(1) for m in CUED.finditer(text)]
+    spans = [m.span(1) for m in CUED.finditer(text)] if cues else []
     for m in EMAIL.finditer(text) if "@" in text else ():
         # The name in front of a bracketed address, within its line.
         if m.start() and text[m.start() - 1] in "<(":
@@ -266,14 +272,15 @@ def cued(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, s
     return found
 
 
-def names(text: str) -> list[tuple[int, int, str]]:
+def names(text: str, low: str, words: set[str]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of names after titles or cues and of every whole-word mention, in any case, of their parts in the text.
 
     A part that is a given name anywhere in the text is one everywhere in it. Where titles tell its gender, a mention
     without one has that of the titled mention before it, or else of the first after it. An initial counts beside another part only.
+    low, words: the text in lower case, and its words.
     """
-    shown = titled(text)
-    shown += cued(text, shown)
+    shown = titled(text) if _has(low, words, TITLE_WORDS, TITLE_PARTS) else []
+    shown += cued(text, shown, _has(low, words, CUE_WORDS, CUE_PARTS))
     if not shown:
         return []
     parts = {text[a:b].casefold() for a, b, _ in shown}
@@ -326,6 +333,10 @@ def _iban_end(m: re.Match) -> int:
     return 0
 
 
+def _has(low: str, words: set[str], whole: set[str], parts: Iterable[str]) -> bool:
+    return not whole.isdisjoint(words) or any(p in low for p in parts)
+
+
 def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order, not overlapping; where two overlap the earlier, then the longer one holds."""
     found: list[tuple[int, int, str]] = []
@@ -337,18 +348,27 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         add("email", EMAIL)
     if "=" in text or ":" in text:
         add("secret", SECRET, 1)
-    if DIGIT.search(text):
+    low = text.lower()
+    words = set(TOKENS.findall(low))
+    digits = len(DIGIT.findall(text)) if DIGIT.search(text) else 0
+    if ":" in text and text.count(":") > 1:
+        found.extend((m.start(), m.end(), "ipv6") for m in IPV6.finditer(text) if _is_ipv6(m[0]))
+    if digits >= 4:
         add("ip", IP)
-        if ":" in text:
-            found.extend((m.start(), m.end(), "ipv6") for m in IPV6.finditer(text) if _is_ipv6(m[0]))
+        if _has(low, words, BIRTH_WORDS, ()):
+            found.extend((m.start(1), m.end(1), "birth") for m in BIRTH.finditer(text) if date_parts(m[1]))
+    if digits >= 7:
         add("phone", PHONE)
-        found.extend((m.start(), m.end(), "card") for m in CARD.finditer(text) if luhn("".join(filter(str.isdecimal, m[0]))))
+        found.extend((m.start(), end, "iban") for m in IBAN.finditer(text) if (end := _iban_end(m)))
+    if digits >= 9:
         add("ssn", SSN)
-        found.extend((m.start(1), m.end(1), "birth") for m in BIRTH.finditer(text) if date_parts(m[1]))
-        found.extend((m.start(m.lastindex), m.end(m.lastindex), "address") for m in STREET.finditer(text))
+    if digits >= 13:
+        found.extend((m.start(), m.end(), "card") for m in CARD.finditer(text) if luhn("".join(filter(str.isdecimal, m[0]))))
+    if digits:
         found.extend((m.start(), m.end(), "secret") for m in HEX.finditer(text) if not (m[0].isdecimal() or m[0].isalpha()))
-        found.extend((m.start(), end, "iban") for m in IBAN.finditer(text) if (end := _iban_end(m)))
-    found.extend(names(text))
+        if _has(low, words, STREET_WORDS, STREET_PARTS):
+            found.extend((m.start(m.lastindex), m.end(m.lastindex), "address") for m in STREET.finditer(text))
+    found.extend(names(text, low, words))
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= end:
