@@ -47,24 +47,26 @@ def emitted_prefix(results: DataFrame, start: int = 0) -> DataFrame:
 
 
 def limiter_waits(calls: DataFrame, rate: float, per: float) -> DataFrame:
-    """calls(key, call_id, at seconds) -> with wait: how long a token bucket of `rate` calls per `per` seconds holds each back."""
+    """calls(key, call_id, at seconds) -> with wait: how long a token bucket of `rate` calls per `per` seconds holds each back.
 
+    A key is a stream of sorted batches of which only the bucket's level is held, so a hot key gathers nothing.
+    """
     ship(calls.sparkSession)
 
-    def simulate(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "call_id"])
-        level, last, waits = rate, None, []
-        for at in frame["at"]:
-            now = max(at, last) if last is not None else at
-            level = min(rate, level + (now - last) * rate / per) if last is not None else rate
-            wait = 0.0
-            if level < 1:
-                wait = (1 - level) * per / rate
-                level = 0.0
-            else:
-                level -= 1
-            last = now + wait
-            waits.append(now - at + wait)
-        return frame.assign(wait=waits)
-
-    return calls.groupBy("key").applyInPandas(simulate, "key long, call_id long, at double, wait double")
+    def simulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, level, last, begun = None, rate, 0.0, False
+        for frame in frames:
+            waits = []
+            for key, at in zip(frame["key"], frame["at"], strict=True):
+                if not begun or key != of:
+                    of, level, last, begun = key, rate, at, True
+                now = max(at, last)
+                level = min(rate, level + (now - last) * rate / per)
+                wait = 0.0 if level >= 1 else (1 - level) * per / rate
+                level = 0.0 if wait else level - 1
+                last = now + wait
+                waits.append(last - at)
+            yield frame.assign(wait=waits)
+
+    ordered = calls.filter("key is not null").select("key", "call_id", "at").repartition("key").sortWithinPartitions("key", "at", "call_id")
+    return ordered.mapInPandas(simulate, "key long, call_id long, at double, wait double")
