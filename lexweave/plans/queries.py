@@ -828,7 +828,7 @@ def model_calls(spark, sf):
     return told.select("event_id", "answer", "success", "retry_count", F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
-TURN_TERMS = f"EXISTS (SELECT 1 FROM {TERMS_SQL} WHERE contains(lower(text), lower(term)))"
+TURN_TERMS = f"EXISTS (SELECT 1 FROM {TERMS_SQL} WHERE contains(lower(text), lower(term)) AND NOT contains('译文：' || text, rendering) AND NOT (trim(split_part(rendering, ' (', 1)) <> '' AND contains('译文：' || text, trim(split_part(rendering, ' (', 1)))))"
 
 
 @query(f"""SELECT conv_id * 1000 + turn AS doc, sha256(CASE WHEN regexp_matches(text, '{SPAN}') OR {TURN_TERMS} THEN '修复后的译文' ELSE '译文：' || text END) AS translation, true AS cached FROM conversations""")
