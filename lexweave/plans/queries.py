@@ -746,7 +746,7 @@ COUNTED = "'# A' || chr(10) || '::: quote' || chr(10) || 'x[]{#a}' || chr(10) ||
 @query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all({COUNTED}, '{p}')){d} AS {n}" for n, p, d in [
     ("headers", "(?m)^#{1,6}[^#\\n]", ""), ("quotes", "(?m)^:::+ *\\{?\\.?(?:quote|blockquote|center|block)\\b", ""), ("contents", "(?m)^:::+ *\\{?\\.?(?:toc|tableofcontents)\\b", ""), ("emphasis", "\\*", ""),
     ("anchors", "\\[\\]\\{#[^}]+\\}", ""), ("comments", "<!--", ""), ("images", "!\\[[^\\]]*\\]\\([^)]+\\)", ""), ("code_blocks", "(?m)^[ \\t]*```", " // 2"),
-]) + " FROM pages")
+]) + ", 1::BIGINT AS enhanced FROM pages")
 def format_counts(spark, sf):
     raw = F.concat(F.lit("# A\n::: quote\nx[]{#a}\n:::\n```\n```\n::: {.toc}\n"), "html")
     return table(spark, sf, "pages").select("page_id", reporting.format_counts(raw).alias("c")).select("page_id", "c.*")
