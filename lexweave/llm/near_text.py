@@ -3,7 +3,7 @@
 At a Jaccard similarity of 0.8 of five-word shingles a 64-bit SimHash differs in about ten bits, beyond what blocks of its
 bits can index: keys of its bits either miss pairs or fill with strangers as the corpus grows. So shards are chosen by
 min-wise keys of the shingles: each of BANDS keys joins ROWS minima under as many orders of the shingles, so two
-texts share a key with probability 1 - (1 - J**6)**22, 0.998 at 0.8, and texts that have nothing in common share none, however
+texts share a key with probability 1 - (1 - J**5)**16, 0.998 at 0.8, and texts that have nothing in common share none, however
 many there are. Keys of one text alone are dropped before anything is sent. A shard is a BK-tree over sketches of
 256 bits; its search follows only edges within the radius. What the trees link are loose groups; inside them, and nowhere
 else, sets of shingles are compared exactly: first with the group's root, then, as Jaccard distances obey the triangle
@@ -16,7 +16,6 @@ prefixes instead: of two sets of similarity 0.8 the least 0.2 n + 1 shingles of
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Workspace, meet_in_parts, ship, sorted_groups
+from .shared import Workspace, conf, meet_in_parts, ship, sorted_groups
 from .simhash import FIND_WORDS, BKTree, bit_counts, lowered
 
 #: Bits of the sketch and a radius that holds a pair of similarity 0.8 (38.8 bits apart, deviation 5.7) but for 1 in 1000.
 SKETCH, RADIUS = 256, 57
 #: Min-wise keys of a text, and the minima that each joins.
-BANDS, ROWS = 22, 6
+BANDS, ROWS = 16, 5
 #: Pairs of sets of up to so many shingles are found exactly, whatever their fingerprints; so is any pair with a set of up to 0.8 times as many.
 FEW = 80
+#: Spark's own runtime Bloom filter, for scans of any size.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
 #: Odd multipliers: each puts 64-bit hashes in another order.
 ORDERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -81,11 +82,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def shards_of(ws: Workspace, reps: DataFrame) -> DataFrame:
-    """reps(rid, sketch, keys) -> key, rid, sketch: the members of each key that more than one has, written."""
+    """reps(rid, keys, held) -> key, rid, held: the members of each key that more than one has, written."""
     keys = reps.select("rid", F.explode("keys").alias("key"))
     shared = ws.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-keys")
     live = ws.save(keys.join(shared, "key", "left_semi"), "live-keys")
-    return ws.save(live.join(reps.select("rid", "sketch"), "rid").select("key", "rid", "sketch"), "shards")
+    return ws.save(live.join(reps.select("rid", "held"), "rid").select("key", "rid", "held"), "shards")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tree_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,18 +112,18 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tree
                 large = len(h) > similarity * FEW
                 sets.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sketches.append(sketch(h) if large else None)
-                few.append(h.tobytes() if 0 < len(h) <= FEW else None)
+                few.append(h.view(np.int64) if 0 < len(h) <= FEW else None)
                 keys.append(band_keys(h) if large else None)
-            columns = [pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(few, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(few, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "text_key", "same", "sketch", "few", "keys"])
 
-    rows = ws.save(slim.mapInArrow(prints, "id long, text_key long, same binary, sketch binary, few binary, keys array<long>"), "fingerprints")
+    rows = ws.save(slim.mapInArrow(prints, "id long, text_key long, same binary, sketch binary, few array<long>, keys array<long>"), "fingerprints")
     # Rows of equal sets are one from here on: a small table, which the tasks of a hot set combine before the exchange.
     reps = rows.groupBy("same").agg(F.min(F.struct("id", "text_key")).alias("at"), *[F.any_value(c).alias(c) for c in ("sketch", "few", "keys")])
     reps = ws.save(reps.withColumn("rid", F.monotonically_increasing_id()), "distinct")
-    shards = shards_of(ws, reps.filter("keys is not null"))
+    shards = shards_of(ws, reps.filter("keys is not null").select("rid", "keys", F.col("sketch").alias("held")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = meet_in_parts(ws, shards, ["key"], "rid", tree_rows).select("key", "part", "other", "inside", "rid", "sketch")
+    dealt = meet_in_parts(ws, shards, ["key"], "rid", tree_rows).select("key", "part", "other", "inside", "rid", "held")
     dealt = dealt.repartition(n, "key", "part", "other").sortWithinPartitions("key", "part", "other")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +138,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tree
 
     loose = ws.save(connected_components(ws, ws.save(dealt.mapInArrow(search, "a long, b long"), "loose-links")), "loose")
     placed = reps.select("rid", "at.id", "at.text_key").join(loose, F.col("rid") == F.col("node")).select("rid", F.col("component").alias("loose"), F.col("id").alias("r_id"), F.col("text_key").alias("r_key"))
-    members = slim.join(ws.save(placed, "placed"), (F.col("id") == F.col("r_id")) & (F.col("text_key") == F.col("r_key"))).select("rid", "loose", "text")
+    # Most texts are in no loose group: where texts must be exchanged for this join, a Bloom filter of the groups' ids goes before.
+    placed = ws.save(placed, "placed").filter("rid >= 0")
+    members = slim.join(placed, (F.col("id") == F.col("r_id")) & (F.col("text_key") == F.col("r_key"))).select("rid", "loose", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t, shingle).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["rid", "loose", "shingles"])
 
-    members = ws.save(members.mapInArrow(to_sets, "rid long, loose long, shingles binary"), "members")
+    with conf(spark, BLOOM):
+        members = ws.save(members.mapInArrow(to_sets, "rid long, loose long, shingles binary"), "members")
     # One root a group, so this join has one row a key on one side.
     roots = ws.save(members.filter("rid = loose").groupBy("loose").agg(F.any_value("shingles").alias("root")), "roots")
 
@@ -173,22 +177,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tree
 
     links = ws.save(links.unionByName(met.mapInArrow(compare, "a long, b long")), "links")
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                keys, ids, packed = [], [], []
-                for rid, few in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
-                    h = np.frombuffer(few, np.int64)
-                    n = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
-                    keys += h[: min(n, len(h))].tolist()
-                    ids += [rid] * min(n, len(h))
-                    packed += [few] * min(n, len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["key", "rid", "shingles"])
-
-    short = ws.save(reps.filter("few is not null").select("rid", "few").mapInArrow(prefixes, "key long, rid long, shingles binary"), "prefixes")
-    at = meet_in_parts(ws, short, ["key"], "rid", 128).select("key", "part", "other", "inside", "rid", "shingles")
+    # Sets of few shingles: members of the same prefix shingle, with their whole sets.
+    n_prefix = (F.size("few") - F.ceil(similarity * F.size("few") - 1e-6) + 1).cast("int")
+    short = shards_of(ws, reps.filter("few is not null").select("rid", F.slice("few", F.lit(1), F.least(n_prefix, F.size("few"))).alias("keys"), F.col("few").alias("held")))
+    at = meet_in_parts(ws, short, ["key"], "rid", 128).select("key", "part", "other", "inside", "rid", "held")
     at = at.repartition(n, "key", "part", "other").sortWithinPartitions("key", "part", "other")
-    near = ws.save(connected_components(ws, ws.save(links.unionByName(at.mapInArrow(compare, "a long, b long")), "all-links")), "near")
+
+    def compare_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, other, inside, ids, held in sorted_groups(batches, 3):
+            yield _pairs(_exact(ids, [np.asarray(h).view(np.uint64) for h in held.tolist()], inside.astype(bool), part[0] == other[0], similarity))
+
+    near = ws.save(connected_components(ws, ws.save(links.unionByName(at.mapInArrow(compare_few, "a long, b long")), "all-links")), "near")
     # Rows of a set take its group; a group of one row isn't one.
     groups = ws.save(reps.select("same", "rid").join(near, F.col("rid") == F.col("node"), "left").select("same", F.coalesce("component", "rid").alias("c")), "sets")
     placed = ws.save(rows.select("id", "text_key", "same").join(groups, "same").select("id", "text_key", "c").distinct(), "rows")

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.shipping import ship
+
+__all__ = ["Workspace", "conf", "meet_in_parts", "salted_rank", "shared_root", "ship", "sorted_blocks", "sorted_groups"]
 _own: list[str] = []
 
 
@@ -76,26 +81,17 @@ def salted_rank(counts: DataFrame, group: list[str], salt: str, n: str) -> DataF
     return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0)))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once an application, and bound the batches they get."""
-    import os
-    import shutil
-
-    # Rows of texts reach Python in batches of at most this size, however long the texts are.
-    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-    if spark.conf.get(key) == default:
-        spark.conf.set(key, "8m")
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    stage = tempfile.mkdtemp(prefix="lexweave-ship-")
-    shutil.copytree(os.path.join(top, "lexweave"), os.path.join(stage, "in", "lexweave"), ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(os.path.join(stage, "lexweave-package"), "zip", os.path.join(stage, "in")))
-    _shipped.add(sc.applicationId)
+@contextmanager
+def conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as a block runs."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def meet_in_parts(ws: Workspace, rows: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
@@ -119,8 +115,8 @@ def meet_in_parts(ws: Workspace, rows: DataFrame, keys: list[str], by: str, cap:
     return placed.withColumn("place", F.explode(places)).select(*rows.columns, "place.part", "place.other", "place.inside").unionByName(rest)
 
 
-def sorted_groups(batches, n_keys: int):
-    """Groups of at least two rows, as lists of numpy columns, from Arrow batches sorted by their first n_keys columns."""
+def sorted_blocks(batches, n_keys: int):
+    """(numpy columns, where groups start, and the end) of whole groups, from Arrow batches sorted by their first n_keys columns."""
     import numpy as np
 
     held = None
@@ -129,10 +125,16 @@ def sorted_groups(batches, n_keys: int):
         if held is not None:
             columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
         start = _starts(columns[:n_keys])
-        yield from _groups(columns, start[:-1])
+        yield columns, start[:-1]
         held = [c[start[-2] if len(start) > 1 else 0 :] for c in columns]  # the last group may go on in the next batch
     if held is not None:
-        yield from _groups(held, _starts(held[:n_keys]))
+        yield held, _starts(held[:n_keys])
+
+
+def sorted_groups(batches, n_keys: int):
+    """Groups of at least two rows, as lists of numpy columns, from Arrow batches sorted by their first n_keys columns."""
+    for columns, start in sorted_blocks(batches, n_keys):
+        yield from _groups(columns, start)
 
 
 def _starts(keys):
