@@ -83,7 +83,9 @@ def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: in
     w = Window.partitionBy(id_col).orderBy(F.desc(F.char_length("term")), "pos")
     preferred = F.trim(F.split_part("rendering", F.lit(" ("), F.lit(1)))
     kept = ((preferred != "") & F.contains("translation", preferred)) | F.contains("translation", F.col("rendering"))
-    return found.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= max_checks).select(id_col, "nth", "pos", "term", "rendering", kept.alias("kept"))
+    # Texts are looked at before the exchange that ranks terms, and stay behind.
+    judged = found.select(id_col, "pos", "term", "rendering", kept.alias("kept"))
+    return judged.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= max_checks).select(id_col, "nth", "pos", "term", "rendering", "kept")
 
 
 def quality_reports(pairs: DataFrame, glossary: DataFrame, id_col: str, words: int = 12, max_checks: int = 25) -> DataFrame:
