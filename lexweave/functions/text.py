@@ -151,14 +151,6 @@ def normalize_whitespace(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "\\n{3,}+", "\n\n"), "(?dm)(?<![ \\t])[ \\t]++$", "")
 
 
-def normalize_header(line: Column) -> Column:
-    """A header line without anchors and attributes; empty if nothing else was there."""
-    level = F.regexp_extract(line, "^(#{1,6})", 1)
-    title = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, "^#{1,6}\\s*", ""), "\\[\\]\\{#[^}]*\\}", ""), "\\{[^}]*\\}", "")
-    title = F.trim(title)
-    return F.when(title == "", F.lit("")).otherwise(F.concat(level, F.lit(" "), title))
-
-
 def quote_lines(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.concat(F.lit("> "), line)), "\n")
 

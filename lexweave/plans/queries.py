@@ -391,6 +391,14 @@ def bilingual_parse(spark, sf):
     return pairs.groupBy("doc").agg(F.count("*").alias("pairs"), F.sha2(said, 256).alias("sha256"))
 
 
+@query(f"WITH {PAIRS_SQL} SELECT doc, CAST(count(*) AS INT) AS count, min_by(substr(source, 1, 20), turn) AS first, max_by(sha256(translation), turn) AS last FROM pairs GROUP BY doc")
+def result_preview(spark, sf):
+    """What a page shows of a bilingual result: its pairs in order."""
+    shown = rendering.preview(rendering.render(conversation_results(spark, sf), True))
+    p = F.col("paragraphs")
+    return shown.select("doc", "count", F.substring(p[0]["source"], 1, 20).alias("first"), F.sha2(F.element_at(p, -1)["translation"], 256).alias("last"))
+
+
 def _html_sql(x: str) -> str:
     """The page's rules for one text, in DuckDB."""
     x = f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -532,6 +540,15 @@ def run_result(spark, sf):
     return r.select("doc", F.sha2("translation", 256).alias("translation"), F.array_join(F.col("failed_chunks").cast("array<string>"), ",").alias("failed"), "ok", "bad")
 
 
+@query("""SELECT user_id AS task_id, event_id AS chunk_index, 'c' || event_id AS chunk_id, 'completed' AS status, event_type AS translation, true AS cached FROM events WHERE event_id % 3 = 0""")
+def hit_events(spark, sf):
+    """Chunks that the cache has tell their progress as those that were translated."""
+    e = table(spark, sf, "events")
+    chunks = e.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("idx"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("chunk_id"), F.sha1(F.col("event_id").cast("string").cast("binary")).alias("cache_key"))
+    cache = e.filter("event_id % 3 = 0").select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("cache_key"), F.col("event_type").alias("cached_translation"))
+    return rendering.hit_events(rendering.cache_split(chunks, cache)[0]).drop("duration")
+
+
 WORDS = prompts.Wording()
 REPAIR_SQL = f"""'{WORDS.repairer}' || chr(10) || chr(10) || '[Section]' || chr(10) || role || chr(10) || chr(10) || '[Original]' || chr(10) || text || chr(10) || chr(10) || '[Translation]' || chr(10) || '译文' || chr(10) || chr(10) || '[Issues]' || chr(10) ||
 CASE WHEN turn % 2 = 0 THEN '- [high] untranslated a b' || chr(10) || '- [medium] terminology x -> y' ELSE '- [low] repetition r' END || chr(10) || chr(10) || '[Glossary]' || chr(10) || CASE WHEN turn % 3 = 0 THEN '- x: y' ELSE '（无术语表）' END || chr(10) || chr(10) || '{prompts.numbered(WORDS.repair).replace(chr(10), "' || chr(10) || '")}'"""

@@ -70,8 +70,3 @@ def read_text(spark: SparkSession, path: str, doc: str, groups: int = 256) -> Da
     """One document of write_texts(), from its folder alone."""
     rows = spark.read.schema("doc string, text string, part int").json(path)
     return rows.filter((F.col("part") == F.pmod(F.xxhash64(F.lit(doc)), F.lit(groups))) & (F.col("doc") == doc)).drop("part")
-
-
-def write_pages(documents: DataFrame, path: str) -> None:
-    """documents as Parquet, compressed: the bundle of a large run, from which single files are fetched."""
-    documents.write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -315,7 +315,7 @@ def test_rendered_texts(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(rendering.header(F.lit("n"), False, F.lit("n.md"))) == "# n - 中文翻译\n\n> 由 AI 自动翻译\n> 源文件: n.md\n\n"
     assert one(rendering.stream_format(F.lit("a\n\n![x](p.png)\nb"), F.lit("译 ![x](p.png)"))) == "> a\n\n> b\n\n译 ![x](p.png)\n\n---"
-    assert one(X.normalize_header(F.lit("## []{#a} T {.c}"))) == "## T" and one(X.breadcrumb(F.array().cast("array<string>"))) == "Document Root"
+    assert one(X.breadcrumb(F.array().cast("array<string>"))) == "Document Root"
     assert one(X.markdown_to_html(F.lit("![](a/b.c.png)"))) == '<p><img src="a/b.c.png" alt="b.c"></p>' and one(X.score(F.lit("no object"), "fluency")) is None
     assert one(sinks.upload_path(F.lit("t"), F.lit("x/f.md"), "up")) == "up/t_f.md"
     text = "# t - 中文翻译（双语对照）\n\n> 由 AI 自动翻译\n> 源文件: t.md\n\n\n\n> Some source\n\n一些译文\n\n---\n\n\n\n> 由 AI 自动翻译 words\n\n一些译文\n\n---\n\n"
