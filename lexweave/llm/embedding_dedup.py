@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import Workspace, meet_in_parts, ship, sorted_blocks
 
-NONE = np.iinfo(np.int64).max
+NONE, TABLE = np.iinfo(np.int64).max, 255
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -70,14 +70,14 @@ def _wide(d: int) -> int:
 
 
 def bucket_keys(axes: np.ndarray, family: np.ndarray) -> np.ndarray:
-    """Signed 64-bit bucket numbers (rows, tables, probes ** rotations) of axes in a family of vectors that may link."""
+    """Signed 64-bit bucket numbers (rows, tables, probes ** rotations) of axes in a family of vectors that may link; the last byte is the table."""
     n, tables, rotations, probes = axes.shape
     out = np.empty((n, tables, probes**rotations), np.uint64)
     for p, chosen in enumerate(product(range(probes), repeat=rotations)):
         z = family.view(np.uint64)[:, None] + np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for r, i in enumerate(chosen):
             z = _mixed(z ^ axes[:, :, r, i].astype(np.uint64))
-        out[:, :, p] = z
+        out[:, :, p] = z & ~np.uint64(TABLE) | np.arange(tables, dtype=np.uint64)
     return out.view(np.int64)
 
 
@@ -99,7 +99,10 @@ def plan_tables(n: int, d: int, threshold: float, probes: int, recall: float, pa
     b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * np.divide(b, norm, out=np.zeros_like(b), where=norm > 0)
     x, y = (rotated_axes(v, 1, 1, min(probes, wide), 3)[:, 0, 0] for v in (a, b))
     meet = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean() ** rotations
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 1 - 1e-9)))), rotations
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(max(meet, 1e-9), 1 - 1e-9))))
+    if tables > TABLE:
+        raise ValueError(f"a recall of {recall} at {threshold} takes {tables} tables, over {TABLE}")
+    return tables, rotations
 
 
 def _prepare(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -187,19 +190,29 @@ def embedding_groups(
     dealt = dealt.join(ws.save(sent, "sent"), "rid").select("bucket", "part", "other", "inside", "rid", "m", "family", "axes", "vec").repartition(n_parts, "bucket", "part", "other")
 
     def counted_here(axes: np.ndarray, family: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Which of the pairs (a, b) have `bucket` as the least of their common buckets."""
-        used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-        keys = np.empty((len(used), 0, 0), np.int64)
-        for at, own in _keys(axes[used].tolist(), family[used], layout):
-            keys = np.empty((len(used), *own.shape[1:]), np.int64) if not keys.size else keys
-            keys[at] = own
+        """Which of the pairs (a, b) share `bucket` first: in no table before, and as the least common one of its table."""
         first = np.zeros(len(a), bool)
-        for k in range(0, len(a), 1 << 14):
-            some = slice(k, k + (1 << 14))
-            least, x, z = np.full(len(a[some]), NONE), keys[back[: len(a)][some]], keys[back[len(a) :][some]]
+        size = np.array([len(x) for x in axes[a].tolist()])
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            used, back = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+            raw = np.frombuffer(b"".join(axes[used].tolist()), layout[2]).reshape(len(used), *layout[:2], -1)
+            x, z, table = back[: len(own)], back[len(own) :], bucket[own] & TABLE
+            left = np.arange(len(own))
             for t in range(tables):
-                np.minimum(least, np.where(x[:, t, :, None] == z[:, t, None, :], x[:, t, :, None], NONE).min(axis=(1, 2)), out=least)
-            first[some] = least == bucket[some]
+                # A table is shared where every rotation has an axis in common; few pairs outlast the first tables.
+                todo = left[table[left] > t]
+                met = np.zeros(len(own), bool)
+                for k in range(0, len(todo), 1 << 16):
+                    some = todo[k : k + (1 << 16)]
+                    met[some] = (raw[x[some], t][:, :, :, None] == raw[z[some], t][:, :, None, :]).any(axis=(2, 3)).all(axis=1)
+                left = left[~met[left]]
+            for k in range(0, len(left), 1 << 12):
+                some = left[k : k + (1 << 12)]
+                at = np.arange(len(some))
+                ka, kb = (bucket_keys(raw[i[some]], np.ascontiguousarray(family[used[i[some]]], np.int64))[at, table[some]] for i in (x, z))
+                least = np.where(ka[:, :, None] == kb[:, None, :], ka[:, :, None], NONE).min(axis=(1, 2))
+                first[own[some]] = least == bucket[own[some]]
         return first
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
