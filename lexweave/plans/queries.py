@@ -297,6 +297,27 @@ def glossary_merge(spark, sf):
     return G.upsert_terms(terms(spark), add, remove)
 
 
+@query("""SELECT pos, term, translation FROM (SELECT doc_id AS pos, trim(term) AS term, trim(translation) AS translation, row_number() OVER (PARTITION BY lower(trim(term)) ORDER BY doc_id) AS n FROM (
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN upper(source) WHEN 1 THEN ' ' || source || ' ' WHEN 2 THEN lang || doc_id % 30 ELSE ' ' END AS term, CASE WHEN doc_id % 7 = 0 THEN '' ELSE ' x' || doc_id END AS translation FROM documents)
+WHERE trim(term) <> '' AND trim(translation) <> '') WHERE n = 1 AND lower(term) NOT IN ('src1', 'en2')""")
+def candidates_first(spark, sf):
+    """Of every spelling the first candidate that has a translation and that the glossary doesn't have."""
+    d = F.col("doc_id")
+    term = F.when(d % 4 == 0, F.upper("source")).when(d % 4 == 1, F.concat(F.lit(" "), "source", F.lit(" "))).when(d % 4 == 2, F.concat("lang", (d % 30).cast("string"))).otherwise(F.lit(" "))
+    rows = table(spark, sf, "documents").select(d.alias("pos"), term.alias("term"), F.when(d % 7 == 0, "").otherwise(F.concat(F.lit(" x"), d.cast("string"))).alias("translation"))
+    return G.first_by_case(rows, spark.createDataFrame([("SRC1",), ("en2",)], "term string"))
+
+
+@query("""SELECT 't' || doc_id AS term, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS rendering FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT 'n' || doc_id, 'new' FROM documents WHERE doc_id % 3 = 0""")
+def glossary_upsert(spark, sf):
+    """A glossary of a term a document after additions, changes and removals."""
+    docs, name = table(spark, sf, "documents"), lambda c: F.concat(F.lit(c), F.col("doc_id").cast("string")).alias("term")
+    third = docs.filter("doc_id % 3 = 0")
+    add = third.select(name("t"), F.lit("new").alias("rendering")).unionByName(third.select(name("n"), F.lit("new").alias("rendering")))
+    return G.upsert_terms(docs.select(name("t"), F.lit("old").alias("rendering")), add, docs.filter("doc_id % 5 = 0").select(name("t")))
+
+
 # --- tasks ----------------------------------------------------------------------------------------------------------
 
 STATUS = "CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'processing' ELSE 'completed' END"

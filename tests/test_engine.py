@@ -325,3 +325,29 @@ def test_rendered_texts(spark):
     assert one(rendering.looks_bilingual(F.lit("x\n> a\n---"))) and not one(rendering.looks_bilingual(F.lit("x" * 4000 + "（双语对照）")))
     hits = spark.createDataFrame([("t", 0, "c", "x")], "task_id string, idx int, chunk_id string, cached_translation string")
     assert rendering.hit_events(hits).first().asDict() == {"task_id": "t", "chunk_index": 0, "chunk_id": "c", "status": "completed", "translation": "x", "duration": 0.0, "cached": True}
+
+
+def test_workers_get_the_package_from_the_session(tmp_path):
+    """Neither the working folder nor PYTHONPATH leads to the package: only what the driver sends does."""
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {top!r})
+from pyspark.sql import functions as F
+from lexweave.session import build_session
+from lexweave.operators import artifacts, chunking, markdown, translate
+from lexweave.streaming import ordered
+spark = build_session("local[2]", "shipped", 2, "1g")
+docs = spark.createDataFrame([(1, "# A\\n\\nb")], "doc_id long, text string")
+assert chunking.chunks_of(docs).count() == 1
+assert docs.select(markdown.format_markdown(F.col("text")), artifacts.clean_artifacts(F.col("text"))).count() == 1
+assert translate.call_model(docs.withColumn("prompt", F.lit("p")), translate.StubModel(), "translate").first().answer == "译文：# A\\n\\nb"
+assert ordered.limiter_waits(spark.sql("select 1L as key, 1L as call_id, 0D as at"), 1, 1.0).first().wait == 0
+print("shipped")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip() == "shipped", done.stderr[-2000:]
