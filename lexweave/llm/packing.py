@@ -13,7 +13,7 @@ import heapq
 import json
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +116,8 @@ def tokenizer_file(path: str | None = None) -> bytes:
         return f.read()
 
 
-def tokenised_pieces(docs: DataFrame, size: int, end_id: int, file: bytes | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, text -> a row for each piece (PIECES). A document is its ids and end_id.
+def tokenised_pieces(docs: DataFrame, size: int, end_id: int, file: bytes | None = None, pattern: str | None = None, cuts: Callable[[int, int], list[int]] = cut) -> DataFrame:
+    """doc_id, text -> a row for each piece (PIECES). A document is its ids and end_id; `cuts` gives the lengths of its pieces.
 
     A null or empty text has no ids but end_id; texts of any length are encoded whole; repeated rows give pieces each; null ids stay
     null; other columns are ignored. An empty table gives no rows.
@@ -136,7 +136,7 @@ def tokenised_pieces(docs: DataFrame, size: int, end_id: int, file: bytes | None
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = np.concatenate([enc.encode_to_numpy(text, allowed_special="all"), tail]).astype("<u4") if text else tail
                     at = 0
-                    for n in cut(len(ids), size):
+                    for n in cuts(len(ids), size):
                         rows.append((doc, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids)))
                         at += n
                 columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -145,8 +145,8 @@ def tokenised_pieces(docs: DataFrame, size: int, end_id: int, file: bytes | None
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, PIECES)
 
 
-def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", salt_rows: int = 200, max_salts: int = 4096) -> DataFrame:
-    """pieces with sequence_id long and offset long added: where each piece lies, gapless from 0 in its sequence.
+def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", salt_rows: int = 200, max_salts: int = 4096, place: Callable = pack_histogram) -> DataFrame:
+    """pieces with sequence_id long and offset long added: where each piece lies, gapless from 0 in its sequence. `place` turns the histogram into patterns.
 
     `pieces` should be a written table: it is read twice. Lengths must lie in 1..size; rows of other lengths raise.
     Repeated rows are packed one by one. Ties of rank are broken by all columns, so results don't depend
@@ -156,7 +156,7 @@ def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", salt_r
     histogram = {r[0]: r[1] for r in pieces.groupBy(length_col).count().limit(size + 1).collect()}
     if any(n is None or not 1 <= n <= size for n in histogram):
         raise ValueError(f"piece lengths must lie in 1..{size}")
-    plan = slots(pack_histogram(histogram, size))
+    plan = slots(place(histogram, size))
     salts = [max(1, min(max_salts, -(-histogram.get(n, 0) // salt_rows))) for n in range(size + 1)]
     names = [c for c in pieces.columns]
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.element_at(F.lit(salts), F.col(length_col) + 1)).cast("int"))

@@ -1,7 +1,8 @@
-"""Registered queries of the ten operators, and SQL for those that it can express."""
+"""Registered queries of the operators, and SQL for those that it can express."""
 
 from __future__ import annotations
 
+from .best_fit import op12_best_fit_packing
 from .bpe import op4_byte_bpe
 from .chat import OP2_SQL, op2_chat_prefix_targets
 from .embedding_dedup import op6_embedding_dedup
@@ -13,5 +14,5 @@ from .sharding import op1_sharding
 from .simhash import op8_simhash
 from .url_filter import op7_url_templates
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat_prefix_targets, op3_packing, op4_byte_bpe, op5_exact_dedup, op6_embedding_dedup, op7_url_templates, op8_simhash, op9_language_id, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat_prefix_targets, op3_packing, op4_byte_bpe, op5_exact_dedup, op6_embedding_dedup, op7_url_templates, op8_simhash, op9_language_id, op10_pii, op12_best_fit_packing)}
 ORACLE = {"op2_chat_prefix_targets": OP2_SQL, "op5_exact_dedup": OP5_SQL}
