@@ -1,12 +1,8 @@
-"""The task queue as pure transitions: tasks in, tasks out. One claimer at a time is the streaming driver's part."""
+"""The task queue as pure transitions: tasks in, tasks out. Claiming and working them off is streaming/queue.py's part."""
 
 from __future__ import annotations
 
-import time
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,9 +85,13 @@ def final_status(outcomes: DataFrame) -> DataFrame:
 def progress(events: DataFrame) -> DataFrame:
     """events(task_id, event_id, ts, total) -> current, percentage, elapsed seconds, chunks a minute and minutes left, event by event."""
     w = Window.partitionBy("task_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    current = F.count(F.lit(1)).over(w)
-    elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.min("ts").over(w).cast("timestamp"))) / 1e6
-    out = events.withColumns({"current": current, "elapsed": elapsed})
+    return rates(events.withColumn("current", F.count(F.lit(1)).over(w)), F.min("ts").over(w))
+
+
+def rates(told: DataFrame, first: Column) -> DataFrame:
+    """told(ts, current, total) with elapsed seconds since `first`, percentage, chunks a minute and minutes left."""
+    elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 1e6
+    out = told.withColumn("elapsed", elapsed)
     speed = F.when(F.col("elapsed") > 0, F.col("current") * 60 / F.col("elapsed")).otherwise(0.0)
     left = F.when(speed > 0, F.ceil((F.col("total") - F.col("current")) / speed))
     return out.withColumns({"percentage": F.round(F.col("current") * 100.0 / F.col("total"), 2), "speed": F.round(speed, 4), "eta_minutes": left})
@@ -116,96 +116,3 @@ def remove(tasks: DataFrame, ids: DataFrame) -> DataFrame:
 def counts(tasks: DataFrame) -> DataFrame:
     """Totals of a task list: all, finished (wholly or in part), processing."""
     return tasks.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("completed", "partial_success")).alias("finished"), F.count_if(F.col("status") == "processing").alias("processing"))
-
-
-class TaskTable:
-    """A task list in a shared folder. Each change writes a new version and claims its number by creating a file that must not exist,
-    so of two writers that saw the same version one wins and the other applies its change to what the first one left."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-
-    def _at(self, path: str):
-        at = self._hadoop.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def version(self) -> int:
-        """0 for a table that has none yet."""
-        fs, at = self._at(f"{self.path}/versions")
-        return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0) if fs.exists(at) else 0
-
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], SCHEMA)
-        fs, at = self._at(f"{self.path}/versions/{version:012d}")
-        stream = fs.open(at)
-        try:
-            name = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}")
-
-    def update(self, change: Callable[[DataFrame], DataFrame], tries: int = 20) -> int:
-        """The version that `change` of the latest tasks became."""
-        for _ in range(tries):
-            seen = self.version()
-            name = f"data-{uuid.uuid4().hex}"
-            migrated(change(self.read(seen))).coalesce(1).write.parquet(f"{self.path}/{name}")
-            fs, at = self._at(f"{self.path}/versions/{seen + 1:012d}")
-            try:
-                out = fs.create(at, False)
-            except Exception as e:  # noqa: BLE001 another writer was first
-                if "already exists" not in str(e):
-                    raise
-                continue
-            out.write(bytearray(name.encode()))
-            out.close()
-            return seen + 1
-        raise RuntimeError(f"no turn to write in {tries} tries")
-
-    def claim(self, now: Callable[[], Column] = F.current_timestamp, n: int = 1) -> list[T.Row]:
-        """Up to n pending tasks, now processing; the caller alone has them. n bounds what reaches the driver."""
-        seen: list[set[str]] = []
-
-        def change(tasks: DataFrame) -> DataFrame:
-            seen.append({r.task_id for r in tasks.filter("status = 'pending'").orderBy("created_at", "task_id").limit(n).select("task_id").collect()})
-            return claim(tasks, now(), n)
-
-        version = self.update(change)
-        return self.read(version).filter(F.col("task_id").isin(list(seen[-1]))).collect() if seen[-1] else []
-
-    def finish(self, task_id: str, status: str, now: Callable[[], Column] = F.current_timestamp, error: str | None = None, result_url: str | None = None) -> int:
-        """The task gets its final status, unless it was cancelled meanwhile."""
-        mine = (F.col("task_id") == task_id) & (F.col("status") != "cancelled")
-        set_to = lambda c, v: F.when(mine, v).otherwise(F.col(c))
-        return self.update(lambda t: t.withColumns({"error": set_to("error", F.lit(error)), "result_url": set_to("result_url", F.lit(result_url)), "updated_at": set_to("updated_at", now()), "status": set_to("status", F.lit(status))}))
-
-
-def work(table: TaskTable, handle: Callable[[T.Row], str], capacity: int = 1, until_idle: bool = True, pause: float = 2.0, requeue_every: int = 30, rounds: int | None = None) -> int:
-    """Claim and handle tasks; returns how many. handle(task) answers with the result's address; a failure is the task's.
-
-    Without `until_idle` it waits `pause` seconds when nothing is pending, and puts stale tasks back after every `requeue_every` idle
-    rounds, until `rounds` have passed (None: for ever).
-    """
-    done = idle = 0
-    while rounds is None or rounds > 0:
-        rounds = rounds and rounds - 1
-        tasks = table.claim(n=capacity)
-        for task in tasks:
-            try:
-                table.finish(task.task_id, "completed", result_url=handle(task))
-            except Exception as e:  # noqa: BLE001 a task's failure is its own
-                table.finish(task.task_id, "failed", error=str(e))
-            done += 1
-        if tasks:
-            idle = 0
-            continue
-        if until_idle:
-            break
-        idle += 1
-        if idle % requeue_every == 0:
-            table.update(lambda t: requeue_stale(t, F.current_timestamp()))
-        time.sleep(pause)
-    return done

@@ -10,7 +10,7 @@ from lexweave.operators import artifacts, assets, chunking, evaluation, markdown
 from lexweave.operators import glossary as G
 from lexweave.plans import document
 from lexweave.sources import scans, sinks
-from lexweave.streaming import ordered
+from lexweave.streaming import ordered, queue, runs, watch
 from lexweave.tables import written
 
 QUERIES: dict = {}
@@ -361,12 +361,66 @@ def task_status_rollup(spark, sf):
     return tasks.final_status(out)
 
 
+@query("""WITH t AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS gone, count(*) FILTER (WHERE l_returnflag <> 'R') AS ok, count(*) FILTER (WHERE l_returnflag = 'R') AS bad, count(l_orderkey) AS n
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY ALL)
+SELECT CAST(k AS VARCHAR) AS task_id, CASE WHEN gone THEN 'cancelled' WHEN n = 0 THEN 'failed' WHEN bad = 0 THEN 'completed' WHEN ok = 0 THEN 'failed' ELSE 'partial_success' END AS status,
+CASE WHEN NOT gone AND ok > 0 THEN '/results/' || k END AS result_url FROM t""")
+def queue_drained(spark, sf):
+    """Pending orders worked off by a stream in two runs: an order's lines are its chunks; some orders are cancelled beforehand."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("chunk_index"), (F.col("l_returnflag") != "R").alias("success"))
+    gone = order_tasks(spark, sf).filter("task_id % 7 = 0")
+
+    def handle(claimed: DataFrame) -> DataFrame:
+        done = tasks.final_status(lines.join(claimed.select("task_id"), "task_id", "left_semi"))
+        return done.select("task_id", "status", F.when(F.col("ok") > 0, F.concat(F.lit("/results/"), F.col("task_id").cast("string"))).alias("result_url"), F.nullif("failed_chunks", F.lit("")).alias("error"))
+
+    def run(stream: DataFrame, root: str) -> None:
+        queue.work_off(stream, handle, f"{root}/outcomes", f"{root}/checkpoint", lambda: gone)
+
+    pending = order_tasks(spark, sf).filter("status = 'pending'").select("task_id", "created_at")
+    root = runs.fed_in_turns(pending, F.pmod(F.xxhash64("task_id"), F.lit(2)), 2, run, "queue")
+    return queue.outcomes(spark, f"{root}/outcomes").select("task_id", "status", "result_url")
+
+
 @query("""SELECT event_id, n AS current, round(n * 100.0 / 1000, 2) AS percentage FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
 def progress_running(spark, sf):
     events = table(spark, sf, "events").select(F.col("user_id").alias("task_id"), "event_id", "ts", F.lit(1000).alias("total"))
     return tasks.progress(events).select("event_id", "current", F.col("percentage").cast("double").alias("percentage"))
 
 
+WATCHED = """WITH gone AS (SELECT user_id, min(ts) AS cut FROM events WHERE event_type = 'signup' AND user_id % 7 = 0 GROUP BY user_id),
+e AS (SELECT user_id, event_id, ts, cut FROM events LEFT JOIN gone USING (user_id) WHERE event_type <> 'signup' AND (cut IS NULL OR ts <= cut)),
+n AS (SELECT *, count(*) OVER w AS current, epoch_us(ts) - epoch_us(first_value(ts) OVER w) AS us, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+told AS (SELECT user_id AS task_id, event_id, ts, 'processing' AS status, current, us FROM n
+UNION ALL SELECT user_id, NULL, ts + INTERVAL 900 SECOND, 'pending', current, us + 900000000 FROM n WHERE coalesce(following, cut, (SELECT max(ts) FROM events)) > ts + INTERVAL 900 SECOND
+UNION ALL SELECT user_id, NULL, cut, 'cancelled', coalesce(max(n.current), 0), epoch_us(cut) - epoch_us(min(n.ts)) FROM gone LEFT JOIN n USING (user_id, cut) GROUP BY user_id, cut)
+"""
+
+
+def watched(spark, sf) -> DataFrame:
+    """Events as tasks' events, in three runs by time; some tasks are cancelled by an event of their own."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(1000).alias("total"), "event_type")
+
+    def run(stream: DataFrame, root: str) -> None:
+        told = watch.watch_tasks(stream.filter("event_type <> 'signup'"), stream.filter("event_type = 'signup' AND task_id % 7 = 0"))
+        runs.append_run(told, f"{root}/out", f"{root}/checkpoint")
+
+    root = runs.fed_in_turns(events, runs.time_portion(events, "ts", 3), 3, run, "watch")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query(WATCHED + "SELECT task_id, event_id, current, round(current * 100.0 / 1000, 2) AS percentage, round(us / 1e6, 3) AS elapsed, CASE WHEN us > 0 THEN ceil((1000 - current) / (current * 60 / (us / 1e6))) END AS eta_minutes FROM told WHERE status = 'processing'")
+def progress_stream(spark, sf):
+    """What a stream tells of each event, up to its task's cancellation."""
+    return watched(spark, sf).filter("status = 'processing'").select("task_id", "event_id", "current", "percentage", F.round("elapsed", 3).alias("elapsed"), F.col("eta_minutes").cast("double").alias("eta_minutes"))
+
+
+@query(WATCHED + "SELECT task_id, status, epoch_us(ts) AS us, current FROM told WHERE status <> 'processing'")
+def stale_and_cancelled(spark, sf):
+    """When timers put tasks back into the queue, and when tasks were cancelled; nothing of a task comes later."""
+    return watched(spark, sf).filter("status <> 'processing'").select("task_id", "status", F.unix_micros("ts").alias("us"), "current")
+
+
 @query("SELECT event_type, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS prompt_tokens, CAST(sum(user_id + event_id % 100) AS BIGINT) AS total_tokens FROM events GROUP BY event_type")
 def token_usage(spark, sf):
     calls = table(spark, sf, "events").select("event_type", F.col("user_id").alias("prompt_tokens"), F.pmod("event_id", F.lit(100)).alias("completion_tokens"), F.lit(None).cast("long").alias("total"))
@@ -445,8 +499,26 @@ def markdown_to_html(spark, sf):
 @query("""SELECT doc, idx, content FROM (SELECT user_id AS doc, CAST(event_id % 20 AS INT) AS idx, min(event_type) AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 20) AS n
 FROM events GROUP BY user_id, event_id % 20) WHERE n = idx + 1""")
 def ordered_flush(spark, sf):
+    """The written parts of a stream that brings each document's results out of order, in three runs."""
     events = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc"), F.pmod("event_id", F.lit(20)).cast("int").alias("idx")).agg(F.min("event_type").alias("content"))
-    return ordered.emitted_prefix(events)
+    return ordered.written_parts(spark, in_three_runs(events)).drop("batch")
+
+
+@query("""SELECT doc, CAST(count(*) FILTER (WHERE n = idx + 1) AS BIGINT) AS written_count, CAST(count(*) FILTER (WHERE n <> idx + 1) AS BIGINT) AS buffer_size FROM
+(SELECT user_id AS doc, event_id % 20 AS idx, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 20) AS n FROM events GROUP BY user_id, event_id % 20) GROUP BY doc""")
+def ordered_counters(spark, sf):
+    """How much of each document was written and how much waits for a gap, when the stream has ended."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.pmod("event_id", F.lit(20)).cast("int").alias("idx"), F.lit("x").alias("content")).distinct()
+    return ordered.counters(spark, in_three_runs(events))
+
+
+def in_three_runs(results: DataFrame) -> str:
+    """Results fed to the ordered sink in three portions, each a run of its own; where they were written."""
+
+    def run(stream: DataFrame, root: str) -> None:
+        ordered.write_in_order(stream, f"{root}/parts", f"{root}/checkpoint")
+
+    return f"{runs.fed_in_turns(results, F.pmod(F.xxhash64('doc', 'idx'), F.lit(3)), 3, run, 'ordered')}/parts"
 
 
 @query("SELECT page_id, '![a](images/' || page_id || '.png) [x] [] ' || chr(10) || chr(10) || 'z' AS fixed FROM pages")

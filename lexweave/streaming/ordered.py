@@ -5,38 +5,90 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexweave.shipping import ship
 
-OUT = "doc long, idx int, content string"
-STATE = "next_idx int, held array<struct<idx:int,content:string>>"
+from .runs import state_on_disk
 
+OUT = "doc long, idx int, content string, written_count long, buffer_size long"
 
-def emit_in_order(results: DataFrame, start: int = 0) -> DataFrame:
-    """A stream of (doc, idx, content): each document's results as soon as all before them have come.
 
-    The state holds what waits for a gap. A repeated or already emitted index is ignored.
-    """
+class Emitter(StatefulProcessor):
+    """Rows (idx, content) of a document -> those that are next, and a row without idx that tells its counters."""
 
-    ship(results.sparkSession)
+    def __init__(self, start: int):
+        self.start = start
 
-    def flush(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        following, held = (state.get if state.exists else (start, []))
-        waiting = {int(h["idx"] if isinstance(h, dict) else h[0]): (h["content"] if isinstance(h, dict) else h[1]) for h in held}
-        for frame in frames:
-            for i, c in zip(frame["idx"], frame["content"], strict=True):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "idx int, waiting long")
+        self.held = handle.getMapState("held", "idx int", "content string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        following, waiting = self.next.get() if self.next.exists() else (self.start, 0)
+        come: dict[int, str | None] = {}
+        for frame in rows:
+            for i, content in zip(frame["idx"].tolist(), frame["content"], strict=True):
                 if i >= following:
-                    waiting.setdefault(int(i), c)
+                    come.setdefault(i, content)
         ready = []
-        while following in waiting:
-            ready.append((key[0], following, waiting.pop(following)))
-            following += 1
-        state.update((following, sorted(waiting.items())))
-        yield pd.DataFrame(ready, columns=["doc", "idx", "content"])
+        for i in sorted(come):
+            if i == following:
+                ready.append((key[0], i, come[i], i + 1 - self.start, 0))
+                following += 1
+                # What the state holds goes out as soon as the gap before it closes.
+                while waiting and following not in come and self.held.containsKey((following,)):
+                    ready.append((key[0], following, self.held.getValue((following,))[0], following + 1 - self.start, 0))
+                    self.held.removeKey((following,))
+                    following, waiting = following + 1, waiting - 1
+            elif i > following and not self.held.containsKey((i,)):
+                self.held.updateValue((i,), (come[i],))
+                waiting += 1
+        self.next.update((following, waiting))
+        ready.append((key[0], None, None, following - self.start, waiting))
+        yield pd.DataFrame(ready, columns=["doc", "idx", "content", "written_count", "buffer_size"]).astype({"idx": "Int32"})
+
+
+def emit_in_order(results: DataFrame, start: int = 0) -> DataFrame:
+    """A stream of (doc, idx, content) -> each document's results as soon as all before them have come, and a row with a null idx and
+    content for each document of a micro-batch: how many were written and how many wait for a gap.
+
+    What waits is kept entry by entry, so a batch costs what it brings and not what is held. Of a repeated index the first that came
+    counts; one already emitted, or below `start`, is ignored. Rows with a null doc or idx are left out.
+    """
+    ship(results.sparkSession)
+    rows = results.filter("doc is not null and idx is not null").select(F.col("doc").cast("long").alias("doc"), F.col("idx").cast("int").alias("idx"), F.col("content").cast("string").alias("content"))
+    return rows.groupBy("doc").transformWithStateInPandas(Emitter(start), OUT, "Append", "None")
+
+
+def write_in_order(results: DataFrame, path: str, checkpoint: str, start: int = 0) -> None:
+    """The stream's results so far appended in order: parts of documents below `path`, each written once.
+
+    A micro-batch is written below its own number; one that is run again after a failure replaces what it had written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("part", F.col("idx").isNotNull()).write.partitionBy("part").mode("overwrite").parquet(f"{path}/batch={number}")
+
+    with state_on_disk(results.sparkSession):
+        emit_in_order(results, start).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def written_parts(spark: SparkSession, path: str) -> DataFrame:
+    """doc, idx, content, batch of what write_in_order has written; the contents in order of idx are the document."""
+    return _batches(spark, path).filter("part").select("doc", "idx", "content", "batch")
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """doc, written_count, buffer_size after the last micro-batch that brought something for the document."""
+    told = _batches(spark, path).filter("not part").groupBy("doc").agg(F.max_by(F.struct("written_count", "buffer_size"), "batch").alias("c"))
+    return told.select("doc", "c.written_count", "c.buffer_size")
+
 
-    return results.groupBy("doc").applyInPandasWithState(flush, OUT, STATE, "append", "NoTimeout")
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{OUT}, batch long, part boolean").parquet(path)
 
 
 def emitted_prefix(results: DataFrame, start: int = 0) -> DataFrame:

@@ -5,20 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once below spark.checkpoint.dir and read back: a lost executor costs a re-read, and what comes of it sees one answer.
-
-    Where the session has no such folder, as in tests on one machine, a temporary one is taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path below spark.checkpoint.dir. Where the session has no such folder, as in tests on one machine, a temporary one is taken."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='lexweave-')}"
-    path = f"{root.rstrip('/')}/lexweave/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lexweave/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once below spark.checkpoint.dir and read back: a lost executor costs a re-read, and what comes of it sees one answer."""
+    path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

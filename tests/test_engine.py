@@ -223,49 +223,6 @@ def test_many_terms_by_an_automaton(spark):
     assert G.matches(texts, known).columns == ["id", "text", "pos", "term", "rendering"]
 
 
-# tasks
-
-
-def new_tasks(spark, *ids):
-    return spark.createDataFrame([(i, f"{i}.md", "pending", f"2024-01-0{n + 1}") for n, i in enumerate(ids)], "task_id string, filename string, status string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
-
-
-def test_task_table_claims_once(spark, tmp_path):
-    table = tasks.TaskTable(spark, f"file://{tmp_path}/tasks")
-    assert table.read().count() == 0 and table.version() == 0
-    table.update(lambda t: tasks.insert(t, new_tasks(spark, "b", "a", "c")))
-    got, lock = [], threading.Lock()
-
-    def claim():
-        mine = tasks.TaskTable(spark, f"file://{tmp_path}/tasks").claim()
-        with lock:
-            got.extend(t.task_id for t in mine)
-
-    threads = [threading.Thread(target=claim) for _ in range(3)]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
-    assert sorted(got) == ["a", "b", "c"] and table.version() == 4 and table.claim() == []
-    assert {r.status for r in table.read().collect()} == {"processing"} and table.read(1).filter("status = 'pending'").count() == 3
-
-
-def test_queue_runs_until_idle(spark, tmp_path):
-    table = tasks.TaskTable(spark, f"file://{tmp_path}/tasks")
-    table.update(lambda t: tasks.insert(t, new_tasks(spark, "a", "bad", "gone")))
-
-    def handle(task):
-        if task.task_id == "bad":
-            table.update(lambda t: tasks.cancel(t, t.filter("task_id = 'gone'"), F.current_timestamp()))
-            raise ValueError("no way")
-        return f"/results/{task.task_id}"
-
-    assert tasks.work(table, handle) == 2
-    got = {r.task_id: (r.status, r.error, r.result_url) for r in table.read().collect()}
-    assert got == {"a": ("completed", None, "/results/a"), "bad": ("failed", "no way", None), "gone": ("cancelled", tasks.CANCELLED, None)}
-    table.update(lambda t: t.withColumn("status", F.lit("processing")).withColumn("updated_at", F.to_timestamp(F.lit("2020-01-01"))))
-    assert tasks.work(table, handle, until_idle=False, pause=0, requeue_every=1, rounds=1) == 0
-    assert {r.error for r in table.read().collect()} == {tasks.REQUEUED}
-
-
 # files
 
 
