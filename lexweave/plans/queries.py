@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from lexweave.functions import text as X
 from lexweave.operators import artifacts, assets, chunking, evaluation, markdown, prompts, rendering, reporting, tasks, translate
 from lexweave.operators import glossary as G
 from lexweave.plans import document
-from lexweave.sources import scans, sinks
+from lexweave.sources import database, scans, sinks
 from lexweave.streaming import ordered, queue, runs, watch
-from lexweave.tables import written
+from lexweave.tables import shared_folder, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -421,6 +423,15 @@ def stale_and_cancelled(spark, sf):
     return watched(spark, sf).filter("status <> 'processing'").select("task_id", "status", F.unix_micros("ts").alias("us"), "current")
 
 
+@query("SELECT doc_id AS k, sha256(text) AS found FROM documents WHERE doc_id IN (SELECT CAST(doc_id AS BIGINT) FROM labels WHERE quality = 1 AND toxic = 1)")
+def cache_lookup(spark, sf):
+    """Texts kept by key, and those of some labelled documents looked up: only these keys' folders are read."""
+    path = shared_folder(spark, f"keyed-{uuid.uuid4().hex}")
+    database.write_keyed(table(spark, sf, "documents").select(F.col("doc_id").alias("k"), "text"), path, "k")
+    wanted = table(spark, sf, "labels").filter("quality = 1 AND toxic = 1").select(F.col("doc_id").cast("long").alias("k"))
+    return database.lookup(spark, path, "k", wanted).select("k", F.sha2("text", 256).alias("found"))
+
+
 @query("SELECT event_type, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS prompt_tokens, CAST(sum(user_id + event_id % 100) AS BIGINT) AS total_tokens FROM events GROUP BY event_type")
 def token_usage(spark, sf):
     calls = table(spark, sf, "events").select("event_type", F.col("user_id").alias("prompt_tokens"), F.pmod("event_id", F.lit(100)).alias("completion_tokens"), F.lit(None).cast("long").alias("total"))

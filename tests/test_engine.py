@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexweave import config
 from lexweave.functions import text as X
-from lexweave.operators import artifacts, assets, evaluation, prompts, rendering, tasks, translate
+from lexweave.operators import artifacts, assets, evaluation, prompts, rendering, translate
 from lexweave.plans import document
 from lexweave.sources import scans, sinks
 
