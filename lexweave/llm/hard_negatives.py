@@ -176,12 +176,14 @@ def _trees(ws: Workspace, rows: DataFrame, part_rows: int, tree_rows: int) -> Da
         if held:
             yield built()
 
-    n = rows.count()
-    dealt = rows.select("uid", "id", "label", "d", "vec", "place").repartitionByRange(max(1, -(-n // part_rows)), "d", "label", "place", "uid")
+    wanted = max(1, -(-rows.count() // part_rows))
+    dealt = rows.select("uid", "id", "label", "d", "vec", "place").repartitionByRange(wanted, "d", "label", "place", "uid")
     dealt = dealt.sortWithinPartitions("d", "label", "place", "uid").drop("place")
     trees = ws.save(dealt.mapInArrow(work, "task int, chunk int, nth long, labels array<string>, data binary"), "built")
-    chunks = (trees.agg(F.max("chunk")).first()[0] or 0) + 1
-    return trees.select((F.col("task") * chunks + F.col("chunk")).alias("part"), "nth", "labels", "data")
+    # However many tasks the rows were dealt to: neighbouring small ones make a part together.
+    used, chunks = trees.agg(F.max("task") + 1, F.max("chunk") + 1).first()
+    part = F.floor(F.col("task") * wanted / (used or 1)).cast("int") * (chunks or 1) + F.col("chunk")
+    return trees.select(part.alias("part"), (F.col("task").cast("long") * (1 << 40) + F.col("nth")).alias("nth"), "labels", "data")
 
 
 def _search(ws: Workspace, trees: DataFrame, parts: int, queries: DataFrame, k: int, same: bool, group_queries: int) -> DataFrame:
