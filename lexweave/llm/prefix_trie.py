@@ -72,7 +72,7 @@ def prefix_trie(ws: Workspace, sequences: DataFrame, bucket_turns: int = 1024) -
     classes = keyed.groupBy("key").agg(F.first("ids").alias("ids"), F.first("chars").alias("chars"), F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("conv"))
     level = classes.join(ends, "key").select(F.lit(ROOT).alias("bucket"), F.lit(-1).alias("above"), F.lit(None).cast("long").alias("up"), "ids", "chars", "n", "conv", "sha")
     level = ws.save(level, "level-0")
-    paths = spark.range(1).select(F.lit(ROOT).alias("bucket"), F.lit(None).cast("string").alias("parent"), F.array(F.lit(ROOT)).alias("path"))
+    paths = None
     dealt, local = [], []
     turn = 0
     while True:
@@ -83,7 +83,11 @@ def prefix_trie(ws: Workspace, sequences: DataFrame, bucket_turns: int = 1024) -
         stats = stats.withColumn("depth", F.when(differ == 0, F.size("lo.ids")).otherwise(differ - 1))
         # The turns that depths above+1 .. depth add; the root adds none.
         spans = F.concat(F.when(F.col("above") < 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.slice(F.col("lo.chars"), F.greatest(F.col("above"), F.lit(0)) + 1, F.col("depth") - F.greatest(F.col("above"), F.lit(0))))
-        stats = ws.save(stats.join(paths, "bucket").select("bucket", "parent", "path", "above", "depth", "up", "n", "conv", spans.alias("spans")), f"buckets-{turn}")
+        if paths is None:
+            stats = stats.withColumns({"parent": F.lit(None).cast("string"), "path": F.array(F.lit(ROOT))})
+        else:
+            stats = stats.join(paths, "bucket")
+        stats = ws.save(stats.select("bucket", "parent", "path", "above", "depth", "up", "n", "conv", spans.alias("spans")), f"buckets-{turn}")
         placed = level.drop("up", "above").join(stats.select("bucket", "depth", F.col("conv").alias("up")), "bucket")
         placed = ws.save(placed.withColumn("digit", F.get("ids", F.col("depth"))), f"placed-{turn}")
         ended = placed.filter("digit is null").select("bucket", F.col("sha").alias("ends"))
