@@ -85,26 +85,35 @@ def dealt(rows: DataFrame, limits: Limits | None) -> tuple[DataFrame, int, float
 
 
 def said_text(answer: object) -> tuple[str, int | None]:
-    """(text, tokens) of what a model gave: a string, an object or mapping with `content`, a list of parts, or a tuple of text and token counts.
+    """(text, tokens) of what a model gave; see said()."""
+    text, _, _, tokens = said(answer)
+    return text, tokens
+
+
+def said(answer: object) -> tuple[str, int | None, int | None, int | None]:
+    """(text, prompt tokens, completion tokens, all tokens) of what a model gave: a string, an object or mapping with `content`, a list of
+    parts, or a tuple of text and token counts.
 
     Tokens are the total that it tells (usage_metadata or usage: total_tokens), else input and output ones, else unknown.
     """
     if isinstance(answer, tuple):
-        return str(answer[0]), sum(answer[1:])
+        counts = [*answer[1:3], None, None][:2]
+        return str(answer[0]), *counts, sum(answer[1:])
     get = lambda o, name: o.get(name) if isinstance(o, dict) else getattr(o, name, None)
     content = answer if isinstance(answer, str | list) or get(answer, "content") is None else get(answer, "content")
     text = "".join(p if isinstance(p, str) else str(get(p, "text") or "") for p in content) if isinstance(content, list) else str(content)
     usage = None if isinstance(answer, str | list) else get(answer, "usage_metadata") or get(answer, "usage")
     if not usage:
-        return text, None
-    parts = [get(usage, a) or get(usage, b) or 0 for a, b in (("input_tokens", "prompt_tokens"), ("output_tokens", "completion_tokens"))]
-    return text, int(get(usage, "total_tokens") or sum(parts))
+        return text, None, None, None
+    parts = [int(get(usage, a) or get(usage, b) or 0) for a, b in (("input_tokens", "prompt_tokens"), ("output_tokens", "completion_tokens"))]
+    return text, *parts, int(get(usage, "total_tokens") or sum(parts))
 
 
 def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2, pause: float = 1.0, limits: Limits | None = None) -> DataFrame:
-    """rows(prompt, text, ...) with answer, success, retry_count, duration (seconds); waits pause * 2**k between attempts.
+    """rows(prompt, text, ...) with answer, success, retry_count, duration (seconds), tokens, prompt_tokens, completion_tokens.
 
-    limits: see Limits; without, a task asks one row at a time and as fast as the model answers. tokens: as the answer tells (said_text), else null.
+    Waits pause * 2**k between attempts. limits: see Limits, a row's attempts together wait for their turn once; without, a task asks one
+    row at a time and as fast as the model answers. Tokens are null where the answer doesn't tell them (said). Also for streams, without limits.
     """
     ship(rows.sparkSession)
     names = [f.name for f in rows.schema.fields]
@@ -114,32 +123,31 @@ def call_model(rows: DataFrame, model: TextModel, method: str, retries: int = 2,
         ask = getattr(model, method, None)
         bucket = TokenBucket(per_minute) if per_minute else None
 
-        def one(prompt: str, text: str) -> tuple[str, bool, int, float, int | None]:
+        def one(prompt: str, text: str) -> tuple[str, bool, int, float, int | None, int | None, int | None]:
             began, answer = time.monotonic(), ""
+            if bucket:
+                bucket.acquire()
             for k in range(retries + 1):
                 try:
-                    if bucket:
-                        bucket.acquire()
-                    answer, tokens = said_text(ask(prompt, text))
-                    return answer, True, k, time.monotonic() - began, tokens
+                    answer, asked, given, tokens = said(ask(prompt, text))
+                    return answer, True, k, time.monotonic() - began, tokens, asked, given
                 except Exception as e:  # noqa: BLE001 any failure of a model is a row's failure
                     answer = f"[翻译失败: {e}]"
                     if k < retries and pause:
                         time.sleep(pause * 2**k)
-            return answer, False, retries, time.monotonic() - began, None
+            return answer, False, retries, time.monotonic() - began, None, None, None
 
         with ThreadPoolExecutor(at_once) as pool:
             for frame in frames:
                 pairs = zip(frame["prompt"], frame["text"], strict=True)
                 told = list(pool.map(lambda p: one(*p), pairs) if at_once > 1 else (one(*p) for p in pairs))
-                yield frame[names].assign(**{c: pd.Series([t[i] for t in told], index=frame.index, dtype=t) for i, (c, t) in enumerate(ADDED)})
+                yield frame[names].assign(**{c: pd.Series([t[i] for t in told], index=frame.index, dtype=t) for i, (c, t, _) in enumerate(ADDED)})
 
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in zip([c for c, _ in ADDED], (T.StringType(), T.BooleanType(), T.IntegerType(), T.DoubleType(), T.LongType()), strict=True))])
-    return rows.mapInPandas(work, schema)
+    return rows.mapInPandas(work, T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, _, t in ADDED)]))
 
 
-#: Columns that a call adds, with their types in pandas.
-ADDED = [("answer", "object"), ("success", "bool"), ("retry_count", "int32"), ("duration", "float64"), ("tokens", "Int64")]
+#: Columns that a call adds, with their types in pandas and Spark.
+ADDED = [("answer", "object", T.StringType()), ("success", "bool", T.BooleanType()), ("retry_count", "int32", T.IntegerType()), ("duration", "float64", T.DoubleType()), *((c, "Int64", T.LongType()) for c in ("tokens", "prompt_tokens", "completion_tokens"))]
 
 
 def repair_text(original: Column, translation: Column, issues: Column, terms: Column, section: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.operators import artifacts, assets, chunking, evaluation, markdown, prompts, rendering, reporting, tasks, translate
+from lexweave.operators import artifacts, assets, chunking, evaluation, markdown, prompts, rendering, reporting, tasks, translate, usage
 from lexweave.operators import glossary as G
 from lexweave.plans import document
 from lexweave.sources import database, scans, sinks
@@ -423,6 +423,36 @@ def stale_and_cancelled(spark, sf):
     return watched(spark, sf).filter("status <> 'processing'").select("task_id", "status", F.unix_micros("ts").alias("us"), "current")
 
 
+class CountingStub(translate.StubModel):
+    """The stub, with token counts: a character is a token."""
+
+    def translate(self, prompt: str, text: str) -> tuple[str, int, int]:
+        return super().translate(prompt, text), len(prompt), len(text)
+
+
+@query("SELECT CAST(sum(length(role)) AS BIGINT) AS prompt_tokens, CAST(sum(length(text)) AS BIGINT) AS completion_tokens, CAST(sum(length(role) + length(text)) AS BIGINT) AS total_tokens, count(*) AS call_count FROM conversations")
+def usage_observed(spark, sf):
+    """What a collector tells of a run over all turns, without reading its answers again."""
+    asked = table(spark, sf, "conversations").select(F.col("role").alias("prompt"), "text")
+    collector = usage.UsageCollector()
+    written(collector.watch(translate.call_model(asked, CountingStub(), "translate", 0)), "observed")
+    told = collector.snapshot()
+    return spark.createDataFrame([[told[c] for c in usage.COUNTS]], ", ".join(f"{c} long" for c in usage.COUNTS))
+
+
+@query("""SELECT conv_id, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(CASE WHEN t = 0 THEN p + c ELSE t END) AS BIGINT) AS total_tokens, count(*) AS calls FROM (
+SELECT conv_id, CASE turn % 3 WHEN 0 THEN 7 WHEN 1 THEN length(role) + length(text) ELSE 4 + length(role) END AS p, CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END AS c, CASE turn % 3 WHEN 0 THEN length(text) WHEN 1 THEN length(text) + 1 ELSE 0 END AS t
+FROM conversations WHERE length(text) > 0) GROUP BY conv_id""")
+def usage_by_message(spark, sf):
+    """Usage of calls by the provider's total, by their messages, or by the sum of both kinds, as turns have it."""
+    turn, n, role = F.col("turn") % 3, F.char_length("text"), F.char_length("role")
+    part = lambda i, o, t: F.struct(i.cast("int").alias("input_tokens"), F.lit(o).alias("output_tokens"), t.cast("int").alias("total_tokens"))
+    provider = F.when(turn == 0, F.struct(F.lit(7).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), n.alias("total_tokens"))).when(turn == 2, F.struct(F.lit(4).alias("prompt_tokens"), F.lit(None).cast("int").alias("completion_tokens"), F.lit(0).alias("total_tokens")))
+    messages = F.when(turn == 1, F.array(part(role, 2, n), part(n, 0, F.lit(1)))).when(turn == 2, F.array(part(role, 5, F.lit(None))))
+    calls = table(spark, sf, "conversations").filter("length(text) > 0").select("conv_id", usage.usage_of(provider, messages).alias("u"))
+    return calls.groupBy("conv_id").agg(*[F.sum(f"u.{c}").alias(c) for c in usage.COUNTS[:3]], F.count("*").alias("calls"))
+
+
 @query("SELECT doc_id AS k, sha256(text) AS found FROM documents WHERE doc_id IN (SELECT CAST(doc_id AS BIGINT) FROM labels WHERE quality = 1 AND toxic = 1)")
 def cache_lookup(spark, sf):
     """Texts kept by key, and those of some labelled documents looked up: only these keys' folders are read."""
