@@ -1,77 +1,41 @@
 """Terminology: which terms a text has, whether their renderings were used, and glossary edits.
 
 Terms match as substrings, whatever their case. A glossary(pos, term, rendering) of up to SMALL bytes meets texts in one pass without an
-exchange of texts: a few terms one by one, more of them by an automaton over all, in Arrow batches. A larger one meets all places in the
-texts by equality of what they begin with.
+exchange of texts: a few terms one by one, more of them by an index (term_index.py). A larger one meets the texts' grams by an exchange.
 """
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexweave.functions import text as X
-from lexweave.shipping import ship
+
+from .term_index import TermIndex
 
 #: Bytes of terms and renderings up to which a glossary is broadcast; terms that are searched one by one.
 SMALL, FEW = 4 << 20, 32
 
-_automata: dict[str, object] = {}
-
-
-def _by_automaton(rows: DataFrame, glossary: DataFrame) -> DataFrame | None:
-    """rows(__hay, ...) x the terms of a glossary of a checked size; None where the automaton's library is absent."""
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return None
-    spark = rows.sparkSession
-    ship(spark)
-    listed = glossary.withColumn("__low", F.lower("term")).filter("__low is not null").collect()
-    known = spark.createDataFrame([(n, *row[:-1]) for n, row in enumerate(listed)], T.StructType([T.StructField("__n", T.IntegerType()), *glossary.schema.fields]))
-    terms, name = spark.sparkContext.broadcast([row[-1] for row in listed]), uuid.uuid4().hex
-
-    @F.pandas_udf("array<int>")
-    def found(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        if name not in _automata:
-            _automata.clear()
-            own, places = ahocorasick.Automaton(), {}
-            for n, term in enumerate(terms.value):
-                places.setdefault(term, []).append(n)
-            for term, at in places.items():
-                if term:
-                    own.add_word(term, at)
-            own.make_automaton()
-            _automata[name] = own, places.get("", [])
-        own, always = _automata[name]
-        return texts.map(lambda t: sorted({*always, *(n for _, at in (own.iter(t) if len(own) else ()) for n in at)}))
-
-    return rows.withColumn("__n", F.explode(found(F.col("__hay")))).join(F.broadcast(known), "__n").drop("__n", "__hay")
-
 
 def matches(texts: DataFrame, glossary: DataFrame, text_col: str = "text", context_col: str | None = None, small: int = SMALL) -> DataFrame:
-    """texts x the terms they contain (in the text or its context), with the columns of the glossary(term, ...). Empty terms are in every text."""
+    """texts x the terms they contain (in the text or its context), with the columns of the glossary(term, ...). Empty terms are in every text.
+
+    Null terms and texts match nothing. Terms of a glossary of up to `small` bytes are told by each text where it is; those of a larger
+    one by the digest of the text, which is exchanged once.
+    """
     hay = F.lower(F.concat_ws("\n", F.nullif(F.col(text_col), F.lit("")), *([F.nullif(F.col(context_col), F.lit(""))] if context_col else [])))
     rows = texts.withColumn("__hay", hay).filter("__hay <> ''")
-    size, longest, terms = glossary.agg(F.sum(sum((F.octet_length(c) for c in ("term", "rendering") if c in glossary.columns), F.lit(0))), F.max(F.char_length(F.lower("term"))), F.count("term")).first()
+    there = F.contains("__hay", F.lower("term"))
+    size, terms = glossary.agg(F.sum(sum((F.octet_length(c) for c in ("term", "rendering") if c in glossary.columns), F.lit(0))), F.count("term")).first()
+    if (size or 0) <= small and terms <= FEW:
+        return rows.join(F.broadcast(glossary), there).drop("__hay")
+    filed = TermIndex(glossary)
     if (size or 0) <= small:
-        if terms > FEW and (found := _by_automaton(rows, glossary)) is not None:
-            return found
-        return rows.join(F.broadcast(glossary), F.contains("__hay", F.lower("term"))).drop("__hay")
-    # A term is at a place where the text goes on with it: places, not texts, meet the glossary; what they find comes back by digest.
+        return rows.withColumn("__gram", F.explode(filed.candidates(F.col("__hay")))).join(F.broadcast(filed.index), "__gram").filter(there).drop("__hay", "__gram")
     keyed = rows.withColumn("__key", F.sha2("__hay", 256))
-    places = F.transform(F.sequence(F.lit(1), F.char_length("__hay")), lambda i: F.substring(F.col("__hay"), i, F.lit(longest)))
-    heads = keyed.select("__key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), places))).alias("__at"))
-    pieces = heads.select("__key", "__at", F.explode(F.array_distinct(F.array(*[F.substring("__at", 1, n) for n in range(4)]))).alias("__piece"))
-    begun = glossary.withColumn("__piece", F.substring(F.lower("term"), 1, 3))
-    found = pieces.join(begun, "__piece").filter(F.startswith("__at", F.lower("term"))).select("__key", *glossary.columns).distinct()
-    return keyed.join(found, "__key").drop("__hay", "__key")
+    begun = keyed.select("__key", F.explode(filed.candidates(F.col("__hay"))).alias("__gram")).distinct()
+    found = begun.join(filed.index, "__gram").select("__key", *glossary.columns)
+    return keyed.join(found, "__key").filter(there).drop("__hay", "__key")
 
 
 def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: int = 25) -> DataFrame:
