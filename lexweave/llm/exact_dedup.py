@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, conf
+from .shared import Workspace, conf, free_names
 
 #: State on disk, as a changelog in the checkpoint folder; no space set aside for the many small stores of a wide exchange.
 STATE_CONF = {
@@ -141,12 +141,13 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = df.sparkSession
     ws = Workspace(spark, "drop-copies")
+    gone_id, gone_digest, again = free_names(df.columns, "gone_id", "gone_digest", "again")
     gone = exact_groups(df.select(id_col, text_col), id_col, text_col).filter("not kept")
-    gone = ws.save(gone.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("again")).distinct(), "gone")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha256(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__digest"))
+    gone = ws.save(gone.select(F.col(id_col).alias(gone_id), F.col("digest").alias(gone_digest), F.col(id_col).eqNullSafe(F.col("keep_id")).alias(again)).distinct(), "gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (sha256(F.coalesce(F.col(text_col), F.lit(""))) == F.col(gone_digest))
     # The same plan at every size: rows are exchanged once.
     out = df.join(gone.hint("merge"), same, "left_anti")
-    twice = gone.filter("again")
+    twice = gone.filter(F.col(again))
     if twice.isEmpty():
         return out
     # Rows equal in id and text to the one that stays went with it: one of each comes back.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship
+from .shared import Workspace, ship
 
 #: Unicode letters of the basic plane, by rule.
 LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x10000)])
@@ -87,7 +87,7 @@ class Model:
         return names, scores
 
 
-def train(labelled: DataFrame, orders: int = 3, bits: int = 14, smoothing: float = 0.5, max_langs: int = 200) -> Model:
+def train(labelled: DataFrame, orders: int = 3, bits: int = 14, smoothing: float = 0.5, max_langs: int = 1000) -> Model:
     """Fit on all rows (lang, text) with neither null. `max_langs` bounds the matrix (and what reaches the driver); more languages raise.
 
     Texts without a letter teach nothing; whole texts of any length are counted; repeated rows count each; other columns are ignored.
@@ -126,11 +126,17 @@ def train(labelled: DataFrame, orders: int = 3, bits: int = 14, smoothing: float
         yield rows()
 
     counts = labelled.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
-    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(max_langs * ((1 << bits) + 1) + 1).toPandas()
+    ws = Workspace(spark, "languages")
+    sums = ws.save(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    # Languages are counted before their buckets are brought here, so none is cut off.
+    n_langs = sums.filter("bucket < 0").count()
+    if n_langs > max_langs:
+        ws.clear()
+        raise ValueError(f"{n_langs} languages, more than {max_langs}")
+    table = sums.toPandas()
+    ws.clear()
     texts = table[table.bucket < 0].sort_values("lang")
     langs = texts.lang.tolist()
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     column = {name: i for i, name in enumerate(langs)}
     sums = np.full((1 << bits, len(langs)), smoothing)
     seen = table[(table.bucket >= 0) & table.lang.isin(column)]

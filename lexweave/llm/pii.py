@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, ship
+from .shared import Workspace, free_names, ship
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]++@[\w\-]+(?:\.[\w\-]+)+")
@@ -45,8 +45,13 @@ HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])")
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Lady": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n", "Professor": "n", "Doctor": "n", "Г-н": "m", "Господин": "m", "Г-жа": "f", "Госпожа": "f"}
 GENDER = {t.casefold(): g for t, g in TITLES.items()}
 _titles = "|".join(map(re.escape, sorted(TITLES, key=len, reverse=True)))
-#: Titles in any case, more than one in "Frau Dr. X" ("Don" after a title is a name), then up to three words.
-NAME = re.compile(rf"(?<!\w)((?i:{_titles})\.?[ \t]+(?:(?!(?i:Don)\b)(?i:{_titles})\.?[ \t]+)*)([^\W\d_]+(?:[\-'’][^\W\d_]+)*(?:[ \t]+[^\W\d_]+(?:[\-'’][^\W\d_]+)*){{0,2}})")
+#: Titles in any case, more than one in "Frau Dr. X" ("Don" after a title is a name), then a word; the name's further words follow one by one.
+_word = r"[^\W\d_]+(?:[\-'’][^\W\d_]+)*"
+NAME = re.compile(rf"(?<!\w)((?i:{_titles})\.?[ \t]+(?:(?!(?i:Don)\b)(?i:{_titles})\.?[ \t]+)*)({_word})")
+NEXT_WORD = re.compile(rf"[ \t]+({_word})")
+#: Words in small letters that may stand inside a name, and words that end one where all is in capitals (fixed values).
+PARTICLES = {"af", "al", "ap", "av", "bin", "bint", "da", "das", "de", "del", "della", "den", "der", "di", "do", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "vom", "von", "zu", "zum", "zur"}
+NO_NAMES = {"a", "an", "and", "at", "by", "but", "for", "from", "has", "in", "is", "of", "on", "or", "said", "the", "to", "was", "with", "und", "oder", "der", "die", "das", "et", "ou", "y", "o", "и"}
 #: Two or three capitalised words, and what says that they name a person: a cue before them or an e-mail address after them.
 _full = r"([^\W\d_a-z][^\W\d_]++(?:[\-'’][^\W\d_]++)*+(?:[ \t]++[^\W\d_a-z][^\W\d_]*+(?:[\-'’][^\W\d_]++)*+){1,2})"
 CUED = re.compile(
@@ -237,20 +242,39 @@ DIGIT = re.compile(r"\d")
 
 
 def titled(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each word of a name after a title: all but the last are given names, with the title's gender."""
+    """(start, end, kind) of each word of a name after a title: all but the last are given names, with the title's gender.
+
+    A name goes on, in its line, with every capitalised word, and over particles to the next one; another title or a word of NO_NAMES ends it.
+    """
     found, at = [], 0
     while m := NAME.search(text, at):
         gender = next((g for t in m[1].split() if (g := GENDER[t.rstrip(".").casefold()]) != "n"), "n")
-        words = list(re.finditer(r"\S+", m[2]))
-        words = words[: next((i for i, w in enumerate(words) if w[0][0].islower()), len(words))]
-        # The next title may be among the words that aren't taken.
-        at = m.start(2) + words[-1].end() if words else m.end(1)
-        for i, w in enumerate(words):
-            end = m.start(2) + w.end() - (len(s[0]) if (s := POSSESSIVE.search(w[0])) else 0)
-            found.append((m.start(2) + w.start(), end, "name-" if i == len(words) - 1 else f"name-{gender}"))
+        words, at, word = [], m.end(1), (m.start(2), m.end(2))
+        while word and not text[word[0]].islower():
+            words.append(word)
+            at = word[1]
+            word = _next_name_word(text, at)
+        for i, (a, b) in enumerate(words):
+            b -= len(s[0]) if (s := POSSESSIVE.search(text[a:b])) else 0
+            found.append((a, b, "name-" if i == len(words) - 1 else f"name-{gender}"))
     return found
 
 
+def _next_name_word(text: str, at: int) -> tuple[int, int] | None:
+    """Where the name that ends at `at` goes on."""
+    for _ in range(4):  # "van der", "de la": particles stand in a row of three at most
+        m = NEXT_WORD.match(text, at)
+        if not m:
+            return None
+        low = m[1].casefold()
+        if not m[1][0].islower():
+            return None if low in GENDER or low in NO_NAMES and low not in PARTICLES else m.span(1)
+        if low not in PARTICLES:
+            return None
+        at = m.end(1)
+    return None
+
+
 def cued(text: str, taken: list[tuple[int, int, str]], cues: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each word of a name without a title that a cue tells: all but the last are given names."""
     found, starts = [], {a for a, _, _ in taken}
@@ -470,14 +494,15 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     other = known.join(drawn, ["known", "canon"], "left").filter("attempt is not null or known <> kind")
     other = ws.save(other.select("kind", "canon", "known", F.coalesce("attempt", F.lit(0)).alias("attempt")), "exceptions")
     kept = [c for c in docs.columns if c != kinds_col]
+    others, owner = free_names(docs.columns, "exceptions", "of_document")
     source = docs.select(*kept)
     if other.isEmpty():
-        source = source.withColumn("__other", F.lit(None).cast("array<struct<kind:string,canon:binary,known:string,attempt:int>>"))
+        source = source.withColumn(others, F.lit(None).cast("array<struct<kind:string,canon:binary,known:string,attempt:int>>"))
     else:
         # One row an id that mentions an exception; as many rows as the exceptions' mentions at most.
-        by_doc = seen.join(other, ["kind", "canon"]).groupBy(F.col("id").alias("__doc")).agg(F.collect_set(F.struct("kind", "canon", "known", "attempt")).alias("__other"))
+        by_doc = seen.join(other, ["kind", "canon"]).groupBy(F.col("id").alias(owner)).agg(F.collect_set(F.struct("kind", "canon", "known", "attempt")).alias(others))
         by_doc = ws.save(by_doc, "exceptions-by-document")
-        source = source.join(by_doc, F.col(id_col).cast("string").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+        source = source.join(by_doc, F.col(id_col).cast("string").eqNullSafe(F.col(owner)), "left").drop(owner)
         ws.clear(by_doc)
     at = kept.index(text_col)
 

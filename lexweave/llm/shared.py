@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexweave.shipping import ship
 
-__all__ = ["Workspace", "conf", "meet_in_parts", "salted_rank", "shared_root", "ship", "sorted_blocks", "sorted_groups"]
+__all__ = ["Workspace", "conf", "free_names", "meet_in_parts", "salted_rank", "shared_root", "ship", "sorted_blocks", "sorted_groups"]
 _own: list[str] = []
 
 
@@ -81,6 +81,17 @@ def salted_rank(counts: DataFrame, group: list[str], salt: str, n: str) -> DataF
     return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0)))
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """`names`, each with as many underscores behind it as it takes to be none of `taken` (in any case)."""
+    used, out = {t.casefold() for t in taken}, []
+    for name in names:
+        while name.casefold() in used:
+            name += "_"
+        used.add(name.casefold())
+        out.append(name)
+    return out
+
+
 @contextmanager
 def conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings of the session for as long as a block runs."""
