@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import exact_dedup, language_id, near_text, packing, pii
-from lexweave.llm.shared import Workspace
+from lexweave.llm.shared import Workspace, free_names
 
 
 #: A document goes if even its likeliest language has a lower posterior than this.
@@ -23,11 +23,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty tables give no rows, repeated rows stay, columns of any name are kept as they are.
     """
     model = language_id.train(docs.select("lang", "text"))
-    judged = language_id.predict(docs, model, names=("__lang", "__score"))
+    lang, score = free_names(docs.columns, "predicted", "posterior")
+    judged = language_id.predict(docs, model, names=(lang, score))
     if not model.langs:
         return judged.filter(F.col("text").rlike("\\p{L}")).select(*docs.columns)
-    kept = judged.filter((F.col("__lang") != "und") & (F.col("__score") >= CONFIDENCE))
-    return kept.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    kept = judged.filter((F.col(lang) != "und") & (F.col(score) >= CONFIDENCE))
+    return kept.select(*[F.coalesce("lang", lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +41,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with a null doc_id stay. Rows are told by doc_id and text, so of an id on several texts only the copies go.
     """
-    gone = near_text.near_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key")), "left_anti")
+    gone_id, gone_key = free_names(docs.columns, "gone_id", "gone_key")
+    gone = near_text.near_groups(docs.select("doc_id", "text")).filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+    return docs.join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(gone_key)), "left_anti")
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the text. Null texts stay null; other columns, of any name, stay as they are."""
-    out = pii.replace_pii(docs, pii.session_key(spark), kinds_col="__pii_kinds")
+    out = pii.replace_pii(docs, pii.session_key(spark), kinds_col=free_names(docs.columns, "kinds")[0])
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -59,10 +61,12 @@ STAGES = [("language_id", identify), ("exact_dedup", drop_copies), ("simhash_nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents. A stage's table goes as soon as the next one is written, so no text from before the surrogates stays."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = ws.save(stage(spark, docs, sf_dir), name)
+        before, docs = docs, ws.save(stage(spark, docs, sf_dir), name)
+        ws.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
