@@ -184,3 +184,12 @@ def score(text: Column, name: str) -> Column:
 
 def rationale(text: Column) -> Column:
     return F.coalesce(F.get_json_object(json_object(text), "$.rationale"), F.lit(""))
+
+
+def heading_paths(headings: Column) -> Column:
+    """array<struct<level int, title string, ...>> in order -> array<array<string>>: the stack at each heading.
+
+    A heading of level n replaces what the stack holds from its n-th place on, however deep those before it were.
+    """
+    step = lambda paths, h: F.concat(paths, F.array(F.concat(F.slice(F.coalesce(F.try_element_at(paths, F.lit(-1)), F.array().cast("array<string>")), F.lit(1), h["level"] - 1), F.array(h["title"]))))
+    return F.aggregate(headings, F.array().cast("array<array<string>>"), step)

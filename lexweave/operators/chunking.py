@@ -163,3 +163,18 @@ def fenced_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines.withColumn("fence", F.startswith(X.strip(F.col("line")), F.lit("```")))
     w = Window.partitionBy(id_col).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("inside", F.count_if("fence").over(w) % 2 == 1)
+
+
+def line_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a line: id, nth, line, heading (outside of code), path array<string>: the headings that it stands below, itself included.
+
+    Headings nest by their place in the stack, as in chunks. Only a document's headings are gathered, not its lines. Null texts have no line.
+    """
+    lines = fenced_lines(docs, id_col, text_col)
+    mark, title = (F.regexp_extract("line", HEADING.pattern, group) for group in (1, 2))
+    lines = lines.withColumn("heading", ~F.col("fence") & ~F.col("inside") & (mark != ""))
+    w = Window.partitionBy(id_col).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("above", F.count_if("heading").over(w))
+    found = lines.filter("heading").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("above", F.char_length(mark).alias("level"), X.strip(title).alias("title")))).alias("h"))
+    paths = found.select(id_col, F.posexplode(X.heading_paths(F.col("h"))).alias("n", "path")).select(id_col, (F.col("n") + 1).cast("long").alias("above"), "path")
+    return lines.join(paths, [id_col, "above"], "left").select(id_col, "nth", "line", "heading", F.coalesce("path", F.array().cast("array<string>")).alias("path"))

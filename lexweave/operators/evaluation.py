@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.shipping import ship
@@ -108,40 +108,62 @@ def common_substring(a: str, b: str) -> str:
     return a[at : at + fits]
 
 
-def settled(shared: str, least: int = 2) -> str:
-    """A signature is long enough and has a Chinese character; else empty."""
-    shared = shared.strip()
-    return shared if len(shared) >= least and any("一" <= c <= "鿿" for c in shared) else ""
+def settled(shared: Column, least: int = 2) -> Column:
+    """A signature, blanks and all, that is long enough and has a Chinese character; else empty."""
+    return F.when((F.char_length(shared) >= least) & shared.rlike("[一-鿿]"), shared).otherwise("")
 
 
-def phrase_consistency(segments: DataFrame, terms: DataFrame, occurrences: int = 2, least: int = 2) -> DataFrame:
-    """segments(seg, source, translation) -> phrase, occurrences, signature, consistent.
+def phrase_consistency(segments: DataFrame, terms: DataFrame, occurrences: int = 2, least: int = 2, first: int = 8) -> DataFrame:
+    """segments(seg, source, translation) -> phrase, occurrences, signature, consistent. seg is the order and names a segment; a null translation is empty.
 
-    The signature is what all translations of a phrase share, folded in the order of segments. The fold has an order, so a phrase is one
-    stream of sorted batches; only the string shared so far is held.
+    The signature is what all translations of a phrase share, folded in the order of segments. A phrase's first `first` segments are folded
+    where they meet; most phrases share too little by then and are done. Of the rest each round finds the first later segment that lacks what
+    is shared so far, by a minimum that is combined before it is exchanged, and folds that one in: all between leave the shared string as it is.
+    So no task holds more than `first` rows of a phrase, and a phrase has as many rounds as its shared string gets shorter.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrase, shared, n = None, "", 0
+        phrase, shared, at, begun = None, "", 0, False
         for frame in frames:
             done = []
-            for p, text in zip(frame["phrase"], frame["translation"], strict=True):
-                if p != phrase:
-                    if n:
-                        done.append((phrase, n, settled(shared, least)))
-                    phrase, shared, n = p, text or "", 1
+            for p, seg, text in zip(frame["phrase"], frame["seg"], frame["translation"], strict=True):
+                if not begun or p != phrase:
+                    if begun:
+                        done.append((phrase, at, shared))
+                    phrase, shared, at, begun = p, text or "", seg, True
                 else:
-                    n += 1
-                    shared = common_substring(shared, text or "") if len(shared) >= least else ""
-            yield pd.DataFrame(done, columns=["phrase", "occurrences", "signature"])
-        if n:
-            yield pd.DataFrame([(phrase, n, settled(shared, least))], columns=["phrase", "occurrences", "signature"])
+                    shared, at = common_substring(shared, text or "") if len(shared) >= least else "", seg
+            yield pd.DataFrame(done, columns=["phrase", "at", "shared"])
+        if begun:
+            yield pd.DataFrame([(phrase, at, shared)], columns=["phrase", "at", "shared"])
+
+    @F.pandas_udf("string")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([common_substring(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
     ship(segments.sparkSession)
-    phrases = repeated_phrases(segments, terms, occurrences).select("phrase")
-    spread = phrase_segments(segments).join(phrases, "phrase").join(segments.select("seg", "translation"), "seg")
-    ordered = spread.select("phrase", "seg", "translation").repartition("phrase").sortWithinPartitions("phrase", "seg")
-    return ordered.mapInPandas(fold, "phrase string, occurrences long, signature string").withColumn("consistent", F.col("signature") != "")
+    phrases = repeated_phrases(segments, terms, occurrences)
+    spread = written(phrase_segments(segments).join(phrases.select("phrase"), "phrase").withColumn("seg", F.col("seg").cast("long")), "phrase-segments")
+    said = segments.select(F.col("seg").cast("long").alias("seg"), F.coalesce("translation", F.lit("")).alias("translation"))
+    w = Window.partitionBy("phrase").orderBy("seg")
+    head = spread.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= first).join(said, "seg")
+    head = head.select("phrase", "seg", "translation").repartition("phrase").sortWithinPartitions("phrase", "seg")
+    state = written(head.mapInPandas(fold, "phrase string, at long, shared string"), "shared")
+    live = state.filter(F.char_length("shared") >= least)
+    done = state.filter(F.char_length("shared") < least).select("phrase", "shared")
+    while True:
+        later = spread.join(live, "phrase").filter(F.col("seg") > F.col("at")).join(said, "seg")
+        lacking = later.filter(~F.contains("translation", F.col("shared"))).groupBy("phrase").agg(F.min("seg").alias("next"), F.min_by("translation", "seg").alias("text"))
+        lacking = written(lacking, "lacking")
+        done = done.unionByName(live.join(lacking.select("phrase"), "phrase", "left_anti").select("phrase", "shared"))
+        if lacking.isEmpty():
+            break
+        shorter = live.select("phrase", "shared").join(lacking, "phrase").select("phrase", F.col("next").alias("at"), common(F.col("shared"), F.col("text")).alias("shared"))
+        state = written(shorter, "shared")
+        live = state.filter(F.char_length("shared") >= least)
+        done = done.unionByName(state.filter(F.char_length("shared") < least).select("phrase", "shared"))
+    out = spread.groupBy("phrase").agg(F.count(F.lit(1)).alias("occurrences")).join(done, "phrase")
+    return out.select("phrase", "occurrences", settled(F.col("shared"), least).alias("signature")).withColumn("consistent", F.col("signature") != "")
 
 
 def consistency_summary(phrases: DataFrame, threshold: float = 0.9) -> DataFrame:

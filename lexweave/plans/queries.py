@@ -423,6 +423,24 @@ def stale_and_cancelled(spark, sf):
     return watched(spark, sf).filter("status <> 'processing'").select("task_id", "status", F.unix_micros("ts").alias("us"), "current")
 
 
+#: A turn is a line: users' are headings of all levels, some of the others' open or close code.
+TURN_LINE = "CASE WHEN role = 'user' THEN repeat('#', CAST(turn * 5 % 6 + 1 AS INT)) || '  ' || role || turn || ' ' WHEN turn % 4 = 3 THEN '```' ELSE role END"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {TURN_LINE} AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations WHERE turn IS NOT NULL),
+f AS (SELECT *, count(*) FILTER (WHERE line = '```') OVER (PARTITION BY conv_id ORDER BY nth) % 2 = 1 AS inside FROM t),
+h AS (SELECT *, line LIKE '#%' AND NOT inside AS heading, count(*) FILTER (WHERE line LIKE '#%' AND NOT inside) OVER (PARTITION BY conv_id ORDER BY nth) AS above FROM f),
+s(conv_id, above, path) AS (SELECT conv_id, 0, CAST([] AS VARCHAR[]) FROM h GROUP BY conv_id
+UNION ALL SELECT s.conv_id, h.above, list_append(s.path[1:length(regexp_extract(h.line, '^#+')) - 1], trim(ltrim(h.line, '#'))) FROM s JOIN h ON h.conv_id = s.conv_id AND h.heading AND h.above = s.above + 1)
+SELECT conv_id, CAST(nth AS INT) AS nth, heading, array_to_string(path, ' > ') AS path FROM h JOIN s USING (conv_id, above)""")
+def heading_stack(spark, sf):
+    """The headings above each line of conversations written as documents."""
+    turns = table(spark, sf, "conversations").filter("turn IS NOT NULL").select("conv_id", "turn", F.expr(TURN_LINE).alias("line"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    lines = chunking.line_paths(whole, "conv_id")
+    return lines.select("conv_id", "nth", "heading", F.array_join("path", " > ").alias("path"))
+
+
 class CountingStub(translate.StubModel):
     """The stub, with token counts: a character is a token."""
 
