@@ -6,10 +6,11 @@ exchange of texts: a few terms one by one, more of them by an index (term_index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
+from lexweave.tables import written
 
 from .term_index import TermIndex
 
@@ -38,6 +39,43 @@ def matches(texts: DataFrame, glossary: DataFrame, text_col: str = "text", conte
     return keyed.join(found, "__key").filter(there).drop("__hay", "__key")
 
 
+def few_terms(glossary: DataFrame) -> list | None:
+    """Rows (pos, term, rendering, low) of a glossary of at most FEW terms and 64 KB, else None."""
+    rows = glossary.filter("term is not null").select("pos", "term", "rendering", F.lower("term").alias("low")).limit(FEW + 1).collect()
+    return rows if len(rows) <= FEW and sum(len(r.term) + len(r.rendering or "") for r in rows) <= 1 << 14 else None
+
+
+def _listed(rows: list) -> Column:
+    one = lambda r: F.struct(F.lit(r.pos).alias("pos"), F.lit(r.term).alias("term"), F.lit(r.rendering).cast("string").alias("rendering"), F.lit(r.low).alias("low"))
+    return F.array(*map(one, rows)) if rows else F.array().cast("array<struct<pos:int,term:string,rendering:string,low:string>>")
+
+
+def _there(listed: Column, hay: Column) -> Column:
+    return F.filter(listed, lambda t: (hay != "") & F.contains(hay, t["low"]))
+
+
+def with_terms(rows: DataFrame, glossary: DataFrame, id_col: str, text_col: str = "text", context_col: str | None = None) -> DataFrame:
+    """rows with terms array<struct<pos, term, rendering>>: those in the text or its context, in order of the glossary.
+
+    A few terms are looked for where the rows are; more are matched and joined by id, over rows that are written before.
+    """
+    if (listed := few_terms(glossary)) is not None:
+        hay = F.coalesce(F.lower(F.concat_ws("\n", F.nullif(F.col(text_col), F.lit("")), *([F.nullif(F.col(context_col), F.lit(""))] if context_col else []))), F.lit(""))
+        kept = _there(_listed(sorted(listed, key=lambda r: (r.pos, r.term, r.rendering or ""))), hay)
+        return rows.withColumn("terms", F.transform(kept, lambda t: F.struct(t["pos"].alias("pos"), t["term"].alias("term"), t["rendering"].alias("rendering"))))
+    rows = written(rows, "rows")
+    found = matches(rows.select(id_col, *{text_col, *([context_col] if context_col else [])}), glossary, text_col, context_col)
+    found = found.groupBy(F.col(id_col).alias("__of")).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "rendering"))).alias("terms"))
+    joined = rows.join(found, F.col(id_col) == F.col("__of"), "left").drop("__of")
+    return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<pos:int,term:string,rendering:string>>")))
+
+
+def _used(translation: Column, rendering: Column) -> Column:
+    """A rendering counts whole or up to its first " ("."""
+    preferred = F.trim(F.split_part(rendering, F.lit(" ("), F.lit(1)))
+    return ((preferred != "") & F.contains(translation, preferred)) | F.contains(translation, rendering)
+
+
 def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: int = 25) -> DataFrame:
     """pairs(id, original, translation) -> a row for each checked term, with `kept`: its rendering was used.
 
@@ -45,19 +83,28 @@ def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: in
     """
     found = matches(pairs, glossary, "original")
     w = Window.partitionBy(id_col).orderBy(F.desc(F.char_length("term")), "pos")
-    preferred = F.trim(F.split_part("rendering", F.lit(" ("), F.lit(1)))
-    kept = ((preferred != "") & F.contains("translation", preferred)) | F.contains("translation", F.col("rendering"))
     # Texts are looked at before the exchange that ranks terms, and stay behind.
-    judged = found.select(id_col, "pos", "term", "rendering", kept.alias("kept"))
+    judged = found.select(id_col, "pos", "term", "rendering", _used(F.col("translation"), F.col("rendering")).alias("kept"))
     return judged.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= max_checks).select(id_col, "nth", "pos", "term", "rendering", "kept")
 
 
 def quality_reports(pairs: DataFrame, glossary: DataFrame, id_col: str, words: int = 12, max_checks: int = 25) -> DataFrame:
-    """pairs with issues array<struct>, issue_count and passed: untranslated runs, terminology, Markdown parity, repetition."""
-    missed = adherence(pairs, glossary, id_col, max_checks).filter("not kept")
-    terms = missed.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("nth", F.lit("terminology").alias("kind"), F.lit("medium").alias("severity"), F.concat(F.col("term"), F.lit(" -> "), F.col("rendering")).alias("message")))).alias("__terms"))
-    joined = pairs.join(terms, F.col(id_col) == F.col("__id"), "left")
-    dropped = F.transform(F.coalesce("__terms", F.array().cast("array<struct<nth:int,kind:string,severity:string,message:string>>")), lambda t: F.struct(t["kind"].alias("kind"), t["severity"].alias("severity"), t["message"].alias("message")))
+    """pairs with issues array<struct>, issue_count and passed: untranslated runs, terminology, Markdown parity, repetition.
+
+    A few terms are checked where the pairs are; more are matched, ranked and joined by id.
+    """
+    told = lambda term, rendering: F.concat(term, F.lit(" -> "), rendering)
+    if (listed := few_terms(glossary)) is not None:
+        ordered = _listed(sorted(listed, key=lambda r: (-len(r.term), r.pos)))
+        checked = F.slice(_there(ordered, F.lower(F.coalesce("original", F.lit("")))), 1, max_checks)
+        missed = F.filter(checked, lambda t: ~_used(F.col("translation"), t["rendering"]))
+        dropped = F.transform(missed, lambda t: F.struct(F.lit("terminology").alias("kind"), F.lit("medium").alias("severity"), told(t["term"], t["rendering"]).alias("message")))
+        joined = pairs
+    else:
+        missed = adherence(pairs, glossary, id_col, max_checks).filter("not kept")
+        terms = missed.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("nth", F.lit("terminology").alias("kind"), F.lit("medium").alias("severity"), told(F.col("term"), F.col("rendering")).alias("message")))).alias("__terms"))
+        joined = pairs.join(terms, F.col(id_col) == F.col("__id"), "left")
+        dropped = F.transform(F.coalesce("__terms", F.array().cast("array<struct<nth:int,kind:string,severity:string,message:string>>")), lambda t: F.struct(t["kind"].alias("kind"), t["severity"].alias("severity"), t["message"].alias("message")))
     one = lambda i: F.filter(F.array(i), lambda x: x.isNotNull())
     issues = F.concat(one(X.untranslated_issue(F.col("translation"), words)), dropped, X.markdown_issues(F.col("original"), F.col("translation")), one(X.repetition_issue(F.col("translation"))))
     return joined.withColumn("issues", issues).drop("__id", "__terms").withColumn("issue_count", F.size("issues")).withColumn("passed", F.col("issue_count") == 0)

@@ -173,23 +173,22 @@ def translate_chunks(
     checker: TextModel | None = None,
     qa: bool = True,
     limits: Limits | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """chunks(chunk_id, text, section_title, context_text, [section_path]) -> chunk_id, original, translation, success, retry_count, duration, tokens, issues, passed, repaired.
 
-    `prompt` and `repair` may use the chunks' other columns. `checker` repairs (default: the model itself). Without `qa` every
+    `prompt` and `repair` may use the chunks' other columns; those of `carry` come along. `checker` repairs (default: the model itself). Without `qa` every
     translation passes as it is. A chunk whose first report asks for it is repaired up to `attempts` times, until it passes; an
     answer that isn't worse replaces it, and a call that fails leaves it. Answers are written as they come, so that no plan over
     them asks the model again; the calls run when this is called.
     """
     model = model or StubModel()
     section = X.breadcrumb(F.col("section_path")) if "section_path" in chunks.columns else F.col("section_title")
-    found = G.matches(chunks.select("chunk_id", "text", "context_text"), glossary, "text", "context_text")
-    found = found.groupBy(F.col("chunk_id").alias("t_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "rendering"))).alias("found"))
-    rows = chunks.join(found, F.col("chunk_id") == F.col("t_id"), "left").withColumns({"terms": F.coalesce(F.col("found").cast(TERMS), F.array().cast(TERMS)), "section": section})
+    rows = G.with_terms(chunks, glossary, "chunk_id", "text", "context_text").withColumns({"terms": F.col("terms").cast(TERMS), "section": section})
     rows = rows.withColumn("prompt", prompt(F.col("section"), F.col("context_text"), F.col("terms")))
-    told = written(call_model(rows.select("chunk_id", "text", "prompt", "terms", "section"), model, "translate", retries, pause, limits), "answers")
+    told = written(call_model(rows.select("chunk_id", "text", "prompt", "terms", "section", *carry), model, "translate", retries, pause, limits), "answers")
     told = told.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("answer")))
-    done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "duration", "tokens", "terms", "section", F.lit(False).alias("repaired"))
+    done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "duration", "tokens", "terms", "section", F.lit(False).alias("repaired"), *carry)
     if not qa:
         return done.drop("terms", "section").withColumns({"issues": F.array().cast(f"array<{X.ISSUE}>"), "issue_count": F.lit(0), "passed": F.lit(True)})
     done = G.quality_reports(done, glossary, "chunk_id", max_checks=max_checks).withColumn("wanted", F.col("success") & X.should_repair(F.col("issues")))
@@ -207,7 +206,7 @@ def translate_chunks(
         fixed = fixed.select(
             "chunk_id", "original", F.when(better, F.col("translation")).otherwise(F.col("old_translation")).alias("translation"), F.col("old_success").alias("success"), F.col("old_retry_count").alias("retry_count"),
             (F.col("old_duration") + F.col("duration")).alias("duration"), F.when(F.col("old_tokens").isNotNull() | F.col("tokens").isNotNull(), F.coalesce("old_tokens", F.lit(0)) + F.coalesce("tokens", F.lit(0))).alias("tokens"),
-            "terms", "section", (F.col("repaired") | better).alias("repaired"), chosen.alias("issues"), "wanted",
+            "terms", "section", (F.col("repaired") | better).alias("repaired"), chosen.alias("issues"), "wanted", *carry,
         )
         fixed = fixed.withColumn("issue_count", F.size("issues")).withColumn("passed", F.col("issue_count") == 0)
         done = done.filter(~need).unionByName(fixed)

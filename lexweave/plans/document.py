@@ -46,17 +46,17 @@ def translated_chunks(
     if cache is None:
         hits, misses = None, chunks.withColumn("cache_key", F.lit(None).cast("string"))
     else:
-        found = G.matches(chunks.select("chunk_id", "text", "context_text"), terms, "text", "context_text").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", "rendering"))).alias("pairs"))
-        used = F.coalesce("pairs", F.array().cast("array<struct<term:string,rendering:string>>"))
+        chunks = G.with_terms(chunks, terms, "chunk_id", "text", "context_text").withColumnRenamed("terms", "found")
+        used = F.array_sort(F.transform("found", lambda t: F.struct(t["term"].alias("term"), t["rendering"].alias("rendering"))))
         p = F.col("profile")
         mark = X.profile_fingerprint(p["summary"], p["style_notes"], p["terminology_hints"], p["section_overview"])
         key = X.cache_key("v4", prompts.fingerprint(words, settings), name, F.col("id"), mark, used)
-        hits, misses = rendering.cache_split(written(chunks.join(found, "chunk_id", "left").withColumn("cache_key", key).drop("pairs"), "keyed"), cache)
+        hits, misses = rendering.cache_split(written(chunks.withColumn("cache_key", key).drop("found"), "keyed"), cache)
         hits = hits.select("chunk_id", F.col("id").alias("chunk"), F.col("text").alias("original"), F.col("cached_translation").alias("translation"), "success", F.lit(0).alias("retry_count"), F.lit(0.0).alias("duration"), F.lit(None).cast("long").alias("tokens"), F.lit(0).alias("issue_count"), F.lit(True).alias("passed"), F.lit(False).alias("repaired"), "cached", "cache_key")
     ask = lambda section, context, found: prompts.translation_prompt(words, F.col("profile"), found, section, context)
     mend = lambda original, translation, issues, found, section: prompts.repair_prompt(words, original, translation, issues, found, section)
-    told = translate.translate_chunks(misses, terms, model, repairs, prompt=ask, max_checks=max_checks, repair=mend, checker=checker, qa=qa, limits=limits)
-    told = told.join(misses.select("chunk_id", F.col("id").alias("chunk"), "cache_key"), "chunk_id")
+    told = translate.translate_chunks(misses, terms, model, repairs, prompt=ask, max_checks=max_checks, repair=mend, checker=checker, qa=qa, limits=limits, carry=("id", "cache_key"))
+    told = told.withColumnRenamed("id", "chunk")
     lost = ~F.col("success")
     out = told.select("chunk_id", "chunk", "original", "translation", "success", "retry_count", "duration", "tokens", F.when(lost, F.lit(EMPTY_REPORT["issue_count"])).otherwise(F.col("issue_count")).alias("issue_count"), (F.col("passed") & ~lost).alias("passed"), "repaired", F.lit(False).alias("cached"), "cache_key")
     out = out if hits is None else out.unionByName(hits)
