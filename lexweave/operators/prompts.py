@@ -28,6 +28,10 @@ NO_SECTIONS = "- Document Root"
 TERM_LIST = "terms array<struct<term:string,translation:string,note:string>>"
 
 
+#: Bytes of known terms that a prompt lists.
+KNOWN = 1 << 20
+
+
 @dataclass(frozen=True)
 class Wording:
     """Roles and requirements; each may be replaced for a domain."""
@@ -124,9 +128,17 @@ def parse_terms(answers: DataFrame, existing: DataFrame, most: int = 60) -> Data
 
 
 def suggested_terms(doc: DataFrame, existing: DataFrame, model: TextModel, words: Wording = Wording(), excerpt: int = 16000, most: int = 60) -> DataFrame:  # noqa: B008
-    """Candidates for one document's glossary, from an excerpt, by its design; a failed call gives none."""
-    known = existing.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("known"))
-    asked = doc.select(F.substring("text", 1, excerpt).alias("text")).crossJoin(F.broadcast(known))
+    """Candidates for one document's glossary, from an excerpt, by its design; a failed call gives none.
+
+    The prompt lists the terms that the glossary has: all of them while they have up to KNOWN bytes, else those that are in the excerpt.
+    """
+    asked = doc.select(F.substring("text", 1, excerpt).alias("text"))
+    if (existing.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= KNOWN:
+        known = existing.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("known"))
+        asked = asked.crossJoin(F.broadcast(known))  # one row of at most KNOWN bytes
+    else:
+        listed = existing if "rendering" in existing.columns else existing.withColumn("rendering", F.lit(""))
+        asked = G.with_terms(asked.withColumn("of", F.sha2("text", 256)), listed.select("pos", "term", "rendering"), "of").withColumn("known", F.col("terms.term"))
     asked = asked.select("text", sections(words.extractor, {"Known": bullets(F.col("known"), NO_TERMS), "Excerpt": F.col("text")}).alias("prompt"))
     return parse_terms(call_model(asked, model, "translate", 0).filter("success"), existing, most)
 

@@ -32,7 +32,7 @@ def test_settings_and_fingerprint(tmp_path):
     b = a.with_values(api__translator__temperature=0.5, new__x=1)
     assert a.get("api.translator.temperature") == 0.3 and b.get("new.x") == 1 and a.get("new") is None
     prints = {a.fingerprint(), b.fingerprint(), a.with_values(prompt__role="s").fingerprint(), a.with_values(translation_profile__name="paper").fingerprint()}
-    assert len(prints) == 4 and a.fingerprint() == a.with_values(other="x").fingerprint()
+    assert len(prints) == 4 and a.fingerprint() == a.with_values(logging__level="x", paths__cache=None).fingerprint() != a.with_values(quality__repairs=2).fingerprint()
     for name in ("one", "two"):
         (tmp_path / f"{name}.json").write_text(json.dumps({"name": name}))
     assert config.current(str(tmp_path / "one.json")).get("name") == "one" and config.current().get("name") == "one"

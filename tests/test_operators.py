@@ -263,6 +263,17 @@ def test_suggested_terms(spark):
     assert said("x") == ["New"] and said("fail") == []
 
 
+def test_a_large_glossary_is_listed_as_far_as_the_text_has_it(spark, monkeypatch):
+    class Told:
+        def translate(self, prompt, text):
+            return '{"terms": [{"term": "%s", "translation": "x"}]}' % ("both" if "old" in prompt.split("Excerpt")[0] and "absent" not in prompt else "wrong")
+
+    monkeypatch.setattr(prompts, "KNOWN", 8)
+    known = spark.createDataFrame([(0, "old", "旧"), (1, "absent term", "无")], "pos int, term string, rendering string")
+    doc = spark.createDataFrame([("an old stone",)], "text string")
+    assert [r.term for r in prompts.suggested_terms(doc, known, Told()).collect()] == ["both"]
+
+
 def test_evaluation_report(spark):
     runs = reporting.variant_runs(spark.createDataFrame([(1, "src", "译文")], "sample_id int, source string, translation string")).withColumn("terms", F.array().cast("array<struct<term:string,rendering:string>>"))
     verdicts = document.judged(runs.filter("ordinal = 0"), Echo(), '{"accuracy": 5, "fluency": "4.5", "rationale": "{source}"}')
