@@ -284,19 +284,26 @@ def consistency_summary(spark, sf):
     return evaluation.consistency_summary(evaluation.phrase_consistency(segments(spark, sf), terms(spark)))
 
 
-@query("SELECT * FROM (VALUES (0, 'Gradient Descent', '梯度下降'), (3, 'Backpropagation', '反向传播')) v(pos, term, translation)")
+@query("""SELECT pos, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY pos) AS n FROM (SELECT p_partkey * 10 AS pos, p_name AS term, p_type AS translation FROM part
+UNION ALL SELECT p_partkey * 10 + 1, upper(p_name), 'x' FROM part UNION ALL SELECT p_partkey * 10 + 3, p_brand, '品牌' || p_partkey FROM part)) WHERE n = 1 AND lower(term) NOT IN (SELECT lower(p_brand) FROM part WHERE p_brand LIKE '%7')""")
 def candidate_parse(spark, sf):
-    raw = 'x {"terms":[{"term":"Gradient Descent","translation":"梯度下降"},{"term":"gradient descent","translation":"x"},{"term":"Old","translation":"旧"},{"term":"Backpropagation","translation":"反向传播"},{"term":"","translation":"空"}]} y'
-    parsed = spark.range(1).select(F.from_json(X.json_object(F.lit(raw)), "terms array<struct<term:string,translation:string>>").alias("j"))
-    rows = parsed.select(F.posexplode("j.terms").alias("pos", "t")).select("pos", "t.term", "t.translation")
-    return G.first_by_case(rows, spark.range(1).select(F.lit("OLD").alias("term")))
+    """Candidates out of an answer a part, with text around its JSON, a second spelling and a term that is empty; some brands are known."""
+    parts, entry = table(spark, sf, "part"), lambda term, translation: F.concat(F.lit('{"term":"'), term, F.lit('","translation":"'), translation, F.lit('"}'))
+    entries = F.concat_ws(",", entry(F.col("p_name"), F.col("p_type")), entry(F.upper("p_name"), F.lit("x")), entry(F.lit(""), F.lit("空")), entry(F.col("p_brand"), F.concat(F.lit("品牌"), F.col("p_partkey").cast("string"))))
+    raw = F.concat(F.lit("As asked: "), F.lit('{"terms":['), entries, F.lit("]} That is all."))
+    parsed = parts.select("p_partkey", F.from_json(X.json_object(raw), "terms array<struct<term:string,translation:string>>").alias("j"))
+    rows = parsed.select("p_partkey", F.posexplode("j.terms").alias("n", "t")).select((F.col("p_partkey") * 10 + F.col("n")).alias("pos"), "t.term", "t.translation")
+    return G.first_by_case(rows, parts.filter("p_brand LIKE '%7'").select(F.upper("p_brand").alias("term")))
 
 
-@query("SELECT * FROM (VALUES ('eau', '河'), ('heit', '自由'), ('new', '新')) v(term, rendering)")
+@query("""WITH old AS (SELECT p_name AS term, min(p_type) AS rendering FROM part GROUP BY p_name), new AS (SELECT DISTINCT p_name AS term, '红' AS rendering FROM part WHERE p_name LIKE 'red %' UNION ALL SELECT DISTINCT p_brand, '品牌' FROM part)
+SELECT * FROM (SELECT * FROM old WHERE term NOT IN (SELECT term FROM new) UNION ALL SELECT * FROM new) WHERE term NOT LIKE '% ring'""")
 def glossary_merge(spark, sf):
-    add = spark.createDataFrame([("eau", "河"), ("new", "新")], "term string, rendering string")
-    remove = terms(spark).filter("term NOT IN ('eau', 'heit')").select("term")
-    return G.upsert_terms(terms(spark), add, remove)
+    """A glossary of parts' names: some get another rendering, brands come in, rings go."""
+    parts = table(spark, sf, "part")
+    old = parts.groupBy(F.col("p_name").alias("term")).agg(F.min("p_type").alias("rendering"))
+    add = parts.filter("p_name LIKE 'red %'").select(F.col("p_name").alias("term"), F.lit("红").alias("rendering")).unionByName(parts.select(F.col("p_brand").alias("term"), F.lit("品牌").alias("rendering"))).distinct()
+    return G.upsert_terms(old, add, parts.filter("p_name LIKE '% ring'").select(F.col("p_name").alias("term")))
 
 
 @query("""SELECT pos, term, translation FROM (SELECT doc_id AS pos, trim(term) AS term, trim(translation) AS translation, row_number() OVER (PARTITION BY lower(trim(term)) ORDER BY doc_id) AS n FROM (
@@ -882,10 +889,11 @@ def glossary_export(spark, sf):
     return sinks.glossary_json(found)
 
 
-@query(f"SELECT p AS pos, t AS term, r AS rendering FROM (VALUES {', '.join(f'({p}, {chr(39)}{t}{chr(39)}, {chr(39)}{r}{chr(39)})' for p, t, r in TERMS)}) v(p, t, r)")
+@query("SELECT p_brand AS glossary_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS pos, p_name || ' ' || p_partkey AS term, p_type AS rendering FROM part")
 def glossary_read_back(spark, sf):
-    """A glossary written as JSON and read again is the same."""
-    return scans.glossary_terms(sinks.glossary_json(terms(spark).withColumn("glossary_id", F.lit("g")))).drop("glossary_id")
+    """A glossary of each brand's parts, written as JSON and read again, is the same in the same order."""
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("glossary_id"), F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("term"), F.col("p_type").alias("rendering"))
+    return scans.glossary_terms(sinks.glossary_json(parts))
 
 
 @query(f"""SELECT e.event_id FROM events e WHERE e.user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus IN ('P', 'O'))""")
