@@ -41,17 +41,21 @@ def test_settings_and_fingerprint(tmp_path):
     assert len({prompts.fingerprint(words), prompts.fingerprint(words, a), prompts.fingerprint(prompts.Wording(repairer="x"))}) == 3
 
 
-def test_rules_merge(tmp_path):
+def cleaner(spark):
+    return lambda text, *options: spark.createDataFrame([(text,)], "t string").select(artifacts.clean_artifacts(F.col("t"), *options).alias("t")).first().t
+
+
+def test_rules_merge(spark, tmp_path):
     sets = {"common": {"a": ["x"], "d": {"p": 1}, "n": 1}, "one": {"a": ["y"], "d": {"q": 2}, "n": 2}, "two": {"inherit_from": ["one"], "a": ["z"], "d": {"p": 3}}}
     assert artifacts.resolved("two", sets) == {"a": ["x", "y", "z"], "d": {"p": 3, "q": 2}, "n": 2} and artifacts.resolved("none", sets)["n"] == 1
     assert artifacts.load_rules(str(tmp_path / "no.json")) == {}
     (tmp_path / "r.json").write_text(json.dumps(sets))
     assert artifacts.load_rules(str(tmp_path / "r.json")) == sets
-    assert artifacts.clean_text("> *\n[]{#a}x\n> >", "epub", {}) == "> *\nx\n> >\n"
+    assert cleaner(spark)("> *\n[]{#a}x\n> >", "epub", {}) == "> *\nx\n> >\n"
 
 
-def test_artifacts_line_by_line():
-    clean = artifacts.clean_text
+def test_artifacts_line_by_line(spark):
+    clean = cleaner(spark)
     assert clean("> [Following,^[[3](#x)]{.small}^ Land]{.calibre_1}\n> > > >\n") == "> Following,^[3](#x)^ Land\n"
     assert clean("一]{.calibre6}：]{.Calibre6}狼\n") == "一：狼\n"
     assert clean("[[*]{.calibre_9}]{.calibre2}\n[[[By]{.calibre_1}]{.italic}]{.calibre2}\n[A.]{.calibre2}\n[B]{.calibre7}") == "## *By*\nA.\nB\n"
@@ -62,6 +66,16 @@ def test_artifacts_line_by_line():
     assert clean("]{.orphan}\n{.c}\n[ ]{.d}\nx") == "x\n" and clean("") == "\n"
 
 
+def test_divs_take_many_lines_and_passes_their_order(spark):
+    clean = cleaner(spark)
+    assert clean("::: {}\n" + "line\n" * 50_000 + "<svg>\n:::\nx") == "x\n"
+    assert clean("::: {}\n" + "line\n" * 3 + ":::\nx") == "line\nline\nline\n:::\nx\n"
+    assert clean("> ::: {#p.mbp_pagebreak}\nx\n::: {#q.mbp_pagebreak}\n:::") == "x\n"
+    # Page breaks go first, so attributes may stand below one.
+    assert clean("![a](b.png)\n::: {#p.mbp_pagebreak}\n{.c} rest") == "![a](b.png) rest\n"
+    assert clean(None) is None and clean("\r\n a \u2028b\n\n\n\n c") == "a \nb\n\n c\n"
+
+
 # models
 
 
