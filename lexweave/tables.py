@@ -23,3 +23,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exchanged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that meets the other by exchange. The size of its files doesn't tell how large it is once unpacked or exploded, and a broadcast goes whole through the driver."""
+    return df.hint("merge")

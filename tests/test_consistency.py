@@ -80,3 +80,11 @@ def test_heading_stack_is_positional(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert [r.path for r in got.filter("doc_id = 100").orderBy("nth").collect()] == [["A"], ["A", "B"], ["A", "B", "C"], ["A", "D"], ["A", "D"]]
     assert spark.range(1).select(X.heading_paths(F.expr("cast(array() as array<struct<level:int,title:string>>)")).alias("p")).first().p == []
+
+
+def test_parts_of_phrases_stay_off_the_driver(spark):
+    """Each phrase names hundreds of parts, so a file that looks small enough for a broadcast isn't."""
+    segments = spark.createDataFrame([(1, "Big deep red-eyed sea. O'er sea."), (2, "Big deep red-eyed sea. O'er sea."), (3, "Deep red-eyed sea")], "seg long, source string")
+    got = evaluation.repeated_phrases(segments, spark.createDataFrame([], "pos int, term string, rendering string"))
+    assert {(r.phrase, r.occurrences) for r in got.collect()} == {("big deep red-eyed sea", 2), ("o'er sea", 2), ("deep red-eyed sea", 3)}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
