@@ -82,9 +82,24 @@ def test_heading_stack_is_positional(spark):
     assert spark.range(1).select(X.heading_paths(F.expr("cast(array() as array<struct<level:int,title:string>>)")).alias("p")).first().p == []
 
 
+def plans(monkeypatch):
+    """Plans of all tables that evaluation writes from here on."""
+    seen, real = [], evaluation.written
+    monkeypatch.setattr(evaluation, "written", lambda df, name: (seen.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    return seen
+
+
 def test_parts_of_phrases_stay_off_the_driver(spark):
     """Each phrase names hundreds of parts, so a file that looks small enough for a broadcast isn't."""
     segments = spark.createDataFrame([(1, "Big deep red-eyed sea. O'er sea."), (2, "Big deep red-eyed sea. O'er sea."), (3, "Deep red-eyed sea")], "seg long, source string")
     got = evaluation.repeated_phrases(segments, spark.createDataFrame([], "pos int, term string, rendering string"))
     assert {(r.phrase, r.occurrences) for r in got.collect()} == {("big deep red-eyed sea", 2), ("o'er sea", 2), ("deep red-eyed sea", 3)}
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_and_phrases_stay_off_the_driver(spark, monkeypatch):
+    seen = plans(monkeypatch)
+    segments = spark.createDataFrame([(1, "Deep red sea", "译文一"), (2, "Deep red sea", "译文二"), (3, "Deep red sea", "译")], "seg long, source string, translation string")
+    got = evaluation.phrase_consistency(segments, spark.createDataFrame([], "pos int, term string, rendering string"), first=1)
+    assert [(r.phrase, r.occurrences, r.signature) for r in got.collect()] == [("deep red sea", 3, "")]
+    assert len(seen) > 4 and not any("BroadcastHashJoin" in p for p in seen)
