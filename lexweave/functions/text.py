@@ -22,8 +22,20 @@ BOILERPLATE = [
     ("(?U)^```markdown\\s*+", ""),
     ("(?dU)\\s*```$", ""),
 ]
+
+
+def _clean(step: int, gram: int, longest: int, group: int) -> str:
+    """Matches `step` characters among which no loop begins; `group` is the number of its own group.
+
+    A phrase of p characters (5 to `longest`) said n times or more in a row covers n * p of them. If it began among the step characters, the last
+    of these would lie in it, and the `gram` characters from there on would come again p later, as long as step - 1 + gram <= (n - 1) * 5. So one
+    look per step tells, where the loop's own pattern would try every length at every character.
+    """
+    return f"(?s:.{{{step - 1}}})(?!(?=(.{{{gram}}})).{{5,{longest}}}?\\{group})(?s:.)"
+
+
 LOOPS = [
-    ("(?d)(.{5,50}?)\\1{9,}+", "$1"),
+    (f"(?d)((?:{_clean(25, 20, 50, 2)})++)|(.{{5,50}}?)\\3{{9,}}+", "$1$3"),
     ("([\\u4e00-\\u9fa5]{2,10})\\1{9,}+", "$1"),
     ("(?iuU)\\b(\\w{3,})\\s+(?:\\1\\s+){9,}+", "$1 "),
     ("([。，！？；：])\\1{3,}+", "$1$1$1"),
