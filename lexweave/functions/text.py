@@ -69,8 +69,8 @@ def issue(when: Column, kind: str, severity: str, message: Column) -> Column:
 
 
 def untranslated_span(text: Column, words: int = 12) -> Column:
-    """The first run of at least `words` Latin words; empty if there is none."""
-    return F.regexp_extract(text, f"(?U)[A-Za-z]++(?:\\s++[A-Za-z]++){{{words - 1},}}+", 0)
+    """The first run of at least `words` Latin words; empty if there is none. It is looked for where a run may begin, not from each letter on."""
+    return F.regexp_extract(text, f"(?U)(?<![A-Za-z])(?<![A-Za-z]\\s)[A-Za-z]++(?:\\s++[A-Za-z]++){{{words - 1},}}+", 0)
 
 
 def untranslated_issue(text: Column, words: int = 12) -> Column:
@@ -91,8 +91,12 @@ def markdown_issues(original: Column, translation: Column) -> Column:
     return F.filter(F.array(*found), lambda i: i.isNotNull())
 
 
+#: A phrase said five times or more in a row: steps without one, and characters at which none begins, are passed by.
+REPEATED = f"(?d)\\A(?:{_clean(10, 11, 30, 1)}|(?!(.{{5,30}}?)\\2{{4,}}+)(?s:.))*+(.{{5,30}}?)\\3{{4,}}+"
+
+
 def repetition_issue(text: Column) -> Column:
-    return issue(text.rlike("(?d)(.{5,30}?)\\1{4,}+"), "repetition", "low", F.lit("a phrase is repeated"))
+    return issue(text.rlike(REPEATED), "repetition", "low", F.lit("a phrase is repeated"))
 
 
 def should_repair(issues: Column) -> Column:
