@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,6 +14,7 @@ from lexweave.shipping import ship
 from .runs import state_on_disk
 
 OUT = "doc long, idx int, content string, written_count long, buffer_size long"
+PART = Row("doc", "idx", "content", "written_count", "buffer_size")
 
 
 class Emitter(StatefulProcessor):
@@ -26,29 +27,28 @@ class Emitter(StatefulProcessor):
         self.next = handle.getValueState("next", "idx int, waiting long")
         self.held = handle.getMapState("held", "idx int", "content string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        following, waiting = self.next.get() if self.next.exists() else (self.start, 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Each call to the state is a message, so there are no more than needed: where nothing waits, nothing is asked for.
+        following, waiting = self.next.get() or (self.start, 0)
+        begun = waiting
         come: dict[int, str | None] = {}
-        for frame in rows:
-            for i, content in zip(frame["idx"].tolist(), frame["content"], strict=True):
-                if i >= following:
-                    come.setdefault(i, content)
-        ready = []
+        for r in rows:
+            if r.idx >= following:
+                come.setdefault(r.idx, r.content)
         for i in sorted(come):
             if i == following:
-                ready.append((key[0], i, come[i], i + 1 - self.start, 0))
+                yield PART(key[0], i, come[i], i + 1 - self.start, 0)
                 following += 1
                 # What the state holds goes out as soon as the gap before it closes.
-                while waiting and following not in come and self.held.containsKey((following,)):
-                    ready.append((key[0], following, self.held.getValue((following,))[0], following + 1 - self.start, 0))
+                while waiting and following not in come and (entry := self.held.getValue((following,))) is not None:
+                    yield PART(key[0], following, entry[0], following + 1 - self.start, 0)
                     self.held.removeKey((following,))
                     following, waiting = following + 1, waiting - 1
-            elif i > following and not self.held.containsKey((i,)):
+            elif i > following and not (begun and self.held.containsKey((i,))):
                 self.held.updateValue((i,), (come[i],))
                 waiting += 1
         self.next.update((following, waiting))
-        ready.append((key[0], None, None, following - self.start, waiting))
-        yield pd.DataFrame(ready, columns=["doc", "idx", "content", "written_count", "buffer_size"]).astype({"idx": "Int32"})
+        yield PART(key[0], None, None, following - self.start, waiting)
 
 
 def emit_in_order(results: DataFrame, start: int = 0) -> DataFrame:
@@ -60,7 +60,7 @@ def emit_in_order(results: DataFrame, start: int = 0) -> DataFrame:
     """
     ship(results.sparkSession)
     rows = results.filter("doc is not null and idx is not null").select(F.col("doc").cast("long").alias("doc"), F.col("idx").cast("int").alias("idx"), F.col("content").cast("string").alias("content"))
-    return rows.groupBy("doc").transformWithStateInPandas(Emitter(start), OUT, "Append", "None")
+    return rows.groupBy("doc").transformWithState(Emitter(start), OUT, "Append", "None")
 
 
 def write_in_order(results: DataFrame, path: str, checkpoint: str, start: int = 0) -> None:
