@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,7 +20,8 @@ STATE = "current long, total long, first long, last long, back boolean, cancelle
 EVENT, CANCEL = 0, 1
 #: Stand for null in columns that have to stay whole numbers on their way through Python.
 NO_ID, NO_TOTAL = -(1 << 63), -1
-OUT = "task_id long, event_id long, ts timestamp, status string, current long, total long, first timestamp, error string"
+OUT = "task_id long, event_id long, us long, status string, current long, total long, first long, error string"
+TOLD = Row("task_id", "event_id", "us", "status", "current", "total", "first", "error")
 
 
 class Watcher(StatefulProcessor):
@@ -35,56 +34,56 @@ class Watcher(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("task", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current, total, first, last, back, cancelled = self.state.get() if self.state.exists() else (0, NO_TOTAL, None, None, False, None)
-        batch = pd.concat([f[["event_id", "ts", "total", "kind"]] for f in rows], ignore_index=True)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # One call to the state tells whether there is one; rows stay rows, as a frame a task costs more than its few rows.
+        current, total, first, last, back, cancelled = self.state.get() or (0, NO_TOTAL, None, None, False, None)
         if cancelled is not None:
             return
-        batch["us"] = _micros(batch["ts"])
-        calls = batch["us"][batch["kind"] == CANCEL]
-        cancelled = int(calls.min()) if len(calls) else None
-        own = batch[batch["kind"] == EVENT].sort_values(["us", "event_id"], kind="stable")
-        if cancelled is not None:
-            own = own[own["us"] <= cancelled]
-        out = []
-        at = own["us"].to_numpy(np.int64)
-        if len(own):
-            first = int(at[0]) if first is None else first
+        own, calls = [], []
+        for r in rows:
+            if r.kind == EVENT:
+                own.append((r.us, r.event_id, r.total))
+            else:
+                calls.append(r.us)
+        own.sort(key=lambda e: e[:2])
+        cancelled = min(calls) if calls else None
+        timer = None if last is None or back else _expiry(last + self.stale)
+        for us, event, given in own:
+            if cancelled is not None and us > cancelled:
+                break
+            first = us if first is None else first
             # Where the next event is later than a timer would have run out, it has run out, whichever batch the event is in.
-            before = np.concatenate([[at[0] if last is None else last], at[:-1]])
-            quiet = (at - before > self.stale) & ~((np.arange(len(at)) == 0) & back)
-            known = np.concatenate([[total], own["total"].to_numpy(np.int64)])
-            known = known[np.maximum.accumulate(np.where(known == NO_TOTAL, 0, np.arange(len(known))))]
-            out.append(_rows(key[0], NO_ID, before[quiet] + self.stale, "pending", current + np.flatnonzero(quiet), known[:-1][quiet], first, tasks.REQUEUED))
-            out.append(_rows(key[0], own["event_id"].to_numpy(np.int64), at, "processing", current + 1 + np.arange(len(at)), known[1:], first, None))
-            current, last, back, total = current + len(own), int(at[-1]), False, int(known[-1])
+            if last is not None and not back and us - last > self.stale:
+                yield _row(key[0], NO_ID, last + self.stale, "pending", current, total, first, tasks.REQUEUED)
+            current, last, back, total = current + 1, us, False, total if given == NO_TOTAL else given
+            yield _row(key[0], event, us, "processing", current, total, first, None)
         if cancelled is not None:
             if last is not None and not back and cancelled - last > self.stale:
-                out.append(_rows(key[0], NO_ID, np.array([last + self.stale]), "pending", current, total, first, tasks.REQUEUED))
-            out.append(_rows(key[0], NO_ID, np.array([cancelled]), "cancelled", current, total, first, tasks.CANCELLED))
+                yield _row(key[0], NO_ID, last + self.stale, "pending", current, total, first, tasks.REQUEUED)
+            yield _row(key[0], NO_ID, cancelled, "cancelled", current, total, first, tasks.CANCELLED)
         self.state.update((current, total, first, last, back, cancelled))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if cancelled is None and last is not None and not back:
-            self.handle.registerTimer(-(-(last + self.stale) // 1000))
-        yield from (f for f in out if len(f))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        following = _expiry(last + self.stale) if cancelled is None and last is not None and not back else None
+        if timer != following:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if following is not None:
+                self.handle.registerTimer(following)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         current, total, first, last, back, cancelled = self.state.get()
         if back or cancelled is not None or last is None:
             return
         self.state.update((current, total, first, last, True, None))
-        yield _rows(key[0], NO_ID, np.array([last + self.stale]), "pending", current, total, first, tasks.REQUEUED)
+        yield _row(key[0], NO_ID, last + self.stale, "pending", current, total, first, tasks.REQUEUED)
 
 
-def _micros(times: pd.Series) -> pd.Series:
-    return times.astype("datetime64[us]").astype("int64")
+def _expiry(us: int) -> int:
+    """A timer's milliseconds."""
+    return -(-us // 1000)
 
 
-def _rows(task: int, event, at: np.ndarray, status: str, current, total, first: int | None, error: str | None) -> pd.DataFrame:
-    time = lambda us: pd.to_datetime(us, unit="us")
-    columns = {"task_id": task, "event_id": event, "ts": time(at), "status": status, "current": current, "total": total, "first": pd.NaT if first is None else time(first), "error": error}
-    return pd.DataFrame(columns, index=range(len(at)))
+def _row(*values) -> Row:
+    return TOLD(*values)
 
 
 def watch_tasks(events: DataFrame, cancellations: DataFrame | None = None, stale_after: int = 900, delay: str = "0 seconds") -> DataFrame:
@@ -105,6 +104,7 @@ def watch_tasks(events: DataFrame, cancellations: DataFrame | None = None, stale
     rows = slim(events, EVENT, held(F.col("event_id"), NO_ID).alias("event_id"), held(F.col("total"), NO_TOTAL).alias("total"))
     if cancellations is not None:
         rows = rows.unionByName(slim(cancellations, CANCEL, F.lit(NO_ID).alias("event_id"), F.lit(NO_TOTAL).cast("long").alias("total")))
-    told = rows.withWatermark("ts", delay).groupBy("task_id").transformWithStateInPandas(Watcher(stale_after), OUT, "Append", "EventTime")
-    told = told.withColumns({"event_id": F.nullif(F.col("event_id"), F.lit(NO_ID)), "total": F.nullif(F.col("total"), F.lit(NO_TOTAL).cast("long"))})
+    rows = rows.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
+    told = rows.groupBy("task_id").transformWithState(Watcher(stale_after), OUT, "Append", "EventTime")
+    told = told.withColumns({"ts": F.timestamp_micros("us"), "first": F.timestamp_micros("first"), "event_id": F.nullif(F.col("event_id"), F.lit(NO_ID)), "total": F.nullif(F.col("total"), F.lit(NO_TOTAL).cast("long"))})
     return tasks.rates(told, F.col("first")).select("task_id", "event_id", "ts", "status", "current", "percentage", "elapsed", "speed", "eta_minutes", "error")

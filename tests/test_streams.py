@@ -183,3 +183,53 @@ def test_a_batch_that_failed_is_claimed_again(spark, tmp_path):
         worked(spark, f"file://{tmp_path}", [["a", "b"]], handle)
     got = worked(spark, f"file://{tmp_path}", [["c"]], handle)
     assert {k: v[0] for k, v in got.items()} == dict.fromkeys("abc", "completed")
+
+
+class Counted:
+    """A state that counts the calls it gets: each is a message between Spark and its worker."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = [], {}, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, keys, values):
+        return self
+
+    def __getattr__(self, name):
+        act = {
+            "get": lambda: self.values.get(None), "update": lambda v: self.values.update({None: v}), "exists": lambda: None in self.values,
+            "containsKey": lambda k: k in self.values, "getValue": lambda k: self.values.get(k), "updateValue": lambda k, v: self.values.update({k: v}), "removeKey": lambda k: self.values.pop(k),
+            "registerTimer": lambda at: self.timers.add(at), "deleteTimer": lambda at: self.timers.remove(at), "listTimers": lambda: iter(self.timers),
+        }[name]
+        return lambda *a: (self.calls.append(name), act(*a))[1]
+
+
+def test_a_document_asks_its_state_no_more_than_it_must():
+    from pyspark.sql import Row
+
+    from lexweave.streaming import ordered
+
+    held, emitter = Counted(), ordered.Emitter(0)
+    emitter.init(held)
+    feed = lambda *idx: [(r.idx, r.content, r.written_count, r.buffer_size) for r in emitter.handleInputRows((7,), iter([Row(idx=i, content=f"c{i}") for i in idx]), None)]
+    assert feed(3, 1, 3) == [(None, None, 0, 2)] and held.calls == ["get", "updateValue", "updateValue", "update"]
+    held.calls.clear()
+    assert feed(0, 3) == [(0, "c0", 1, 0), (1, "c1", 2, 0), (None, None, 2, 1)]
+    assert feed(2) == [(2, "c2", 3, 0), (3, "c3", 4, 0), (None, None, 4, 0)]
+
+
+def test_a_task_asks_its_state_no_more_than_it_must():
+    from pyspark.sql import Row
+
+    from lexweave.streaming import watch
+
+    state, watcher = Counted(), watch.Watcher(900)
+    watcher.init(state)
+    feed = lambda *us: [(r.event_id, r.us, r.status, r.current) for r in watcher.handleInputRows((7,), iter([Row(event_id=u, us=u, total=5, kind=watch.EVENT) for u in us]), None)]
+    assert feed(2_000_000, 1_000_000) == [(1_000_000, 1_000_000, "processing", 1), (2_000_000, 2_000_000, "processing", 2)]
+    assert state.calls == ["get", "update", "registerTimer"] and state.timers == {902_000}
+    state.calls.clear()
+    assert feed(902_000_001) == [(watch.NO_ID, 902_000_000, "pending", 2), (902_000_001, 902_000_001, "processing", 3)]
+    assert state.calls == ["get", "update", "deleteTimer", "registerTimer"] and state.timers == {1_802_001}
