@@ -6,6 +6,7 @@ line end, and quantified groups are possessive so that texts of any length stay
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,13 +43,77 @@ LOOPS = [
 ]
 
 
+def _unlooped(said: int, gram: int, tiers: list[tuple[int, int, int]]) -> str:
+    """Matches texts of which it is sure that no phrase is said `said` times or more in a row; others may or may not have one.
+
+    tiers: (shortest phrase, longest, how many of the steps of the tier before make one of its own), from short phrases on. A loop of phrases of p
+    characters has the `gram` characters from any place in it on again p later, until (said - 1) * p after its beginning, less the gram. So the longer
+    the phrases of a tier, the wider its steps may be; what is left behind the last whole step of a tier is too short for its loops.
+    """
+    steps, group = [], 0
+    for least, most, times in tiers:
+        if not steps:
+            steps.append(((said - 1) * least - gram, lambda n, least=least, most=most, size=(said - 1) * least - gram: f"(?s:.{{{size}}})(?!(?=(.{{{gram}}})).{{{least},{most}}}?\\{n()})"))
+        else:
+            size, inner = steps[-1]
+            if times * size > (said - 1) * least - gram:
+                raise ValueError("steps too wide for their phrases")
+            steps.append((times * size, lambda n, least=least, most=most, times=times, inner=inner: "".join(inner(n) for _ in range(times)) + f"(?!(?=(.{{{gram}}})).{{{least},{most}}}?\\{n()})"))
+
+    def number() -> int:
+        nonlocal group
+        group += 1
+        return group
+
+    return "(?d)\\A" + "".join(f"(?:{of(number)})*+(?=(?s:.{{0,{size - 1}}})\\z)" for size, of in reversed(steps))
+
+
+#: Tell most texts without a loop of LOOPS[0], and without one of REPEATED, several times faster than these.
+NO_LOOP, NO_REPEAT = _unlooped(10, 12, [(5, 9, 1), (10, 24, 2), (25, 50, 3)]), _unlooped(5, 7, [(5, 9, 1), (10, 19, 2), (20, 30, 2)])
+#: White space up to U+00FF.
+BLANK = "\\t-\\r \\u0085\\u00a0"
+
+
+def _has(mark: str) -> Callable[[Column], Column]:
+    return lambda t: F.contains(t, F.lit(mark))
+
+
+#: What a text has where a rule's pattern matches, and is looked for faster than the pattern.
+MAY: dict[str, Callable[[Column], Column]] = {
+    BOILERPLATE[0][0]: _has("（注："),
+    BOILERPLATE[1][0]: _has("(注："),
+    BOILERPLATE[2][0]: _has("【修正后的译文】"),
+    BOILERPLATE[3][0]: _has("[修正后的译文]"),
+    BOILERPLATE[4][0]: lambda t: F.substring(t, 1, 23).rlike("(?iU)^Here is the translation"),
+    BOILERPLATE[5][0]: lambda t: F.substring(t, 1, 11).rlike("(?iU)^Translation"),
+    BOILERPLATE[6][0]: lambda t: F.startswith(t, F.lit("```markdown")),
+    BOILERPLATE[7][0]: _has("```"),
+    LOOPS[0][0]: lambda t: ~t.rlike(NO_LOOP),
+    LOOPS[1][0]: lambda t: t.rlike("[\\u4e00-\\u9fa5]{20}"),
+    # All words of a loop but its first stand between white space; the rarer kinds of it are left to the pattern.
+    LOOPS[2][0]: lambda t: t.rlike(f"[{BLANK}]([^{BLANK}]{{3,}}+)[{BLANK}]++(?:(?iu:\\1)[{BLANK}]++){{2}}|[\\u1680\\u2000-\\u200a\\u2028-\\u205f\\u3000]"),
+    LOOPS[3][0]: lambda t: reduce(Column.__or__, (F.contains(t, F.lit(mark * 4)) for mark in "。，！？；：")),
+}
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     """White space of any script off both ends (trim knows the plain space only)."""
-    return F.regexp_replace(F.regexp_replace(text, "(?U)^\\s++", ""), "(?U)(?<!\\s)\\s++$", "")
+    blank = lambda c: c.rlike("(?U)\\s")
+    left = let(text, lambda t: F.when(blank(F.substring(t, 1, 1)), F.regexp_replace(t, "(?U)^\\s++", "")).otherwise(t))
+    return let(left, lambda t: F.when(blank(F.substring(t, -1, 1)), F.regexp_replace(t, "(?U)(?<!\\s)\\s++$", "")).otherwise(t))
+
+
+def _ruled(text: Column, pattern: str, new: str) -> Column:
+    return let(text, lambda t: F.when(MAY[pattern](t), F.regexp_replace(t, pattern, new)).otherwise(t))
 
 
 def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
+    return reduce(lambda t, rule: _ruled(t, *rule), rules, text)
 
 
 def collapse_loops(text: Column) -> Column:
@@ -74,11 +139,11 @@ def untranslated_span(text: Column, words: int = 12) -> Column:
 
 
 def untranslated_issue(text: Column, words: int = 12) -> Column:
-    span = untranslated_span(text, words)
-    return issue(span != "", "untranslated", "high", F.substring(span, 1, 80))
+    return let(untranslated_span(text, words), lambda span: issue(span != "", "untranslated", "high", F.substring(span, 1, 80)))
 
 
-#: Markdown counters: name, pattern, severity of a difference (fixed values).
+#: Markdown counters: name, pattern, severity of a difference (fixed values); and what a text has where the pattern matches.
+COUNTED = {"headings": "#", "images": "![", "links": "](", "fences": "```"}
 COUNTERS = [("headings", "(?dm)^#{1,6}\\s+", "medium"), ("images", "!\\[[^\\]]*\\]\\([^)]+\\)", "high"), ("links", "\\[[^\\]]+\\]\\([^)]+\\)", "medium"), ("fences", "```", "high")]
 
 
@@ -86,7 +151,7 @@ def markdown_issues(original: Column, translation: Column) -> Column:
     """One issue for each counter that differs."""
     found = []
     for name, pattern, severity in COUNTERS:
-        a, b = F.regexp_count(original, F.lit(pattern)), F.regexp_count(translation, F.lit(pattern))
+        a, b = (F.when(~F.contains(t, F.lit(COUNTED[name])), F.lit(0)).otherwise(F.regexp_count(t, F.lit(pattern))) for t in (original, translation))
         found.append(issue(a != b, "markdown", severity, F.concat(F.lit(f"{name}: "), a.cast("string"), F.lit(" -> "), b.cast("string"))))
     return F.filter(F.array(*found), lambda i: i.isNotNull())
 
@@ -96,7 +161,7 @@ REPEATED = f"(?d)\\A(?:{_clean(10, 11, 30, 1)}|(?!(.{{5,30}}?)\\2{{4,}}+)(?s:.))
 
 
 def repetition_issue(text: Column) -> Column:
-    return issue(text.rlike(REPEATED), "repetition", "low", F.lit("a phrase is repeated"))
+    return issue(~text.rlike(NO_REPEAT) & text.rlike(REPEATED), "repetition", "low", F.lit("a phrase is repeated"))
 
 
 def should_repair(issues: Column) -> Column:

@@ -51,7 +51,8 @@ def _listed(rows: list) -> Column:
 
 
 def _there(listed: Column, hay: Column) -> Column:
-    return F.filter(listed, lambda t: (hay != "") & F.contains(hay, t["low"]))
+    """Those that hay has, whatever its case; it is lower-cased once, not once a term."""
+    return X.let(F.coalesce(F.lower(hay), F.lit("")), lambda low: F.filter(listed, lambda t: (low != "") & F.contains(low, t["low"])))
 
 
 def with_terms(rows: DataFrame, glossary: DataFrame, id_col: str, text_col: str = "text", context_col: str | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def with_terms(rows: DataFrame, glossary: DataFrame, id_col: str, text_col: str
     A few terms are looked for where the rows are; more are matched and joined by id, over rows that are written before.
     """
     if (listed := few_terms(glossary)) is not None:
-        hay = F.coalesce(F.lower(F.concat_ws("\n", F.nullif(F.col(text_col), F.lit("")), *([F.nullif(F.col(context_col), F.lit(""))] if context_col else []))), F.lit(""))
+        hay = F.concat_ws("\n", F.nullif(F.col(text_col), F.lit("")), *([F.nullif(F.col(context_col), F.lit(""))] if context_col else []))
         kept = _there(_listed(sorted(listed, key=lambda r: (r.pos, r.term, r.rendering or ""))), hay)
         return rows.withColumn("terms", F.transform(kept, lambda t: F.struct(t["pos"].alias("pos"), t["term"].alias("term"), t["rendering"].alias("rendering"))))
     rows = written(rows, "rows")
@@ -96,7 +97,7 @@ def quality_reports(pairs: DataFrame, glossary: DataFrame, id_col: str, words: i
     told = lambda term, rendering: F.concat(term, F.lit(" -> "), rendering)
     if (listed := few_terms(glossary)) is not None:
         ordered = _listed(sorted(listed, key=lambda r: (-len(r.term), r.pos)))
-        checked = F.slice(_there(ordered, F.lower(F.coalesce("original", F.lit("")))), 1, max_checks)
+        checked = F.slice(_there(ordered, F.col("original")), 1, max_checks)
         missed = F.filter(checked, lambda t: ~_used(F.col("translation"), t["rendering"]))
         dropped = F.transform(missed, lambda t: F.struct(F.lit("terminology").alias("kind"), F.lit("medium").alias("severity"), told(t["term"], t["rendering"]).alias("message")))
         joined = pairs
