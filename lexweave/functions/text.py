@@ -74,6 +74,11 @@ NO_LOOP, NO_REPEAT = _unlooped(10, 12, [(5, 9, 1), (10, 24, 2), (25, 50, 3)]), _
 BLANK = "\\t-\\r \\u0085\\u00a0"
 
 
+def _again(times: int) -> str:
+    """Matches a word of three characters or more that is said `times` times more, between white space."""
+    return f"[{BLANK}]([^{BLANK}]{{3,}}+)" + f"[{BLANK}]++(?iu:\\1)" * times + f"[{BLANK}]"
+
+
 def _has(mark: str) -> Callable[[Column], Column]:
     return lambda t: F.contains(t, F.lit(mark))
 
@@ -90,8 +95,8 @@ MAY: dict[str, Callable[[Column], Column]] = {
     BOILERPLATE[7][0]: _has("```"),
     LOOPS[0][0]: lambda t: ~t.rlike(NO_LOOP),
     LOOPS[1][0]: lambda t: t.rlike("[\\u4e00-\\u9fa5]{20}"),
-    # All words of a loop but its first stand between white space; the rarer kinds of it are left to the pattern.
-    LOOPS[2][0]: lambda t: t.rlike(f"[{BLANK}]([^{BLANK}]{{3,}}+)[{BLANK}]++(?:(?iu:\\1)[{BLANK}]++){{2}}|[\\u1680\\u2000-\\u200a\\u2028-\\u205f\\u3000]"),
+    # All words of a loop but its first stand between white space; the rarer kinds of it are left to the pattern. Most texts have no word twice in a row.
+    LOOPS[2][0]: lambda t: t.rlike("[\\u1680-\\u3000]") | (t.rlike(_again(1)) & t.rlike(_again(4))),
     LOOPS[3][0]: lambda t: reduce(Column.__or__, (F.contains(t, F.lit(mark * 4)) for mark in "。，！？；：")),
 }
 
