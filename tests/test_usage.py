@@ -118,3 +118,19 @@ def test_the_limiter_is_asked_once_a_call(spark, monkeypatch):
 
     out = next(frames[0](iter([pd.DataFrame({"prompt": ["p", "p"], "text": ["a", "b"]})])))
     assert out["retry_count"].tolist() == [1, 1] and len(asked) == 2
+
+
+def test_the_failing_model_of_model_calls_keeps_nothing_of_what_it_answered():
+    """A task's model is asked of every row of its share, so what it remembers of each would grow with the input."""
+    from lexweave.plans.queries import FlakyModel
+
+    model = FlakyModel()
+    for n in range(300):
+        tries = 0
+        for tries in range(3):
+            try:
+                assert model.translate(str(n % 3), f"t{n}")[0] == f"T{n}" and n % 3 == tries
+                break
+            except ValueError:
+                assert tries < (n % 3 or 0) + (n % 3 == 2)
+    assert not any(vars(model).values())
