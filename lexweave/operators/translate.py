@@ -186,7 +186,7 @@ def translate_chunks(
     section = X.breadcrumb(F.col("section_path")) if "section_path" in chunks.columns else F.col("section_title")
     rows = G.with_terms(chunks, glossary, "chunk_id", "text", "context_text").withColumns({"terms": F.col("terms").cast(TERMS), "section": section})
     rows = rows.withColumn("prompt", prompt(F.col("section"), F.col("context_text"), F.col("terms")))
-    told = written(call_model(rows.select("chunk_id", "text", "prompt", "terms", "section", *carry), model, "translate", retries, pause, limits), "answers")
+    told = written(call_model(rows.select("chunk_id", "text", "prompt", "terms", "section", *carry), model, "translate", retries, pause, limits).drop("prompt"), "answers")
     told = told.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("answer")))
     done = told.select("chunk_id", F.col("text").alias("original"), "translation", "success", "retry_count", "duration", "tokens", "terms", "section", F.lit(False).alias("repaired"), *carry)
     if not qa:
@@ -196,9 +196,9 @@ def translate_chunks(
     for _ in range(attempts):
         # Only rows that need it reach the model: a filter, then the call, then a union.
         need = F.col("wanted") & ~F.col("passed")
-        asked = done.filter(need).withColumn("prompt", repair(F.col("original"), F.col("translation"), F.col("issues"), F.col("terms"), F.col("section"))).withColumn("text", F.col("translation"))
-        asked = asked.withColumnsRenamed({c: f"old_{c}" for c in ("success", "retry_count", "duration", "tokens", "issues", "issue_count", "passed", "translation")})
-        fixed = written(call_model(asked, checker or model, "repair", retries, pause, limits), "repairs")
+        asked = done.filter(need).withColumn("prompt", repair(F.col("original"), F.col("translation"), F.col("issues"), F.col("terms"), F.col("section"))).withColumnRenamed("translation", "text")
+        asked = asked.withColumnsRenamed({c: f"old_{c}" for c in ("success", "retry_count", "duration", "tokens", "issues", "issue_count", "passed")})
+        fixed = written(call_model(asked, checker or model, "repair", retries, pause, limits).drop("prompt").withColumnRenamed("text", "old_translation"), "repairs")
         fixed = fixed.withColumn("translation", F.when(F.col("success"), X.clean_output(F.col("answer"))).otherwise(F.col("old_translation")))
         fixed = G.quality_reports(fixed, glossary, "chunk_id", max_checks=max_checks)
         better = F.col("success") & X.is_better(F.col("issues"), F.col("old_issues"))
