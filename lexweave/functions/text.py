@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .repeats import looked
+
 #: Fixed values of the cleaning rules, in the order in which they apply.
 BOILERPLATE = [
     ("（注：[^）]*+）", ""),
@@ -139,8 +141,10 @@ def issue(when: Column, kind: str, severity: str, message: Column) -> Column:
 
 
 def untranslated_span(text: Column, words: int = 12) -> Column:
-    """The first run of at least `words` Latin words; empty if there is none. It is looked for where a run may begin, not from each letter on."""
-    return F.regexp_extract(text, f"(?U)(?<![A-Za-z])(?<![A-Za-z]\\s)[A-Za-z]++(?:\\s++[A-Za-z]++){{{words - 1},}}+", 0)
+    """The first run of at least `words` Latin words; empty if there is none. Shorter runs and what is between runs are passed whole, so each character is met about once."""
+    more = "\\s++[A-Za-z]++"
+    shorter = f"|[A-Za-z]++(?:{more}){{0,{words - 2}}}+(?!{more})" if words > 1 else ""
+    return F.regexp_extract(text, f"(?U)\\A(?:[^A-Za-z]++{shorter})*+([A-Za-z]++(?:{more}){{{words - 1},}}+)", 1)
 
 
 def untranslated_issue(text: Column, words: int = 12) -> Column:
@@ -153,12 +157,13 @@ COUNTERS = [("headings", "(?dm)^#{1,6}\\s+", "medium"), ("images", "!\\[[^\\]]*\
 
 
 def markdown_issues(original: Column, translation: Column) -> Column:
-    """One issue for each counter that differs."""
+    """One issue for each counter that differs. Few texts have a mark that any counter needs."""
     found = []
     for name, pattern, severity in COUNTERS:
         a, b = (F.when(~F.contains(t, F.lit(COUNTED[name])), F.lit(0)).otherwise(F.regexp_count(t, F.lit(pattern))) for t in (original, translation))
         found.append(issue(a != b, "markdown", severity, F.concat(F.lit(f"{name}: "), a.cast("string"), F.lit(" -> "), b.cast("string"))))
-    return F.filter(F.array(*found), lambda i: i.isNotNull())
+    marked = reduce(Column.__or__, (F.contains(t, F.lit(mark)) for t in (original, translation) for mark in "#[`"))
+    return F.when(marked, F.filter(F.array(*found), lambda i: i.isNotNull())).otherwise(F.array().cast(f"array<{ISSUE}>"))
 
 
 #: A phrase said five times or more in a row: steps without one, and characters at which none begins, are passed by.
@@ -166,7 +171,7 @@ REPEATED = f"(?d)\\A(?:{_clean(10, 11, 30, 1)}|(?!(.{{5,30}}?)\\2{{4,}}+)(?s:.))
 
 
 def repetition_issue(text: Column) -> Column:
-    return issue(~text.rlike(NO_REPEAT) & text.rlike(REPEATED), "repetition", "low", F.lit("a phrase is repeated"))
+    return issue(looked(text, 5, 5, 30) & ~text.rlike(NO_REPEAT) & text.rlike(REPEATED), "repetition", "low", F.lit("a phrase is repeated"))
 
 
 def should_repair(issues: Column) -> Column:

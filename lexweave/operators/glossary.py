@@ -72,9 +72,9 @@ def with_terms(rows: DataFrame, glossary: DataFrame, id_col: str, text_col: str
 
 
 def _used(translation: Column, rendering: Column) -> Column:
-    """A rendering counts whole or up to its first " ("."""
+    """A rendering counts whole or up to its first " (", if anything is before that. As the whole holds that part, one search tells."""
     preferred = F.trim(F.split_part(rendering, F.lit(" ("), F.lit(1)))
-    return ((preferred != "") & F.contains(translation, preferred)) | F.contains(translation, rendering)
+    return F.contains(translation, F.when(preferred != "", preferred).otherwise(rendering))
 
 
 def adherence(pairs: DataFrame, glossary: DataFrame, id_col: str, max_checks: int = 25) -> DataFrame:

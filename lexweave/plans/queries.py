@@ -13,7 +13,7 @@ from lexweave.operators import glossary as G
 from lexweave.plans import document
 from lexweave.sources import database, scans, sinks
 from lexweave.streaming import ordered, queue, runs, watch
-from lexweave.tables import shared_folder, written
+from lexweave.tables import dealt, shared_folder, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -95,7 +95,7 @@ q AS (SELECT lang, CASE WHEN regexp_matches(text, '{SPAN}') THEN 1 ELSE 0 END AS
 SELECT lang, count(*) AS docs, CAST(sum(u) AS BIGINT) AS untranslated, CAST(sum(n) AS BIGINT) AS terminology FROM q GROUP BY lang""")
 def qa_report_by_lang(spark, sf):
     """Minimum slice: scan, theta join, ranked checks, validators and counts of issues by language."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("original"), F.concat(F.lit("译文："), "text").alias("translation"))
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("original"))).withColumn("translation", F.concat(F.lit("译文："), "original"))
     reports = G.quality_reports(docs, terms(spark), "doc_id")
     of = lambda kind: F.sum(F.size(F.filter("issues", lambda i: i["kind"] == kind))).cast("long").alias(kind)
     return reports.groupBy("lang").agg(F.count("*").alias("docs"), of("untranslated"), of("terminology"))

@@ -28,3 +28,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def exchanged(df: DataFrame) -> DataFrame:
     """df as a side of a join that meets the other by exchange. The size of its files doesn't tell how large it is once unpacked or exploded, and a broadcast goes whole through the driver."""
     return df.hint("merge")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it is read from so few files that half the cores would wait: a file of one row group is read by one task, however large it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * len(df.inputFiles()) > cores else df.repartition(2 * cores)
