@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +42,8 @@ def looked(text: Column, said: int, least: int, most: int) -> Column:
     """may_repeat of each text; false for a null."""
     ship()
 
-    @F.pandas_udf("boolean")
-    def look(texts: pd.Series) -> pd.Series:
-        return pd.Series(may_repeat(texts.fillna("").tolist(), said, least, most))
+    @F.arrow_udf("boolean")
+    def look(texts: pa.Array) -> pa.Array:
+        return pa.array(may_repeat(texts.fill_null("").to_pylist(), said, least, most))
 
     return look(F.make_valid_utf8(text))
